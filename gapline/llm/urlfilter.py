@@ -19,6 +19,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gapline.llm.shared import materialise
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: suffixes of two labels under which domains are registered
 TWO_LABELS = ("co.uk", "org.uk", "ac.uk", "com.au", "co.jp", "com.br", "co.nz", "co.za")
@@ -78,14 +80,17 @@ def strength(groups: DataFrame) -> DataFrame:
 
 def reputation(counts: DataFrame, z: float = 1.645) -> DataFrame:
     """host, n, s, mean, bound from :func:`host_counts`."""
-    base = counts.select("host", domain_of(F.col("host")).alias("domain"), suffix_of(F.col("host")).alias("suffix"), "n", "s")
-    total = base.agg(((F.sum("s") + 1.0) / (F.sum("n") + 2.0)).alias("p")).select("p")
-    p0 = F.coalesce(total.scalar(), F.lit(0.5))
-    suffixes = base.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("s").alias("s")).withColumn("p", p0)
-    suffixes = suffixes.select("suffix", ((F.col("s") + strength(suffixes).scalar() * F.col("p")) / (F.col("n") + strength(suffixes).scalar())).alias("p"))
-    domains = base.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("s").alias("s")).join(suffixes, "suffix")
-    domains = domains.select("domain", "suffix", ((F.col("s") + strength(domains).scalar() * F.col("p")) / (F.col("n") + strength(domains).scalar())).alias("p"))
-    hosts = base.join(domains, ["domain", "suffix"])
+    base = materialise(counts.select("host", domain_of(F.col("host")).alias("domain"), suffix_of(F.col("host")).alias("suffix"), "n", "s"), "hosts")
+
+    def shrunk(level: DataFrame, *key: str) -> DataFrame:
+        with_m = level.withColumn("m", strength(level).scalar())
+        return materialise(with_m.select(*key, ((F.col("s") + F.col("m") * F.col("p")) / (F.col("n") + F.col("m"))).alias("p")), "level")
+
+    total = base.agg(((F.sum("s") + 1.0) / (F.sum("n") + 2.0)).alias("p"))
+    suffixes = base.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("s").alias("s")).withColumn("p", F.coalesce(total.scalar(), F.lit(0.5)))
+    above = shrunk(suffixes, "suffix")
+    domains = base.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("s").alias("s")).join(above, "suffix")
+    hosts = base.join(shrunk(domains, "domain", "suffix"), ["domain", "suffix"])
     m = strength(hosts).scalar()
     hosts = hosts.withColumn("m", m).withColumns({"a": F.col("s") + F.col("m") * F.col("p"), "b": F.col("n") - F.col("s") + F.col("m") * (1 - F.col("p"))})
     mean = F.col("a") / (F.col("a") + F.col("b"))
