@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gapline.llm import chat, decontam, htmltext, language, media, neardup, packing, urlfilter
+from gapline.llm import chat, decontam, htmltext, language, media, neardup, packing, substrings, urlfilter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,6 +52,11 @@ def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.read_back(media.store(table(spark, sf_dir, "documents")))
 
 
+def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substrings.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2(F.coalesce("kept", F.coalesce("text", F.lit("")).cast("binary")), 256).alias("kept_sha256"))
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = language.identify(docs, language.fit(docs, language.not_held_out()))
@@ -64,7 +69,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_html, op3_url, op4_neardup, op5_decontaminate, op6_chat, op7_media, op9_language, op10_packing]
+    found = [op2_html, op3_url, op4_neardup, op5_decontaminate, op6_chat, op7_media, op8_substrings, op9_language, op10_packing]
     return {f.__name__: f for f in found}
 
 
