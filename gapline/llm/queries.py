@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gapline.llm import chat, decontam, htmltext, language, media, neardup, packing, substrings, urlfilter
+from gapline.llm import chat, decontam, htmltext, language, lmscore, media, neardup, packing, substrings, urlfilter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 
 
+def op1_lmscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The target is what is labelled good and not toxic; ``keep`` is on the target's side of the background."""
+    target = table(spark, sf_dir, "labels").where("quality = 1 and coalesce(toxic, 0) = 0")
+    out = lmscore.score(table(spark, sf_dir, "documents"), target)
+    return out.withColumn("keep", F.coalesce(F.col("score") <= 0, F.lit(False)))
+
+
 def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     return htmltext.main_text(pages, htmltext.learn(pages))
@@ -69,7 +76,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_html, op3_url, op4_neardup, op5_decontaminate, op6_chat, op7_media, op8_substrings, op9_language, op10_packing]
+    found = [op1_lmscore, op2_html, op3_url, op4_neardup, op5_decontaminate, op6_chat, op7_media, op8_substrings, op9_language, op10_packing]
     return {f.__name__: f for f in found}
 
 
