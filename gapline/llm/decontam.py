@@ -160,10 +160,10 @@ def digest(spans: list[tuple[int, int]], items: set[str]) -> tuple[int, int, str
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, size: int = 13, share: float = 0.05, part_windows: int = 500_000) -> DataFrame:
-    """``docs`` (doc_id, text) judged against ``items`` (item_id, text): doc_id, n_words, n_hit, spans (merged runs of hit words),
+    """``docs`` (doc_id, text) judged against ``items`` (item_id, text): doc_id, row (xxhash64 of the text), n_words, n_hit, spans (merged runs of hit words),
     items (ids as strings, sorted), contaminated (n_hit > 0 and n_hit >= share * n_words)."""
     by_size: dict[int, dict[tuple[bytes, ...], list[str]]] = defaultdict(lambda: defaultdict(list))
-    docs = docs.select(F.col("doc_id").cast("long"), F.lit(0).cast("long").alias("row"), "text")
+    docs = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("row"), "text")
     parts: list[list[Index]] = []
     held = 0
     batches: list[dict] = []
@@ -187,10 +187,9 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = 13, share: floa
     if len(parts) == 1:
         found = find_windows(docs, parts[0])
     else:  # the passes are united by the id and a hash of the text; equal rows have equal results and are counted
-        keyed = docs.withColumn("row", F.xxhash64("text"))
         found = None
         for part in parts:
-            one = find_windows(keyed, part)
+            one = find_windows(docs, part)
             found = one if found is None else found.unionByName(one)
         found = found.groupBy("doc_id", "row", "n_words").agg(F.expr(f"sequence(1, cast(count(*) / {len(parts)} as int))").alias("copies"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
         found = found.select("doc_id", "row", "n_words", "spans", "items", F.explode("copies")).drop("col")
@@ -202,4 +201,4 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = 13, share: floa
     out = found.withColumn("spans", F.when(F.size("spans") < 2, F.col("spans")).otherwise(merged))
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, x: acc + x.z - x.a)
     out = out.withColumn("n_hit", n_hit)
-    return out.select("doc_id", "n_words", "n_hit", "spans", "items", ((F.col("n_hit") > 0) & (F.col("n_hit") >= F.lit(share) * F.col("n_words"))).alias("contaminated"))
+    return out.select("doc_id", "row", "n_words", "n_hit", "spans", "items", ((F.col("n_hit") > 0) & (F.col("n_hit") >= F.lit(share) * F.col("n_words"))).alias("contaminated"))

@@ -265,7 +265,16 @@ def cut_contexts(texts: DataFrame, depth: int) -> DataFrame:
     return texts.select("tk", "text", "found").mapInArrow(run, "fp long, tk binary, s0 int, d0 int, ctx binary")
 
 
-def cut_texts(texts: DataFrame, depth: int) -> DataFrame:
+def inner_characters(text: bytes, a: int, z: int) -> tuple[int, int]:
+    """[a, z) without the parts of characters at its ends."""
+    while a < z and text[a] & 0xC0 == 0x80:
+        a += 1
+    while z > a and z < len(text) and text[z] & 0xC0 == 0x80:
+        z -= 1
+    return a, z
+
+
+def cut_texts(texts: DataFrame, depth: int, as_text: bool) -> DataFrame:
     """tk, n_removed, n_spans, kept for ``texts`` (tk, text, whole, runs of window starts)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -280,16 +289,18 @@ def cut_texts(texts: DataFrame, depth: int) -> DataFrame:
                             spans[-1][1] = max(spans[-1][1], r[1] - 1 + depth)
                         else:
                             spans.append([r[0], r[1] - 1 + depth])
+                    if as_text:
+                        spans = [[a, z] for a, z in (inner_characters(text, a, z) for a, z in spans) if a < z]
                     kept, end = [], 0
                     for a, z in spans:
                         kept.append(text[end:a])
                         end = z
                     kept.append(text[end:])
-                    rows.append((tk, sum(z - a for a, z in spans), len(spans), [{"a": a, "z": z} for a, z in spans], b"".join(kept)))
-                kinds = [pa.binary(), pa.int64(), pa.int64(), RUNS, pa.binary()]
+                    rows.append((tk, sum(z - a for a, z in spans), len(spans), [{"a": a, "z": z} for a, z in spans], b"".join(kept).decode() if as_text else b"".join(kept)))
+                kinds = [pa.binary(), pa.int64(), pa.int64(), RUNS, pa.string() if as_text else pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["tk", "n_removed", "n_spans", "spans", "kept"])
 
-    return texts.select("tk", "text", "whole", "runs").mapInArrow(run, "tk binary, n_removed long, n_spans long, spans array<struct<a:int,z:int>>, kept binary")
+    return texts.select("tk", "text", "whole", "runs").mapInArrow(run, "tk binary, n_removed long, n_spans long, spans array<struct<a:int,z:int>>, kept " + ("string" if as_text else "binary"))
 
 
 def find_runs(docs: DataFrame, depth: int, most: int) -> tuple[DataFrame, DataFrame]:
@@ -327,16 +338,18 @@ def find_runs(docs: DataFrame, depth: int, most: int) -> tuple[DataFrame, DataFr
     return back, texts
 
 
-def remove_repeats(docs: DataFrame, depth: int = DEPTH, most: int = MOST) -> DataFrame:
-    """The rows of ``docs`` (doc_id, text and others) with n_bytes, n_removed, n_spans, spans (byte ranges) and kept (bytes; null where nothing is removed)."""
+def remove_repeats(docs: DataFrame, depth: int = DEPTH, most: int = MOST, as_text: bool = False) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text and others) with n_bytes, n_removed, n_spans, spans (byte ranges) and kept (bytes; null where nothing is removed).
+    With ``as_text`` only whole characters are removed and kept is a string. Columns of these names in ``docs`` are replaced."""
     if depth < 2 * GRAM + PERIOD or (depth - PERIOD) % 8:
         raise ValueError(f"depth is at least {2 * GRAM + PERIOD} and a multiple of 8")
+    docs = docs.drop("n_bytes", "n_removed", "n_spans", "spans", "kept", "_key", "_tk")
     keyed = docs.select(F.col("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     keyed = keyed.withColumn("tk", F.unhex(F.md5("text")))
     back, texts = find_runs(keyed, depth, most)
     whole = (F.col("copies") > 1) & (F.octet_length("text") >= depth)
     cut = texts.join(back, "tk", "left").where(whole | F.col("runs").isNotNull())
-    cut = cut_texts(cut.select("tk", "text", whole.alias("whole"), "runs"), depth).withColumnRenamed("tk", "_tk")
+    cut = cut_texts(cut.select("tk", "text", whole.alias("whole"), "runs"), depth, as_text).withColumnRenamed("tk", "_tk")
     out = docs.withColumn("_key", F.unhex(F.md5(F.coalesce("text", F.lit("")))))
     out = out.join(cut, F.col("_key") == F.col("_tk"), "left").drop("_key", "_tk")
     return out.withColumns({"n_bytes": F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"), "n_removed": F.coalesce("n_removed", F.lit(0)).cast("long"), "n_spans": F.coalesce("n_spans", F.lit(0)).cast("long")})
