@@ -152,7 +152,8 @@ def score(docs: DataFrame, target: DataFrame, vocab: int = 1 << 16, heavy: int =
             _, doc, k, hit = split(batch)
             n = batch.num_rows
             d, k = doc[hit], k[hit]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.bincount(doc, minlength=n).astype(np.int64)), pa.array(np.bincount(d, top_t[k], n)), pa.array(np.bincount(d, top_b[k], n))], names=["doc_id", "n", "lt", "lb"])
+            st, sb = (np.bincount(d, x[k], n).astype(float) if len(k) else np.zeros(n) for x in (top_t, top_b))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.bincount(doc, minlength=n).astype(np.int64)), pa.array(st), pa.array(sb)], names=["doc_id", "n", "lt", "lb"])
 
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
