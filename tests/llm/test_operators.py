@@ -1,0 +1,354 @@
+"""Each corpus operator against a brute-force version, and on nulls, empty tables, repeated rows and clashing columns."""
+
+import collections
+import hashlib
+import itertools
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from gapline.llm import chat, decontam, htmltext, language, lmscore, media, neardup, packing, substrings, urlfilter
+from pyspark.sql import functions as F
+
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+#: doc_id, text, and columns whose names operators use inside
+SCHEMA = "doc_id long, text string, lang string, row long, band string, tk string, score double"
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(i, t, "en", 1, "x", "y", 0.5) for i, t in rows], SCHEMA)
+
+
+def words(rng, n, vocab=400):
+    return [f"w{rng.randrange(vocab)}" for _ in range(n)]
+
+
+@pytest.fixture(scope="module")
+def rows():
+    """Copies, near copies, shared passages, short, empty, null, long and non-ASCII texts; a repeated row."""
+    rng = random.Random(5)
+    base = words(rng, 120)
+    out = [" ".join(base)] * 3 + [" ".join(words(rng, 90)) for _ in range(10)]
+    for k in range(12):
+        near = list(base)
+        for _ in range(rng.randrange(1, 9)):
+            near[rng.randrange(len(near))] = f"n{k}{rng.randrange(99)}"
+        out.append(" ".join(near))
+    passage = " ".join(words(rng, 60))
+    out += [" ".join(words(rng, 30)) + " " + passage + " " + " ".join(words(rng, 30)) for _ in range(6)]
+    out += ["", None, "one two", "One TWO", "\u00e9t\u00e9 \u00e9t\u00e9", "a" * 700, "ab" * 300, "\u00e9" * 500, "12 34 !!", "   \n\t", " ".join(words(rng, 4000))]
+    return list(enumerate(out)) + [(3, out[3]), (None, "no id but some words in here"), (None, None)]
+
+
+def shingle_set(text, n=5):
+    w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOWER))
+    return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else ({tuple(w)} if w else set())
+
+
+@pytest.mark.parametrize("group", [2_000_000, 300])
+def test_neardup(spark, rows, group):
+    sets = {(i, t): shingle_set(t) for i, t in rows}
+    parent = {k: k for k in sets}
+
+    def find(k):
+        while parent[k] != k:
+            k = parent[k]
+        return k
+
+    order = lambda k: (k[0] is None, k[0] or 0, k[1] or "")
+    for a, b in itertools.combinations(sorted(sets, key=order), 2):
+        both = len(sets[a] & sets[b])
+        if sets[a] and sets[b] and 100 * both >= 85 * len(sets[a] | sets[b]):
+            x, y = sorted((find(a), find(b)), key=order)
+            parent[y] = x
+    want = collections.Counter((i, len(sets[i, t]), find((i, t))[0], find((i, t))[0] == i) for i, t in rows)
+    got = neardup.groups(frame(spark, rows), percent=85, group_items=group).collect()
+    assert collections.Counter((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got) == want
+    assert neardup.groups(frame(spark, []), percent=85).count() == 0
+
+
+@pytest.mark.parametrize("group", [2_000_000, 300])
+def test_neardup_chain(spark, group):
+    """Links that no single pivot shows: each text is near the next one only."""
+    rng = random.Random(2)
+    text = words(rng, 150, 10**6)
+    chain = []
+    for k in range(25):
+        text = list(text)
+        text[(k * 37) % 150] = f"x{k}"
+        text[(k * 37 + 75) % 150] = f"y{k}"
+        chain.append((100 - k, " ".join(text)))
+    got = {r.doc_id: r.component_id for r in neardup.groups(frame(spark, chain), percent=85, group_items=group).collect()}
+    assert set(got.values()) == {76}
+
+
+def test_neardup_blocks():
+    """Both ways of a block give the components of all pairs."""
+    rng = np.random.default_rng(3)
+    for _ in range(20):
+        base = rng.integers(0, 10**6, 60)
+        sets = []
+        for _ in range(40):
+            x = base.copy()
+            k = rng.integers(0, 9)
+            x[rng.integers(0, 60, k)] = rng.integers(0, 10**6, k)
+            sets.append(np.unique(x).astype(np.uint64))
+        parts = []
+        for links in (neardup.block_links(sets, 85), neardup.prefix_links(sets, 85)):
+            comp = list(range(40))
+            for a, b in links:
+                comp = [comp[a] if c == comp[b] else c for c in comp]
+            parts.append([comp.index(c) for c in comp])
+        comp = list(range(40))
+        for a, b in itertools.combinations(range(40), 2):
+            both = len(np.intersect1d(sets[a], sets[b]))
+            if 100 * both >= 85 * (len(sets[a]) + len(sets[b]) - both):
+                comp = [comp[a] if c == comp[b] else c for c in comp]
+        assert parts == [[comp.index(c) for c in comp]] * 2
+
+
+def brute_cut(texts, depth=200):
+    raw = [(t or "").encode() for t in texts]
+    seen = collections.Counter(t[i : i + depth] for t in raw for i in range(len(t) - depth + 1))
+    out = []
+    for t in raw:
+        gone = np.zeros(len(t), bool)
+        for i in range(len(t) - depth + 1):
+            if seen[t[i : i + depth]] > 1:
+                gone[i : i + depth] = True
+        spans = int((np.diff(gone.astype(int), prepend=0) == 1).sum())
+        out.append((len(t), int(gone.sum()), spans, bytes(b for b, g in zip(t, gone, strict=True) if not g)))
+    return out
+
+
+@pytest.mark.parametrize("most", [20_000, 1])
+def test_substrings(spark, rows, most):
+    want = collections.Counter((i, *x) for (i, _), x in zip(rows, brute_cut([t for _, t in rows]), strict=True))
+    out = substrings.remove_repeats(frame(spark, rows), most=most).collect()
+    assert collections.Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept) if r.kept is not None else (r.text or "").encode()) for r in out) == want
+    assert substrings.remove_repeats(frame(spark, [])).count() == 0
+
+
+def test_substrings_as_text(spark, rows):
+    for r in substrings.remove_repeats(frame(spark, rows), as_text=True).where("kept is not null").collect():
+        assert "\ufffd" not in r.kept and len(r.text.encode()) - len(r.kept.encode()) == r.n_removed
+
+
+def test_difference_cover():
+    v = 32
+    d = substrings.difference_cover(v)
+    assert {(a - b) % v for a in d for b in d} == set(range(v))
+    t = substrings.meeting(v)
+    assert t.min() >= 0 and all((a + t[a, b]) % v in d and (b + t[a, b]) % v in d for a in range(v) for b in range(v))
+
+
+def item_words(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(LOWER))
+
+
+@pytest.mark.parametrize("part", [500_000, 40])
+def test_decontaminate(spark, part):
+    rng = random.Random(9)
+    items = [(k, " ".join(words(rng, n, 50))) for k, n in enumerate([30, 13, 5, 1, 40, 13])] + [(6, ""), (7, None), (8, "w1 w2 W3")]
+    items.append((9, items[0][1]))
+    docs = []
+    for k in range(30):
+        w = words(rng, rng.randrange(0, 200), 50)
+        if k % 2:
+            x = item_words(items[rng.randrange(len(items))][1])
+            w[5:5] = x[: rng.randrange(1, 41)]
+        docs.append((k, (", " if k % 3 else "\n").join(w).upper()))
+    docs += [(30, None), (31, ""), (0, docs[0][1]), (0, docs[0][1]), (None, docs[3][1])]
+    want = collections.Counter()
+    for i, text in docs:
+        w = item_words(text)
+        hit, found = set(), set()
+        for k, it in items:
+            x = item_words(it)
+            n = min(13, len(x))
+            for a in range(len(x) - n + 1 if n else 0):
+                for b in range(len(w) - n + 1):
+                    if w[b : b + n] == x[a : a + n]:
+                        hit.update(range(b, b + n))
+                        found.add(str(k))
+        want[i, len(w), len(hit), tuple(sorted(found)), bool(hit) and 20 * len(hit) >= len(w)] += 1
+    out = decontam.decontaminate(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string"), part_windows=part)
+    assert collections.Counter((r.doc_id, r.n_words, r.n_hit, tuple(r["items"]), r.contaminated) for r in out.collect()) == want
+
+
+def test_decontaminate_empty(spark):
+    none = spark.createDataFrame([], "item_id long, text string")
+    assert decontam.decontaminate(frame(spark, [(1, "a b")]), none).collect()[0].n_hit == 0
+    assert decontam.decontaminate(frame(spark, []), none).count() == 0
+
+
+def test_packing(spark, rows):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    odd = [(900, "don't <|endoftext|> <|ENDOFTEXT|> \u0130\u00df \u0391\u03a3. a\u0301 \u00c9.\u00c8!? l'\u00e9t\u00e9 \u2026. x\x01y \x01 3.5"), (901, "A" * 5000)]
+    out = packing.pack(frame(spark, rows + odd)).collect()
+    want = collections.Counter()
+    for i, t in rows + odd:
+        ids = np.array([*tok.encode(t or "", add_special_tokens=False).ids, 1], "<u4")
+        at = 0
+        for n in packing.pieces(len(ids), 2048):
+            want[i, at, n, zlib.crc32(ids[at : at + n].tobytes()), len(ids), ids[at : at + n].tobytes()] += 1
+            at += n
+        assert at == len(ids)
+    assert collections.Counter((r.doc_id, r.start, r.length, r.ids_crc32, r.doc_tokens, bytes(r.ids)) for r in out) == want
+    assert len({r.sequence_id for r in out}) == len(out) and all(r.length & (r.length - 1) == 0 and r.offset == 0 for r in out)
+    assert packing.pack(frame(spark, [])).count() == 0
+
+
+def test_media(spark, rows):
+    index = media.store(frame(spark, rows))
+    out = media.read_back(index).collect()
+    want = collections.Counter()
+    for i, t in rows:
+        raw = (t or "").encode()
+        p = raw + b" " * (-len(raw) % 192 or (0 if raw else 192))
+        want[i, len(raw), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:])] += 1
+    assert collections.Counter((r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) for r in out) == want
+    by = collections.defaultdict(set)
+    for r in out:
+        by[r.payload_sha256].add((r.media_bytes, r.media_sha256, r.feature))
+    assert all(len(x) == 1 for x in by.values())
+    meta = media.with_metadata(index).collect()
+    assert len(meta) == len(rows) and all(r.width == 192 and r.depth == 8 and r.colour == 0 and r.height * 192 >= r.n_bytes for r in meta)
+    assert media.read_back(media.store(frame(spark, []))).count() == 0
+
+
+def test_media_shards_are_tar(spark, rows):
+    import tarfile
+
+    index = media.store(frame(spark, rows))
+    for r in index.select("folder", "shard", "digest").distinct().collect():
+        with tarfile.open(f"{r.folder.removeprefix('file://')}/{r.shard}") as t:
+            assert hashlib.sha256(t.extractfile(f"{r.digest}.png").read()).hexdigest() == r.digest
+
+
+def test_language(spark):
+    rng = random.Random(1)
+    syllables = {"aa": ["ka", "ki", "ko"], "bb": ["str", "ung", "sch"], "cc": ["\u00e9l", "\u00e8re", "eau"]}
+    rows = [(k, " ".join("".join(rng.choices(syllables[c], k=3)) for _ in range(30)), c) for k, c in enumerate(rng.choices(sorted(syllables), k=300))]
+    rows += [(300, None, "aa"), (301, "", "bb"), (302, "12 --", "cc"), (303, rows[0][1], None), (303, rows[0][1], None), (None, rows[1][1], "aa")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    out = language.identify(docs, language.fit(docs, language.not_held_out(), landmarks=32)).collect()
+    truth = {i: c for i, _, c in rows[:300]}
+    held = [r for r in out if r.doc_id in truth and zlib.crc32(str(r.doc_id).encode()) % 4 == 2]
+    assert held and sum(r.lang_pred == truth[r.doc_id] for r in held) >= 0.97 * len(held)
+    assert {r.lang_pred for r in out if r.doc_id in (300, 301, 302)} == {"und"} and all(0 <= r.score <= 1 for r in out)
+    assert len(out) == len(rows)
+    none = docs.where("false")
+    assert language.identify(docs, language.fit(none, F.lit(True))).select("lang_pred").distinct().collect()[0][0] == "und"
+
+
+def test_lmscore(spark, rows):
+    import math
+
+    target = {0, 4, 7}
+    by = collections.defaultdict(list)
+    for i, t in rows:
+        by[i].append(item_words(t))
+    n = collections.Counter(w for x in by.values() for y in x for w in y)
+    total = sum(n.values())
+    for vocab, heavy in ((60, 100), (1 << 16, 1), (1, 1 << 16)):
+        known = {w for w, c in n.items() if c >= 2 and c * vocab >= total}
+        pairs = {i: [(a, b) for y in x for z in [[w if w in known else None for w in y]] for a, b in zip(["<", *z], z, strict=False)] for i, x in by.items()}
+        models = []
+        for ids in (target, set(by)):
+            p = [q for i in ids for q in pairs[i]]
+            models.append((collections.Counter(p), collections.Counter(a for a, _ in p), collections.Counter(b for _, b in p), len(p)))
+
+        def loss(model, a, b, size=len(known) + 1):
+            c, h, w, m = model
+            s = (w[b] + 1) / (m + size)
+            return -math.log(0.7 * c[a, b] / h[a] + 0.3 * s if h[a] else s)
+
+        got = {r.doc_id: r for r in lmscore.score(frame(spark, rows), spark.createDataFrame([(i,) for i in target], "doc_id long"), vocab, heavy).collect()}
+        assert set(got) == set(by)
+        for i, p in pairs.items():
+            assert got[i].n_words == len(p)
+            if p:
+                t, b = (sum(loss(m, *q) for q in p) / len(p) for m in models)
+                assert got[i].loss_target == pytest.approx(t) and got[i].loss_background == pytest.approx(b) and got[i].score == pytest.approx(t - b)
+            else:
+                assert got[i].score is None
+    assert lmscore.score(frame(spark, []), spark.createDataFrame([], "doc_id long")).count() == 0
+
+
+PAGE = """<!DOCTYPE html><html><head><title>T &amp; t</title><style>p{{}}</style><script>var t="</p><p>no";</script></head><body>
+<nav><ul><li><a href="/a">Menu one</a></li></ul></nav><div class="cookie-notice">We use cookies, accept them all now please</div>
+{0}<footer>&copy; footer words here</footer></body></html>"""
+
+
+def test_html(spark):
+    body = "<h1>Title  of\n it</h1><p>First <b>bold</b> para &lt;x&gt; &eacute;&#233;.</p><div class='ad'>buy this now, buy this now</div><p>Second para<br>goes on here with words"
+    want = "Title of it\nFirst bold para <x> \u00e9\u00e9.\nSecond para goes on here with words"
+    pages = [(1, "u", PAGE.format(f"<article>{body}</article>")), (2, "u", PAGE.format(f"<div class=post>{body}</div><section id=comments><p>nice one I liked it very much thanks a lot</p></section>")), (3, None, None), (4, "u", ""), (5, "u", "plain words only"), (6, "u", PAGE.format(f"<article>{body}<form><input>mail me</form></article>")[:-30] + "<p"), (1, "u", PAGE.format(f"<article>{body}</article>"))]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("text", F.lit("clash"))
+    got = htmltext.main_text(df, htmltext.learn(df)).collect()
+    text = {r.page_id: r.text for r in got}
+    assert len(got) == 7 and all(r.n_chars == len(r.text) for r in got)
+    assert text == {1: want, 2: want, 3: "", 4: "", 5: "plain words only", 6: want}
+    assert htmltext.main_text(df.where("false"), htmltext.learn(df.where("false"))).count() == 0
+
+
+def test_best_region_by_brute_force():
+    rng = random.Random(3)
+    for _ in range(200):
+        x = [rng.choice([-3, -1, 0, 1, 2]) for _ in range(rng.randrange(1, 15))]
+        a, z = htmltext.best_region(x)
+        assert sum(x[a:z]) == max(0, max(sum(x[i:j]) for i in range(len(x)) for j in range(i + 1, len(x) + 1)))
+
+
+RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
+
+
+def test_urls(spark):
+    urls = ["http://A.Example.org/es/1", "https://example.org/en/12?x#y", "http://example.org", "http://badexample.org/en/1", "http://x.com/fr/", "http://x.com/de/9", "http://good.net/a", "http://bad.net/b", "http://\u00c4B.net:80/p?q", None, "no scheme", "://", "http://h?x://y/z", "http://co.uk/a", "http://a.b.co.uk/a"]
+    pages = [(k, u) for k, u in enumerate(urls)] + [(100 + k, "http://good.net/x") for k in range(40)] + [(200 + k, "http://bad.net/x") for k in range(40)]
+    labels = [(100 + k, 1, 0) for k in range(40)] + [(200 + k, 0, 1) for k in range(40)] + [(200, 1, 0), (None, 1, 0), (101, None, None)]
+    df = spark.createDataFrame(pages, "page_id long, url string").withColumn("verdict", F.lit("clash"))
+    got = {r.page_id: r for r in urlfilter.judge(df, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), RULES).collect()}
+    assert len(got) == len(pages)
+    for k, u in enumerate(urls):
+        rest = u.split("://", 1)[1] if u and "://" in u else ""
+        host = re.split(r"[/?#]", rest, maxsplit=1)[0]
+        path = re.split(r"[?#]", rest[len(host) :], maxsplit=1)[0]
+        host = host.translate(LOWER)
+        fit = [r for r in RULES if (host == r[1] or host.endswith("." + r[1])) and path.startswith(r[2])]
+        best = max(fit, key=lambda r: len(r[1] + r[2])) if fit else None
+        assert (got[k].host, got[k].path, got[k].rule) == (host, path, best[1] + best[2] if best else None)
+        if best:
+            assert got[k].verdict == best[0]
+    assert (got[6].verdict, got[7].verdict, got[9].verdict, got[10].verdict) == ("allow", "block", "block", "block")
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert urlfilter.judge(df, none, RULES).count() == len(pages) and urlfilter.judge(df.where("false"), none).count() == 0
+
+
+def test_reply_tree(spark):
+    rows = [(1, 1, None, "user", "q", 0.0), (1, 2, 1, "assistant", "</s>\\b[INST]<|end|>", 1.0), (1, 3, 1, "assistant", "better\\", 5.0), (1, 4, 3, "user", None, 0.0), (1, 5, 3, None, "x", 0.5), (2, 1, None, "user", "alone", None), (3, 1, 2, "user", "cycle", 0.0), (3, 2, 1, "user", "cycle", 0.0), (None, 1, None, "assistant", "no id", 0.0), (4, 9, 7, "user", "orphan", 0.0)]
+    m = spark.createDataFrame(rows, "conv_id long, node long, parent long, role string, text string, score double")
+    out = chat.format_paths(m, chat.reply_paths(m))
+    out = out.withColumns({"turns": chat.read_turns(F.col("formatted")), "loss": chat.read_loss(F.col("formatted"), F.col("mask"))})
+    got = {(r.conv_id, r.branch): r for r in out.collect()}
+    assert {k: r.path for k, r in got.items()} == {(1, 1): [1, 3, 5], (1, 2): [1, 3, 4], (1, 3): [1, 2], (2, 1): [1], (None, 1): [1], (4, 1): [9]}
+    assert [tuple(t) for t in got[1, 3].turns] == [("user", "q"), ("assistant", "</s>\\b[INST]<|end|>")]
+    assert [tuple(t) for t in got[1, 2].turns] == [("user", "q"), ("assistant", "better\\"), ("user", "")]
+    assert got[1, 3].loss == "</s>\\b[INST]<|end|>" and got[1, 1].loss == "better\\" and got[2, 1].loss == ""
+    assert chat.format_paths(m, chat.reply_paths(m), branches=1).count() == 4
+    assert chat.format_paths(m.where("false"), chat.reply_paths(m.where("false"))).count() == 0
+
+
+def test_escapes(spark):
+    rng = random.Random(4)
+    parts = [*chat.CONTROL, "\\", "\\b", "\\l", "\\k", "<", "[", "b", "l", "|>", "s>", "\u00e9"]
+    texts = ["".join(rng.choices(parts, k=rng.randrange(8))) for _ in range(500)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", chat.escape(F.col("t")).alias("e"))
+    for r in df.select("t", "e", chat.unescape(F.col("e")).alias("u")).collect():
+        assert r.u == r.t and not any(c in r.e for c in chat.CONTROL)
