@@ -1,7 +1,8 @@
 """Chat formatting of reply trees.
 
-Messages form trees (a message with no parent in its conversation is a root). Self-joins of the frontier with its children, one
-level each, enumerate the paths from root to leaf; only ids are carried and each level is written to the shared folder. Paths
+Messages form trees (a message with no parent in its conversation is a root). Iterated self-joins enumerate the paths from root to
+leaf: each round joins the ancestors 2**k levels up with themselves and adds them to what each leaf has reached, so a path of any depth takes
+a logarithmic number of rounds and work in proportion to the paths; only ids are carried, and each round is written to the shared folder. Paths
 of a conversation are ranked by their summed score (ties: by the path itself), and each chosen path is formatted as one
 conversation with a loss mask over the assistant's texts. All of it is DataFrame operations.
 
@@ -20,7 +21,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gapline.llm.shared import discard, materialise
+from gapline.llm.shared import materialise
 
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
 #: fixed values: control strings of common chat templates, besides this one's
@@ -48,20 +49,31 @@ def as_tree(turns: DataFrame) -> DataFrame:
 def reply_paths(messages: DataFrame) -> DataFrame:
     """conv_id, path (array of nodes, root first), score: every path from a root to a leaf. ``messages`` has conv_id, node, parent, score; node is unique in its conversation."""
     m = messages.select("conv_id", "node", "parent", F.coalesce("score", F.lit(0.0)).alias("score"))
-    child = m.select(F.col("conv_id").alias("c"), F.col("parent").alias("above"), F.col("node").alias("next"), F.col("score").alias("own"))
     known = m.select(F.col("conv_id").alias("c"), F.col("node").alias("above"))
-    root = m.join(known, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("parent") == F.col("above")), "left_anti")
-    front = materialise(root.select("conv_id", F.array("node").alias("path"), "score"), "front")
-    done: DataFrame | None = None
-    while not front.isEmpty():
-        last = F.element_at("path", -1)
-        on = F.col("conv_id").eqNullSafe(F.col("c")) & (last == F.col("above"))
-        step = materialise(front.join(child, on, "left").select("conv_id", "path", "score", "next", "own"), "step")
-        leaf = step.where("next is null").select("conv_id", "path", "score")
-        done = leaf if done is None else done.unionByName(leaf)
-        discard(front)
-        front = step.where("next is not null").select("conv_id", F.array_append("path", F.col("next")).alias("path"), (F.col("score") + F.col("own")).alias("score"))
-    return done if done is not None else front
+    above = F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("parent") == F.col("above"))
+    jump = materialise(m.join(known, above, "left_semi").select("conv_id", "node", F.col("parent").alias("up")), "jump")
+    parents = jump.select(F.col("conv_id").alias("c"), F.col("up").alias("above")).distinct()
+    leaf = m.join(parents, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("node") == F.col("above")), "left_anti")
+    first = jump
+    # pairs of a leaf and a message on its path, at a distance below 2**k after k rounds
+    pairs = materialise(leaf.select("conv_id", F.col("node").alias("leaf"), "node", F.lit(0).alias("dist")), "pairs")
+    longest = m.groupBy("conv_id").count().agg(F.max("count")).first()[0] or 0
+    reach = 1
+    while reach < longest and not jump.isEmpty():
+        step = jump.select(F.col("conv_id").alias("c"), F.col("node").alias("at"), "up")
+        on = F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("node") == F.col("at"))
+        more = materialise(pairs.join(step, on).select("conv_id", "leaf", F.col("up").alias("node"), (F.col("dist") + reach).alias("dist")), "pairs")
+        pairs = pairs.unionByName(more)
+        again = jump.join(step.withColumnRenamed("up", "top"), F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("up") == F.col("at")))
+        jump = materialise(again.select("conv_id", "node", F.col("top").alias("up")), "jump")
+        reach *= 2
+    up = first.select(F.col("conv_id").alias("c"), F.col("node").alias("at"), F.lit(True).alias("has"))
+    own = m.select(F.col("conv_id").alias("c2"), F.col("node").alias("n2"), "score")
+    full = pairs.join(own, F.col("conv_id").eqNullSafe(F.col("c2")) & (F.col("node") == F.col("n2")))
+    full = full.join(up, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("node") == F.col("at")), "left")
+    steps = F.array_sort(F.collect_list(F.struct((-F.col("dist")).alias("place"), "node")))
+    out = full.groupBy("conv_id", "leaf").agg(steps.alias("steps"), F.sum("score").alias("score"), F.bool_or(F.col("has").isNull()).alias("rooted"))
+    return out.where("rooted").select("conv_id", F.transform("steps", lambda x: x.node).alias("path"), "score")
 
 
 def format_paths(messages: DataFrame, paths: DataFrame, branches: int | None = None) -> DataFrame:
