@@ -114,11 +114,14 @@ def cues(text: Column, longest: int = 3) -> Column:
     """Distinct runs of 1 .. ``longest`` letter words, lower-cased."""
     t = F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(CUE), F.lit(0)), lambda x: F.replace(F.lower(x), F.lit("’"), F.lit("'")))
 
-    def grams(n: int) -> Column:
-        at = F.when(F.size(t) >= n, F.sequence(F.lit(1), F.size(t) - (n - 1))).otherwise(F.array().cast("array<int>"))
-        return F.transform(at, lambda i: F.array_join(F.slice(t, i, F.lit(n)), " "))
+    # the words stand beside their followers in one array, so no lambda holds the tokenizer
+    beside = F.arrays_zip(*[(t if k == 0 else F.slice(t, F.lit(k + 1), F.size(t))).alias(f"w{k}") for k in range(longest)])
 
-    return F.array_distinct(F.concat(*[grams(n) for n in range(1, longest + 1)]))
+    def runs(x: Column) -> Column:
+        w = [x[f"w{k}"] for k in range(longest)]
+        return F.array_compact(F.array(*[F.when(w[k].isNotNull(), F.concat_ws(" ", *w[: k + 1])) for k in range(longest)]))
+
+    return F.array_distinct(F.flatten(F.transform(beside, runs)))
 
 
 def choice(value: Column) -> Column:

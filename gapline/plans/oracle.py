@@ -86,9 +86,9 @@ INTERVIEW = """iv as (select conv_id, upper('et_' || conv_id) id, string_agg(cas
   from conversations where role <> 'system' group by conv_id),
 norm as (select id, trim(regexp_replace(regexp_replace(raw, '\\n{3,}', chr(10) || chr(10), 'g'), '[ \\t]+', ' ', 'g'), ' ' || chr(10)) full_text from iv)"""
 TURNS = f"""bodies as (select id, unnest(regexp_extract_all(full_text, {SPEAKER}, 1)) who, unnest(string_split_regex(full_text, {lit(T.SPEAKER.replace("(Interviewer|Interviewee)", "(?:Interviewer|Interviewee)"))})[2:]) body,
-  generate_subscripts(regexp_extract_all(full_text, {SPEAKER}, 1), 1) at from norm),
-stripped as (select id, at, who, trim(body, ' ' || chr(10)) raw, trim(regexp_replace(regexp_replace(trim(body), {lit(T.EVENT_MARK)}, ' <EVENT> ', 'g'), '\\s+', ' ', 'g')) txt from bodies),
-turns as (select id, row_number() over (partition by id order by at) turn_index, upper(who[1]) || lower(who[2:]) speaker, trim(txt) txt, raw from stripped where trim(txt) <> '')"""
+  generate_subscripts(regexp_extract_all(full_text, {SPEAKER}, 1), 1) nr from norm),
+stripped as (select id, nr, who, trim(body, ' ' || chr(10)) raw, trim(regexp_replace(regexp_replace(trim(body), {lit(T.EVENT_MARK)}, ' <EVENT> ', 'g'), '\\s+', ' ', 'g')) txt from bodies),
+turns as (select id, row_number() over (partition by id order by nr) turn_index, upper(who[1]) || lower(who[2:]) speaker, trim(txt) txt, raw from stripped where trim(txt) <> '')"""
 
 LABELS = """lab as (select d.doc_id, quality, toxic, text from labels join documents d on labels.doc_id = d.doc_id),
 lab2 as (select 'd_' || doc_id item, 'r1' who, quality * 2 st, quality c, quality m, case when doc_id % 5 > 0 then toxic end a, quality r from lab
@@ -117,8 +117,8 @@ fs as (select *, round(gt[4] * (1.0::double + 0.5::double * tk) - (gt[1] * 0.1::
 fl as (select *, grav < 0.35 low, lag(grav < 0.35) over (partition by id order by i) was from fs),
 fc as (select id, i, least(case when low then i + 4 else i end, n) cut from fl where was is not null and low <> was),
 fb as (select id, cut from (select *, coalesce(max(cut) over (partition by id order by i rows between unbounded preceding and 1 preceding), 0) bey from fc) where cut > bey),
-fm as (select id, cut at from fb union select id, 0 from fr union select id, n from fr),
-fu as (select id, at a, lead(at) over (partition by id order by at) z, row_number() over (partition by id order by at) unit from fm)"""
+fm as (select id, cut pt from fb union select id, 0 from fr union select id, n from fr),
+fu as (select id, pt a, lead(pt) over (partition by id order by pt) z, row_number() over (partition by id order by pt) unit from fm)"""
 
 _SILVER = "list_filter(string_split_regex(regexp_replace(lower(coalesce(text, '')), '[^a-zA-Z\\s]', '', 'g'), '\\s+'), lambda x: x <> '')"
 _WEIGHTS = [[((i * 7 + k * 3) % 11 - 5) / 10.0 for i in range(64)] for k in range(4)]
@@ -144,11 +144,11 @@ string_agg(txt, ' | ' order by turn_index) filter (where speaker = 'Interviewee'
     "segment_types": f"""{WITH_VALLEY}, marked as (select tok.*, sum(case when chosen.pos is not null then 1 else 0 end) over (partition by tok.rid, tok.src, tok.chunk order by tok.pos) seg, chosen.pos is not null cut from tok left join chosen using (rid, src, chunk, pos)),
 body as (select rid, src, chunk, seg, any_value(off) off, min(pos) a, max(pos) + 1 z, list(token order by pos) words from marked group by all),
 proof as (select rid, src, chunk, unnest(case when cut then [seg, seg - 1] else [seg] end) seg, c, m, a, rr, g from marked join scored using (rid, src, chunk, pos)),
-means as (select rid, src, chunk, seg, {", ".join(f"sum(cast(round(round({x}, 4) * 10000) as bigint))::double / count(*) / 10000 m{x}" for x in ("c", "m", "a", "rr", "g"))} from proof group by all),
+means as (select rid, src, chunk, seg, {", ".join(f"sum(cast(round(round({x}, 4) * 10000) as bigint))::double / count(*) / 10000 m{x}, (sign(sum(cast(round(round({x}, 4) * 10000) as bigint))) * ((2 * abs(sum(cast(round(round({x}, 4) * 10000) as bigint))) + count(*)) // (2 * count(*))))::double / 10000 r{x}" for x in ("c", "m", "a", "rr", "g"))} from proof group by all),
 best as (select *, list_sort([{{'neg': -mc, 'at': 0, 'nm': 'cognitive'}}, {{'neg': -mm, 'at': 1, 'nm': 'metacognitive'}}, {{'neg': -ma, 'at': 2, 'nm': 'affective'}}, {{'neg': -mrr, 'at': 3, 'nm': 'structural'}}]) o from means)
 select rid "Record_ID", row_number() over (partition by rid, src order by chunk, seg)::int "Segment_Index", (off + a)::int "Token_Start", (off + z)::int "Token_End", (z - a)::int "Token_Count", md5({DETOK.format("words")}) text_md5,
 case when -o[1].neg < 0.20 then 'low_signal' when o[2].neg <= -0.30 and greatest(0.0, -o[1].neg + o[2].neg) < 0.10 then 'mixed_' || o[1].nm || '_' || o[2].nm else o[1].nm end "Segment_Type",
-round(mc, 4) "Mean_C_t", round(mm, 4) "Mean_M_t", round(ma, 4) "Mean_A_t", round(mrr, 4) "Mean_R_t", round(mg, 4) "Mean_Semantic_Gravity" from body join best using (rid, src, chunk, seg)""",
+rc "Mean_C_t", rm "Mean_M_t", ra "Mean_A_t", rrr "Mean_R_t", rg "Mean_Semantic_Gravity" from body join best using (rid, src, chunk, seg)""",
     "qc_token_lengths": f"""with s as (select conv_id || '_' || turn rid, coalesce(text, '') text, len(regexp_extract_all(coalesce(text, ''), {TOKEN})) n from conversations),
 x as (select count(*)::double segs, round(median(n), 2) med, round(sum(n) / count(*), 2) mean, count(*) filter (where n < 8)::double short, round(count(*) filter (where n < 8) / count(*), 3) rate, count(*) filter (where n > 60)::double lng, max(n)::double mx,
  count(*) filter (where contains(text, '<EVENT>'))::double ev, count(*) filter (where regexp_matches(text, '(?i)\\[(?:Pause|Drawing|End of Audio|Unintelligible)'))::double br, count(*) filter (where regexp_matches(text, {LABEL}))::double sp, count(*) filter (where regexp_matches(text, '^\\s*[,.;:!?]'))::double pu, count(*) filter (where n > 50)::double sel from s),

@@ -133,7 +133,7 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def forced_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _selected(spark, sf_dir).where("forced_max_length_boundary").select("Record_ID", "gap", "semantic_gravity")
+    return _selected(spark, sf_dir, Config(continuity="jaccard", max_segment_tokens=25)).where("forced_max_length_boundary").select("Record_ID", "gap", "semantic_gravity")
 
 
 def cap_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
