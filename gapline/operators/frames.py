@@ -16,8 +16,9 @@ T_WORDS = tuple(
     short wide wider skinny skinnier straight flat curve size sizes top bottom side sides middle center left right front back rotate turn turned flip flipped fit
     fits match matches put make makes same equal together apart""".split()
 )
-# the demonstration's and the batch run's task words lack two of these
-T_DETECT = tuple(w for w in T_WORDS if w not in ("little", "makes"))
+# the demonstration's own, shorter lists
+DEMO_A_WORDS = tuple("frustrating ugh hard stupid yay mad suck".split())
+DEMO_T_WORDS = tuple("rotate triangle edge fit turn long shape size match align".split())
 DIMENSIONS = ("S", "M", "A", "T")
 DEMO_GATES = {"A": (0.1, 0.1, 0.8, 0.0), "M": (0.1, 0.8, 0.1, 0.0), "T": (0.1, 0.0, 0.1, 0.8), "S": (0.8, 0.1, 0.0, 0.1)}
 OMEGA = (0.1, 0.8, 1.2)
@@ -39,7 +40,7 @@ def silver_label(text: Column) -> Column:
     return F.when(_any(w, A_WORDS), 2).when(_any(w, M_WORDS), 1).when(_any(w, T_WORDS), 3).otherwise(0)
 
 
-def has_task(text: Column, words: Sequence[str] = T_DETECT) -> Column:
+def has_task(text: Column, words: Sequence[str] = T_WORDS) -> Column:
     return F.when(_any(plain_words(text), words), 1.0).otherwise(0.0)
 
 
@@ -56,7 +57,7 @@ def demo_gates(frame: Column) -> Column:
     """Fixed weights (S, M, A, T) by the frame's words, A before M before T."""
     w = plain_words(frame)
     lit = {k: F.array(*[F.lit(x) for x in v]) for k, v in DEMO_GATES.items()}
-    return F.when(_any(w, A_WORDS), lit["A"]).when(_any(w, M_WORDS), lit["M"]).when(_any(w, T_DETECT), lit["T"]).otherwise(lit["S"])
+    return F.when(_any(w, DEMO_A_WORDS), lit["A"]).when(_any(w, M_WORDS), lit["M"]).when(_any(w, DEMO_T_WORDS), lit["T"]).otherwise(lit["S"])
 
 
 def softmax(z: Column) -> Column:
@@ -95,7 +96,7 @@ def gravity(gates: Column, task: Column) -> Column:
     return pull - (gates[0] * OMEGA[0] + gates[1] * OMEGA[1] + gates[2] * OMEGA[2])
 
 
-def scored_frames(framed: DataFrame, gates: Callable[[Column], Column] = demo_gates, task_words: Sequence[str] = T_DETECT) -> DataFrame:
+def scored_frames(framed: DataFrame, gates: Callable[[Column], Column] = demo_gates, task_words: Sequence[str] = T_WORDS) -> DataFrame:
     out = framed.withColumn("gates", gates(F.col("frame")))
     return out.withColumn("gravity", F.round(gravity(F.col("gates"), has_task(F.col("frame"), task_words)), 6))
 

@@ -38,6 +38,11 @@ def tokens(chunked: DataFrame) -> DataFrame:
     return out.select(*CHUNK, "offset", "n_tokens", "truncated", F.posexplode("tokens").alias("pos", "token"))
 
 
+def four_places(x: Column) -> Column:
+    """Rounded at the scaled value, which engines do alike; a decimal rounding of the double would differ near ties."""
+    return F.round(x * 10_000.0) / 10_000.0
+
+
 def _within(token: Column, words: Iterable[str]) -> Column:
     return token.isin(*sorted(words)) if words else F.lit(False)
 
@@ -217,8 +222,8 @@ def score(tokenized: DataFrame, vocabulary: Vocabulary | None = None, config: Co
         "gap",
         "left_token",
         F.col("token").alias("right_token"),
-        *[F.round(x, 4).alias(k) for k, x in numbers.items()],
-        F.round(F.col("raw") + F.col("penalty") - F.col("boost"), 4).alias("semantic_gravity"),
+        *[four_places(F.col(x)).alias(k) for k, x in numbers.items()],
+        four_places(F.col("raw") + F.col("penalty") - F.col("boost")).alias("semantic_gravity"),
         "boundary_legality",
         F.array_join(F.array_compact(F.array(F.nullif("constraint_reason", F.lit("")), F.nullif("spacy_legality_reason", F.lit("")))), ";").alias("legality_reason"),
         F.round("penalty", 4).alias("legality_penalty"),

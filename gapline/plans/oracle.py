@@ -16,6 +16,10 @@ def lit(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
+def r4(x: str) -> str:
+    return f"(round(({x}) * 10000.0::double) / 10000.0::double)"
+
+
 TOKEN, CUE, WORD, SPEAKER = (lit(x) for x in (T.TOKEN, T.CUE, T.WORD, T.SPEAKER))
 LABEL = lit(T.SPEAKER_LABEL.replace("(?iU)", "(?i)"))
 DETOK = "trim(regexp_replace(array_to_string(list_filter({0}, lambda t: t <> '<EVENT>'), ' '), '\\s+([.!?;:,])', '\\1', 'g'))"
@@ -60,7 +64,7 @@ legal as (select *, case when token in ({PUNCT}) then 'before_punctuation' when
   when low in ({q(C.CONNECTORS)}) and lower(left_token) not in ('.', '?', '!', ';', ':') then 'before_connector'
   when lower(left_token) in ({q(C.MODIFIERS)}) then 'after_modifier' else '' end reason from sig5),
 gaps as (select *, case when left_token in ('.', '?', '!', ';', ':') and reason = '' then 0.08::double else 0.0::double end boost from legal),
-scored as (select *, round(raw + 0.0::double - boost, 4) g, cast(round(round(raw + 0.0::double - boost, 4) * 10000) as bigint) k from gaps)"""
+scored as (select *, {r4('raw + 0.0::double - boost')} g, cast(round({r4('raw + 0.0::double - boost')} * 10000) as bigint) k from gaps)"""
 
 VALLEY = f"""nb as (select *, count(k) over x + count(k) over y nn, coalesce(sum(k) over x, 0) + coalesce(sum(k) over y, 0) ss, coalesce(sum(k * k) over x, 0) + coalesce(sum(k * k) over y, 0) qq,
   lag(k) over z kb, lead(k) over z ka from scored window z as (partition by rid, src, chunk order by pos),
@@ -135,16 +139,16 @@ len(regexp_extract_all(raw, {lit(T.EVENT_MARK)}))::int "Event_Count", len(list_f
 coalesce(words, 0)::bigint "Interviewee_Words", len(regexp_extract_all(full_text, '(?i)unintelligible|\\[uninte'))::int "Unintelligible_Count", len(regexp_extract_all(full_text, {lit(T.TIMESTAMP)}))::int "Timestamp_Count", 0::bigint "Artifact_Count", md5(coalesce(resp, '')) response_md5
 from norm left join (select id, count(*) n, count(*) filter (where speaker = 'Interviewee') ee, count(*) filter (where speaker = 'Interviewer') er, sum(len(regexp_extract_all(txt, {WORD}))) filter (where speaker = 'Interviewee') words,
 string_agg(txt, ' | ' order by turn_index) filter (where speaker = 'Interviewee') resp from turns group by id) x on norm.id = x.id""",
-    "gap_density_signals": f"""{WITH_GAPS} select rid "Record_ID", gap::int gap, round(dt, 4) task_density, round(m, 4) metacognitive_reset, round(a, 4) affective_friction, round(rr, 4) structural_break from scored""",
-    "gap_continuity": f"""{WITH_GAPS} select rid "Record_ID", gap::int gap, round(s, 4) semantic_continuity, round(dp, 4) semantic_drop_component, round(sh, 4) cognitive_cue_shift, round(ec, 4) cognitive_cue_evidence from scored""",
-    "gap_pressure_gravity": f"""{WITH_GAPS} select rid "Record_ID", gap::int gap, round(c, 4) cognitive_transition, round(p, 4) transition_pressure, round(raw, 4) raw_semantic_gravity, g semantic_gravity from scored""",
+    "gap_density_signals": f"""{WITH_GAPS} select rid "Record_ID", gap::int gap, {r4('dt')} task_density, {r4('m')} metacognitive_reset, {r4('a')} affective_friction, {r4('rr')} structural_break from scored""",
+    "gap_continuity": f"""{WITH_GAPS} select rid "Record_ID", gap::int gap, {r4('s')} semantic_continuity, {r4('dp')} semantic_drop_component, {r4('sh')} cognitive_cue_shift, {r4('ec')} cognitive_cue_evidence from scored""",
+    "gap_pressure_gravity": f"""{WITH_GAPS} select rid "Record_ID", gap::int gap, {r4('c')} cognitive_transition, {r4('p')} transition_pressure, {r4('raw')} raw_semantic_gravity, g semantic_gravity from scored""",
     "gap_legality_rules": f"""{WITH_GAPS} select rid "Record_ID", gap::int gap, left_token, token right_token, reason rule_constraint_reason, case when reason <> '' then 'illegal' else 'legal' end boundary_legality, boost sentence_boundary_boost from scored""",
     "valley_candidates": f"""{WITH_VALLEY} select rid "Record_ID", gap::int gap, cand candidate_boundary, reason <> '' constraint_blocked from valley""",
     "boundary_select": f"""{WITH_VALLEY} select rid "Record_ID", gap::int gap, g semantic_gravity from valley join chosen using (rid, src, chunk, pos)""",
     "segment_types": f"""{WITH_VALLEY}, marked as (select tok.*, sum(case when chosen.pos is not null then 1 else 0 end) over (partition by tok.rid, tok.src, tok.chunk order by tok.pos) seg, chosen.pos is not null cut from tok left join chosen using (rid, src, chunk, pos)),
 body as (select rid, src, chunk, seg, any_value(off) off, min(pos) a, max(pos) + 1 z, list(token order by pos) words from marked group by all),
 proof as (select rid, src, chunk, unnest(case when cut then [seg, seg - 1] else [seg] end) seg, c, m, a, rr, g from marked join scored using (rid, src, chunk, pos)),
-means as (select rid, src, chunk, seg, {", ".join(f"sum(cast(round(round({x}, 4) * 10000) as bigint))::double / count(*) / 10000 m{x}, (sign(sum(cast(round(round({x}, 4) * 10000) as bigint))) * ((2 * abs(sum(cast(round(round({x}, 4) * 10000) as bigint))) + count(*)) // (2 * count(*))))::double / 10000 r{x}" for x in ("c", "m", "a", "rr", "g"))} from proof group by all),
+means as (select rid, src, chunk, seg, {", ".join(f"sum(cast(round({r4(x)} * 10000) as bigint))::double / count(*) / 10000 m{x}, (sign(sum(cast(round({r4(x)} * 10000) as bigint))) * ((2 * abs(sum(cast(round({r4(x)} * 10000) as bigint))) + count(*)) // (2 * count(*))))::double / 10000 r{x}" for x in ("c", "m", "a", "rr", "g"))} from proof group by all),
 best as (select *, list_sort([{{'neg': -mc, 'at': 0, 'nm': 'cognitive'}}, {{'neg': -mm, 'at': 1, 'nm': 'metacognitive'}}, {{'neg': -ma, 'at': 2, 'nm': 'affective'}}, {{'neg': -mrr, 'at': 3, 'nm': 'structural'}}]) o from means)
 select rid "Record_ID", row_number() over (partition by rid, src order by chunk, seg)::int "Segment_Index", (off + a)::int "Token_Start", (off + z)::int "Token_End", (z - a)::int "Token_Count", md5({DETOK.format("words")}) text_md5,
 case when -o[1].neg < 0.20 then 'low_signal' when o[2].neg <= -0.30 and greatest(0.0, -o[1].neg + o[2].neg) < 0.10 then 'mixed_' || o[1].nm || '_' || o[2].nm else o[1].nm end "Segment_Type",
@@ -189,7 +193,7 @@ from per join tot using (sig) where per.p / per.n >= 0.65 and (tot.p = 0 or (per
     "review_progress": f"""with {LABELS} select count(*) filter (where st is not null and c is not null and m is not null and a is not null and r is not null) "Completed", count(*) "Total",
 round(100.0 * count(*) filter (where st is not null and c is not null and m is not null and a is not null and r is not null) / nullif(count(*), 0), 1)::double "Percent" from lab2""",
     "silver_label": f"""select conv_id || '_' || turn id, case when list_has_any(w, [{q(frames.A_WORDS)}]) then 2 when list_has_any(w, [{q(frames.M_WORDS)}]) then 1 when list_has_any(w, [{q(frames.T_WORDS)}]) then 3 else 0 end "label",
-case when list_has_any(w, [{q(frames.T_DETECT)}]) then 1.0::double else 0.0::double end has_task from (select *, {_SILVER} w from conversations)""",
+case when list_has_any(w, [{q(frames.T_WORDS)}]) then 1.0::double else 0.0::double end has_task from (select *, {_SILVER} w from conversations)""",
     "sliding_frames": """select id, count(*) n_frames, max(i)::int "last", md5(string_agg(f, '|' order by i)) frames_md5 from (select id, unnest(range(0, len(wl) - 4, 2)) // 2 i, array_to_string(wl[unnest(range(0, len(wl) - 4, 2)) + 1 : unnest(range(0, len(wl) - 4, 2)) + 5], ' ') f
 from (select conv_id || '_' || turn id, list_filter(string_split_regex(coalesce(text, ''), '\\s+'), lambda x: x <> '') wl from conversations) where len(wl) >= 5) group by id""",
     "frame_units": f"""with {FRAMES} select fu.id, unit::int unit, a::int a, z::int z, md5(array_to_string(wl[a + 1 : z], ' ')) text_md5 from fu join ft using (id) where z is not null""",
