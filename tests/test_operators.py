@@ -204,7 +204,7 @@ def test_silver_labels(spark):
 def test_frame_segments(spark):
     text = "I rotate the shape. I align the triangle. Wait, I think it is wrong. It is frustrating. Let me turn this edge."
     t = spark.createDataFrame([("a", text)], "id string, text string")
-    u = frames.units(t, frames.scored_frames(frames.frames(t, 3)), 3, 1, 0.4)
+    u = frames.units(t, frames.scored_frames(frames.frames(t, 3), task_words=frames.DEMO_T_WORDS), 3, 1, 0.4)
     assert [r.text for r in u.orderBy("unit").collect()] == ["I rotate the shape. I align the triangle.", "Wait, I think it is wrong. It is frustrating.", "Let me turn this edge."]
     assert frames.frames(t.withColumn("text", F.lit("two words")), 5).count() == 0 and frames.frames(t.withColumn("text", F.lit("two words")), 5, short=True).count() == 1
     q = frames.batch(t).collect()
