@@ -201,4 +201,4 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = 13, share: floa
     out = found.withColumn("spans", F.when(F.size("spans") < 2, F.col("spans")).otherwise(merged))
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, x: acc + x.z - x.a)
     out = out.withColumn("n_hit", n_hit)
-    return out.select("doc_id", "row", "n_words", "n_hit", "spans", "items", ((F.col("n_hit") > 0) & (F.col("n_hit") >= F.lit(share) * F.col("n_words"))).alias("contaminated"))
+    return out.select("doc_id", "row", "n_words", "n_hit", "spans", "items", ((F.col("n_hit") > 0) & (F.col("n_hit") >= F.lit(share) * F.col("n_words") - 1e-9)).alias("contaminated"))
