@@ -1,0 +1,197 @@
+"""The registered queries and the pipeline on small tables, against brute force."""
+
+import collections
+import hashlib
+import itertools
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from gapline.llm import queries
+from gapline.llm.packing import pieces
+
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def shingles(text, n=5):
+    w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOWER))
+    return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else ({tuple(w)} if w else set())
+
+
+def near_groups(docs, percent):
+    """doc -> smallest doc of its group."""
+    sets = {i: shingles(t) for i, t in docs}
+    comp = {i: i for i in sets}
+    for a, b in itertools.combinations(sorted(sets), 2):
+        both = len(sets[a] & sets[b])
+        if both and 100 * both >= percent * len(sets[a] | sets[b]):
+            x, y = sorted((comp[a], comp[b]))
+            comp = {k: x if v == y else v for k, v in comp.items()}
+    return comp
+
+
+def cover(docs, depth=200):
+    raw = {i: (t or "").encode() for i, t in docs}
+    seen = collections.Counter(t[k : k + depth] for t in raw.values() for k in range(len(t) - depth + 1))
+    out = {}
+    for i, t in raw.items():
+        gone = np.zeros(len(t), bool)
+        for k in range(len(t) - depth + 1):
+            if seen[t[k : k + depth]] > 1:
+                gone[k : k + depth] = True
+        out[i] = gone
+    return raw, out
+
+
+def hits(docs, items, size=13):
+    def words(t):
+        return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(LOWER))
+
+    out = {}
+    for i, t in docs:
+        w, hit, found = words(t), set(), set()
+        for k, it in items:
+            x = words(it)
+            n = min(size, len(x))
+            for a in range(len(x) - n + 1 if n else 0):
+                for b in range(len(w) - n + 1):
+                    if w[b : b + n] == x[a : a + n]:
+                        hit.update(range(b, b + n))
+                        found.add(str(k))
+        out[i] = (len(w), len(hit), found)
+    return out
+
+
+@pytest.fixture(scope="module")
+def tables(spark, tmp_path_factory):
+    rng = random.Random(11)
+    words = [f"{a}{b}" for a in ("re", "ti", "on", "an", "th", "er", "éa") for b in ("sta", "ing", "ble", "ent", "ou", "ha")]
+
+    def text(n):
+        return " ".join(rng.choices(words, k=n)).capitalize() + "."
+
+    items = [(k, text(n)) for k, n in enumerate([30, 20, 13, 6])]
+    base, passage = text(150), text(70)
+    docs = [text(rng.randrange(5, 120)) for _ in range(20)] + [base, base]
+    for k in range(6):
+        near = base.split()
+        near[10 * k + 3] = f"Zz{k}"
+        docs.append(" ".join(near))
+    docs += [text(40) + " " + passage + " " + text(40) for _ in range(4)] + [items[0][1], text(10) + " " + items[1][1] + " " + text(300), None, "", "12 345", "one two"]
+    docs = [(i, t, rng.choice(["en", "fr"]), f"src{i % 3}", len(t or "")) for i, t in enumerate(docs)]
+    folder = str(tmp_path_factory.mktemp("tables"))
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    spark.createDataFrame([(i, i % 2, int(i % 5 == 0)) for i in range(0, 30, 2)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    pages = [(i, f"http://h{i % 3}.example.com/en/{i}", f"<html><nav><a>Menu {i}</a></nav><article><h1>T {i}</h1><p>{t}</article><footer>Foot</footer></html>" if i % 7 else None) for i, t, *_ in docs]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{folder}/pages.parquet")
+    turns = [(c, t, "user" if t % 2 == 0 else "assistant", rng.choice([text(5), None, "a</s>\\"])) for c in range(4) for t in range(c + 2)]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{folder}/conversations.parquet")
+    return folder, [(i, t) for i, t, *_ in docs], items, turns
+
+
+def run(spark, tables, name):
+    return queries.queries()[name](spark, tables[0]).collect()
+
+
+def test_op1(spark, tables):
+    got = run(spark, tables, "op1_lmscore")
+    assert {r.doc_id for r in got} == {i for i, _ in tables[1]}
+    assert all((r.score is None) == (r.n_words == 0) and r.keep == (r.score is not None and r.score <= 0) for r in got)
+
+
+def test_op2(spark, tables):
+    for r in run(spark, tables, "op2_html"):
+        want = "" if r.page_id % 7 == 0 else "\n".join(x for x in (f"T {r.page_id}", " ".join((tables[1][r.page_id][1] or "None").split())) if x)
+        assert r.text == want and r.n_chars == len(want)
+
+
+def test_op4(spark, tables):
+    comp = near_groups(tables[1], 85)
+    assert {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in run(spark, tables, "op4_neardup")} == {(i, len(shingles(t)), comp[i], comp[i] == i) for i, t in tables[1]}
+
+
+def test_op5(spark, tables):
+    want = {(i, n, h, len(f), hashlib.sha256(",".join(sorted(f)).encode()).hexdigest(), h > 0 and 20 * h >= n) for i, (n, h, f) in hits(tables[1], tables[2]).items()}
+    assert {(r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in run(spark, tables, "op5_decontaminate")} == want
+
+
+def test_op6(spark, tables):
+    by = collections.defaultdict(list)
+    for c, _, role, text in [*tables[3], (-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]:
+        by[c].append((role, text or ""))
+    want = set()
+    for c, t in by.items():
+        loss = "".join(x for role, x in t if role == "assistant")
+        want.add((c, len(t), hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in t).encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest()))
+    assert {(r.conv_id, r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in run(spark, tables, "op6_chat")} == want
+
+
+def test_op7(spark, tables):
+    for r in run(spark, tables, "op7_media"):
+        raw = (tables[1][r.doc_id][1] or "").encode()
+        p = raw + b" " * (-len(raw) % 192 or (0 if raw else 192))
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]))
+
+
+def test_op8(spark, tables):
+    raw, gone = cover(tables[1])
+    want = set()
+    for i, t in raw.items():
+        kept = bytes(b for b, g in zip(t, gone[i], strict=True) if not g)
+        want.add((i, len(t), int(gone[i].sum()), int((np.diff(gone[i].astype(int), prepend=0) == 1).sum()), hashlib.sha256(kept).hexdigest()))
+    assert {(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in run(spark, tables, "op8_substrings")} == want
+
+
+def test_op9(spark, tables):
+    for r in run(spark, tables, "op9_language"):
+        text = tables[1][r.doc_id][1]
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and 0 <= r.score <= 1
+        assert (r.lang_pred == "und") == (not any(c.isalpha() for c in text or "")) and r.lang_pred in ("und", "en", "fr")
+
+
+def encoded(text):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    return np.array([*Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")).encode(text or "", add_special_tokens=False).ids, 1], "<u4")
+
+
+def packed(docs):
+    out = set()
+    for i, t in docs:
+        ids, at = encoded(t), 0
+        for n in pieces(len(ids), 2048):
+            out.add((i, at, n, zlib.crc32(ids[at : at + n].tobytes()), len(ids)))
+            at += n
+    return out
+
+
+def test_op10(spark, tables):
+    got = run(spark, tables, "op10_packing")
+    assert {(r.doc_id, r.start, r.length, r.ids_crc32, r.doc_tokens) for r in got} == packed(tables[1])
+    assert len({r.sequence_id for r in got}) == len(got)
+
+
+def test_pipeline(spark, tables):
+    import corpus_pipeline
+
+    docs = [(i, t) for i, t in tables[1] if any(c.isalpha() for c in t or "")]
+    comp = near_groups(docs, 80)
+    docs = [(i, t) for i, t in docs if comp[i] == i]
+    raw, gone = cover(docs)
+    cut = []
+    for i, t in raw.items():
+        # whole characters only: a character goes if all of its bytes do
+        chars, at = [], 0
+        for c in t.decode():
+            n = len(c.encode())
+            if not gone[i][at : at + n].all():
+                chars.append(c)
+            at += n
+        cut.append((i, "".join(chars)))
+    found = hits(cut, tables[2])
+    clean = [(i, t) for i, t in cut if not (found[i][1] > 0 and 20 * found[i][1] >= found[i][0])]
+    assert {(r.doc_id, r.start, r.length, r.ids_crc32, r.doc_tokens) for r in corpus_pipeline.run(spark, tables[0]).collect()} == packed(clean)
