@@ -27,6 +27,7 @@ from gapline.llm.shared import discard, materialise
 from gapline.llm.textbytes import ALNUM, U, Block, as_bytes, blocks
 
 BLOCK_BYTES = 4 << 20
+BROADCAST_IDS = 2_000_000  # ids of target documents that are sent to the executors at most
 
 
 @dataclass(frozen=True)
@@ -120,7 +121,7 @@ def vocabulary(counts: DataFrame, known: np.ndarray, mix: float) -> Vocabulary:
 SUMS = "doc_id long, n long, lt double, lb double"
 
 
-def score(docs: DataFrame, target: DataFrame, vocab: int = 1 << 16, heavy: int = 1 << 16, mix: float = 0.7) -> DataFrame:
+def score(docs: DataFrame, target: DataFrame, vocab: int = 1 << 16, heavy: int = 1 << 18, mix: float = 0.7) -> DataFrame:
     """doc_id, n_words, loss_target, loss_background, score of each document of ``docs`` (doc_id, text); ``target`` has the doc_ids of the target."""
     sc = docs.sparkSession.sparkContext
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -130,6 +131,8 @@ def score(docs: DataFrame, target: DataFrame, vocab: int = 1 << 16, heavy: int =
     known = np.sort(np.array([r["h"] for r in known], np.int64).view(U))
     discard(words)
     good = target.select(F.col("doc_id").cast("long").alias("doc_id")).distinct().withColumn("good", F.lit(True))
+    if good.count() <= BROADCAST_IDS:  # else both sides are shuffled by doc_id
+        good = F.broadcast(good)
     counts = materialise(bigram_counts(docs.join(good, "doc_id", "left").select("text", "good"), known), "bigrams")
     words_of = vocabulary(counts, known, mix)
     top = counts.where(F.col("nb") * heavy >= total).collect()
