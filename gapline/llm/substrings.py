@@ -254,13 +254,20 @@ def cut_contexts(texts: DataFrame, depth: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw = as_bytes(batch.column(1))
-            for i in range(0, len(raw), 200):
-                rows = []
-                for tk, text, found in zip(batch.column(0).slice(i, 200).to_pylist(), raw[i : i + 200], batch.column(2).slice(i, 200).to_pylist(), strict=True):
-                    rows += [(f["fp"], tk, f["s0"], f["at"] - f["s0"], text[f["s0"] : f["s1"] + depth]) for f in found]
-                if rows:
-                    kinds = [pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.binary()]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["fp", "tk", "s0", "d0", "ctx"])
+            for i, j in blocks(raw, BLOCK_BYTES):
+                found = batch.column(2).slice(i, j - i)
+                flat, each = found.flatten(), found.value_lengths().to_numpy(zero_copy_only=False)
+                fp, s0, s1, at = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("fp", "s0", "s1", "at"))
+                if not len(fp):
+                    continue
+                b = Block(raw[i:j])
+                text = np.repeat(np.arange(j - i), each)
+                size = s1.astype(np.int64) - s0 + depth
+                ends = np.concatenate([[0], np.cumsum(size)])
+                data = b.buf[np.repeat(b.begin[text] + s0 - ends[:-1], size) + np.arange(ends[-1])]
+                ctx = pa.Array.from_buffers(pa.binary(), len(fp), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data)])
+                cols = {"fp": pa.array(fp), "tk": batch.column(0).slice(i, j - i).take(pa.array(text)), "s0": pa.array(s0), "d0": pa.array((at - s0).astype(np.int32)), "ctx": ctx}
+                yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
 
     return texts.select("tk", "text", "found").mapInArrow(run, "fp long, tk binary, s0 int, d0 int, ctx binary")
 
