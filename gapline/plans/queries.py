@@ -45,7 +45,8 @@ def _selected(spark: SparkSession, sf_dir: str, config: Config = CONFIG) -> Data
 
 
 def _segments(spark: SparkSession, sf_dir: str, config: Config = CONFIG) -> tuple[DataFrame, DataFrame]:
-    return segmentation.segment(transcripts(spark, sf_dir), WORDS, config, clean_text=False)
+    seg, bound = segmentation.segment(transcripts(spark, sf_dir), WORDS, config, clean_text=False)
+    return seg.persist(), bound  # the metrics read them more than once
 
 
 def clean_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import asdict
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gapline.config import Config, Vocabulary
@@ -43,10 +43,27 @@ def boundary_table(transcripts: DataFrame, vocabulary: Vocabulary | None = None,
     return tokens, decode.select(decode.valleys(gaps.score(tokens, vocabulary, config, parser), config), config)
 
 
-def segment(transcripts: DataFrame, vocabulary: Vocabulary | None = None, config: Config | None = None, clean_text: bool = True, parser: DataFrame | None = None, keep: Column | None = None) -> tuple[DataFrame, DataFrame]:
-    """(segments, boundaries) of ``transcripts`` (Record_ID, Source_Row, Source_Column, text)."""
-    tokens, scored = boundary_table(transcripts, vocabulary, config, clean_text, parser)
-    return decode.cap_segments(decode.segments(tokens, scored), config), scored.select(*gaps.RECORD, *EVIDENCE)
+#: what decoding and segment means need of a gap
+NARROW = tuple(dict.fromkeys([*gaps.CHUNK, "offset", "n_tokens", "pos", "gap", "k", "left_token", "right_token", "candidate_boundary", "constraint_reason", *decode.MEANS.values()]))
+
+
+def segment(transcripts: DataFrame, vocabulary: Vocabulary | None = None, config: Config | None = None, clean_text: bool = True, parser: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(segments, boundaries) of ``transcripts`` (Record_ID, Source_Row, Source_Column, text).
+
+    Decoding reads the scores twice (to choose, and to mark), so they are kept, a few columns wide, for both; a lost part is
+    recomputed. The wide evidence is scored again if it is asked for, unless the sequence ratio makes that dear: then it is what is kept.
+    ``unpersist`` or the catalog's ``clearCache`` releases it."""
+    c = config or Config()
+    tokens = gaps.tokens(gaps.chunks(transcripts, clean_text))
+    scored = decode.valleys(gaps.score(tokens, vocabulary, c, parser), c)
+    if c.continuity == "lexical":
+        scored = scored.persist()
+        chosen = decode.select(scored, c)
+        return decode.cap_segments(decode.segments(tokens, chosen), c), chosen.select(*gaps.RECORD, *EVIDENCE)
+    chosen = decode.select(scored.select(*NARROW).persist(), c)
+    marks = chosen.where("selected_boundary").select(*gaps.CHUNK, "pos", "selected_boundary", "forced_max_length_boundary")
+    wide = scored.join(marks, [*gaps.CHUNK, "pos"], "left").na.fill(False, ["selected_boundary", "forced_max_length_boundary"])
+    return decode.cap_segments(decode.segments(tokens, chosen), c), wide.select(*gaps.RECORD, *EVIDENCE)
 
 
 def run_metadata(spark, config: Config, **facts: object) -> DataFrame:

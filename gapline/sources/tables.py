@@ -111,5 +111,5 @@ def write_tables(folder: str, form: str = "parquet", **tables: DataFrame) -> Non
         w.option("header", True).csv(f"{folder}/{name}") if form == "csv" else w.format(form).save(f"{folder}/{name}")
 
 
-def output_folder(local: str = "data/calibration_outputs", variable: str = "GAPLINE_OUTPUT_DIR") -> str:
+def output_folder(local: str = "output/calibration", variable: str = "GAPLINE_OUTPUT_DIR") -> str:
     return os.environ.get(variable) or local
