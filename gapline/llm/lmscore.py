@@ -1,13 +1,14 @@
 """Cross-entropy difference: documents scored by a target and a background bigram model that share one vocabulary.
 
-Vocabulary: words whose share of all words is at least 1 / ``vocab`` (and that occur twice), so at most ``vocab`` words whatever the
-input; the others are one unknown word. Both models are interpolated, ``mix * c(h w) / c(h) + (1 - mix) * (c(w) + 1) / (N + V)``, with
-counts over all documents (background) and over the documents of the target. The score is the mean over a document's words of the
-target's loss less the background's, in nats: low scores are like the target.
+Vocabulary: every word that occurs twice or more, whatever the size of the input (``vocab`` narrows it to words whose share of all words
+is at least 1 / ``vocab``); the others are one unknown word. Both models are interpolated,
+``mix * c(h w) / c(h) + (1 - mix) * (c(w) + 1) / (N + V)``, with counts over all documents (background) and over the documents of the
+target. The score is the mean over a document's words of the target's loss less the background's, in nats: low scores are like the target.
 
-Bigram counts are a table that grows with the input and is never gathered: words with counts and the bigrams whose share is at least
-1 / ``heavy`` (at most ``heavy`` of them) are sent to the executors, which score those bigrams where they read the text; the others go,
-packed by bigram, to a join with the counts, and come back as sums for each document.
+Words and bigrams with counts are tables that grow with the input and are never gathered; bigrams get the counts of their words by hash
+joins. Only to save joins, words whose share is at least 1 / ``TOP`` and bigrams of those whose share is at least 1 / ``heavy`` (at most
+so many of each) are sent to the executors, which score those bigrams where they read the text; the others go, packed by bigram, to a join
+with the bigrams' scores, and come back as sums for each document.
 
 Words are runs of digits, letters and non-ASCII characters, A-Z lower-cased. A document is a doc_id: rows that share one (or have
 none) are one document. Null text or no words: no score (null). Without target documents both models differ only in smoothing.
@@ -25,132 +26,176 @@ from pyspark.sql import functions as F
 
 from gapline.llm.shared import discard, materialise
 from gapline.llm.textbytes import ALNUM, U, Block, as_bytes, blocks
+from gapline.llm.textbytes import mix as scramble
 
 BLOCK_BYTES = 4 << 20
 BROADCAST_IDS = 2_000_000  # ids of target documents that are sent to the executors at most
+TOP = 1 << 17  # words that are sent to the executors at most
+BEGIN, UNKNOWN = -1, -2  # in place of a word's hash
 
 
 @dataclass(frozen=True)
-class Vocabulary:
-    hashes: np.ndarray  # sorted
-    background: np.ndarray  # counts as a second word, by id; then the unknown word
-    target: np.ndarray
-    h_background: np.ndarray  # counts as a first word, by id; then the unknown word and the begin of a text
-    h_target: np.ndarray
+class Models:
+    hashes: np.ndarray  # of frequent words, the begin and the unknown word, sorted
+    counts: np.ndarray  # rows of them: as a second word (background, target), as a first word (background, target)
+    total: tuple[int, int]
+    size: int
     mix: float
 
-    @property
-    def size(self) -> int:
-        return len(self.hashes) + 1
+    def has(self, h: np.ndarray) -> np.ndarray:
+        return self.hashes[np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)] == h
 
-    def log_probs(self, key: np.ndarray, nb: np.ndarray, nt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Log of both models for bigrams with these counts."""
-        h, w = key // (self.size + 1), key % (self.size + 1)
+    def log_probs(self, a: np.ndarray, b: np.ndarray, n: np.ndarray, first: np.ndarray, second: np.ndarray) -> list[np.ndarray]:
+        """Log of the target's and the background's model for bigrams a b with counts n; first and second are the counts of their words where
+        these aren't frequent."""
         out = []
-        for n, c, ch in ((nt, self.target, self.h_target), (nb, self.background, self.h_background)):
-            single = (c[w] + 1.0) / (c.sum() + self.size)
-            whole = ch[h]
-            out.append(np.log(np.where(whole > 0, self.mix * n / np.maximum(whole, 1) + (1 - self.mix) * single, single)))
-        return out[0], out[1]
+        for x, columns, given in ((a, (2, 3), first), (b, (0, 1), second)):
+            k = np.minimum(np.searchsorted(self.hashes, x), len(self.hashes) - 1)
+            out.append(np.where((self.hashes[k] == x)[:, None], self.counts[k][:, columns], given))
+        ch, cw = out
+        single = (cw + 1.0) / (np.array(self.total, float) + self.size)
+        logs = np.log(np.where(ch > 0, self.mix * n / np.maximum(ch, 1) + (1 - self.mix) * single, single))
+        return [logs[:, 1], logs[:, 0]]
+
+
+def bigrams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first, second, text, last) of each word: hashes of the word before (or the begin) and of itself; whether it ends its text."""
+    parts = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool))]
+    for i, j in blocks(texts, BLOCK_BYTES):
+        b = Block(texts[i:j])
+        b.words(ALNUM)
+        if not len(b.starts):
+            continue
+        h = b.word_hashes().view(np.int64)
+        n = np.diff(b.first)
+        before = np.concatenate([[BEGIN], h[:-1]])
+        before[b.first[:-1][n > 0]] = BEGIN
+        last = np.zeros(len(h), bool)
+        last[b.first[1:][n > 0] - 1] = True
+        parts.append((before, h, np.repeat(np.arange(i, j), n), last))
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
+def key_of(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of a bigram."""
+    return scramble(scramble(a.view(U)) * U(0xD6E8FEB86659FD93) + b.view(U)).view(np.int64)
+
+
+def _good(batch: pa.RecordBatch) -> np.ndarray:
+    return np.array([bool(x) for x in batch.column(1).to_pylist()], bool)
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """h, n: how often each word hash occurs."""
+    """x, nb, nt, hb, ht: how often each word hash occurs in ``docs`` (text, good: whether it is of the target) and in the target, and how often
+    as a first word; the begin of a text is a row too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, parts = as_bytes(batch.column(0)), []
-            for i, j in blocks(texts, BLOCK_BYTES):
-                b = Block(texts[i:j])
-                b.words(ALNUM)
-                parts.append(b.word_hashes())
-            h, n = np.unique(np.concatenate(parts), return_counts=True) if parts else (np.zeros(0, U), np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["h", "n"])
+            before, h, doc, last = bigrams(as_bytes(batch.column(0)))
+            x, inverse = np.unique(np.append(h, BEGIN), return_inverse=True)
+            good, inverse, start = _good(batch)[doc], inverse[:-1], before == BEGIN
+            at = np.searchsorted(x, BEGIN)
+            c = [np.bincount(inverse[m], minlength=len(x)).astype(np.int64) for m in (slice(None), good, ~last, good & ~last)]
+            c[2][at], c[3][at] = start.sum(), (start & good).sum()
+            yield pa.RecordBatch.from_arrays([pa.array(x), *map(pa.array, c)], names=["x", "nb", "nt", "hb", "ht"])
 
-    return docs.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    sums = [F.sum(c).alias(c) for c in ("nb", "nt", "hb", "ht")]
+    return docs.select("text", "good").mapInArrow(run, "x long, nb long, nt long, hb long, ht long").groupBy("x").agg(*sums)
 
 
-def bigrams(texts: list[bytes], known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(key, text) of each word: the pair of the word before (or the begin) and itself."""
-    keys, docs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    size = len(known) + 1
-    for i, j in blocks(texts, BLOCK_BYTES):
-        b = Block(texts[i:j])
-        b.words(ALNUM)
-        if not len(b.starts):
-            continue
-        h = b.word_hashes()
-        k = np.searchsorted(known, h)
-        if size > 1:
-            k[known[np.minimum(k, size - 2)] != h] = size - 1
-        before = np.concatenate([[size], k[:-1]])
-        n = np.diff(b.first)
-        before[b.first[:-1][n > 0]] = size
-        keys.append(before * (size + 1) + k)
-        docs.append(np.repeat(np.arange(i, j), n))
-    return np.concatenate(keys), np.concatenate(docs)
-
-
-def bigram_counts(docs: DataFrame, known: np.ndarray) -> DataFrame:
-    """key, nb, nt for ``docs`` (text, good: whether it is of the target)."""
-    sent = docs.sparkSession.sparkContext.broadcast(known)
+def bigram_counts(docs: DataFrame, models: Models) -> DataFrame:
+    """h, w, kind, nb, nt for ``docs`` (text, good); kind: 2 if the first word isn't frequent, and 1 if the second isn't."""
+    sent = docs.sparkSession.sparkContext.broadcast(models)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = np.array([bool(x) for x in batch.column(1).to_pylist()], bool)
-            key, doc = bigrams(as_bytes(batch.column(0)), sent.value)
-            u, inverse = np.unique(key, return_inverse=True)
-            nb = np.bincount(inverse, minlength=len(u))
-            nt = np.bincount(inverse[good[doc]], minlength=len(u)) if len(doc) else nb
-            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(nb.astype(np.int64)), pa.array(nt.astype(np.int64))], names=["key", "nb", "nt"])
+            h, w, doc, _ = bigrams(as_bytes(batch.column(0)))
+            _, first, inverse = np.unique(key_of(h, w), return_index=True, return_inverse=True)
+            nb = np.bincount(inverse, minlength=len(first)).astype(np.int64)
+            nt = np.bincount(inverse[_good(batch)[doc]], minlength=len(first)).astype(np.int64)
+            h, w = h[first], w[first]
+            kind = 2 * ~sent.value.has(h) + 1 * ~sent.value.has(w)
+            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(w), pa.array(kind.astype(np.int32)), pa.array(nb), pa.array(nt)], names=["h", "w", "kind", "nb", "nt"])
+
+    rows = docs.select("text", "good").mapInArrow(run, "h long, w long, kind int, nb long, nt long")
+    return rows.groupBy("h", "w", "kind").agg(F.sum("nb").alias("nb"), F.sum("nt").alias("nt"))
 
-    return docs.select("text", "good").mapInArrow(run, "key long, nb long, nt long").groupBy("key").agg(F.sum("nb").alias("nb"), F.sum("nt").alias("nt"))
 
+OF_FIRST, OF_SECOND = ("hb", "ht"), ("cb", "ct")
 
-def vocabulary(counts: DataFrame, known: np.ndarray, mix: float) -> Vocabulary:
-    """Counts of single words, summed from the bigrams' in one pass: at most two rows for each word of the vocabulary."""
-    size = len(known) + 1
-    both = counts.select(F.explode(F.array(F.struct(F.lit(0).alias("side"), F.expr(f"key div {size + 1}").alias("id")), F.struct(F.lit(1).alias("side"), F.expr(f"key % {size + 1}").alias("id")))).alias("e"), "nb", "nt")
-    rows = both.groupBy("e").agg(F.sum("nb").alias("nb"), F.sum("nt").alias("nt")).collect()
-    c = np.zeros((2, 2, size + 1))
-    for r in rows:
-        c[r["e"]["side"], :, r["e"]["id"]] = r["nb"], r["nt"]
-    return Vocabulary(known, c[1, 0], c[1, 1], c[0, 0], c[0, 1], mix)
+
+def with_words(counts: DataFrame, rare: DataFrame) -> DataFrame:
+    """Bigrams of ``counts`` with a word that isn't frequent, and a, b: their words or the unknown one; counts of those of ``rare`` (x, known and
+    counts); big: whether a and b are frequent or unknown."""
+    none = {c: F.lit(0).cast("long") for c in (*OF_FIRST, *OF_SECOND)}
+    one = rare.select(F.col("x").alias("h"), F.when(F.col("known"), F.col("x")).otherwise(UNKNOWN).alias("a"), *OF_FIRST)
+    two = rare.select(F.col("x").alias("w"), F.when(F.col("known"), F.col("x")).otherwise(UNKNOWN).alias("b"), F.col("nb").alias("cb"), F.col("nt").alias("ct"))
+    columns = ["h", "w", "kind", "nb", "nt", "a", "b", *OF_FIRST, *OF_SECOND]
+    second = counts.where("kind = 1").withColumn("a", F.col("h")).withColumns({c: none[c] for c in OF_FIRST})
+    both = counts.where("kind = 3").join(one, "h")
+    first = counts.where("kind = 2").join(one, "h").withColumn("b", F.col("w")).withColumns({c: none[c] for c in OF_SECOND})
+    out = second.unionByName(both).join(two, "w").select(*columns).unionByName(first.select(*columns))
+    return out.withColumn("big", (F.col("kind").isin(2, 3) <= (F.col("a") == UNKNOWN)) & (F.col("kind").isin(1, 3) <= (F.col("b") == UNKNOWN))).drop("kind")
 
 
 SUMS = "doc_id long, n long, lt double, lb double"
 
 
-def score(docs: DataFrame, target: DataFrame, vocab: int = 1 << 16, heavy: int = 1 << 18, mix: float = 0.7) -> DataFrame:
+def score(docs: DataFrame, target: DataFrame, vocab: int | None = None, heavy: int = 1 << 18, mix: float = 0.7) -> DataFrame:
     """doc_id, n_words, loss_target, loss_background, score of each document of ``docs`` (doc_id, text); ``target`` has the doc_ids of the target."""
     sc = docs.sparkSession.sparkContext
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    words = materialise(word_counts(docs), "words")
-    total = words.agg(F.sum("n")).first()[0] or 0
-    known = words.where((F.col("n") >= 2) & (F.col("n") * vocab >= total)).select("h").collect()
-    known = np.sort(np.array([r["h"] for r in known], np.int64).view(U))
-    discard(words)
     good = target.select(F.col("doc_id").cast("long").alias("doc_id")).distinct().withColumn("good", F.lit(True))
     if good.count() <= BROADCAST_IDS:  # else both sides are shuffled by doc_id
         good = F.broadcast(good)
-    counts = materialise(bigram_counts(docs.join(good, "doc_id", "left").select("text", "good"), known), "bigrams")
-    words_of = vocabulary(counts, known, mix)
-    top = counts.where(F.col("nb") * heavy >= total).collect()
-    top_key = np.array([r["key"] for r in top], np.int64)
-    order = np.argsort(top_key)
-    top_key = top_key[order]
-    top_t, top_b = words_of.log_probs(top_key, np.array([r["nb"] for r in top], float)[order], np.array([r["nt"] for r in top], float)[order])
-    sent = sc.broadcast((words_of, top_key, top_t, top_b))
+    marked = docs.join(good, "doc_id", "left").select("text", "good")
+    words = written = materialise(word_counts(marked), "words")
+    total = [x or 0 for x in words.agg(F.sum("nb"), F.sum("nt")).first()]
+    known = (F.col("nb") >= 2) & (F.lit(True) if vocab is None else F.col("nb") * vocab >= total[0])
+    words = words.withColumn("known", known)
+    unknown = words.where(~F.col("known") & (F.col("x") != BEGIN)).agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("nb", "nt", "hb", "ht")]).first()
+    frequent = (F.col("x") == BEGIN) | F.col("known") & (F.col("nb") * TOP >= total[0])
+    top = sorted([*map(tuple, words.where(frequent).select("x", "nb", "nt", "hb", "ht").collect()), (UNKNOWN, *unknown)])
+    models = Models(np.array([r[0] for r in top], np.int64), np.array([r[1:] for r in top], float), tuple(total), words.where("known").count() + 1, mix)
+    counts = materialise(bigram_counts(marked, models), "bigrams")
+    rare_counts = materialise(with_words(counts, words.where(~frequent)), "rare-bigrams")
+    discard(written)
+    models_sent = sc.broadcast(models)
+
+    def logs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h, w, a, b, *n = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(10))
+            n, first, second = (np.stack(n[c : c + 2], axis=1).astype(float) for c in (0, 2, 4))
+            lt, lb = models_sent.value.log_probs(a, b, n, first, second)
+            yield pa.RecordBatch.from_arrays([pa.array(key_of(h, w)), pa.array(lt), pa.array(lb)], names=["key", "lt", "lb"])
+
+    def scored(rows: DataFrame) -> DataFrame:
+        return rows.select("h", "w", "a", "b", "nb", "nt", *OF_FIRST, *OF_SECOND).mapInArrow(logs, "key long, lt double, lb double")
+
+    plain = counts.where("kind = 0").withColumns({"a": F.col("h"), "b": F.col("w")} | {c: F.lit(0).cast("long") for c in (*OF_FIRST, *OF_SECOND)})
+    some = (F.col("a") == UNKNOWN) | (F.col("b") == UNKNOWN)
+    merged = materialise(rare_counts.where(some).groupBy("a", "b", "big").agg(F.sum("nb").alias("nb"), F.sum("nt").alias("nt")), "unknown")
+    each = rare_counts.where(some).drop("nb", "nt")
+    of_big = each.where("big").drop("big").join(F.broadcast(merged.where("big").drop("big")), ["a", "b"])  # at most two for each frequent word
+    others = each.where("not big").drop("big").join(merged.where("not big").drop("big"), ["a", "b"])
+    names = ["h", "w", "a", "b", "nb", "nt", *OF_FIRST, *OF_SECOND]
+    all_logs = plain.select(*names)
+    for part in (rare_counts.where(~some), of_big, others):
+        all_logs = all_logs.unionByName(part.select(*names))
+    top = sorted(map(tuple, scored(plain.where(F.col("nb") * heavy >= total[0])).collect()))
+    top_key, top_t, top_b = np.array([r[0] for r in top], np.int64), np.array([r[1] for r in top], float), np.array([r[2] for r in top], float)
+    sent = sc.broadcast((top_key, top_t, top_b))
 
     def split(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
-        words_of, top_key, _, _ = sent.value
-        key, doc = bigrams(as_bytes(batch.column(1)), words_of.hashes)
+        top_key = sent.value[0]
+        h, w, doc, _ = bigrams(as_bytes(batch.column(1)))
+        key = key_of(h, w)
         k = np.searchsorted(top_key, key)
         hit = top_key[np.minimum(k, len(top_key) - 1)] == key if len(top_key) else np.zeros(len(key), bool)
         return key, doc, k, hit
 
     def heavy_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, _, top_t, top_b = sent.value
+        _, top_t, top_b = sent.value
         for batch in batches:
             _, doc, k, hit = split(batch)
             n = batch.num_rows
@@ -179,11 +224,9 @@ def score(docs: DataFrame, target: DataFrame, vocab: int = 1 << 16, heavy: int =
             yield pa.RecordBatch.from_arrays([pa.array(key[first]), packed(ids[doc]), packed(times)], names=["key", "docs", "times"])
 
     def rare_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words_of = sent.value[0]
         for batch in batches:
-            key, nb, nt = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(3))
-            lt, lb = words_of.log_probs(key, nb.astype(float), nt.astype(float))
-            docs, times = batch.column(3).to_pylist(), batch.column(4).to_pylist()
+            lt, lb = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(2))
+            docs, times = batch.column(2).to_pylist(), batch.column(3).to_pylist()
             each = np.fromiter((len(x) // 8 for x in docs), np.int64, len(docs))
             d = np.frombuffer(b"".join(docs), np.int64)
             t = np.frombuffer(b"".join(times), np.int32)
@@ -197,7 +240,7 @@ def score(docs: DataFrame, target: DataFrame, vocab: int = 1 << 16, heavy: int =
                 out = pa.array(u) if ids is None else pa.array(ids, pa.int64())
                 yield pa.RecordBatch.from_arrays([out, pa.array(np.zeros(len(u), np.int64)), pa.array(st), pa.array(sb)], names=["doc_id", "n", "lt", "lb"])
 
-    joined = docs.mapInArrow(rare, "key long, docs binary, times binary").join(counts, "key").select("key", "nb", "nt", "docs", "times")
+    joined = docs.mapInArrow(rare, "key long, docs binary, times binary").join(scored(all_logs), "key").select("lt", "lb", "docs", "times")
     sums = docs.mapInArrow(heavy_sums, SUMS).unionByName(joined.mapInArrow(rare_sums, SUMS))
     out = sums.groupBy("doc_id").agg(F.sum("n").alias("n_words"), F.sum("lt").alias("lt"), F.sum("lb").alias("lb"))
     n = F.nullif("n_words", F.lit(0))

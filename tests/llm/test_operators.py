@@ -281,6 +281,21 @@ def test_lmscore(spark, rows):
     assert lmscore.score(frame(spark, []), spark.createDataFrame([], "doc_id long")).count() == 0
 
 
+def test_lmscore_knows_every_word_that_occurs_twice(spark, monkeypatch):
+    """However many words there are, one that occurs twice is told from another; what is sent to the executors changes nothing."""
+    from gapline.llm import queries
+
+    common = [(k, "the " * 2000) for k in range(100)]
+    docs = frame(spark, [*common, (100, "the aa bb"), (101, "the aa bb"), (102, "the cc dd"), (103, "the cc dd"), (104, "the ee"), (105, "ff ee")])
+    target = spark.createDataFrame([(100, 1, 0)], "doc_id long, quality int, toxic int")
+    monkeypatch.setattr(queries, "table", lambda spark, sf_dir, name: target if name == "labels" else docs)
+    got = {r.doc_id: r.score for r in queries.op1_lmscore(spark, "").collect()}
+    assert len(got) == 106 and got[101] == got[100] < got[103] == got[102]
+    for top in (1, 1 << 30):
+        monkeypatch.setattr(lmscore, "TOP", top)
+        assert {r.doc_id: r.score for r in queries.op1_lmscore(spark, "").collect()} == pytest.approx(got)
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T &amp; t</title><style>p{{}}</style><script>var t="</p><p>no";</script></head><body>
 <nav><ul><li><a href="/a">Menu one</a></li></ul></nav><div class="cookie-notice">We use cookies, accept them all now please</div>
 {0}<footer>&copy; footer words here</footer></body></html>"""
