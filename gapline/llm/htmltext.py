@@ -1,7 +1,7 @@
 """Main text of HTML pages by maximum-scoring subsequence.
 
 A page becomes a sequence of tags and runs of words. Words score positive, unless they stand in a zone (the innermost
-marked element: its tag name or a token of its class, id or role) that labelled pages show outside the main text; tags score
+marked element: its tag name or a name of its class, id or role) that labelled pages show outside the main text; tags score
 negative, by how often their name stands outside it. One linear scan finds the contiguous region with the highest sum. The
 region's words, without those in zones outside the main text and without scripts, styles and forms, are its text.
 
@@ -9,6 +9,10 @@ Weights are log-odds of counts over labelled pages: pairs of a page and the byte
 text. :func:`learn` counts them over pages that label themselves with an ``article`` or ``main`` element, in one pass with
 partial sums, added to the pseudo-counts in ``PRIOR``.
 
+A name like ``cookie-notice`` marks an outside zone if its parts are all outside names or say which of them (``PARTS``): ``no-sidebar``,
+``comments-open`` and ``header-wrap`` don't. ``html`` and ``body`` open no outside zone. What stands in an outside zone stays there, but where
+all articles and mains of a page stand in outside zones, they leave them.
+
 Text: character references are decoded, white space inside a block is one space, blocks are joined by one newline in page
 order, empty blocks are left out. Null or empty html gives an empty text; unclosed elements end with the page; a tag or comment
 cut by the end of the page is dropped. Rows are independent, repeated rows give repeated results.
@@ -22,6 +26,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,6 +42,8 @@ P_ENDERS = frozenset("address article aside blockquote details div dl fieldset f
 #: pseudo-counts (inside, outside the main text) of zones that a table's labelled pages may not show
 PRIOR_OUT = frozenset("nav header footer aside form menu head button select dialog sidebar breadcrumb breadcrumbs navbar navigation toolbar topbar notice cookie cookies consent gdpr alert popup modal newsletter subscribe signup ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion comment comments disqus reply replies respond discussion social share sharing related recommended widget complementary contentinfo search pagination pager copyright legal skip".split())
 PRIOR_IN = frozenset("article main".split())
+#: parts of a class name or id that leave the rest its meaning
+PARTS = frozenset("site page main global left right top bottom primary secondary block box bar item items links list posts section slot unit".split())
 PRIOR = 40
 LEAST = -0.5  # words of short outside zones between parts of the main text leave the region whole
 SURE = 2.0  # a zone with a lower weight than -SURE is outside
@@ -69,9 +76,28 @@ def weigh(zones: dict[str, tuple[int, int]], tags: dict[str, tuple[int, int]]) -
     return Weights(word, {t: -(0.05 + 0.95 * (b + 1) / (a + b + 2)) for t, (a, b) in tags.items()})
 
 
+@lru_cache(maxsize=1 << 14)
+def marks_of(value: str) -> tuple[str, ...]:
+    """Names of zones in the value of a class, id or role."""
+    found: list[str] = []
+    for name in value.lower().split():
+        parts = [x for x in re.split(r"[^a-z0-9]+", name) if x]
+        bad = [x for x in parts if x in PRIOR_OUT]
+        whole = all(x in PRIOR_OUT or x in PARTS or x.isdigit() for x in parts)
+        found += bad if whole and bad else [x for x in parts if x in PRIOR_IN]
+    return tuple(found)
+
+
 def parse(page: str, known: frozenset[str] | set[str]) -> list[tuple[str, str, str]]:
     """(kind, value, zone): kind ``word`` with raw text, ``tag`` with the element's name (``block`` marks a block boundary as value
     prefix ``/``). ``known`` are the zone names with a weight."""
+    out, free, kept = _parse(page, known, False)
+    return _parse(page, known, True)[0] if kept and not free else out
+
+
+def _parse(page: str, known: frozenset[str] | set[str], leave: bool) -> tuple[list[tuple[str, str, str]], int, int]:
+    """Also how many articles and mains stand in no outside zone, and in one; with ``leave`` they leave it."""
+    free = kept = 0
     out: list[tuple[str, str, str]] = []
     stack: list[tuple[str, str]] = []  # element, zone from here on
     zone, at, end = "", 0, len(page)
@@ -112,15 +138,19 @@ def parse(page: str, known: frozenset[str] | set[str]) -> list[tuple[str, str, s
             continue
         marks = [name]
         for x in ATTR.finditer(m["attrs"] or ""):
-            marks += re.split(r"[^a-z0-9]+", (x[1] or x[2] or x[3] or "").lower())
+            marks += marks_of(x[1] or x[2] or x[3] or "")
         found = [x for x in marks if x in known]
-        bad = [x for x in found if x in PRIOR_OUT]
-        inner = "+" * (zone in PRIOR_IN) + bad[0] if bad else found[0] if found else zone
-        if zone.lstrip("+") in PRIOR_OUT:  # what stands in an outside zone stays outside
+        bad = [x for x in found if x in PRIOR_OUT and name not in ("html", "body")]
+        inner = "+" * (zone in PRIOR_IN) + bad[0] if bad else next((x for x in found if x in PRIOR_IN), zone)
+        shut = zone.lstrip("+") in PRIOR_OUT
+        if name in PRIOR_IN and not bad:
+            free, kept = free + (not shut), kept + shut
+            shut = shut and not (leave and zone[:1] != "+")
+        if shut:  # what stands in an outside zone stays outside
             inner = zone
         stack.append((name, inner))
         zone = inner
-    return out
+    return out, free, kept
 
 
 def best_region(scores: list[float]) -> tuple[int, int]:

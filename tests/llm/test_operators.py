@@ -313,6 +313,23 @@ def test_html(spark):
     assert htmltext.main_text(df.where("false"), htmltext.learn(df.where("false"))).count() == 0
 
 
+@pytest.mark.parametrize("around", ["<body class='no-sidebar'>{}", "<body class='comments-open'>{}", "<body id=comments>{}", "<body><div class='layout has-sidebar'>{}</div>", "<body><div id='header-wrap'>{}</div>", "<body><div class=comments-wrap>{}</div>"])
+@pytest.mark.parametrize("inside", ["{}", "<article>{}</article>", "<main>{}</main>"])
+def test_html_names_of_layouts_are_no_zones(around, inside):
+    w = htmltext.weigh({}, {})
+    text = "Words of the page, more of them and some more to be sure"
+    assert htmltext.extract("<html>" + around.format(inside.format(f"<p>{text}</p><div class='site-footer cookie-notice'>no no no</div>")), w) == text
+
+
+def test_html_articles_leave_outside_zones_only_if_all_are_in_one():
+    w = htmltext.weigh({}, {})
+    text = "Words of the page, more of them and some more to be sure"
+    for zone in ("<form>{}</form>", "<div class=header>{}</div>", "<section id=comments>{}</section>"):
+        assert htmltext.extract(zone.format(f"<p>not this</p><article><p>{text}</p></article>"), w) == text
+    assert htmltext.extract(f"<article><p>{text}</p></article><section id=comments><article>nice one</article></section>", w) == text
+    assert htmltext.extract(f"<div class=header><article><p>{text}</p></article></div><section id=comments><article class=comment>nice one</article></section>", w) == text
+
+
 def test_best_region_by_brute_force():
     rng = random.Random(3)
     for _ in range(200):
