@@ -160,13 +160,17 @@ def with_metadata(index: DataFrame) -> DataFrame:
 
 
 READ = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, width int, height int"
+EXTRA = ("depth", "colour")
 
 
 def read_back(index: DataFrame) -> DataFrame:
-    """Reads each row's range, checks it against its digest, decodes it and computes the features."""
+    """Reads each row's range, checks it against its digest, decodes it and computes the features. An index of :func:`with_metadata` keeps
+    its columns, which are checked against the payload."""
+    meta = [c for c in ("width", "height", *EXTRA) if c in index.columns]
+    extra = [c for c in EXTRA if c in meta]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, file, got = ("", "", -1), None, ()
+        last, file, got, head = ("", "", -1), None, (), {}
         for b in batches:
             rows = []
             for r in b.to_pylist():
@@ -180,13 +184,15 @@ def read_back(index: DataFrame) -> DataFrame:
                     if sha != r["digest"]:
                         raise ValueError(f"{r['shard']} at {r['offset']}: the stored bytes differ from their digest")
                     payload, last = decode_png(form), place
-                    width, height = read_header(form)[:2]
-                    got = (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(form), sha, features(payload), width, height)
+                    head = dict(zip(("width", "height", *EXTRA), read_header(form), strict=True))
+                    got = (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(form), sha, features(payload), *(head[c] for c in ("width", "height", *extra)))
+                if any(r[c] != head[c] for c in meta):
+                    raise ValueError(f"{r['shard']} at {r['offset']}: the metadata differ from the payload's")
                 rows.append((r["doc_id"], r["n_bytes"], *got))
             if rows:
-                kinds = [pa.int64()] * 3 + [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32()]
-                names = [f.split()[0] for f in READ.split(", ")]
+                kinds = [pa.int64()] * 3 + [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), *[pa.int32()] * (2 + len(extra))]
+                names = [*(f.split()[0] for f in READ.split(", ")), *extra]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
-    cols = ["doc_id", "n_bytes", "digest", "folder", "shard", "offset", "length"]
-    return _by_shard(index.select(*cols)).mapInArrow(run, READ)
+    cols = ["doc_id", "n_bytes", "digest", "folder", "shard", "offset", "length", *meta]
+    return _by_shard(index.select(*cols)).mapInArrow(run, ", ".join([READ, *(f"{c} int" for c in extra)]))

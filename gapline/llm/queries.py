@@ -56,7 +56,7 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.read_back(media.store(table(spark, sf_dir, "documents")))
+    return media.read_back(media.with_metadata(media.store(table(spark, sf_dir, "documents"))))
 
 
 def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:

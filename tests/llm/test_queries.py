@@ -136,6 +136,12 @@ def test_op7(spark, tables):
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]))
 
 
+def test_op7_metadata(spark, tables):
+    got = run(spark, tables, "op7_media")
+    assert len(got) == len(tables[1])
+    assert all((r.width, r.height, r.depth, r.colour) == (192, r.payload_bytes // 192, 8, 0) for r in got)
+
+
 def test_op8(spark, tables):
     raw, gone = cover(tables[1])
     want = set()
