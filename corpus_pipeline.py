@@ -15,6 +15,8 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Documents with no language (no text, or no letter in it) go; the others stay, whatever their language."""
     docs = docs.select(*COLUMNS)
     model = language.fit(docs, language.not_held_out())
+    if not model.labels:  # nothing is labelled, so no language is told from none
+        return language.with_letter(docs)
     return language.tag(docs, model).where(F.col("lang_pred") != language.UND).select(*COLUMNS)
 
 

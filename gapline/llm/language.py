@@ -142,5 +142,16 @@ def tag(docs: DataFrame, model: LanguageModel) -> DataFrame:
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
 
 
+def with_letter(docs: DataFrame) -> DataFrame:
+    """Rows of ``docs`` (text and others) with a letter in the text."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array([bool(t) and has_letter(t) for t in as_bytes(b.column(at))], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def not_held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4, F.lit(0)) != 2

@@ -181,6 +181,19 @@ def test_op10(spark, tables):
     assert len({r.sequence_id for r in got}) == len(got)
 
 
+@pytest.mark.parametrize("labelled", [[], [5]])
+def test_language_stage_without_labels(spark, tables, labelled):
+    """Unlabelled documents stay; so do all if labels stand on held-out ids alone (5 is one)."""
+    import corpus_pipeline
+    from pyspark.sql import functions as F
+
+    assert all(zlib.crc32(str(i).encode()) % 4 == 2 for i in labelled)
+    docs = spark.read.parquet(f"{tables[0]}/documents.parquet").withColumn("lang", F.when(F.col("doc_id").isin(labelled), F.lit("en")))
+    got = corpus_pipeline.language_stage(spark, docs, tables[0]).collect()
+    assert sorted(r.doc_id for r in got) == [i for i, t in tables[1] if any(c.isalpha() for c in t or "")]
+    assert all(r.text == tables[1][r.doc_id][1] for r in got)
+
+
 def test_pipeline(spark, tables):
     import corpus_pipeline
 
