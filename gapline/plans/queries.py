@@ -61,7 +61,7 @@ def tokenize_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def truncation_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return d.select("doc_id", T.truncated(F.substring("text", 1, 10_000_000)).alias("truncated"))
+    return d.select("doc_id", T.truncated(F.col("text")).alias("truncated"))
 
 
 def _interviews(spark: SparkSession, sf_dir: str) -> DataFrame:

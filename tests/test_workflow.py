@@ -52,3 +52,12 @@ def test_query_against_sql(spark, name):
         return tuple(str(round(x, 9) if isinstance(x, float) else x) for x in row)
 
     assert sorted(key(r[c] for c in cols) for r in got.collect()) == sorted(key(dict(zip(names, r, strict=True))[c] for c in cols) for r in want.fetchall())
+
+
+def test_truncation_reads_the_whole_text(spark, monkeypatch):
+    from gapline.plans import queries
+
+    texts = [(1, " " * 9_999_997 + "zqx is complete."), (2, " " * 9_999_997 + "zqx. And then came zqx"), (3, None)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    monkeypatch.setattr(queries, "table", lambda *_: docs)
+    assert {r.doc_id: r.truncated for r in queries.truncation_flags(spark, "").collect()} == {1: False, 2: True, 3: False}
