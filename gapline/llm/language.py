@@ -5,8 +5,9 @@ presence in ``width`` hashed places. The kernel of two texts is the cosine of th
 sample give a Nyström map; one-versus-rest ridge regression on it gives a score for each language. Batches of documents are scored
 by two matrix products (presence by landmarks, kernels by weights).
 
-Training uses at most ``fit_rows`` labelled rows, spread evenly over the labels by a hash of the id; only their presence bits
-(width / 8 bytes each) reach the driver. Null text, or text without a letter, is ``und`` with score 0; with no labelled rows all
+Training uses about ``fit_rows`` labelled rows, twice as many at most, spread evenly over the labels by a hash of the id; only their
+presence bits (width / 8 bytes each) reach the driver. Every label takes part with a row and a landmark at least; more labels than
+``fit_rows`` / 2 are an error. Null text, or text without a letter, is ``und`` with score 0; with no labelled rows all
 are ``und``. Rows with the same or a null id are scored on their own; ``lang`` is null-safe and only used for training.
 """
 
@@ -84,13 +85,16 @@ class LanguageModel:
 def fit(docs: DataFrame, usable: Column, fit_rows: int = 2400, landmarks: int = 128, max_n: int = 4, width: int = 1 << 14, ridge: float = 1e-2) -> LanguageModel:
     """Learns from rows (doc_id, text, lang) with ``usable``, non-null lang and text."""
     rows = docs.where(usable & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.col("lang") != UND)).select(F.col("doc_id").cast("string").alias("k"), "lang", "text")
-    per = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(fit_rows // 8).collect()
+    draw = F.pmod(F.xxhash64("k", F.lit(7)), F.lit(1_000_000)) / F.lit(1e6)
+    per = rows.groupBy("lang").agg(F.count("*").alias("n"), F.min(draw).alias("least")).orderBy(F.desc("n"), "lang").limit(fit_rows // 2 + 1).collect()
     if not per:
         return LanguageModel([], np.zeros((width, 0), np.float32), np.zeros((0, 0), np.float32), max_n, width)
-    each = max(8, fit_rows // len(per))
-    share = F.create_map(*[F.lit(v) for r in per for v in (r["lang"], min(1.0, 1.2 * each / r["count"]))])
-    draw = F.pmod(F.xxhash64("k", F.lit(7)), F.lit(1_000_000)) / F.lit(1e6)
-    picked = rows.where(draw < F.coalesce(share[F.col("lang")], F.lit(0.0))).select("lang", "text", F.xxhash64("k", F.lit(8)).alias("o"))
+    if len(per) > fit_rows // 2:
+        raise ValueError(f"more than {fit_rows // 2} labels: fit_rows = {fit_rows} can't hold them all")
+    each = fit_rows // len(per)
+    below = [(r["lang"], max(min(1.0, 1.2 * each / r["n"]), r["least"] + 5e-7)) for r in per]  # the row of the least draw is always in
+    below = F.broadcast(docs.sparkSession.createDataFrame(below, "lang string, below double"))
+    picked = rows.join(below, "lang").where(draw < F.col("below")).select("lang", "text", F.xxhash64("k", F.lit(8)).alias("o"))
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -98,6 +102,8 @@ def fit(docs: DataFrame, usable: Column, fit_rows: int = 2400, landmarks: int =
 
     got = sorted(picked.mapInArrow(bits, "lang string, o long, bits binary").limit(2 * fit_rows).collect(), key=lambda r: (r["o"], r["lang"], r["bits"]))
     labels = sorted({r["lang"] for r in got})
+    if len(labels) < len(per):
+        raise ValueError(f"{len(per) - len(labels)} labels have no row within twice fit_rows = {fit_rows}")
     x = np.array([np.unpackbits(np.frombuffer(r["bits"], np.uint8)) for r in got], np.float32)
     x /= np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))
     turn: dict[str, int] = {}
@@ -105,7 +111,7 @@ def fit(docs: DataFrame, usable: Column, fit_rows: int = 2400, landmarks: int =
     for k, r in enumerate(got):  # landmarks: the labels in turn
         turn[r["lang"]] = turn.get(r["lang"], 0) + 1
         order.append((turn[r["lang"]], k))
-    marks = x[[k for _, k in sorted(order)[:landmarks]]].T.copy()
+    marks = x[[k for _, k in sorted(order)[: max(landmarks, len(labels))]]].T.copy()
     values, vectors = np.linalg.eigh((marks.T @ marks).astype(np.float64))
     keep = values > 1e-6 * values.max()
     root = vectors[:, keep] / np.sqrt(values[keep])

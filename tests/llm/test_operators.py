@@ -247,6 +247,19 @@ def test_language(spark):
     assert language.identify(docs, language.fit(none, F.lit(True))).select("lang_pred").distinct().collect()[0][0] == "und"
 
 
+def test_language_learns_every_label(spark):
+    rng = random.Random(2)
+    alphabet = [chr(0x4E00 + k) for k in range(4000)]
+    rows = [(3 * k + j, " ".join("".join(rng.choices(alphabet[10 * k : 10 * k + 10], k=3)) for _ in range(20)), f"l{k:03}") for k in range(350) for j in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit(docs, F.lit(True))
+    assert model.labels == sorted({c for _, _, c in rows}) and model.marks.shape[1] >= 350
+    truth = {i: c for i, _, c in rows}
+    assert sum(r.lang_pred == truth[r.doc_id] for r in language.identify(docs, model).collect()) >= 0.97 * len(rows)
+    with pytest.raises(ValueError, match="labels"):
+        language.fit(docs, F.lit(True), fit_rows=600)
+
+
 def test_lmscore(spark, rows):
     import math
 
