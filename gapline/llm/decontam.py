@@ -10,7 +10,8 @@ window's length) come next, then the hash of the whole window at that place, the
 The index is sent to the executors only in parts of at most ``part_windows`` windows; a larger benchmark takes more passes
 over the documents, whose hits are united. No pair of a document and an item is ever made except for true hits.
 
-Null or blank text has no words: no hit, not contaminated; such items have no window. Rows with one id are judged each on
+Null or blank text has no words: no hit, not contaminated; such items have no window. Passages of items with a null id are hits like
+others; they are only missing in the list of items. Rows with one id are judged each on
 their own. Other columns are not read, so their names may clash.
 """
 
@@ -167,12 +168,14 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = 13, share: floa
     parts: list[list[Index]] = []
     held = 0
     batches: list[dict] = []
-    for r in items.select(F.col("item_id").cast("string").alias("item_id"), F.col("text")).where("item_id is not null and text is not null").toLocalIterator():
+    for r in items.select(F.col("item_id").cast("string").alias("item_id"), F.col("text")).where("text is not null").toLocalIterator():
         words = item_words(r.text.encode())
         w = min(size, len(words))
         for k in range(len(words) - w + 1 if w else 0):
-            of = by_size[w][tuple(words[k : k + w])]
-            if r.item_id not in of:
+            window = tuple(words[k : k + w])
+            held += r.item_id is None and window not in by_size[w]
+            of = by_size[w][window]
+            if r.item_id is not None and r.item_id not in of:
                 of.append(r.item_id)
                 held += 1
         if held >= part_windows:

@@ -178,6 +178,15 @@ def test_decontaminate(spark, part):
     assert collections.Counter((r.doc_id, r.n_words, r.n_hit, tuple(r["items"]), r.contaminated) for r in out.collect()) == want
 
 
+@pytest.mark.parametrize("part", [500_000, 3])
+def test_decontaminate_items_without_id(spark, part):
+    passage = " ".join(f"p{k}" for k in range(20))
+    items = spark.createDataFrame([(None, passage), (None, "q1 q2"), (4, "q1 q2"), (None, None)], "item_id long, text string")
+    docs = [(1, f"a b {passage} c"), (2, "x q1 q2"), (3, "clean")]
+    got = {r.doc_id: (r.n_hit, list(r["items"]), r.contaminated) for r in decontam.decontaminate(frame(spark, docs), items, part_windows=part).collect()}
+    assert got == {1: (20, [], True), 2: (2, ["4"], True), 3: (0, [], False)}
+
+
 def test_decontaminate_empty(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontam.decontaminate(frame(spark, [(1, "a b")]), none).collect()[0].n_hit == 0
