@@ -25,13 +25,15 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gapline.llm.shared import materialise
+
 PIECE = re.compile(r"""<!--.*?(?:-->|\Z)|<(?P<end>/?)(?P<name>[A-Za-z][^\s/>]*+)(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*')*+)>|<[!?][^>]*+(?:>|\Z)|</?[A-Za-z][^>]*+\Z""", re.S)
 ATTR = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 CLOSE = {n: re.compile(rf"</{n}\s*>", re.I) for n in ("script", "style", "template", "textarea", "noscript", "title", "iframe")}
@@ -46,6 +48,7 @@ PRIOR_IN = frozenset("article main".split())
 PARTS = frozenset("site page main global left right top bottom primary secondary block box bar item items links list posts section slot unit".split())
 PRIOR = 40
 LEAST = -0.5  # words of short outside zones between parts of the main text leave the region whole
+KEPT = 1000  # names whose counts are sent to the executors; pages with others get theirs from a table
 SURE = 2.0  # a zone with a lower weight than -SURE is outside
 
 
@@ -53,6 +56,7 @@ SURE = 2.0  # a zone with a lower weight than -SURE is outside
 class Weights:
     zone: dict[str, float]
     tag: dict[str, float]
+    rest: DataFrame | None = None  # name, inside, outside of the tags that are not in ``tag``
 
     def of_zone(self, name: str) -> float:
         """Log-odds of a word's zone; a zone inside an article (``+``) doesn't end the region, whatever its length."""
@@ -65,6 +69,10 @@ class Weights:
         return self.tag.get(name, -0.6)
 
 
+def tag_weight(inside: int, outside: int) -> float:
+    return -(0.05 + 0.95 * (outside + 1) / (inside + outside + 2))
+
+
 def weigh(zones: dict[str, tuple[int, int]], tags: dict[str, tuple[int, int]]) -> Weights:
     """Log-odds, words +1 at most; tags -0.05 to -1."""
     both = {z: (0, 0) for z in (*PRIOR_OUT, *PRIOR_IN, "")} | zones
@@ -73,7 +81,7 @@ def weigh(zones: dict[str, tuple[int, int]], tags: dict[str, tuple[int, int]]) -
         a, b = a + PRIOR * (z in PRIOR_IN or z == ""), b + PRIOR * (z in PRIOR_OUT)
         word[z] = max(-6.0, min(1.0, math.log((a + 1) / (b + 1))))
     word[""] = max(word[""], 0.2)
-    return Weights(word, {t: -(0.05 + 0.95 * (b + 1) / (a + b + 2)) for t, (a, b) in tags.items()})
+    return Weights(word, {t: tag_weight(a, b) for t, (a, b) in tags.items()})
 
 
 @lru_cache(maxsize=1 << 14)
@@ -202,13 +210,13 @@ def label_counts(page: str) -> tuple[Counter, Counter]:
         if kind == "word":
             words[zone.lstrip("+"), inside] += len(value.split())
         else:
-            tags[value[:40], inside] += 1
+            tags[value, inside] += 1
     return words, tags
 
 
 def learn(pages: DataFrame) -> Weights:
-    """Weights from all pages of ``pages`` (html) that label themselves. At most as many rows as names that occur in a
-    hundred pages or more reach the driver (elements of HTML, in practice); rarer names keep the default."""
+    """Weights from all pages of ``pages`` (html) that label themselves. The counts of zones and of the most frequent tags,
+    ``KEPT`` together, reach the driver; those of all other tags are a table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter = Counter()
@@ -227,18 +235,49 @@ def learn(pages: DataFrame) -> Weights:
         return pa.RecordBatch.from_arrays([pa.array([x[0] for x in k], pa.string()), pa.array([x[1] for x in k], pa.string()), pa.array([int(total[x]) if x[2] else 0 for x in k], pa.int64()), pa.array([0 if x[2] else int(total[x]) for x in k], pa.int64())], names=["kind", "name", "inside", "outside"])
 
     counts = pages.select("html").mapInArrow(run, "kind string, name string, inside long, outside long").groupBy("kind", "name").agg(F.sum("inside").alias("inside"), F.sum("outside").alias("outside"))
-    got = counts.orderBy(F.desc(F.col("inside") + F.col("outside")), "kind", "name").limit(1000).collect()
-    return weigh({r["name"]: (r["inside"], r["outside"]) for r in got if r["kind"] == "z"}, {r["name"]: (r["inside"], r["outside"]) for r in got if r["kind"] == "t"})
+    counts = materialise(counts, "names")
+    got = counts.orderBy(F.desc("kind"), F.desc(F.col("inside") + F.col("outside")), "name").limit(KEPT + 1).collect()
+    more, got = len(got) > KEPT, got[:KEPT]
+    w = weigh({r["name"]: (r["inside"], r["outside"]) for r in got if r["kind"] == "z"}, {r["name"]: (r["inside"], r["outside"]) for r in got if r["kind"] == "t"})
+    if not more:
+        return w
+    return replace(w, rest=counts.where((F.col("kind") == "t") & ~F.col("name").isin(list(w.tag))).select("name", "inside", "outside"))
+
+
+OUT = "page_id long, url string, text string, n_chars long"
+
+
+def with_rare_tags(pages: DataFrame, weights: Weights) -> DataFrame:
+    """``pages`` (page_id, url, html) with more: counts of each page's tags that only the table has; such pages are joined by a hash of html."""
+    known = frozenset(weights.tag)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            names = [sorted({v for kind, v, _ in parse(p or "", PRIOR_OUT | PRIOR_IN) if kind == "tag" and v not in known}) for p in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names, pa.list_(pa.string()))], names=["page_id", "url", "html", "names"])
+
+    rows = pages.mapInArrow(run, "page_id long, url string, html string, names array<string>").withColumn("k", F.sha2("html", 256))
+    some = rows.where(F.size("names") > 0)
+    found = some.select("k", F.explode("names").alias("name")).distinct().join(weights.rest, "name").groupBy("k").agg(F.collect_list(F.struct("name", "inside", "outside")).alias("more"))
+    kind = "array<struct<name:string,inside:bigint,outside:bigint>>"
+    plain = rows.where(F.size("names") == 0).select("page_id", "url", "html", F.lit(None).cast(kind).alias("more"))
+    return plain.unionByName(some.join(found, "k", "left").select("page_id", "url", "html", F.col("more").cast(kind).alias("more")))
 
 
 def main_text(pages: DataFrame, weights: Weights) -> DataFrame:
     """page_id, url, text, n_chars for each row of ``pages`` (page_id, url, html)."""
+    own = replace(weights, rest=None)
+
+    def of_page(more: list[dict] | None) -> Weights:
+        return replace(own, tag=own.tag | {x["name"]: tag_weight(x["inside"], x["outside"]) for x in more}) if more else own
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, urls, pages = b.column(0), b.column(1), b.column(2).to_pylist()
+            more = b.column(3).to_pylist() if b.num_columns > 3 else [None] * len(pages)
             for a in range(0, len(pages), 500):
-                texts = [extract(p, weights) for p in pages[a : a + 500]]
+                texts = [extract(p, of_page(x)) for p, x in zip(pages[a : a + 500], more[a : a + 500], strict=True)]
                 yield pa.RecordBatch.from_arrays([ids.slice(a, len(texts)), urls.slice(a, len(texts)), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return pages.select(F.col("page_id").cast("long"), "url", "html").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    rows = pages.select(F.col("page_id").cast("long"), "url", "html")
+    return (rows if weights.rest is None else with_rare_tags(rows, weights)).mapInArrow(run, OUT)

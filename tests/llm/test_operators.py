@@ -352,6 +352,20 @@ def test_html_articles_leave_outside_zones_only_if_all_are_in_one():
     assert htmltext.extract(f"<div class=header><article><p>{text}</p></article></div><section id=comments><article class=comment>nice one</article></section>", w) == text
 
 
+def test_html_weights_of_more_tags_than_are_sent(spark, monkeypatch):
+    """Each of 1,200 tags has its own weight: those seen in articles don't end the main text."""
+    tail = "after it words go on and on to the end of this page so that they count"
+    n = 1200
+    labelled = "<article>" + "".join(f"<x-{k}>w</x-{k}>" * 3 for k in range(n)) + "</article>" + "".join(f"<y-{k}>w</y-{k}>" * 4 for k in range(20))
+    pages = [(0, "u", labelled)] + [(k + 1, "u", f"<div>{tail}" + f"<x-{k}></x-{k}>" * 5 + f"{tail}</div>") for k in range(0, n, 50)] + [(9999, None, None)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    for kept in (htmltext.KEPT if hasattr(htmltext, "KEPT") else 1000, 30, 10**6):
+        monkeypatch.setattr(htmltext, "KEPT", kept, raising=False)
+        got = {r.page_id: r.text for r in htmltext.main_text(df, htmltext.learn(df)).collect()}
+        assert len(got) == len(pages) and got.pop(9999) == "" and got.pop(0)
+        assert {t.count(tail) for t in got.values()} == {2}
+
+
 def test_best_region_by_brute_force():
     rng = random.Random(3)
     for _ in range(200):
