@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gapline.llm.shared import materialise
+from gapline.llm.shared import lean, materialise
 
 PIECE = re.compile(r"""<!--.*?(?:-->|\Z)|<(?P<end>/?)(?P<name>[A-Za-z][^\s/>]*+)(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*')*+)>|<[!?][^>]*+(?:>|\Z)|</?[A-Za-z][^>]*+\Z""", re.S)
 ATTR = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -234,7 +234,7 @@ def learn(pages: DataFrame) -> Weights:
         k = list(total)
         return pa.RecordBatch.from_arrays([pa.array([x[0] for x in k], pa.string()), pa.array([x[1] for x in k], pa.string()), pa.array([int(total[x]) if x[2] else 0 for x in k], pa.int64()), pa.array([0 if x[2] else int(total[x]) for x in k], pa.int64())], names=["kind", "name", "inside", "outside"])
 
-    counts = pages.select("html").mapInArrow(run, "kind string, name string, inside long, outside long").groupBy("kind", "name").agg(F.sum("inside").alias("inside"), F.sum("outside").alias("outside"))
+    counts = pages.select("html").mapInArrow(lean(run), "kind string, name string, inside long, outside long").groupBy("kind", "name").agg(F.sum("inside").alias("inside"), F.sum("outside").alias("outside"))
     counts = materialise(counts, "names")
     got = counts.orderBy(F.desc("kind"), F.desc(F.col("inside") + F.col("outside")), "name").limit(KEPT + 1).collect()
     more, got = len(got) > KEPT, got[:KEPT]
@@ -256,7 +256,7 @@ def with_rare_tags(pages: DataFrame, weights: Weights) -> DataFrame:
             names = [sorted({v for kind, v, _ in parse(p or "", PRIOR_OUT | PRIOR_IN) if kind == "tag" and v not in known}) for p in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names, pa.list_(pa.string()))], names=["page_id", "url", "html", "names"])
 
-    rows = pages.mapInArrow(run, "page_id long, url string, html string, names array<string>").withColumn("k", F.sha2("html", 256))
+    rows = pages.mapInArrow(lean(run), "page_id long, url string, html string, names array<string>").withColumn("k", F.sha2("html", 256))
     some = rows.where(F.size("names") > 0)
     found = some.select("k", F.explode("names").alias("name")).distinct().join(weights.rest, "name").groupBy("k").agg(F.collect_list(F.struct("name", "inside", "outside")).alias("more"))
     kind = "array<struct<name:string,inside:bigint,outside:bigint>>"
@@ -280,4 +280,4 @@ def main_text(pages: DataFrame, weights: Weights) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([ids.slice(a, len(texts)), urls.slice(a, len(texts)), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     rows = pages.select(F.col("page_id").cast("long"), "url", "html")
-    return (rows if weights.rest is None else with_rare_tags(rows, weights)).mapInArrow(run, OUT)
+    return (rows if weights.rest is None else with_rare_tags(rows, weights)).mapInArrow(lean(run), OUT)

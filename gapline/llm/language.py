@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gapline.llm.shared import lean
 from gapline.llm.textbytes import as_bytes
 
 UND = "und"
@@ -100,7 +101,7 @@ def fit(docs: DataFrame, usable: Column, fit_rows: int = 2400, landmarks: int =
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([np.packbits(presence(t, max_n, width)).tobytes() for t in as_bytes(b.column(1))], pa.binary())], names=["lang", "o", "bits"])
 
-    got = sorted(picked.mapInArrow(bits, "lang string, o long, bits binary").limit(2 * fit_rows).collect(), key=lambda r: (r["o"], r["lang"], r["bits"]))
+    got = sorted(picked.mapInArrow(lean(bits), "lang string, o long, bits binary").limit(2 * fit_rows).collect(), key=lambda r: (r["o"], r["lang"], r["bits"]))
     labels = sorted({r["lang"] for r in got})
     if len(labels) < len(per):
         raise ValueError(f"{len(per) - len(labels)} labels have no row within twice fit_rows = {fit_rows}")
@@ -131,7 +132,7 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
             langs, scores = m.score(as_bytes(b.column(1)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(run), "doc_id long, lang_pred string, score double")
 
 
 def tag(docs: DataFrame, model: LanguageModel) -> DataFrame:
@@ -145,7 +146,7 @@ def tag(docs: DataFrame, model: LanguageModel) -> DataFrame:
             langs, scores = shared.value.score(as_bytes(b.column(at)))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*b.schema.names, "lang_pred", "score"])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+    return docs.mapInArrow(lean(run), T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
 
 
 def with_letter(docs: DataFrame) -> DataFrame:
@@ -156,7 +157,7 @@ def with_letter(docs: DataFrame) -> DataFrame:
         for b in batches:
             yield b.filter(pa.array([bool(t) and has_letter(t) for t in as_bytes(b.column(at))], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def not_held_out() -> Column:

@@ -1,17 +1,29 @@
 """Cross-entropy difference: documents scored by a target and a background bigram model that share one vocabulary.
 
-Vocabulary: every word that occurs twice or more, whatever the size of the input (``vocab`` narrows it to words whose share of all words
-is at least 1 / ``vocab``); the others are one unknown word. Both models are interpolated,
-``mix * c(h w) / c(h) + (1 - mix) * (c(w) + 1) / (N + V)``, with counts over all documents (background) and over the documents of the
-target. The score is the mean over a document's words of the target's loss less the background's, in nats: low scores are like the target.
-
-Words and bigrams with counts are tables that grow with the input and are never gathered; bigrams get the counts of their words by hash
-joins. Only to save joins, words whose share is at least 1 / ``TOP`` and bigrams of those whose share is at least 1 / ``heavy`` (at most
-so many of each) are sent to the executors, which score those bigrams where they read the text; the others go, packed by bigram, to a join
-with the bigrams' scores, and come back as sums for each document.
-
-Words are runs of digits, letters and non-ASCII characters, A-Z lower-cased. A document is a doc_id: rows that share one (or have
-none) are one document. Null text or no words: no score (null). Without target documents both models differ only in smoothing.
+The target is a set of documents, the background all the others, so no document is in both. Both models have the same form,
+
+    P(w | h) = (s * c(h w) + mu * base(w)) / (s * c(h) + mu),
+
+with the same vocabulary (every word of the corpus), the same ``mu`` and the same ``base``, the words' shares in the whole corpus. The counts of
+the larger side are scaled down by ``s`` to the size of the smaller one, so that neither is smoothed less than the other. A
+document's own counts are taken out of its side before it is scored: it never predicts itself. The score is the mean over a document's words
+of the target's loss less the background's, in nats: low scores are like the target.
+
+Counts cover all words of all documents and grow with the input; none is gathered but these, which are bounded by parameters:
+
+1. Words whose share is at least 1 / ``top``, and the counts of what follows them; the executors get these. Rarer words are known too, and told
+   from each other; only in ``base`` they share what is left evenly.
+2. Bigrams whose share is at least 1 / ``heavy`` (by pigeonhole each of them has half that share in some block of text; those are counted). The
+   executors get their counts, so no key of the shuffle holds more than that share of the rows.
+
+All other pairs of a document and a bigram are filed once under a bucket of their bigram (of their first word, if it is rare), packed by
+bucket and block of text, and shuffled. There are as many buckets as keep one within ``bucket`` pairs or so. A bucket is sorted in memory, counts its
+bigrams and gives sums for documents back. Sums are aggregated by document.
+
+Words are runs of digits, letters and non-ASCII characters, A-Z lower-cased. Texts of any length are handled in blocks; a long text's bigrams
+are counted at once. A document is a doc_id: rows that share one (or have none) are one document, though each row is a text of its own when own
+counts are taken out. Null text or no words: no score (null). Without target documents (or without others) that model is the base alone. An empty
+table gives an empty result. Other columns aren't read.
 """
 
 from __future__ import annotations
@@ -24,56 +36,37 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gapline.llm.shared import discard, materialise
+from gapline.llm.shared import discard, lean, materialise
 from gapline.llm.textbytes import ALNUM, U, Block, as_bytes, blocks
 from gapline.llm.textbytes import mix as scramble
 
 BLOCK_BYTES = 4 << 20
+BLOCK_ROWS = 1 << 16
 BROADCAST_IDS = 2_000_000  # ids of target documents that are sent to the executors at most
-TOP = 1 << 17  # words that are sent to the executors at most
-BEGIN, UNKNOWN = -1, -2  # in place of a word's hash
+TOP = 1 << 17
+HEAVY = 1 << 13
+BUCKET = 2_000_000
+BEGIN = -1  # in place of the hash of the word before the first
+NO_ID = -(1 << 63)
+#: a bigram of two frequent words is their numbers; others are hashes with this bit
+HASHED = U(1 << 63)
 
 
-@dataclass(frozen=True)
-class Models:
-    hashes: np.ndarray  # of frequent words, the begin and the unknown word, sorted
-    counts: np.ndarray  # rows of them: as a second word (background, target), as a first word (background, target)
-    total: tuple[int, int]
-    size: int
-    mix: float
-
-    def has(self, h: np.ndarray) -> np.ndarray:
-        return self.hashes[np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)] == h
-
-    def log_probs(self, a: np.ndarray, b: np.ndarray, n: np.ndarray, first: np.ndarray, second: np.ndarray) -> list[np.ndarray]:
-        """Log of the target's and the background's model for bigrams a b with counts n; first and second are the counts of their words where
-        these aren't frequent."""
-        out = []
-        for x, columns, given in ((a, (2, 3), first), (b, (0, 1), second)):
-            k = np.minimum(np.searchsorted(self.hashes, x), len(self.hashes) - 1)
-            out.append(np.where((self.hashes[k] == x)[:, None], self.counts[k][:, columns], given))
-        ch, cw = out
-        single = (cw + 1.0) / (np.array(self.total, float) + self.size)
-        logs = np.log(np.where(ch > 0, self.mix * n / np.maximum(ch, 1) + (1 - self.mix) * single, single))
-        return [logs[:, 1], logs[:, 0]]
-
-
-def bigrams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(first, second, text, last) of each word: hashes of the word before (or the begin) and of itself; whether it ends its text."""
-    parts = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool))]
+def text_blocks(texts: list[bytes]) -> Iterator[tuple[int, int]]:
     for i, j in blocks(texts, BLOCK_BYTES):
-        b = Block(texts[i:j])
-        b.words(ALNUM)
-        if not len(b.starts):
-            continue
-        h = b.word_hashes().view(np.int64)
-        n = np.diff(b.first)
-        before = np.concatenate([[BEGIN], h[:-1]])
-        before[b.first[:-1][n > 0]] = BEGIN
-        last = np.zeros(len(h), bool)
-        last[b.first[1:][n > 0] - 1] = True
-        parts.append((before, h, np.repeat(np.arange(i, j), n), last))
-    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+        for a in range(i, j, BLOCK_ROWS):
+            yield a, min(j, a + BLOCK_ROWS)
+
+
+def bigrams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first, second, text) of each word: hashes of the word before (or the begin) and of itself."""
+    b = Block(texts)
+    b.words(ALNUM)
+    h = b.word_hashes().view(np.int64)
+    n = np.diff(b.first)
+    before = np.concatenate([[BEGIN], h])[: len(h)]
+    before[b.first[:-1][n > 0]] = BEGIN
+    return before, h, np.repeat(np.arange(len(texts)), n)
 
 
 def key_of(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -81,167 +74,301 @@ def key_of(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return scramble(scramble(a.view(U)) * U(0xD6E8FEB86659FD93) + b.view(U)).view(np.int64)
 
 
-def _good(batch: pa.RecordBatch) -> np.ndarray:
-    return np.array([bool(x) for x in batch.column(1).to_pylist()], bool)
+def flags(column: pa.Array) -> np.ndarray:
+    return np.array([bool(x) for x in column.to_pylist()], bool)
+
 
+def find(sorted_values: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Places of ``x`` in ``sorted_values``, -1 where it isn't there."""
+    if not len(sorted_values):
+        return np.full(len(x), -1)
+    k = np.minimum(np.searchsorted(sorted_values, x), len(sorted_values) - 1)
+    return np.where(sorted_values[k] == x, k, -1)
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """x, nb, nt, hb, ht: how often each word hash occurs in ``docs`` (text, good: whether it is of the target) and in the target, and how often
-    as a first word; the begin of a text is a row too."""
+
+@dataclass(frozen=True)
+class Models:
+    words: np.ndarray  # hashes of frequent words and the begin, sorted
+    follow: np.ndarray  # rows of them: words that follow, in the target and in the background
+    base: np.ndarray  # mu * base of each, and of a rare word at the end
+    scale: tuple[float, float]
+    mu: float
+    heavy: np.ndarray  # hashes of heavy bigrams, sorted
+    counts: np.ndarray  # rows of them: in the target and in the background
+
+    def gain(self, counts: np.ndarray, base: np.ndarray) -> np.ndarray:
+        """Columns for target and background: by how much counts (own ones taken out) raise a log probability over the base."""
+        return np.log1p(counts * np.array(self.scale) / base[:, None])
+
+    def history(self, counts: np.ndarray) -> np.ndarray:
+        """Log of the denominator, for counts of what follows a first word."""
+        return np.log(counts * np.array(self.scale) + self.mu)
+
+
+def own(n: np.ndarray, good: np.ndarray) -> np.ndarray:
+    """``n`` in the column of its side."""
+    return np.stack([n * good, n * ~good], axis=1)
+
+
+def count(docs: DataFrame, heavy: int) -> DataFrame:
+    """kind, x, n, t, b for ``docs`` (doc_id, text, good). Kind 0: how often each word occurs, and how often a word follows it in the target and in the
+    background (the begin of a text is a row too). Kind 1: bigrams with a large share of their block, n of them there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            before, h, doc, last = bigrams(as_bytes(batch.column(0)))
-            x, inverse = np.unique(np.append(h, BEGIN), return_inverse=True)
-            good, inverse, start = _good(batch)[doc], inverse[:-1], before == BEGIN
-            at = np.searchsorted(x, BEGIN)
-            c = [np.bincount(inverse[m], minlength=len(x)).astype(np.int64) for m in (slice(None), good, ~last, good & ~last)]
-            c[2][at], c[3][at] = start.sum(), (start & good).sum()
-            yield pa.RecordBatch.from_arrays([pa.array(x), *map(pa.array, c)], names=["x", "nb", "nt", "hb", "ht"])
+            texts, good = as_bytes(batch.column(1)), flags(batch.column(2))
+            for i, j in text_blocks(texts):
+                h, w, doc = bigrams(texts[i:j])
+                if not len(w):
+                    continue
+                side = good[i:j][doc]
+                x, inverse = np.unique(np.concatenate([w, h]), return_inverse=True)
+                n = np.bincount(inverse[: len(w)], minlength=len(x))
+                t = np.bincount(inverse[len(w) :][side], minlength=len(x))
+                b = np.bincount(inverse[len(w) :][~side], minlength=len(x))
+                key, many = np.unique(key_of(h, w), return_counts=True)
+                much = many * 2 * heavy >= len(w)
+                kind = np.repeat([0, 1], [len(x), much.sum()]).astype(np.int32)
+                none = np.zeros(much.sum(), np.int64)
+                cols = [kind, np.append(x, key[much]), np.append(n, many[much]), np.append(t, none), np.append(b, none)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["kind", "x", "n", "t", "b"])
 
-    sums = [F.sum(c).alias(c) for c in ("nb", "nt", "hb", "ht")]
-    return docs.select("text", "good").mapInArrow(run, "x long, nb long, nt long, hb long, ht long").groupBy("x").agg(*sums)
+    rows = docs.mapInArrow(lean(run), "kind int, x long, n long, t long, b long")
+    return rows.groupBy("kind", "x").agg(*[F.sum(c).alias(c) for c in "ntb"])
 
 
-def bigram_counts(docs: DataFrame, models: Models) -> DataFrame:
-    """h, w, kind, nb, nt for ``docs`` (text, good); kind: 2 if the first word isn't frequent, and 1 if the second isn't."""
-    sent = docs.sparkSession.sparkContext.broadcast(models)
+def count_heavy(docs: DataFrame, heavy: np.ndarray) -> np.ndarray:
+    """How often each of the ``heavy`` bigrams occurs in the target and in the background."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros((len(heavy), 2), np.int64)
         for batch in batches:
-            h, w, doc, _ = bigrams(as_bytes(batch.column(0)))
-            _, first, inverse = np.unique(key_of(h, w), return_index=True, return_inverse=True)
-            nb = np.bincount(inverse, minlength=len(first)).astype(np.int64)
-            nt = np.bincount(inverse[_good(batch)[doc]], minlength=len(first)).astype(np.int64)
-            h, w = h[first], w[first]
-            kind = 2 * ~sent.value.has(h) + 1 * ~sent.value.has(w)
-            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(w), pa.array(kind.astype(np.int32)), pa.array(nb), pa.array(nt)], names=["h", "w", "kind", "nb", "nt"])
+            texts, good = as_bytes(batch.column(1)), flags(batch.column(2))
+            for i, j in text_blocks(texts):
+                h, w, doc = bigrams(texts[i:j])
+                k, side = find(heavy, key_of(h, w)), good[i:j][doc]
+                out[:, 0] += np.bincount(k[(k >= 0) & side], minlength=len(heavy))
+                out[:, 1] += np.bincount(k[(k >= 0) & ~side], minlength=len(heavy))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(heavy))), pa.array(out[:, 0]), pa.array(out[:, 1])], names=["k", "t", "b"])
+
+    out = np.zeros((len(heavy), 2))
+    if len(heavy):
+        rows = docs.mapInArrow(lean(run), "k long, t long, b long").groupBy("k").agg(F.sum("t").alias("t"), F.sum("b").alias("b"))
+        for r in rows.collect():  # one row for each heavy bigram at most
+            out[r["k"]] = r["t"], r["b"]
+    return out
+
+
+def train(docs: DataFrame, mu: float, top: int, heavy: int) -> tuple[Models, int]:
+    """The parts of both models that the executors get, and the number of words of ``docs`` (doc_id, text, good)."""
+    counts = materialise(count(docs, heavy), "words")
+    word = (F.col("kind") == 0) & (F.col("x") != BEGIN)
+    total, size = counts.where(word).agg(F.sum("n"), F.count(F.lit(1))).first()
+    total = total or 0
+    frequent = (F.col("kind") == 0) & ((F.col("x") == BEGIN) | (F.col("n") * top >= total))
+    rows = sorted(map(tuple, counts.where(frequent).select("x", "n", "t", "b").collect()))  # ``top`` and the begin at most
+    much = counts.where((F.col("kind") == 1) & (F.col("n") * 2 * heavy >= total)).select("x").collect()  # 2 * ``heavy`` at most
+    much = np.sort(np.array([r["x"] for r in much], np.int64))
+    side = counts.where("kind = 0").agg(F.sum("t"), F.sum("b")).first()
+    least = min(x or 0 for x in side)
+    scale = tuple(float(least) / x if least and x else 1.0 for x in side)
+    words = np.array([r[0] for r in rows], np.int64)
+    n = np.array([r[1] for r in rows], float)
+    known = words != BEGIN
+    rest = size - int(known.sum())
+    rare = (total - n[known].sum()) / rest if rest else 0.0
+    base = mu * (np.append(n, rare) + 1.0) / (total + size) if total else np.append(n, rare)
+    models = Models(words, np.array([r[2:] for r in rows], float).reshape(-1, 2), base, scale, mu, much, count_heavy(docs, much))
+    discard(counts)
+    return models, total
 
-    rows = docs.select("text", "good").mapInArrow(run, "h long, w long, kind int, nb long, nt long")
-    return rows.groupBy("h", "w", "kind").agg(F.sum("nb").alias("nb"), F.sum("nt").alias("nt"))
 
+SUMS = "doc_id long, n long, lt double, lb double"
 
-OF_FIRST, OF_SECOND = ("hb", "ht"), ("cb", "ct")
 
+def sums(ids: np.ndarray, n: np.ndarray, logs: np.ndarray) -> pa.RecordBatch:
+    u, inverse = np.unique(ids, return_inverse=True)
+    cols = [u, np.bincount(inverse, n, len(u)).astype(np.int64), *(np.bincount(inverse, x, len(u)).astype(float) for x in logs.T)]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["doc_id", "n", "lt", "lb"])
 
-def with_words(counts: DataFrame, rare: DataFrame) -> DataFrame:
-    """Bigrams of ``counts`` with a word that isn't frequent, and a, b: their words or the unknown one; counts of those of ``rare`` (x, known and
-    counts); big: whether a and b are frequent or unknown."""
-    none = {c: F.lit(0).cast("long") for c in (*OF_FIRST, *OF_SECOND)}
-    one = rare.select(F.col("x").alias("h"), F.when(F.col("known"), F.col("x")).otherwise(UNKNOWN).alias("a"), *OF_FIRST)
-    two = rare.select(F.col("x").alias("w"), F.when(F.col("known"), F.col("x")).otherwise(UNKNOWN).alias("b"), F.col("nb").alias("cb"), F.col("nt").alias("ct"))
-    columns = ["h", "w", "kind", "nb", "nt", "a", "b", *OF_FIRST, *OF_SECOND]
-    second = counts.where("kind = 1").withColumn("a", F.col("h")).withColumns({c: none[c] for c in OF_FIRST})
-    both = counts.where("kind = 3").join(one, "h")
-    first = counts.where("kind = 2").join(one, "h").withColumn("b", F.col("w")).withColumns({c: none[c] for c in OF_SECOND})
-    out = second.unionByName(both).join(two, "w").select(*columns).unionByName(first.select(*columns))
-    return out.withColumn("big", (F.col("kind").isin(2, 3) <= (F.col("a") == UNKNOWN)) & (F.col("kind").isin(1, 3) <= (F.col("b") == UNKNOWN))).drop("kind")
 
+def doc_counts(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each word: how often its key occurs in its text; and which words are the first with their key in their text."""
+    order = np.lexsort((key, doc))
+    k, d = key[order], doc[order]
+    new = np.ones(len(k), bool)
+    new[1:] = (k[1:] != k[:-1]) | (d[1:] != d[:-1])
+    at = np.flatnonzero(new)
+    each = np.diff(np.append(at, len(k)))
+    n = np.empty(len(k), np.int64)
+    n[order] = np.repeat(each, each)
+    return n, order[at]
 
-SUMS = "doc_id long, n long, lt double, lb double"
 
+def local_sums(docs: DataFrame, models: Models) -> DataFrame:
+    """What a document's score has of counts that the executors have: denominators of frequent first words, the base, heavy bigrams."""
+    sent = docs.sparkSession.sparkContext.broadcast(models)
 
-def score(docs: DataFrame, target: DataFrame, vocab: int | None = None, heavy: int = 1 << 18, mix: float = 0.7) -> DataFrame:
-    """doc_id, n_words, loss_target, loss_background, score of each document of ``docs`` (doc_id, text); ``target`` has the doc_ids of the target."""
-    sc = docs.sparkSession.sparkContext
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    good = target.select(F.col("doc_id").cast("long").alias("doc_id")).distinct().withColumn("good", F.lit(True))
-    if good.count() <= BROADCAST_IDS:  # else both sides are shuffled by doc_id
-        good = F.broadcast(good)
-    marked = docs.join(good, "doc_id", "left").select("text", "good")
-    words = written = materialise(word_counts(marked), "words")
-    total = [x or 0 for x in words.agg(F.sum("nb"), F.sum("nt")).first()]
-    known = (F.col("nb") >= 2) & (F.lit(True) if vocab is None else F.col("nb") * vocab >= total[0])
-    words = words.withColumn("known", known)
-    unknown = words.where(~F.col("known") & (F.col("x") != BEGIN)).agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("nb", "nt", "hb", "ht")]).first()
-    frequent = (F.col("x") == BEGIN) | F.col("known") & (F.col("nb") * TOP >= total[0])
-    top = sorted([*map(tuple, words.where(frequent).select("x", "nb", "nt", "hb", "ht").collect()), (UNKNOWN, *unknown)])
-    models = Models(np.array([r[0] for r in top], np.int64), np.array([r[1:] for r in top], float), tuple(total), words.where("known").count() + 1, mix)
-    counts = materialise(bigram_counts(marked, models), "bigrams")
-    rare_counts = materialise(with_words(counts, words.where(~frequent)), "rare-bigrams")
-    discard(written)
-    models_sent = sc.broadcast(models)
-
-    def logs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            h, w, a, b, *n = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(10))
-            n, first, second = (np.stack(n[c : c + 2], axis=1).astype(float) for c in (0, 2, 4))
-            lt, lb = models_sent.value.log_probs(a, b, n, first, second)
-            yield pa.RecordBatch.from_arrays([pa.array(key_of(h, w)), pa.array(lt), pa.array(lb)], names=["key", "lt", "lb"])
-
-    def scored(rows: DataFrame) -> DataFrame:
-        return rows.select("h", "w", "a", "b", "nb", "nt", *OF_FIRST, *OF_SECOND).mapInArrow(logs, "key long, lt double, lb double")
-
-    plain = counts.where("kind = 0").withColumns({"a": F.col("h"), "b": F.col("w")} | {c: F.lit(0).cast("long") for c in (*OF_FIRST, *OF_SECOND)})
-    some = (F.col("a") == UNKNOWN) | (F.col("b") == UNKNOWN)
-    merged = materialise(rare_counts.where(some).groupBy("a", "b", "big").agg(F.sum("nb").alias("nb"), F.sum("nt").alias("nt")), "unknown")
-    each = rare_counts.where(some).drop("nb", "nt")
-    of_big = each.where("big").drop("big").join(F.broadcast(merged.where("big").drop("big")), ["a", "b"])  # at most two for each frequent word
-    others = each.where("not big").drop("big").join(merged.where("not big").drop("big"), ["a", "b"])
-    names = ["h", "w", "a", "b", "nb", "nt", *OF_FIRST, *OF_SECOND]
-    all_logs = plain.select(*names)
-    for part in (rare_counts.where(~some), of_big, others):
-        all_logs = all_logs.unionByName(part.select(*names))
-    top = sorted(map(tuple, scored(plain.where(F.col("nb") * heavy >= total[0])).collect()))
-    top_key, top_t, top_b = np.array([r[0] for r in top], np.int64), np.array([r[1] for r in top], float), np.array([r[2] for r in top], float)
-    sent = sc.broadcast((top_key, top_t, top_b))
-
-    def split(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
-        top_key = sent.value[0]
-        h, w, doc, _ = bigrams(as_bytes(batch.column(1)))
-        key = key_of(h, w)
-        k = np.searchsorted(top_key, key)
-        hit = top_key[np.minimum(k, len(top_key) - 1)] == key if len(top_key) else np.zeros(len(key), bool)
-        return key, doc, k, hit
-
-    def heavy_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, top_t, top_b = sent.value
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = sent.value
         for batch in batches:
-            _, doc, k, hit = split(batch)
-            n = batch.num_rows
-            d, k = doc[hit], k[hit]
-            st, sb = (np.bincount(d, x[k], n).astype(float) if len(k) else np.zeros(n) for x in (top_t, top_b))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.bincount(doc, minlength=n).astype(np.int64)), pa.array(st), pa.array(sb)], names=["doc_id", "n", "lt", "lb"])
+            ids, texts, good = batch.column(0).to_numpy(), as_bytes(batch.column(1)), flags(batch.column(2))
+            for i, j in text_blocks(texts):
+                h, w, doc = bigrams(texts[i:j])
+                side = good[i:j][doc]
+                logs = np.repeat(np.log(m.base[find(m.words, w)])[:, None], 2, axis=1)
+                k = find(m.words, h)
+                some = np.flatnonzero(k >= 0)
+                n, _ = doc_counts(k[some], doc[some])
+                logs[some] -= m.history(m.follow[k[some]] - own(n, side[some]))
+                logs[k < 0] -= np.log(m.mu)
+                q = find(m.heavy, key_of(h, w))
+                some = np.flatnonzero(q >= 0)
+                n, _ = doc_counts(q[some], doc[some])
+                logs[some] += m.gain(m.counts[q[some]] - own(n, side[some]), m.base[find(m.words, w[some])])
+                none = np.zeros(j - i)  # texts without words are rows too
+                yield sums(np.append(ids[i:j][doc], ids[i:j]), np.append(np.ones(len(doc)), none), np.concatenate([logs, np.stack([none, none], 1)]))
+
+    return docs.mapInArrow(lean(run), SUMS)
+
+
+def pack(pos: np.ndarray, n: np.ndarray, *keys: np.ndarray) -> bytes:
+    """Arrays of one length behind each other; the counts take a byte each if they fit."""
+    small = not len(n) or n.max() < 256
+    parts = [np.array([len(n), 1 if small else 4], "<u4"), *(k.astype("<u8") for k in keys), pos.astype("<u2"), n.astype("u1" if small else "<u4")]
+    return b"".join(p.tobytes() for p in parts)
+
+
+def unpack(data: bytes, keys: int) -> tuple[np.ndarray, ...]:
+    size, width = (int(x) for x in np.frombuffer(data, "<u4", 2))
+    at, out = 8, []
+    for kind in ("<u8",) * keys + ("<u2", "u1" if width == 1 else "<u4"):
+        out.append(np.frombuffer(data, kind, size, at))
+        at += out[-1].nbytes
+    return tuple(out)
+
+
+def pairs(docs: DataFrame, models: Models, buckets: int) -> DataFrame:
+    """bucket, ids, good, frequent, rare: packed pairs of a text and a bigram that isn't heavy, with a frequent or a rare first word."""
+    sent = docs.sparkSession.sparkContext.broadcast(models)
 
-    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = sent.value
         for batch in batches:
-            key, doc, _, hit = split(batch)
-            ids = np.array([-1 if x is None else x for x in batch.column(0).to_pylist()], np.int64)
-            none = np.array([x is None for x in batch.column(0).to_pylist()], bool)
-            key, doc = key[~hit], doc[~hit]
-            order = np.argsort(key, kind="stable")  # the texts of a key stay in order
-            key, doc = key[order], doc[order]
-            new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])])) if len(key) else np.zeros(0, np.int64)
-            times = np.diff(np.append(new, len(key))).astype(np.int32)
-            key, doc = key[new], doc[new]
-            times = np.where(none[doc], -times, times).astype(np.int32)  # negative: the id is null
-            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-            at = np.append(first, len(key))
-
-            def packed(x: np.ndarray) -> pa.Array:
-                return pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer((at * x.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(x))])
-
-            yield pa.RecordBatch.from_arrays([pa.array(key[first]), packed(ids[doc]), packed(times)], names=["key", "docs", "times"])
-
-    def rare_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, texts, good = batch.column(0).to_numpy(), as_bytes(batch.column(1)), flags(batch.column(2))
+            for i, j in text_blocks(texts):
+                h, w, doc = bigrams(texts[i:j])
+                key = key_of(h, w)
+                left = find(m.heavy, key) < 0
+                h, w, doc, key = h[left], w[left], doc[left], key[left]
+                n, first = doc_counts(key, doc)
+                h, w, doc, key, n = h[first], w[first], doc[first], key[first].view(U), n[first]
+                p, q = find(m.words, h), find(m.words, w)
+                both = (p >= 0) & (q >= 0)
+                key = np.where(both, p.astype(U) << U(32) | q.astype(U), key | HASHED)
+                second = np.where(q >= 0, q.astype(U), w.view(U) | HASHED)
+                bucket = (scramble(np.where(p >= 0, key, h.view(U))) % U(buckets)).astype(np.int64)
+                order = np.argsort(bucket, kind="stable")
+                edges = np.searchsorted(bucket[order], np.arange(buckets + 1)) if buckets <= len(order) else None
+                starts = np.unique(bucket) if edges is None else np.flatnonzero(np.diff(edges))
+                rows = []
+                for k in starts.tolist():
+                    own_rows = order[edges[k] : edges[k + 1]] if edges is not None else order[np.searchsorted(bucket[order], k) : np.searchsorted(bucket[order], k, "right")]
+                    local, pos = np.unique(doc[own_rows], return_inverse=True)
+                    f, r = p[own_rows] >= 0, p[own_rows] < 0
+                    a, b = own_rows[f], own_rows[r]
+                    rows.append((k, ids[i:j][local].tobytes(), good[i:j][local].tobytes(), pack(pos[f], n[a], key[a]), pack(pos[r], n[b], h[b].view(U), second[b])))
+                if rows:
+                    kinds = [pa.int64(), *[pa.binary()] * 4]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["bucket", "ids", "good", "frequent", "rare"])
+
+    return docs.mapInArrow(lean(run), "bucket long, ids binary, good binary, frequent binary, rare binary")
+
+
+def grouped(n: np.ndarray, *keys: np.ndarray) -> np.ndarray:
+    """For each row the sum of ``n`` (rows, columns) over the rows with the same keys."""
+    order = np.lexsort(keys) if len(keys) > 1 else np.argsort(keys[0], kind="stable")
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for k in keys:
+        new[1:] |= k[order][1:] != k[order][:-1]
+    at = np.flatnonzero(new)
+    out = np.empty(n.shape)
+    out[order] = np.repeat(np.add.reduceat(n[order], at, axis=0), np.diff(np.append(at, len(order))), axis=0)
+    return out
+
+
+def bucket_sums(rows: list[tuple[bytes, ...]], m: Models) -> pa.RecordBatch | None:
+    """Sums for documents from all rows (ids, good, frequent, rare) of one bucket."""
+    out: list[tuple[np.ndarray, np.ndarray]] = []
+    sizes = np.cumsum([0] + [len(r[1]) for r in rows])
+    ids = np.frombuffer(b"".join(r[0] for r in rows), np.int64)
+    good = np.frombuffer(b"".join(r[1] for r in rows), bool)
+    for column, keys in ((2, 1), (3, 2)):
+        parts = [unpack(r[column], keys) for r in rows]
+        *key, n = (np.concatenate(x) for x in zip(*[(*p[:keys], p[-1].astype(np.int64)) for p in parts], strict=True))
+        if not len(n):
+            continue
+        text = np.concatenate([p[-2].astype(np.int64) + a for p, a in zip(parts, sizes, strict=False)])
+        mine = own(n, good[text])
+        second = key[-1]
+        hashed = second & HASHED > 0
+        base = m.base[np.where(hashed, -1, (second & U(0xFFFFFFFF)).astype(np.int64))]
+        if keys == 1:
+            logs = m.gain(grouped(mine, *key) - mine, base)
+        else:
+            logs = m.gain(grouped(mine, *key) - mine, base) - np.log1p((grouped(mine, key[0]) - grouped(mine, key[0], text)) * np.array(m.scale) / m.mu)
+        logs *= n[:, None]
+        some = np.flatnonzero(logs.any(axis=1))
+        out.append((ids[text[some]], logs[some]))
+    if not out:
+        return None
+    all_ids, all_logs = (np.concatenate(x) for x in zip(*out, strict=True))
+    return sums(all_ids, np.zeros(len(all_ids)), all_logs)
+
+
+def shuffled_sums(packed: DataFrame, models: Models, parts: int) -> DataFrame:
+    sent = packed.sparkSession.sparkContext.broadcast(models)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, held = None, []
         for batch in batches:
-            lt, lb = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(2))
-            docs, times = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            each = np.fromiter((len(x) // 8 for x in docs), np.int64, len(docs))
-            d = np.frombuffer(b"".join(docs), np.int64)
-            t = np.frombuffer(b"".join(times), np.int32)
-            null, t = t < 0, np.abs(t)
-            for part, ids in ((~null, None), (null, [None])):
-                if not part.any():
-                    continue
-                u, inverse = np.unique(d[part], return_inverse=True)
-                st = np.bincount(inverse, (np.repeat(lt, each) * t)[part], len(u))
-                sb = np.bincount(inverse, (np.repeat(lb, each) * t)[part], len(u))
-                out = pa.array(u) if ids is None else pa.array(ids, pa.int64())
-                yield pa.RecordBatch.from_arrays([out, pa.array(np.zeros(len(u), np.int64)), pa.array(st), pa.array(sb)], names=["doc_id", "n", "lt", "lb"])
-
-    joined = docs.mapInArrow(rare, "key long, docs binary, times binary").join(scored(all_logs), "key").select("lt", "lb", "docs", "times")
-    sums = docs.mapInArrow(heavy_sums, SUMS).unionByName(joined.mapInArrow(rare_sums, SUMS))
-    out = sums.groupBy("doc_id").agg(F.sum("n").alias("n_words"), F.sum("lt").alias("lt"), F.sum("lb").alias("lb"))
+            for r in range(batch.num_rows):
+                k, *row = (c[r].as_py() for c in batch.columns)
+                if k != bucket:
+                    if held and (found := bucket_sums(held, sent.value)) is not None:
+                        yield found
+                    bucket, held = k, []
+                held.append(tuple(row))
+        if held and (found := bucket_sums(held, sent.value)) is not None:
+            yield found
+
+    return packed.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(lean(run), SUMS)
+
+
+def score(docs: DataFrame, target: DataFrame, mu: float = 100.0, top: int = TOP, heavy: int = HEAVY, bucket: int = BUCKET) -> DataFrame:
+    """doc_id, n_words, loss_target, loss_background, score of each document of ``docs`` (doc_id, text); ``target`` has the doc_ids of the target."""
+    if top < 2 * heavy:
+        raise ValueError("top is at least twice heavy, so that the words of heavy bigrams are frequent")
+    spark = docs.sparkSession
+    good = target.select(F.col("doc_id").cast("long").alias("doc_id")).distinct().withColumn("good", F.lit(True))
+    if good.count() <= BROADCAST_IDS:  # else both sides are shuffled by doc_id
+        good = F.broadcast(good)
+    marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(good, "doc_id", "left")
+    marked = marked.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text", "good")
+    models, total = train(marked, mu, top, heavy)
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // bucket))
+    rare = shuffled_sums(pairs(marked, models, parts), models, parts)
+    out = local_sums(marked, models).unionByName(rare)
+    out = out.groupBy("doc_id").agg(F.sum("n").alias("n_words"), F.sum("lt").alias("lt"), F.sum("lb").alias("lb"))
     n = F.nullif("n_words", F.lit(0))
-    return out.select("doc_id", "n_words", (-F.col("lt") / n).alias("loss_target"), (-F.col("lb") / n).alias("loss_background"), ((F.col("lb") - F.col("lt")) / n).alias("score"))
+    loss_t, loss_b = -F.col("lt") / n, -F.col("lb") / n
+    doc_id = F.nullif("doc_id", F.lit(NO_ID))
+    return out.select(doc_id.alias("doc_id"), "n_words", loss_t.alias("loss_target"), loss_b.alias("loss_background"), (loss_t - loss_b).alias("score"))
+
+
+def divide(scored: DataFrame, target: DataFrame) -> float:
+    """The score halfway between the mean scores of target documents and of the others; 0 if either has none."""
+    good = target.select("doc_id").distinct().withColumn("good", F.lit(True))
+    rows = scored.where("score is not null").join(good, "doc_id", "left").groupBy("good").agg(F.avg("score").alias("m")).collect()
+    return sum(r["m"] for r in rows) / 2 if len(rows) == 2 else 0.0

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gapline.llm.shared import fresh_path, materialise
+from gapline.llm.shared import fresh_path, lean, materialise
 from gapline.llm.textbytes import as_bytes
 
 UNIT = 192
@@ -125,7 +125,7 @@ def store(docs: DataFrame, folder: str | None = None) -> DataFrame:
             if out:
                 out.close()
 
-    index = materialise(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, INDEX), "media-index")
+    index = materialise(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(run), INDEX), "media-index")
     return index.withColumn("folder", F.lit(folder))
 
 
@@ -156,7 +156,7 @@ def with_metadata(index: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([*b.schema, *((c, pa.int32()) for c in ("width", "height", "depth", "colour"))]))
 
     cols = ["doc_id", "n_bytes", "digest", "folder", "shard", "offset", "length"]
-    return _by_shard(index.select(*cols)).mapInArrow(run, META)
+    return _by_shard(index.select(*cols)).mapInArrow(lean(run), META)
 
 
 READ = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, width int, height int"
@@ -195,4 +195,4 @@ def read_back(index: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     cols = ["doc_id", "n_bytes", "digest", "folder", "shard", "offset", "length", *meta]
-    return _by_shard(index.select(*cols)).mapInArrow(run, ", ".join([READ, *(f"{c} int" for c in extra)]))
+    return _by_shard(index.select(*cols)).mapInArrow(lean(run), ", ".join([READ, *(f"{c} int" for c in extra)]))

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gapline.llm.shared import discard, materialise
+from gapline.llm.shared import discard, lean, materialise
 from gapline.llm.textbytes import BASE, LOWER_VALUE, NOT_BLANK, U, Block, as_bytes, blocks, mix, window_hashes
 
 BLOCK_BYTES = 1 << 20
@@ -101,7 +101,7 @@ def sign(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
                         keys[d] = own
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(count, pa.int64()), pa.array(cls, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "th", "n", "cls", "band"])
 
-    return docs.select("doc_id", "th", "text").mapInArrow(run, "doc_id long, th long, n long, cls binary, band array<long>")
+    return docs.select("doc_id", "th", "text").mapInArrow(lean(run), "doc_id long, th long, n long, cls binary, band array<long>")
 
 
 def sets_of(texts: DataFrame, size: int) -> DataFrame:
@@ -115,7 +115,7 @@ def sets_of(texts: DataFrame, size: int) -> DataFrame:
                 sets = [np.unique(h[first[d] : first[d + 1]]).tobytes() for d in range(j - i)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(sets, pa.binary())], names=["cls", "items"])
 
-    return texts.select("cls", "text").mapInArrow(run, "cls binary, items binary")
+    return texts.select("cls", "text").mapInArrow(lean(run), "cls binary, items binary")
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -143,7 +143,7 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     share = pairs.join(parts.where("part = 0").select("a", "parts"), "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts") + 1).cast("int"))
     right = share.select("a", "part", "b").join(sets.select(F.col("cls").alias("b"), F.col("items").alias("y")), "b")
     both = right.join(left, ["a", "part"]).select("a", "b", "x", "y")
-    return both.mapInArrow(run, "a binary, b binary")
+    return both.mapInArrow(lean(run), "a binary, b binary")
 
 
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -261,7 +261,7 @@ def links_in_blocks(sets: DataFrame, percent: int) -> DataFrame:
             yield done()
 
     n = max(1, int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return sets.select("comp", "cls", "items").repartition(n, "comp").sortWithinPartitions("comp").mapInArrow(run, "a binary, b binary")
+    return sets.select("comp", "cls", "items").repartition(n, "comp").sortWithinPartitions("comp").mapInArrow(lean(run), "a binary, b binary")
 
 
 def prefixes(sets: DataFrame, percent: int) -> DataFrame:
@@ -273,7 +273,7 @@ def prefixes(sets: DataFrame, percent: int) -> DataFrame:
                 t = np.frombuffer(x, np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array([c] * len(t), pa.binary()), pa.array([k] * len(t), pa.binary()), pa.array(np.full(len(t), len(t))), pa.array(t)], names=["comp", "cls", "n", "token"])
 
-    rows = sets.select("comp", "cls", "items").mapInArrow(run, "comp binary, cls binary, n long, token long").withColumn("key", F.xxhash64("comp", "token")).select("key", "cls", "n")
+    rows = sets.select("comp", "cls", "items").mapInArrow(lean(run), "comp binary, cls binary, n long, token long").withColumn("key", F.xxhash64("comp", "token")).select("key", "cls", "n")
     rows = materialise(rows, "tokens")
     often = rows.groupBy("key").agg(F.count(F.lit(1)).alias("f"))
     placed = rows.join(often, "key").withColumn("pos", F.row_number().over(Window.partitionBy("cls").orderBy("f", "key")))

@@ -19,11 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gapline.llm.shared import lean
 from gapline.llm.textbytes import Block, as_bytes, blocks
 
 BLOCK_BYTES = 2 << 20
 #: distinct words whose ids a worker keeps at most
-CACHED_WORDS = 800_000
+CACHED_WORDS = 200_000
 #: blanks: no token of the tokenizer reaches across, whatever stands around them
 BREAK = np.ones(256, bool)
 BREAK[[0x20, 0x09, 0x0A, 0x0D]] = False
@@ -150,5 +151,5 @@ def pack(docs: DataFrame, tokenizer_file: str | None = None, max_len: int = 2048
                 names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "bucket", "ids"]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=names)
 
-    out = docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    out = docs.select("doc_id", "text").mapInArrow(lean(run), SCHEMA)
     return out.withColumns({"sequence_id": F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gapline.llm import chat, decontam, htmltext, language, lmscore, media, neardup, packing, substrings, urlfilter
+from gapline.llm.shared import materialise
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,10 +20,10 @@ RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "exa
 
 
 def op1_lmscore(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The target is what is labelled good and not toxic; ``keep`` is on the target's side of the background."""
+    """The target is what is labelled good and not toxic; ``keep`` is on the target's side of the point between both sides' means."""
     target = table(spark, sf_dir, "labels").where("quality = 1 and coalesce(toxic, 0) = 0")
-    out = lmscore.score(table(spark, sf_dir, "documents"), target)
-    return out.withColumn("keep", F.coalesce(F.col("score") <= 0, F.lit(False)))
+    out = materialise(lmscore.score(table(spark, sf_dir, "documents"), target), "scores")
+    return out.withColumn("keep", F.coalesce(F.col("score") <= lmscore.divide(out, target), F.lit(False)))
 
 
 def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:

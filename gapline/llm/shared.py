@@ -2,23 +2,34 @@
 
 from __future__ import annotations
 
+import atexit
+import ctypes
+import re
+import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; only where it is unset (tests), a local temporary folder."""
+    """``spark.checkpoint.dir`` of the session. Where it is unset, a temporary folder, on a local master only: on a cluster
+    each executor would write to a disk of its own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own:
-        _own[app] = "file://" + tempfile.mkdtemp(prefix="gapline-")
-    return _own[app]
+    sc = spark.sparkContext
+    if not re.fullmatch(r"local(\[[^]]*\])?", sc.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if sc.applicationId not in _own:
+        folder = tempfile.mkdtemp(prefix="gapline-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        _own[sc.applicationId] = f"file://{folder}"
+    return _own[sc.applicationId]
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
@@ -42,3 +53,34 @@ def discard(df: DataFrame) -> None:
         sc = df.sparkSession.sparkContext
         p = sc._jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def trim() -> None:
+    """Gives freed memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+Batches = Iterator[pa.RecordBatch]
+
+
+def lean(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """``run`` for ``mapInArrow``, with what it freed given back after each batch and task: Spark reuses its Python workers, so what one
+    stage leaves would add to the next one's memory."""
+
+    def wrapped(batches: Batches) -> Batches:
+        def each() -> Batches:
+            for batch in batches:
+                yield batch
+                del batch
+                trim()
+
+        try:
+            yield from run(each())
+        finally:
+            trim()
+
+    return wrapped

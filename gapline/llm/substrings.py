@@ -17,7 +17,8 @@ at a time, blockwise:
 4. The runs of repeated windows go back to their texts.
 
 Equal texts are one text with a count: if it is ``depth`` bytes long and occurs twice, all of it goes. Matches never cross texts. Null
-text is empty. Rows are judged alike whatever their other columns.
+text is empty. Rows are judged alike whatever their other columns. A text of any length is handled in overlapping parts of
+``BLOCK_BYTES``; beside those a worker holds its bytes once or twice and a few words for each of its anchors.
 """
 
 from __future__ import annotations
@@ -30,14 +31,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gapline.llm.shared import discard, materialise
+from gapline.llm.shared import discard, lean, materialise
 from gapline.llm.textbytes import BASE, BYTE_VALUE, U, Block, as_bytes, blocks, mix
 
 DEPTH = 200
 GRAM = 64
 PERIOD = 32
 BLOCK_BYTES = 1 << 19
-SORT_BYTES = 3 << 20
+SORT_BYTES = 3 << 19
+CUT_BYTES = 2 << 20
 MOST = 20_000
 
 
@@ -162,24 +164,37 @@ def anchors(b: Block, depth: int) -> tuple[np.ndarray, ...]:
     return t, h[a].view(np.int64), a - b.begin[t], s0 - b.begin[t], s1 - b.begin[t]
 
 
+def pieces(texts: list[bytes], depth: int) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray]]:
+    """Blocks of texts, and for each of a block's the number of its text and its place there. A text longer than a block is cut into
+    overlapping parts, so that each window is whole in one of them; what a window's anchor is depends on the window alone."""
+    for i, j in blocks(texts, BLOCK_BYTES):
+        if j - i > 1 or len(texts[i]) <= 2 * BLOCK_BYTES:
+            yield texts[i:j], np.arange(i, j), np.zeros(j - i, np.int64)
+            continue
+        for a in range(0, len(texts[i]) - depth + 1, BLOCK_BYTES):
+            yield [texts[i][a : a + BLOCK_BYTES + depth - 1]], np.array([i]), np.array([a])
+
+
 def find_anchors(docs: DataFrame, depth: int, places: bool) -> DataFrame:
     """fp and occ (a hash of text and place) of each anchor of ``docs`` (tk, text); with ``places`` also tk, s0, s1 and at."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, keys = as_bytes(batch.column(1)), batch.column(0)
-            for i, j in blocks(texts, BLOCK_BYTES):
-                t, fp, at, s0, s1 = anchors(Block(texts[i:j]), depth)
+            for part, owner, shift in pieces(texts, depth):
+                t, fp, at, s0, s1 = anchors(Block(part), depth)
                 if not len(t):
                     continue
-                head = np.array([int.from_bytes(k.as_py()[:8], "little") for k in keys.slice(i, j - i)], U)
-                occ = mix(head[t] + at.astype(U) * U(BASE)).view(np.int64)
+                own = owner[t]
+                at, s0, s1 = (x + shift[t] for x in (at, s0, s1))
+                head = np.array([int.from_bytes(keys[k].as_py()[:8], "little") for k in range(owner[0], owner[-1] + 1)], U)
+                occ = mix(head[own - owner[0]] + at.astype(U) * U(BASE)).view(np.int64)
                 cols = {"fp": pa.array(fp), "occ": pa.array(occ)}
                 if places:
-                    cols |= {"tk": keys.slice(i, j - i).take(pa.array(t)), "s0": pa.array(s0.astype(np.int32)), "s1": pa.array(s1.astype(np.int32)), "at": pa.array(at.astype(np.int32))}
+                    cols |= {"tk": keys.take(pa.array(own)), "s0": pa.array(s0.astype(np.int32)), "s1": pa.array(s1.astype(np.int32)), "at": pa.array(at.astype(np.int32))}
                 yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
 
-    return docs.select("tk", "text").mapInArrow(run, "fp long, occ long" + ", tk binary, s0 int, s1 int, at int" * places)
+    return docs.select("tk", "text").mapInArrow(lean(run), "fp long, occ long" + ", tk binary, s0 int, s1 int, at int" * places)
 
 
 RUNS = pa.list_(pa.struct([("a", pa.int32()), ("z", pa.int32())]))
@@ -227,7 +242,7 @@ def sort_blocks(contexts: DataFrame, depth: int) -> DataFrame:
 
     n = max(1, int(contexts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     dealt = contexts.select("fp", "ch", "d0", "dup", "ctx").repartition(n, "fp").sortWithinPartitions("fp")
-    return dealt.mapInArrow(run, "fp long, ch binary, runs array<struct<a:int,z:int>>")
+    return dealt.mapInArrow(lean(run), "fp long, ch binary, runs array<struct<a:int,z:int>>")
 
 
 def count_windows(contexts: DataFrame, depth: int) -> DataFrame:
@@ -240,7 +255,7 @@ def count_windows(contexts: DataFrame, depth: int) -> DataFrame:
                 w = [hashlib.blake2b(ctx[k : k + depth], digest_size=16).digest() for k in range(n)]
                 yield pa.RecordBatch.from_arrays([pa.array([fp] * n, pa.int64()), pa.array([ch] * n, pa.binary()), pa.array(range(n), pa.int32()), pa.array([dup] * n, pa.bool_()), pa.array(w, pa.binary())], names=["fp", "ch", "k", "dup", "w"])
 
-    rows = contexts.select("fp", "ch", "d0", "dup", "ctx").mapInArrow(run, "fp long, ch binary, k int, dup boolean, w binary")
+    rows = contexts.select("fp", "ch", "d0", "dup", "ctx").mapInArrow(lean(run), "fp long, ch binary, k int, dup boolean, w binary")
     rows = materialise(rows, "windows")
     occ = F.xxhash64("fp", "ch", "k")
     often = rows.groupBy("w").agg(F.min(occ).alias("x"), F.max(occ).alias("y"), F.max("dup").alias("d")).where("x <> y or d").select("w")
@@ -264,12 +279,18 @@ def cut_contexts(texts: DataFrame, depth: int) -> DataFrame:
                 text = np.repeat(np.arange(j - i), each)
                 size = s1.astype(np.int64) - s0 + depth
                 ends = np.concatenate([[0], np.cumsum(size)])
-                data = b.buf[np.repeat(b.begin[text] + s0 - ends[:-1], size) + np.arange(ends[-1])]
-                ctx = pa.Array.from_buffers(pa.binary(), len(fp), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data)])
-                cols = {"fp": pa.array(fp), "tk": batch.column(0).slice(i, j - i).take(pa.array(text)), "s0": pa.array(s0), "d0": pa.array((at - s0).astype(np.int32)), "ctx": ctx}
-                yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
+                p = 0
+                while p < len(fp):  # at most CUT_BYTES of contexts at a time
+                    q = max(p + 1, int(np.searchsorted(ends, ends[p] + CUT_BYTES, "right")) - 1)
+                    some, offset = slice(p, q), ends[p : q + 1] - ends[p]
+                    data = b.buf[np.repeat(b.begin[text[some]] + s0[some] - offset[:-1], size[some]) + np.arange(offset[-1])]
+                    ctx = pa.Array.from_buffers(pa.binary(), q - p, [None, pa.py_buffer(offset.astype(np.int32)), pa.py_buffer(data)])
+                    cols = {"fp": pa.array(fp[some]), "tk": batch.column(0).slice(i, j - i).take(pa.array(text[some])), "s0": pa.array(s0[some])}
+                    cols |= {"d0": pa.array((at[some] - s0[some]).astype(np.int32)), "ctx": ctx}
+                    yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
+                    p = q
 
-    return texts.select("tk", "text", "found").mapInArrow(run, "fp long, tk binary, s0 int, d0 int, ctx binary")
+    return texts.select("tk", "text", "found").mapInArrow(lean(run), "fp long, tk binary, s0 int, d0 int, ctx binary")
 
 
 def inner_characters(text: bytes, a: int, z: int) -> tuple[int, int]:
@@ -307,7 +328,7 @@ def cut_texts(texts: DataFrame, depth: int, as_text: bool) -> DataFrame:
                 kinds = [pa.binary(), pa.int64(), pa.int64(), RUNS, pa.string() if as_text else pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["tk", "n_removed", "n_spans", "spans", "kept"])
 
-    return texts.select("tk", "text", "whole", "runs").mapInArrow(run, "tk binary, n_removed long, n_spans long, spans array<struct<a:int,z:int>>, kept " + ("string" if as_text else "binary"))
+    return texts.select("tk", "text", "whole", "runs").mapInArrow(lean(run), "tk binary, n_removed long, n_spans long, spans array<struct<a:int,z:int>>, kept " + ("string" if as_text else "binary"))
 
 
 def find_runs(docs: DataFrame, depth: int, most: int) -> tuple[DataFrame, DataFrame]:

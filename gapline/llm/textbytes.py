@@ -13,6 +13,8 @@ import pyarrow as pa
 
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2**64
+#: bytes whose hashes are computed at once: what a worker needs beside a text doesn't grow with the text
+SEGMENT = 1 << 19
 _powers: dict[str, np.ndarray] = {"up": np.ones(1, U), "down": np.ones(1, U)}
 
 
@@ -41,14 +43,18 @@ ALNUM[0x80:] = True
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i modulo 2**64 for i < n."""
+    """BASE**i and BASE**-i modulo 2**64 for i < n. Only tables of at most ``SEGMENT`` powers are kept for the next call."""
     have = len(_powers["up"])
     if have < n:
-        n2 = max(n, 2 * have)
+        size = max(n, min(2 * have, SEGMENT + 1))
+        tables = {}
         for key, b in (("up", BASE), ("down", pow(BASE, -1, 1 << 64))):
-            steps = np.full(n2, U(b))
+            steps = np.full(size, U(b))
             steps[0] = 1
-            _powers[key] = np.multiply.accumulate(steps)
+            tables[key] = np.multiply.accumulate(steps)
+        if size > SEGMENT + 1:
+            return tables["up"], tables["down"]
+        _powers.update(tables)
     return _powers["up"][:n], _powers["down"][:n]
 
 
@@ -96,8 +102,27 @@ class Block:
         return out
 
     def word_hashes(self, values: np.ndarray = LOWER_VALUE) -> np.ndarray:
-        p = self.prefix(values)
-        return mix((p[self.ends] - p[self.starts]) * self.down[self.starts] + (self.ends - self.starts).astype(U))
+        """Hashes of the words, for runs of words of at most ``SEGMENT`` bytes at a time."""
+        out = np.empty(len(self.starts), U)
+        a = 0
+        while a < len(out):
+            s0 = int(self.starts[a])
+            z = max(a + 1, int(np.searchsorted(self.ends, s0 + SEGMENT, "right")))
+            e0 = int(self.ends[z - 1])
+            up, down = powers(min(e0 - s0, SEGMENT) + 1)
+            if e0 - s0 > SEGMENT:  # one word longer than that
+                total = e0 - s0
+                for k in range(s0, e0, SEGMENT):
+                    part = values[self.buf[k : min(e0, k + SEGMENT)]]
+                    total += int((part * up[: len(part)]).sum(dtype=U)) * pow(BASE, k - s0, 1 << 64)
+                out[a:z] = mix(np.array([total & (1 << 64) - 1], U))
+            else:
+                p = np.zeros(e0 - s0 + 1, U)
+                np.cumsum(values[self.buf[s0:e0]] * up[:-1], out=p[1:])
+                s, e = self.starts[a:z] - s0, self.ends[a:z] - s0
+                out[a:z] = mix((p[e] - p[s]) * down[s] + (e - s).astype(U))
+            a = z
+        return out
 
 
 def window_hashes(h: np.ndarray, size: int) -> np.ndarray:

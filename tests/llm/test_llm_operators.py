@@ -269,53 +269,69 @@ def test_language_learns_every_label(spark):
         language.fit(docs, F.lit(True), fit_rows=600)
 
 
-def test_lmscore(spark, rows):
+def brute_scores(rows, target, mu, top):
+    """doc_id -> (words, loss of the target's model, loss of the background's)."""
     import math
 
-    target = {0, 4, 7}
-    by = collections.defaultdict(list)
-    for i, t in rows:
-        by[i].append(item_words(t))
-    n = collections.Counter(w for x in by.values() for y in x for w in y)
-    total = sum(n.values())
-    for vocab, heavy in ((60, 100), (1 << 16, 1), (1, 1 << 16)):
-        known = {w for w, c in n.items() if c >= 2 and c * vocab >= total}
-        pairs = {i: [(a, b) for y in x for z in [[w if w in known else None for w in y]] for a, b in zip(["<", *z], z, strict=False)] for i, x in by.items()}
-        models = []
-        for ids in (target, set(by)):
-            p = [q for i in ids for q in pairs[i]]
-            models.append((collections.Counter(p), collections.Counter(a for a, _ in p), collections.Counter(b for _, b in p), len(p)))
-
-        def loss(model, a, b, size=len(known) + 1):
-            c, h, w, m = model
-            s = (w[b] + 1) / (m + size)
-            return -math.log(0.7 * c[a, b] / h[a] + 0.3 * s if h[a] else s)
-
-        got = {r.doc_id: r for r in lmscore.score(frame(spark, rows), spark.createDataFrame([(i,) for i in target], "doc_id long"), vocab, heavy).collect()}
-        assert set(got) == set(by)
-        for i, p in pairs.items():
-            assert got[i].n_words == len(p)
-            if p:
-                t, b = (sum(loss(m, *q) for q in p) / len(p) for m in models)
-                assert got[i].loss_target == pytest.approx(t) and got[i].loss_background == pytest.approx(b) and got[i].score == pytest.approx(t - b)
-            else:
-                assert got[i].score is None
-    assert lmscore.score(frame(spark, []), spark.createDataFrame([], "doc_id long")).count() == 0
-
-
-def test_lmscore_knows_every_word_that_occurs_twice(spark, monkeypatch):
-    """However many words there are, one that occurs twice is told from another; what is sent to the executors changes nothing."""
+    texts = [(i, i in target, item_words(t)) for i, t in rows]
+    words = collections.Counter(w for *_, x in texts for w in x)
+    total = sum(words.values())
+    frequent = {w for w, n in words.items() if n * top >= total}
+    rare = [n for w, n in words.items() if w not in frequent]
+    share = sum(rare) / len(rare) if rare else 0
+    base = {w: mu * ((n if w in frequent else share) + 1) / (total + len(words)) for w, n in words.items()}
+    pairs = [list(zip([None, *x], x, strict=False)) for *_, x in texts]
+    c = [collections.Counter(p for (_, good, _), ps in zip(texts, pairs, strict=True) if good == side for p in ps) for side in (True, False)]
+    h = [collections.Counter(p[0] for (_, good, _), ps in zip(texts, pairs, strict=True) if good == side for p in ps) for side in (True, False)]
+    sizes = [sum(x.values()) for x in c]
+    scale = [min(sizes) / n if min(sizes) else 1.0 for n in sizes]
+    out = collections.defaultdict(lambda: [0, 0.0, 0.0])
+    for (i, good, _), ps in zip(texts, pairs, strict=True):
+        own, first = collections.Counter(ps), collections.Counter(p[0] for p in ps)
+        out[i][0] += len(ps)
+        for p in ps:
+            for k in (0, 1):
+                mine = good == (k == 0)
+                cp, ch = c[k][p] - mine * own[p], h[k][p[0]] - mine * first[p[0]]
+                out[i][1 + k] -= math.log((scale[k] * cp + base[p[1]]) / (scale[k] * ch + mu))
+    return out
+
+
+@pytest.mark.parametrize(("top", "heavy", "bucket"), [(1 << 17, 1 << 13, 2_000_000), (100, 1, 500), (600, 300, 50), (2, 1, 10)])
+def test_lmscore(spark, rows, top, heavy, bucket):
+    target = {0, 3, 4, 7}
+    want = brute_scores(rows, target, 10.0, top)
+    scored = lmscore.score(frame(spark, rows), spark.createDataFrame([(i,) for i in target], "doc_id long"), 10.0, top, heavy, bucket)
+    got = {r.doc_id: r for r in scored.collect()}
+    assert set(got) == set(want)
+    for i, (n, t, b) in want.items():
+        assert got[i].n_words == n
+        if n:
+            assert (got[i].loss_target, got[i].loss_background) == (pytest.approx(t / n), pytest.approx(b / n)) and got[i].score == pytest.approx((t - b) / n)
+        else:
+            assert got[i].score is None
+
+
+def test_lmscore_edges(spark, rows):
+    ids = "doc_id long"
+    assert lmscore.score(frame(spark, []), spark.createDataFrame([(1,)], ids)).count() == 0
+    for target in ([], [(i,) for i, _ in rows if i is not None]):
+        want = brute_scores(rows, {i for (i,) in target}, 100.0, 1 << 17)
+        for r in lmscore.score(frame(spark, rows), spark.createDataFrame(target, ids)).collect():
+            assert r.score is None or r.score == pytest.approx((want[r.doc_id][1] - want[r.doc_id][2]) / r.n_words)
+
+
+def test_lmscore_tells_words_that_occur_twice(spark, monkeypatch):
+    """However many words there are, one that occurs in two documents is told from another."""
     from gapline.llm import queries
 
     common = [(k, "the " * 2000) for k in range(100)]
     docs = frame(spark, [*common, (100, "the aa bb"), (101, "the aa bb"), (102, "the cc dd"), (103, "the cc dd"), (104, "the ee"), (105, "ff ee")])
     target = spark.createDataFrame([(100, 1, 0)], "doc_id long, quality int, toxic int")
     monkeypatch.setattr(queries, "table", lambda spark, sf_dir, name: target if name == "labels" else docs)
-    got = {r.doc_id: r.score for r in queries.op1_lmscore(spark, "").collect()}
-    assert len(got) == 106 and got[101] == got[100] < got[103] == got[102]
-    for top in (1, 1 << 30):
-        monkeypatch.setattr(lmscore, "TOP", top)
-        assert {r.doc_id: r.score for r in queries.op1_lmscore(spark, "").collect()} == pytest.approx(got)
+    got = {r.doc_id: r for r in queries.op1_lmscore(spark, "").collect()}
+    assert len(got) == 106 and got[101].score < got[104].score < min(got[k].score for k in (100, 102, 103)) and got[102].score == got[103].score
+    assert got[101].keep and not got[103].keep
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T &amp; t</title><style>p{{}}</style><script>var t="</p><p>no";</script></head><body>
