@@ -25,7 +25,23 @@ from gapline.llm.shared import materialise
 
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
 #: fixed values: control strings of common chat templates, besides this one's
-CONTROL = (TURN, TEXT, END, "<|im_start|>", "<|im_end|>", "<|endoftext|>", "<|system|>", "<|user|>", "<|assistant|>", "<s>", "</s>", "<<SYS>>", "<</SYS>>", "[INST]", "[/INST]")
+CONTROL = (
+    TURN,
+    TEXT,
+    END,
+    "<|im_start|>",
+    "<|im_end|>",
+    "<|endoftext|>",
+    "<|system|>",
+    "<|user|>",
+    "<|assistant|>",
+    "<s>",
+    "</s>",
+    "<<SYS>>",
+    "<</SYS>>",
+    "[INST]",
+    "[/INST]",
+)
 FIRST = {"<": "\\l", "[": "\\k"}
 
 
@@ -62,7 +78,10 @@ def reply_paths(messages: DataFrame) -> DataFrame:
     while reach < longest and not jump.isEmpty():
         step = jump.select(F.col("conv_id").alias("c"), F.col("node").alias("at"), "up")
         on = F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("node") == F.col("at"))
-        more = materialise(pairs.join(step, on).select("conv_id", "leaf", F.col("up").alias("node"), (F.col("dist") + reach).alias("dist")), "pairs")
+        more = materialise(
+            pairs.join(step, on).select("conv_id", "leaf", F.col("up").alias("node"), (F.col("dist") + reach).alias("dist")),
+            "pairs",
+        )
         pairs = pairs.unionByName(more)
         again = jump.join(step.withColumnRenamed("up", "top"), F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("up") == F.col("at")))
         jump = materialise(again.select("conv_id", "node", F.col("top").alias("up")), "jump")
@@ -72,7 +91,11 @@ def reply_paths(messages: DataFrame) -> DataFrame:
     full = pairs.join(own, F.col("conv_id").eqNullSafe(F.col("c2")) & (F.col("node") == F.col("n2")))
     full = full.join(up, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("node") == F.col("at")), "left")
     steps = F.array_sort(F.collect_list(F.struct((-F.col("dist")).alias("place"), "node")))
-    out = full.groupBy("conv_id", "leaf").agg(steps.alias("steps"), F.sum("score").alias("score"), F.bool_or(F.col("has").isNull()).alias("rooted"))
+    out = full.groupBy("conv_id", "leaf").agg(
+        steps.alias("steps"),
+        F.sum("score").alias("score"),
+        F.bool_or(F.col("has").isNull()).alias("rooted"),
+    )
     return out.where("rooted").select("conv_id", F.transform("steps", lambda x: x.node).alias("path"), "score")
 
 
@@ -83,9 +106,20 @@ def format_paths(messages: DataFrame, paths: DataFrame, branches: int | None = N
     if branches is not None:
         ranked = ranked.where(F.col("branch") <= branches)
     steps = ranked.select("conv_id", "branch", "path", "score", F.posexplode("path").alias("pos", "at"))
-    body = messages.select(F.col("conv_id").alias("c"), F.col("node").alias("n"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    body = messages.select(
+        F.col("conv_id").alias("c"),
+        F.col("node").alias("n"),
+        F.coalesce("role", F.lit("")).alias("role"),
+        F.coalesce("text", F.lit("")).alias("text"),
+    )
     one = steps.join(body, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("at") == F.col("n")))
-    one = one.withColumns({"head": F.concat(F.lit(TURN), escape(F.col("role")), F.lit(TEXT)), "inner": escape(F.col("text")), "loss": F.col("role") == "assistant"})
+    one = one.withColumns(
+        {
+            "head": F.concat(F.lit(TURN), escape(F.col("role")), F.lit(TEXT)),
+            "inner": escape(F.col("text")),
+            "loss": F.col("role") == "assistant",
+        }
+    )
     one = one.withColumn("piece", F.concat("head", "inner", F.lit(END)))
     before = Window.partitionBy("conv_id", "branch").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     one = one.withColumn("start", F.coalesce(F.sum(F.length("piece")).over(before), F.lit(0)) + F.length("head"))
@@ -96,7 +130,14 @@ def format_paths(messages: DataFrame, paths: DataFrame, branches: int | None = N
         F.array_sort(F.collect_list(F.struct("pos", "piece"))).alias("pieces"),
         F.array_sort(F.collect_list(mask)).alias("mask"),
     )
-    return out.select("conv_id", "branch", "path", "score", F.array_join(F.transform("pieces", lambda x: x.piece), "").alias("formatted"), "mask")
+    return out.select(
+        "conv_id",
+        "branch",
+        "path",
+        "score",
+        F.array_join(F.transform("pieces", lambda x: x.piece), "").alias("formatted"),
+        "mask",
+    )
 
 
 def read_turns(formatted: Column) -> Column:
@@ -105,11 +146,17 @@ def read_turns(formatted: Column) -> Column:
 
     def turn(x: Column) -> Column:
         text = F.substring_index(x, TEXT, -1)
-        return F.struct(unescape(F.substring_index(x, TEXT, 1)).alias("role"), unescape(F.substring(text, F.lit(1), F.length(text) - len(END))).alias("text"))
+        return F.struct(
+            unescape(F.substring_index(x, TEXT, 1)).alias("role"),
+            unescape(F.substring(text, F.lit(1), F.length(text) - len(END))).alias("text"),
+        )
 
     return F.transform(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), turn)
 
 
 def read_loss(formatted: Column, mask: Column) -> Column:
     """All text under the mask, unescaped."""
-    return F.array_join(F.transform(mask, lambda m: unescape(F.substring(formatted, (m.start + 1).cast("int"), (m.end - m.start).cast("int")))), "")
+    return F.array_join(
+        F.transform(mask, lambda m: unescape(F.substring(formatted, (m.start + 1).cast("int"), (m.end - m.start).cast("int")))),
+        "",
+    )

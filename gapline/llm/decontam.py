@@ -1,207 +1,241 @@
-"""Benchmark decontamination: a prefix-filtered set join of item windows with documents.
+"""Benchmark decontamination: a prefix-filtered set join of item windows with documents, as tables.
 
 Words are runs of digits, letters and non-ASCII characters, A-Z lower-cased. A window is ``size`` consecutive words of an
 item (all its words, if it has fewer). To be inside a document, a window needs all its words there, so the prefix that
 must be indexed is its rarest word alone: words are ordered by how often they occur in all documents (counted first, with
 partial counts), each window is filed under that word with its position, and a document looks up only the words that
-are filed. The positional bound (the window must begin and end within the document) and the length bound (by the
-window's length) come next, then the hash of the whole window at that place, then its words byte by byte.
+are filed. What is found is joined with the index by the word; the length and positional bounds (the window must begin and end within the
+document) come next, then all of the window's words, one by one, are compared with the document's at that place.
 
-The index is sent to the executors only in parts of at most ``part_windows`` windows; a larger benchmark takes more passes
-over the documents, whose hits are united. No pair of a document and an item is ever made except for true hits.
+Windows, their words' counts, the index and the hits are tables. The executors get a bitmap of the filed words, of ``BITMAP`` bits whatever the
+benchmark's size (a word that only shares a bit is dropped by the join), and the hashes of the benchmark's distinct words, if there are at
+most ``BROADCAST_WORDS`` (beyond it all words are counted and joined). The index is broadcast to the join up to ``BROADCAST_BYTES``, as measured;
+beyond it the join shuffles. No pair of a document and an item is ever made except for true hits.
 
 Null or blank text has no words: no hit, not contaminated; such items have no window. Passages of items with a null id are hits like
-others; they are only missing in the list of items. Rows with one id are judged each on
-their own. Other columns are not read, so their names may clash.
+others; they are only missing in the list of items. Rows with one id are judged each on their own; equal rows have equal results. An empty
+table of documents gives an empty result, an empty benchmark no hits. A text of any length is read at once; besides it a worker holds a few
+numbers for each of its words. Other columns are not read, so their names may clash.
 """
 
 from __future__ import annotations
 
-import hashlib
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gapline.llm.textbytes import ALNUM, LOWER_VALUE, Block, as_bytes, blocks, mix, window_hashes
+from gapline.llm.shared import discard, lean, materialise
+from gapline.llm.textbytes import ALNUM, Block, as_bytes, blocks
 
 BLOCK_BYTES = 2 << 20
+BITMAP = 1 << 27
+BROADCAST_WORDS = 1 << 22
+BROADCAST_BYTES = 32 << 20
 U = np.uint64
+FOLD = np.arange(256, dtype=np.uint8)
+FOLD[65:91] += 32
 
 
-def item_words(text: bytes) -> list[bytes]:
-    b = Block([text.lower()])
+def parsed(texts: list[bytes]) -> tuple[Block, np.ndarray]:
+    b = Block(texts)
     b.words(ALNUM)
-    raw = b.buf.tobytes()
-    return [raw[s:e] for s, e in zip(b.starts.tolist(), b.ends.tolist(), strict=True)]
+    return b, b.word_hashes().view(np.int64)
 
 
-def hash_words(words: list[bytes]) -> np.ndarray:
-    b = Block([b" ".join(words)])
-    b.words(ALNUM)
-    return b.word_hashes()
+def strings(b: Block, at: np.ndarray) -> pa.Array:
+    """Words of a block, lower-cased, by their numbers."""
+    size = b.ends[at] - b.starts[at]
+    offset = np.concatenate([[0], np.cumsum(size)])
+    data = FOLD[b.buf[np.repeat(b.starts[at] - offset[:-1], size) + np.arange(offset[-1])]]
+    return pa.Array.from_buffers(pa.string(), len(at), [None, pa.py_buffer(offset.astype(np.int32)), pa.py_buffer(data)])
+
+
+def runs(values: pa.Array, size: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), values)
+
+
+def spread(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """first, first + 1, ... for each of ``size``."""
+    return np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())
 
 
-def count_words(docs: DataFrame, wanted: np.ndarray) -> dict[int, int]:
-    """How often each of the ``wanted`` (sorted) word hashes occurs in all documents."""
+def item_windows(items: DataFrame, size: int) -> DataFrame:
+    """item_id, words, hashes of each window of ``items`` (item_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(len(wanted), np.int64)
+        for batch in batches:
+            texts = as_bytes(batch.column(1))
+            for i, j in blocks(texts, BLOCK_BYTES):
+                b, h = parsed(texts[i:j])
+                n = np.diff(b.first)
+                w = np.minimum(n, size)
+                each = np.where(n > 0, n - w + 1, 0)
+                at = spread(b.first[:-1], each)
+                length = np.repeat(w, each)
+                words = spread(at, length)
+                item = batch.column(0).slice(i, j - i).take(pa.array(np.repeat(np.arange(j - i), each)))
+                yield pa.RecordBatch.from_arrays(
+                    [item, runs(strings(b, words), length), runs(pa.array(h[words]), length)],
+                    names=["item_id", "words", "hashes"],
+                )
+
+    rows = items.select(F.col("item_id").cast("string").alias("item_id"), "text").where("text is not null")
+    return rows.mapInArrow(lean(run), "item_id string, words array<string>, hashes array<long>")
+
+
+def count_words(docs: DataFrame, wanted: np.ndarray | None) -> DataFrame:
+    """h, n: how often words occur in all documents; with ``wanted`` (sorted hashes), only those."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(0 if wanted is None else len(wanted), np.int64)
         for batch in batches:
             texts = as_bytes(batch.column(0))
             for i, j in blocks(texts, BLOCK_BYTES):
-                b = Block(texts[i:j])
-                b.words(ALNUM)
-                h = b.word_hashes()
-                k = np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)
-                n += np.bincount(k[wanted[k] == h], minlength=len(wanted))
-        if some := np.flatnonzero(n).tolist():
-            yield pa.RecordBatch.from_arrays([pa.array(wanted[some].view(np.int64)), pa.array(n[some])], names=["h", "n"])
-
-    if not len(wanted):
-        return {}
-    rows = docs.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).collect()
-    return {r.h & (1 << 64) - 1: r.n for r in rows}  # at most one row for each wanted word
-
-
-class Index:
-    """Windows of one length, filed under the hash of their rarest word."""
-
-    def __init__(self, size: int, windows: dict[tuple[bytes, ...], list[str]], rank: dict[int, int]):
-        self.size, self.windows = size, list(windows.items())
-        self.of_hash: dict[int, int] = {}
-        key, at, whole = [], [], []
-        for k, (words, _) in enumerate(self.windows):
-            h = hash_words(list(words))
-            at.append(min(range(size), key=lambda p: (rank.get(int(h[p]), 0), int(h[p]), p)))
-            key.append(h[at[-1]])
-            whole.append(window_hashes(h, size)[0])
-            self.of_hash[int(whole[-1])] = k
-        whole_hash, places = np.array(whole, U), np.array(at, np.int64)
-        # for each filed word the places it may have in a window; a pair (word, place) counts once
-        pairs = np.unique(np.stack([np.array(key, U), places.astype(U)]), axis=1)
-        self.key, self.place = pairs[0], pairs[1].astype(np.int64)
-        self.distinct, self.first = np.unique(self.key, return_index=True)
-        self.many = np.diff(np.append(self.first, len(self.key)))
-        self.sorted_whole = np.sort(whole_hash)
-
-    def find(self, b: Block, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """First words of occurrences, and the windows' hashes."""
-        none = np.zeros(0, np.int64), np.zeros(0, U)
-        if len(h) < self.size:
-            return none
-        k = np.minimum(np.searchsorted(self.distinct, h), len(self.distinct) - 1)
-        p = np.flatnonzero(self.distinct[k] == h)
-        if not len(p):
-            return none
-        k = k[p]
-        n = self.many[k]
-        each = np.repeat(np.arange(len(p)), n)
-        begin = p[each] - self.place[np.repeat(self.first[k] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-        doc = np.searchsorted(b.first, p[each], "right") - 1
-        begin = np.unique(begin[(begin >= b.first[doc]) & (begin + self.size <= b.first[doc + 1])])
-        if not len(begin):
-            return none
-        w = np.full(len(begin), U(self.size))
-        for q in range(self.size):  # as in window_hashes
-            w = w * U(0xD6E8FEB86659FD93) + h[begin + q]
-        w = mix(w)
-        k = np.minimum(np.searchsorted(self.sorted_whole, w), len(self.sorted_whole) - 1)
-        ok = self.sorted_whole[k] == w
-        return begin[ok], w[ok]
-
-
-SCHEMA = "doc_id long, row long, n_words long, spans array<struct<a:long,z:long>>, items array<string>"
-
-
-def find_windows(docs: DataFrame, indexes: list[Index]) -> DataFrame:
-    """One row for each document: word count, hit word runs [a, z), and the items whose windows occur. ``row`` is a column of ``docs``."""
-    sent = docs.sparkSession.sparkContext.broadcast(indexes)  # at most part_windows windows and one item more
+                _, h = parsed(texts[i:j])
+                if wanted is None:
+                    u, n = np.unique(h, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(n)], names=["h", "n"])
+                elif len(wanted):
+                    k = np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)
+                    total += np.bincount(k[wanted[k] == h], minlength=len(wanted))
+        some = np.flatnonzero(total)
+        if len(some):
+            yield pa.RecordBatch.from_arrays([pa.array(wanted[some]), pa.array(total[some])], names=["h", "n"])
+
+    return docs.select("text").mapInArrow(lean(run), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+
+
+def filed_under(windows: DataFrame, docs: DataFrame) -> DataFrame:
+    """key, place, wid, words: each distinct window with its rarest word's hash and place."""
+    distinct = materialise(
+        windows.groupBy("wid").agg(F.first(F.struct("words", "hashes")).alias("w")).select("wid", "w.*"),
+        "distinct-windows",
+    )
+    word = distinct.select(F.explode("hashes").alias("h")).distinct()
+    some = word.limit(BROADCAST_WORDS + 1).toPandas()["h"].to_numpy(np.int64)
+    counts = count_words(docs, np.sort(some) if len(some) <= BROADCAST_WORDS else None)
+    places = distinct.select("wid", F.posexplode("hashes").alias("place", "h")).join(counts, "h", "left")
+    rarest = places.groupBy("wid").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "h", "place")).alias("r"))
+    return distinct.join(rarest, "wid").select(F.col("r.h").alias("key"), F.col("r.place").alias("place"), "wid", "words")
+
+
+def bitmap(index: DataFrame) -> np.ndarray:
+    """Bits of the filed words' hashes, gathered as at most BITMAP / 2**16 blocks."""
+    bit = F.pmod("key", F.lit(BITMAP)).cast("int")
+    blocks_ = index.select(
+        F.shiftright(bit, 16).alias("block"),
+        bit.bitwiseAND(0xFFFF).alias("low"),
+    ).groupBy("block").agg(F.collect_set("low").alias("low"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        indexes = sent.value
+        for batch in batches:
+            packed = []
+            for low in batch.column(1):
+                own = np.zeros(1 << 16, bool)
+                own[low.values.to_numpy()] = True
+                packed.append(np.packbits(own).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["block", "bits"])
+
+    out = np.zeros(BITMAP >> 3, np.uint8)
+    for r in blocks_.mapInArrow(lean(run), "block int, bits binary").collect():
+        out[r["block"] << 13 : (r["block"] + 1) << 13] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
+LOOKED_UP = "doc_id long, row long, n_words long, found array<struct<pos:long,key:long,before:int,near:array<string>>>"
+
+
+def look_up(docs: DataFrame, bits: np.ndarray, size: int) -> DataFrame:
+    """For each row of ``docs`` (doc_id, row, text): its number of words, and its words that may be filed, with up to ``size`` - 1 words on either side."""
+    sent = docs.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = sent.value
         for batch in batches:
             texts = as_bytes(batch.column(2))
-            counts: list[int] = []
-            spans: list[list[dict]] = [[] for _ in texts]
-            items: list[set[str]] = [set() for _ in texts]
             for i, j in blocks(texts, BLOCK_BYTES):
-                b = Block(texts[i:j])
-                b.words(ALNUM)
-                counts += np.diff(b.first).tolist()
-                h = b.word_hashes(LOWER_VALUE)
-                for index in indexes:
-                    begin, w = index.find(b, h)
-                    for s, x in zip(begin.tolist(), w.tolist(), strict=True):
-                        words, of = index.windows[index.of_hash[x]]
-                        if all(b.buf[b.starts[s + q] : b.ends[s + q]].tobytes().lower() == words[q] for q in range(index.size)):
-                            d = int(np.searchsorted(b.first, s, "right")) - 1
-                            s -= int(b.first[d])
-                            items[i + d].update(of)
-                            own = spans[i + d]
-                            if own and own[-1]["a"] <= s <= own[-1]["z"]:
-                                own[-1]["z"] = max(own[-1]["z"], s + index.size)
-                            else:
-                                own.append({"a": s, "z": s + index.size})
-            span = pa.list_(pa.struct([("a", pa.int64()), ("z", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(spans, span), pa.array([sorted(x) for x in items], pa.list_(pa.string()))], names=["doc_id", "row", "n_words", "spans", "items"])
-
-    return docs.mapInArrow(run, SCHEMA)
-
-
-def digest(spans: list[tuple[int, int]], items: set[str]) -> tuple[int, int, str]:
-    n, end = 0, -1
-    for a, z in sorted(spans):
-        n += max(0, z - max(a, end))
-        end = max(end, z)
-    return n, len(items), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
-
-
-def decontaminate(docs: DataFrame, items: DataFrame, size: int = 13, share: float = 0.05, part_windows: int = 500_000) -> DataFrame:
+                b, h = parsed(texts[i:j])
+                k = h.view(U) & U(BITMAP - 1)  # as pmod of a power of two
+                p = np.flatnonzero(bits[k >> U(3)] >> (7 - (k & U(7))).astype(np.uint8) & 1)
+                doc = np.searchsorted(b.first, p, "right") - 1
+                low, high = np.maximum(b.first[doc], p - size + 1), np.minimum(b.first[doc + 1], p + size)
+                near = runs(strings(b, spread(low, high - low)), high - low)
+                found = pa.StructArray.from_arrays(
+                    [pa.array(p - b.first[doc]), pa.array(h[p]), pa.array((p - low).astype(np.int32)), near],
+                    names=["pos", "key", "before", "near"],
+                )
+                cols = [
+                    batch.column(0).slice(i, j - i),
+                    batch.column(1).slice(i, j - i),
+                    pa.array(np.diff(b.first)),
+                    runs(found, np.bincount(doc, minlength=j - i)),
+                ]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "row", "n_words", "found"])
+
+    return docs.mapInArrow(lean(run), LOOKED_UP)
+
+
+def decontaminate(
+    docs: DataFrame,
+    items: DataFrame,
+    size: int = 13,
+    share: float = 0.05,
+    broadcast_bytes: int = BROADCAST_BYTES,
+) -> DataFrame:
     """``docs`` (doc_id, text) judged against ``items`` (item_id, text): doc_id, row (xxhash64 of the text), n_words, n_hit, spans (merged runs of hit words),
     items (ids as strings, sorted), contaminated (n_hit > 0 and n_hit >= share * n_words)."""
-    by_size: dict[int, dict[tuple[bytes, ...], list[str]]] = defaultdict(lambda: defaultdict(list))
     docs = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("row"), "text")
-    parts: list[list[Index]] = []
-    held = 0
-    batches: list[dict] = []
-    for r in items.select(F.col("item_id").cast("string").alias("item_id"), F.col("text")).where("text is not null").toLocalIterator():
-        words = item_words(r.text.encode())
-        w = min(size, len(words))
-        for k in range(len(words) - w + 1 if w else 0):
-            window = tuple(words[k : k + w])
-            held += r.item_id is None and window not in by_size[w]
-            of = by_size[w][window]
-            if r.item_id is not None and r.item_id not in of:
-                of.append(r.item_id)
-                held += 1
-        if held >= part_windows:
-            batches.append(by_size)
-            by_size, held = defaultdict(lambda: defaultdict(list)), 0
-    batches.append(by_size)
-    for group in batches:
-        wanted = {w for windows in group.values() for words in windows for w in words}
-        hashes = np.unique(hash_words(sorted(wanted))) if wanted else np.zeros(0, U)
-        rank = count_words(docs, hashes)
-        parts.append([Index(w, windows, rank) for w, windows in sorted(group.items())])
-    if len(parts) == 1:
-        found = find_windows(docs, parts[0])
-    else:  # the passes are united by the id and a hash of the text; equal rows have equal results and are counted
-        found = None
-        for part in parts:
-            one = find_windows(docs, part)
-            found = one if found is None else found.unionByName(one)
-        found = found.groupBy("doc_id", "row", "n_words").agg(F.expr(f"sequence(1, cast(count(*) / {len(parts)} as int))").alias("copies"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-        found = found.select("doc_id", "row", "n_words", "spans", "items", F.explode("copies")).drop("col")
-    merged = F.aggregate(
-        F.array_sort("spans"),
-        F.array().cast("array<struct<a:long,z:long>>"),
-        lambda acc, x: F.when((F.size(acc) > 0) & (F.element_at(acc, F.greatest(F.size(acc), F.lit(1))).z >= x.a), F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(F.element_at(acc, F.greatest(F.size(acc), F.lit(1))).a.alias("a"), F.greatest(F.element_at(acc, F.greatest(F.size(acc), F.lit(1))).z, x.z).alias("z"))))).otherwise(F.array_append(acc, x)),
+    windows = materialise(item_windows(items, size).withColumn("wid", F.md5(F.array_join("words", " "))), "windows")
+    index = materialise(filed_under(windows, docs), "index")
+    rows = materialise(look_up(docs, bitmap(index), size), "looked-up")
+    bytes_ = index.agg(F.sum(F.octet_length(F.array_join("words", " ")) + 200)).first()[0] or 0
+    filed = F.broadcast(index) if bytes_ <= broadcast_bytes else index
+    key = ["doc_id", "row"]
+    at = rows.select(*key, F.inline("found")).join(filed, "key")
+    n, begin = F.size("words"), F.col("before") - F.col("place")
+    fits = (begin >= 0) & (begin + n <= F.size("near"))
+    same = F.when(fits, F.slice("near", F.greatest(begin, F.lit(0)) + 1, n) == F.col("words"))
+    hits = at.where(same).select(
+        *key,
+        "wid",
+        (F.col("pos") - F.col("place")).alias("a"),
+        (F.col("pos") - F.col("place") + n).alias("z"),
+    ).distinct()
+    hits = materialise(hits, "hits")
+    by = Window.partitionBy(*key).orderBy("a", "z")
+    beyond = F.max("z").over(by.rowsBetween(Window.unboundedPreceding, -1))
+    spans = hits.select(*key, "a", "z").distinct().withColumn("new", F.coalesce(F.col("a") > beyond, F.lit(True)).cast("int"))
+    spans = spans.withColumn(
+        "run",
+        F.sum("new").over(by.rowsBetween(Window.unboundedPreceding, 0)),
+    ).groupBy(*key, "run").agg(F.min("a").alias("a"), F.max("z").alias("z"))
+    spans = spans.groupBy(*key).agg(
+        F.array_sort(F.collect_list(F.struct("a", "z"))).alias("spans"),
+        F.sum(F.col("z") - F.col("a")).alias("n_hit"),
+    )
+    names = windows.where("item_id is not null").select("wid", "item_id").distinct()
+    names = hits.select(*key, "wid").distinct().join(names, "wid").select(*key, "item_id").distinct()
+    names = names.groupBy(*key).agg(F.array_sort(F.collect_list("item_id")).alias("items"))
+    found = materialise(
+        spans.join(
+            names.select(F.col("doc_id").alias("d"), F.col("row").alias("r"), "items"),
+            F.col("doc_id").eqNullSafe(F.col("d")) & F.col("row").eqNullSafe(F.col("r")),
+            "left",
+        ).drop("d", "r"),
+        "found",
     )
-    out = found.withColumn("spans", F.when(F.size("spans") < 2, F.col("spans")).otherwise(merged))
-    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, x: acc + x.z - x.a)
-    out = out.withColumn("n_hit", n_hit)
-    return out.select("doc_id", "row", "n_words", "n_hit", "spans", "items", ((F.col("n_hit") > 0) & (F.col("n_hit") >= F.lit(share) * F.col("n_words") - 1e-9)).alias("contaminated"))
+    for x in (windows, index, hits):
+        discard(x)
+    found = found.toDF("d", "r", "spans", "n_hit", "items")
+    out = rows.drop("found").join(found, F.col("doc_id").eqNullSafe(F.col("d")) & F.col("row").eqNullSafe(F.col("r")), "left")
+    none = {
+        "spans": F.array().cast("array<struct<a:long,z:long>>"),
+        "items": F.array().cast("array<string>"),
+        "n_hit": F.lit(0).cast("long"),
+    }
+    out = out.withColumns({k: F.coalesce(k, v) for k, v in none.items()})
+    bad = (F.col("n_hit") > 0) & (F.col("n_hit") >= F.lit(share) * F.col("n_words") - 1e-9)
+    return out.select("doc_id", "row", "n_words", "n_hit", "spans", "items", bad.alias("contaminated"))

@@ -1,21 +1,29 @@
 """Main text of HTML pages by maximum-scoring subsequence.
 
-A page becomes a sequence of tags and runs of words. Words score positive, unless they stand in a zone (the innermost
-marked element: its tag name or a name of its class, id or role) that labelled pages show outside the main text; tags score
-negative, by how often their name stands outside it. One linear scan finds the contiguous region with the highest sum. The
-region's words, without those in zones outside the main text and without scripts, styles and forms, are its text.
+A page becomes a sequence of tags and runs of words. Words score positive and tags negative, with weights counted over labelled pages: how
+often such a word is main text, and how often such a tag stands outside it. One linear scan finds the contiguous region with
+the highest sum; it is the main text, without elements inside it whose names stand outside the main text elsewhere.
 
-Weights are log-odds of counts over labelled pages: pairs of a page and the byte-free judgement which of its runs are main
-text. :func:`learn` counts them over pages that label themselves with an ``article`` or ``main`` element, in one pass with
-partial sums, added to the pseudo-counts in ``PRIOR``.
+Labelled are the pages with one ``article`` or ``main`` element of their own: its words are main text, the others aren't. :func:`learn`
+counts, over all of them, in one pass with partial sums,
 
-A name like ``cookie-notice`` marks an outside zone if its parts are all outside names or say which of them (``PARTS``): ``no-sidebar``,
-``comments-open`` and ``header-wrap`` don't. ``html`` and ``body`` open no outside zone. What stands in an outside zone stays there, but where
-all articles and mains of a page stand in outside zones, they leave them.
+* for each name of an element (each whole value of class, id and role, and its tag, if that isn't a ``GENERIC`` one like ``div`` or ``li``), on
+  how many pages it stands inside and outside;
+* for each tag, how often it stands inside and outside;
+* the same for words and tags of such pages that are in the article, and that are beside it.
+
+So on a page with an article, what is beside it scores next to nothing, whatever its names. On other pages the names decide: a word
+scores by the worst name around it, a tag by its own counts. ``PRIOR`` pages are added to the counts of names in common use
+(``PRIOR_OUT``), also as all parts of a longer name (``site-footer``, but not ``has-footer``, ``comments-open`` or ``header-wrap``); what the pages show goes
+against them. Names that no page shows say nothing. An element is outside if its name's log-odds are below -``SURE``; ``html`` and ``body``
+never are. Articles in outside elements count only if a page has no other article.
+
+Counts of the ``kept`` most frequent names are sent to the executors; pages with other names get theirs from a table, joined by name.
 
 Text: character references are decoded, white space inside a block is one space, blocks are joined by one newline in page
 order, empty blocks are left out. Null or empty html gives an empty text; unclosed elements end with the page; a tag or comment
-cut by the end of the page is dropped. Rows are independent, repeated rows give repeated results.
+cut by the end of the page is dropped. A page is held whole by one worker. Rows are independent, repeated rows give repeated results. An empty
+table gives an empty result, and its weights are the priors alone. Other columns aren't read.
 """
 
 from __future__ import annotations
@@ -34,87 +42,130 @@ from pyspark.sql import functions as F
 
 from gapline.llm.shared import lean, materialise
 
-PIECE = re.compile(r"""<!--.*?(?:-->|\Z)|<(?P<end>/?)(?P<name>[A-Za-z][^\s/>]*+)(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*')*+)>|<[!?][^>]*+(?:>|\Z)|</?[A-Za-z][^>]*+\Z""", re.S)
+PIECE = re.compile(
+    r"""<!--.*?(?:-->|\Z)|<(?P<end>/?)(?P<name>[A-Za-z][^\s/>]*+)(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*')*+)>|<[!?][^>]*+(?:>|\Z)|</?[A-Za-z][^>]*+\Z""",
+    re.S,
+)
 ATTR = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 CLOSE = {n: re.compile(rf"</{n}\s*>", re.I) for n in ("script", "style", "template", "textarea", "noscript", "title", "iframe")}
 # fixed values: elements by their role in HTML
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
-P_ENDERS = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
-#: pseudo-counts (inside, outside the main text) of zones that a table's labelled pages may not show
-PRIOR_OUT = frozenset("nav header footer aside form menu head button select dialog sidebar breadcrumb breadcrumbs navbar navigation toolbar topbar notice cookie cookies consent gdpr alert popup modal newsletter subscribe signup ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion comment comments disqus reply replies respond discussion social share sharing related recommended widget complementary contentinfo search pagination pager copyright legal skip".split())
-PRIOR_IN = frozenset("article main".split())
+INLINE = frozenset(
+    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split()
+)
+P_ENDERS = frozenset(
+    "address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()
+)
+#: names of elements in common use that stand outside the main text, as pseudo-counts
+PRIOR_OUT = frozenset(
+    """nav header footer aside form menu head button select dialog sidebar breadcrumb breadcrumbs navbar navigation toolbar topbar notice cookie cookies consent
+    gdpr alert popup modal newsletter subscribe signup ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion comment comments disqus
+    reply replies respond discussion social share sharing related recommended widget complementary contentinfo search pagination pager copyright legal skip""".split()
+)
+ARTICLE = frozenset("article main".split())
 #: parts of a class name or id that leave the rest its meaning
-PARTS = frozenset("site page main global left right top bottom primary secondary block box bar item items links list posts section slot unit".split())
+PARTS = frozenset(
+    "site page main global left right top bottom primary secondary block box bar item items links list posts section slot unit".split()
+)
 PRIOR = 40
-LEAST = -0.5  # words of short outside zones between parts of the main text leave the region whole
-KEPT = 1000  # names whose counts are sent to the executors; pages with others get theirs from a table
-SURE = 2.0  # a zone with a lower weight than -SURE is outside
+KEPT = 1000
+SURE = 3.0
+#: fixed values: tags that say nothing of what stands in them; only their class, id and role do
+GENERIC = (P_ENDERS - PRIOR_OUT - ARTICLE) | INLINE | frozenset(
+    "html body div center li dd dt figcaption summary caption colgroup tbody td tfoot th thead tr".split()
+)
+IN, OUT, PLAIN = "in", "out", ""
 
 
 @dataclass(frozen=True)
 class Weights:
-    zone: dict[str, float]
-    tag: dict[str, float]
-    rest: DataFrame | None = None  # name, inside, outside of the tags that are not in ``tag``
-
-    def of_zone(self, name: str) -> float:
-        """Log-odds of a word's zone; a zone inside an article (``+``) doesn't end the region, whatever its length."""
-        return 0.0 if name[:1] == "+" else max(LEAST, self.zone.get(name, 1.0))
+    names: dict[str, float]  # log-odds of elements' names
+    tags: dict[str, float]
+    words: dict[str, float]  # of a word, by place: in an article, or beside it
+    places: dict[str, float]  # of a tag, by place
+    rest: DataFrame | None = None  # kind, name, inside, outside of what isn't in ``names`` and ``tags``
 
-    def outside(self, name: str) -> bool:
-        return self.zone.get(name.lstrip("+"), 1.0) < -SURE
+    def of_name(self, name: str) -> float:
+        return self.names[name] if name in self.names else log_odds(name, 0, 0)
 
-    def of_tag(self, name: str) -> float:
-        return self.tag.get(name, -0.6)
+    def of_tag(self, name: str, place: str) -> float:
+        return self.places[place] if place else self.tags.get(name, tag_weight(0, 0))
 
 
 def tag_weight(inside: int, outside: int) -> float:
     return -(0.05 + 0.95 * (outside + 1) / (inside + outside + 2))
 
 
-def weigh(zones: dict[str, tuple[int, int]], tags: dict[str, tuple[int, int]]) -> Weights:
-    """Log-odds, words +1 at most; tags -0.05 to -1."""
-    both = {z: (0, 0) for z in (*PRIOR_OUT, *PRIOR_IN, "")} | zones
-    word = {}
-    for z, (a, b) in both.items():
-        a, b = a + PRIOR * (z in PRIOR_IN or z == ""), b + PRIOR * (z in PRIOR_OUT)
-        word[z] = max(-6.0, min(1.0, math.log((a + 1) / (b + 1))))
-    word[""] = max(word[""], 0.2)
-    return Weights(word, {t: tag_weight(a, b) for t, (a, b) in tags.items()})
+def log_odds(name: str, inside: int, outside: int) -> float:
+    return max(-6.0, min(6.0, math.log((inside + 1) / (outside + 1 + PRIOR * common_outside(name)))))
 
 
 @lru_cache(maxsize=1 << 14)
-def marks_of(value: str) -> tuple[str, ...]:
-    """Names of zones in the value of a class, id or role."""
-    found: list[str] = []
-    for name in value.lower().split():
-        parts = [x for x in re.split(r"[^a-z0-9]+", name) if x]
-        bad = [x for x in parts if x in PRIOR_OUT]
-        whole = all(x in PRIOR_OUT or x in PARTS or x.isdigit() for x in parts)
-        found += bad if whole and bad else [x for x in parts if x in PRIOR_IN]
-    return tuple(found)
-
-
-def parse(page: str, known: frozenset[str] | set[str]) -> list[tuple[str, str, str]]:
-    """(kind, value, zone): kind ``word`` with raw text, ``tag`` with the element's name (``block`` marks a block boundary as value
-    prefix ``/``). ``known`` are the zone names with a weight."""
-    out, free, kept = _parse(page, known, False)
-    return _parse(page, known, True)[0] if kept and not free else out
-
-
-def _parse(page: str, known: frozenset[str] | set[str], leave: bool) -> tuple[list[tuple[str, str, str]], int, int]:
-    """Also how many articles and mains stand in no outside zone, and in one; with ``leave`` they leave it."""
-    free = kept = 0
-    out: list[tuple[str, str, str]] = []
-    stack: list[tuple[str, str]] = []  # element, zone from here on
-    zone, at, end = "", 0, len(page)
-    for_raw = None
+def common_outside(name: str) -> bool:
+    parts = [x for x in re.split(r"[^a-z0-9]+", name) if x]
+    return any(x in PRIOR_OUT for x in parts) and all(x in PRIOR_OUT or x in PARTS or x.isdigit() for x in parts)
+
+
+def weigh(counts: dict[tuple[str, str], tuple[int, int]]) -> Weights:
+    """``counts``: (inside, outside) of each (kind, name); kinds: name, tag, and word and place by IN and OUT."""
+
+    def of(kind: str) -> dict[str, tuple[int, int]]:
+        return {n: c for (k, n), c in counts.items() if k == kind}
+
+    prior = {IN: (20, 0), OUT: (0, 20)}
+
+    def by_place(kind: str) -> dict[str, tuple[int, int]]:
+        got = of(kind)
+        return {x: tuple(p + q for p, q in zip(prior[x], got.get(x, (0, 0)), strict=True)) for x in prior}
+
+    return Weights(
+        {n: log_odds(n, *c) for n, c in of("name").items()},
+        {n: tag_weight(*c) for n, c in of("tag").items()},
+        {x: (a + 1) / (a + b + 2) for x, (a, b) in by_place("word").items()},
+        {x: tag_weight(a, b) for x, (a, b) in by_place("place").items()},
+    )
+
+
+@dataclass
+class Page:
+    """``seq``: (kind, value, element) with kind ``word`` (raw text) or ``tag`` (the element's tag)."""
+
+    seq: list[tuple[str, str, int]]
+    tags: list[str]  # of each element; element 0 is the page
+    names: list[tuple[str, ...]]  # of each element
+    parents: list[int]
+
+    def judge(self, w: Weights) -> tuple[list[str], list[float]]:
+        """Place of each element, and the worst log-odds of names from it up to its article, or to the page."""
+        own = [
+            min(map(w.of_name, n), default=0.0) if t not in ("html", "body") else 0.0 for t, n in zip(self.tags, self.names, strict=True)
+        ]
+        article = [t in ARTICLE and own[i] >= -SURE for i, t in enumerate(self.tags)]
+        worst, found = [0.0] * len(own), [False] * len(own)
+        for i in range(1, len(own)):
+            p = self.parents[i]
+            worst[i], found[i] = min(own[i], worst[p]), found[p] or article[i]
+        free = [a and worst[i] >= -SURE for i, a in enumerate(article)]
+        if not any(free):  # those in outside elements then, each for itself
+            free = [a and not found[self.parents[i]] for i, a in enumerate(article)]
+        place = [OUT if any(free) else PLAIN] * len(own)
+        worst = [0.0] * len(own)
+        for i in range(1, len(own)):
+            p = self.parents[i]
+            place[i] = IN if free[i] else place[p]
+            worst[i] = own[i] if free[i] and place[p] != IN else min(own[i], worst[p])
+        return place, worst
+
+
+def parse(page: str) -> Page:
+    out = Page([], [""], [()], [-1])
+    stack = [0]
+    at, end = 0, len(page)
     while at < end:
         m = PIECE.search(page, at)
         stop = m.start() if m else end
         if stop > at:
-            out.append(("word", page[at:stop], zone))
+            out.seq.append(("word", page[at:stop], stack[-1]))
         if not m:
             break
         at = m.end()
@@ -122,43 +173,34 @@ def _parse(page: str, known: frozenset[str] | set[str], leave: bool) -> tuple[li
         if not name:
             continue
         if m["end"]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
+            closed = stack[-1]
+            for k in range(len(stack) - 1, 0, -1):
+                if out.tags[stack[k]] == name:
+                    closed = stack[k]
                     del stack[k:]
-                    zone = stack[-1][1] if stack else ""
                     break
-            out.append(("tag", name, zone))
+            out.seq.append(("tag", name, closed))
             continue
-        if name in P_ENDERS and any(e == "p" for e, _ in stack):
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == "p":
-                    if any(e in P_ENDERS and e != "p" for e, _ in stack[k + 1 :]):
-                        break
-                    del stack[k:]  # a paragraph ends where a block begins
-                    zone = stack[-1][1] if stack else ""
+        if name in P_ENDERS:  # a paragraph ends where a block begins
+            for k in range(len(stack) - 1, 0, -1):
+                tag = out.tags[stack[k]]
+                if tag == "p":
+                    del stack[k:]
+                if tag in P_ENDERS:
                     break
-        out.append(("tag", name, zone))
-        if name in CLOSE:
-            for_raw = CLOSE[name].search(page, at)
-            at = for_raw.end() if for_raw else end
-            continue
-        if name in VOID or m["attrs"].endswith("/") and name in ("svg", "path"):
-            continue
-        marks = [name]
+        names = [] if name in GENERIC or name in ARTICLE else [name]
         for x in ATTR.finditer(m["attrs"] or ""):
-            marks += marks_of(x[1] or x[2] or x[3] or "")
-        found = [x for x in marks if x in known]
-        bad = [x for x in found if x in PRIOR_OUT and name not in ("html", "body")]
-        inner = "+" * (zone in PRIOR_IN) + bad[0] if bad else next((x for x in found if x in PRIOR_IN), zone)
-        shut = zone.lstrip("+") in PRIOR_OUT
-        if name in PRIOR_IN and not bad:
-            free, kept = free + (not shut), kept + shut
-            shut = shut and not (leave and zone[:1] != "+")
-        if shut:  # what stands in an outside zone stays outside
-            inner = zone
-        stack.append((name, inner))
-        zone = inner
-    return out, free, kept
+            names += (x[1] or x[2] or x[3] or "").lower().split()
+        out.tags.append(name)
+        out.names.append(tuple(dict.fromkeys(names)))
+        out.parents.append(stack[-1])
+        out.seq.append(("tag", name, len(out.tags) - 1))
+        if name in CLOSE:
+            raw = CLOSE[name].search(page, at)
+            at = raw.end() if raw else end
+        elif name not in VOID and not (m["attrs"].endswith("/") and name in ("svg", "path")):
+            stack.append(len(out.tags) - 1)
+    return out
 
 
 def best_region(scores: list[float]) -> tuple[int, int]:
@@ -173,17 +215,31 @@ def best_region(scores: list[float]) -> tuple[int, int]:
     return found
 
 
-def extract(page: str | None, w: Weights) -> str:
-    if not page:
+def score(page: Page, place: list[str], worst: list[float], w: Weights) -> list[float]:
+    """Words positive, tags negative. In an article, words of outside elements count nothing."""
+    out = []
+    for kind, value, i in page.seq:
+        if kind == "tag":
+            out.append(w.of_tag(value, place[i]))
+        elif place[i] == PLAIN:
+            out.append(len(value.split()) * min(1.0, 2.0 / (1.0 + math.exp(-worst[i]))))
+        else:
+            out.append(len(value.split()) * w.words[place[i]] * (worst[i] >= -SURE or place[i] == OUT))
+    return out
+
+
+def extract(html_text: str | None, w: Weights, whole: bool = False) -> str:
+    """The main text; with ``whole`` the page takes the place of the best region."""
+    if not html_text:
         return ""
-    seq = parse(page, w.zone.keys())
-    scores = [w.of_tag(v) if kind == "tag" else w.of_zone(z) * len(v.split()) for kind, v, z in seq]
-    a, z = best_region(scores)
+    page = parse(html_text)
+    place, worst = page.judge(w)
+    a, z = (0, len(page.seq)) if whole else best_region(score(page, place, worst, w))
     blocks: list[str] = []
     run: list[str] = []
-    for kind, value, zone in seq[a:z]:
+    for kind, value, i in page.seq[a:z]:
         if kind == "word":
-            if not w.outside(zone):
+            if place[i] == OUT or worst[i] >= -SURE:
                 run.append(value)
         elif value == "br":
             run.append(" ")
@@ -195,73 +251,97 @@ def extract(page: str | None, w: Weights) -> str:
     return "\n".join(b for b in clean if b)
 
 
-LABELLED = re.compile(r"<(article|main)\b[^>]*>", re.I)
-
-
-def label_counts(page: str) -> tuple[Counter, Counter]:
-    """(zone, inside) word counts and (tag, inside) counts of a page with one article or main element; else empty."""
-    words: Counter = Counter()
-    tags: Counter = Counter()
-    if len(LABELLED.findall(page)) != 1:
-        return words, tags
-    known = PRIOR_OUT | PRIOR_IN
-    for kind, value, zone in parse(page, known):
-        inside = zone in PRIOR_IN
-        if kind == "word":
-            words[zone.lstrip("+"), inside] += len(value.split())
-        else:
-            tags[value, inside] += 1
-    return words, tags
-
-
-def learn(pages: DataFrame) -> Weights:
-    """Weights from all pages of ``pages`` (html) that label themselves. The counts of zones and of the most frequent tags,
-    ``KEPT`` together, reach the driver; those of all other tags are a table."""
+BARE = weigh({})
+
+
+def label_counts(html_text: str) -> Counter:
+    """(kind, name, inside) counts of a labelled page; else empty. What stands in an article's outside elements, as far as their names
+    are in common use, isn't main text."""
+    out: Counter = Counter()
+    page = parse(html_text)
+    place, worst = page.judge(BARE)
+    tops = [i for i in range(1, len(place)) if place[i] == IN and place[page.parents[i]] != IN]
+    if len(tops) != 1:
+        return out
+    above, i = {0}, page.parents[tops[0]]
+    while i > 0:
+        above.add(i)
+        i = page.parents[i]
+    seen: set[int] = set()
+    for kind, value, i in page.seq:
+        main = place[i] == IN and worst[i] >= -SURE
+        if kind == "tag":
+            out["tag", value, main] += 1
+            out["place", place[i], main] += 1
+        elif n := len(value.split()):
+            out["word", place[i], main] += n
+            while i not in seen and i not in above:
+                seen.add(i)
+                i = page.parents[i]
+    for name, main in {(x, place[i] == IN and worst[i] >= -SURE) for i in seen - set(tops) for x in page.names[i]}:
+        out["name", name, main] += 1
+    return out
+
+
+def learn(pages: DataFrame, kept: int = KEPT) -> Weights:
+    """Weights from all pages of ``pages`` (html) that label themselves. The counts of the ``kept`` most frequent names and tags reach the
+    driver; those of all others are a table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter = Counter()
         for b in batches:
             for page in b.column(0).to_pylist():
-                words, tags = label_counts(page or "")
-                total.update({("z", n, i): c for (n, i), c in words.items()})
-                total.update({("t", n, i): c for (n, i), c in tags.items()})
-            if len(total) > 20_000:
-                yield rows(total)
-                total = Counter()
+                total.update(label_counts(page or ""))
+                if len(total) > 20_000:
+                    yield rows(total)
+                    total = Counter()
         yield rows(total)
 
     def rows(total: Counter) -> pa.RecordBatch:
         k = list(total)
-        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in k], pa.string()), pa.array([x[1] for x in k], pa.string()), pa.array([int(total[x]) if x[2] else 0 for x in k], pa.int64()), pa.array([0 if x[2] else int(total[x]) for x in k], pa.int64())], names=["kind", "name", "inside", "outside"])
+        kinds, names = (pa.array([x[i] for x in k], pa.string()) for i in (0, 1))
+        sides = (pa.array([int(total[x]) * (x[2] == side) for x in k], pa.int64()) for side in (True, False))
+        return pa.RecordBatch.from_arrays([kinds, names, *sides], names=["kind", "name", "inside", "outside"])
 
-    counts = pages.select("html").mapInArrow(lean(run), "kind string, name string, inside long, outside long").groupBy("kind", "name").agg(F.sum("inside").alias("inside"), F.sum("outside").alias("outside"))
+    counts = pages.select("html").mapInArrow(lean(run), "kind string, name string, inside long, outside long")
+    counts = counts.groupBy("kind", "name").agg(F.sum("inside").alias("inside"), F.sum("outside").alias("outside"))
     counts = materialise(counts, "names")
-    got = counts.orderBy(F.desc("kind"), F.desc(F.col("inside") + F.col("outside")), "name").limit(KEPT + 1).collect()
-    more, got = len(got) > KEPT, got[:KEPT]
-    w = weigh({r["name"]: (r["inside"], r["outside"]) for r in got if r["kind"] == "z"}, {r["name"]: (r["inside"], r["outside"]) for r in got if r["kind"] == "t"})
-    if not more:
-        return w
-    return replace(w, rest=counts.where((F.col("kind") == "t") & ~F.col("name").isin(list(w.tag))).select("name", "inside", "outside"))
+    order = [F.col("kind").isin("name", "tag"), F.desc(F.col("inside") + F.col("outside")), "kind", "name"]
+    got = counts.orderBy(*order).limit(kept + 5).collect()  # four rows aren't names or tags
+    more, got = len(got) > kept + 4, got[: kept + 4]
+    w = weigh({(r["kind"], r["name"]): (r["inside"], r["outside"]) for r in got})
+    return replace(w, rest=counts.where(F.col("kind").isin("name", "tag"))) if more else w
+
 
+SCHEMA = "page_id long, url string, text string, n_chars long"
+MORE = "array<struct<kind:string,name:string,inside:bigint,outside:bigint>>"
 
-OUT = "page_id long, url string, text string, n_chars long"
 
+def with_rare_names(pages: DataFrame, weights: Weights) -> DataFrame:
+    """``pages`` (page_id, url, html) with more: counts of each page's names and tags that only the table has; such pages are joined by a hash of html."""
+    names, tags = frozenset(weights.names), frozenset(weights.tags)
 
-def with_rare_tags(pages: DataFrame, weights: Weights) -> DataFrame:
-    """``pages`` (page_id, url, html) with more: counts of each page's tags that only the table has; such pages are joined by a hash of html."""
-    known = frozenset(weights.tag)
+    def rare(page: str | None) -> list[str]:
+        known = parse(page or "")
+        found = {f"name {x}" for n in known.names for x in n if x not in names}
+        return sorted(found | {f"tag {v}" for kind, v, _ in known.seq if kind == "tag" and v not in tags})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            names = [sorted({v for kind, v, _ in parse(p or "", PRIOR_OUT | PRIOR_IN) if kind == "tag" and v not in known}) for p in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names, pa.list_(pa.string()))], names=["page_id", "url", "html", "names"])
+            found = [rare(p) for p in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [*b.columns, pa.array(found, pa.list_(pa.string()))],
+                names=["page_id", "url", "html", "names"],
+            )
 
     rows = pages.mapInArrow(lean(run), "page_id long, url string, html string, names array<string>").withColumn("k", F.sha2("html", 256))
     some = rows.where(F.size("names") > 0)
-    found = some.select("k", F.explode("names").alias("name")).distinct().join(weights.rest, "name").groupBy("k").agg(F.collect_list(F.struct("name", "inside", "outside")).alias("more"))
-    kind = "array<struct<name:string,inside:bigint,outside:bigint>>"
-    plain = rows.where(F.size("names") == 0).select("page_id", "url", "html", F.lit(None).cast(kind).alias("more"))
-    return plain.unionByName(some.join(found, "k", "left").select("page_id", "url", "html", F.col("more").cast(kind).alias("more")))
+    rest = weights.rest.select(F.concat_ws(" ", "kind", "name").alias("key"), F.struct("kind", "name", "inside", "outside").alias("counts"))
+    found = some.select("k", F.explode("names").alias("key")).distinct().join(rest, "key").groupBy("k").agg(
+        F.collect_list("counts").alias("more")
+    )
+    plain = rows.where(F.size("names") == 0).select("page_id", "url", "html", F.lit(None).cast(MORE).alias("more"))
+    return plain.unionByName(some.join(found, "k", "left").select("page_id", "url", "html", F.col("more").cast(MORE).alias("more")))
 
 
 def main_text(pages: DataFrame, weights: Weights) -> DataFrame:
@@ -269,7 +349,11 @@ def main_text(pages: DataFrame, weights: Weights) -> DataFrame:
     own = replace(weights, rest=None)
 
     def of_page(more: list[dict] | None) -> Weights:
-        return replace(own, tag=own.tag | {x["name"]: tag_weight(x["inside"], x["outside"]) for x in more}) if more else own
+        if not more:
+            return own
+        names = {x["name"]: log_odds(x["name"], x["inside"], x["outside"]) for x in more if x["kind"] == "name"}
+        tags = {x["name"]: tag_weight(x["inside"], x["outside"]) for x in more if x["kind"] == "tag"}
+        return replace(own, names=own.names | names, tags=own.tags | tags)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -277,7 +361,13 @@ def main_text(pages: DataFrame, weights: Weights) -> DataFrame:
             more = b.column(3).to_pylist() if b.num_columns > 3 else [None] * len(pages)
             for a in range(0, len(pages), 500):
                 texts = [extract(p, of_page(x)) for p, x in zip(pages[a : a + 500], more[a : a + 500], strict=True)]
-                yield pa.RecordBatch.from_arrays([ids.slice(a, len(texts)), urls.slice(a, len(texts)), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
+                cols = [
+                    ids.slice(a, len(texts)),
+                    urls.slice(a, len(texts)),
+                    pa.array(texts, pa.string()),
+                    pa.array([len(t) for t in texts], pa.int64()),
+                ]
+                yield pa.RecordBatch.from_arrays(cols, names=["page_id", "url", "text", "n_chars"])
 
     rows = pages.select(F.col("page_id").cast("long"), "url", "html")
-    return (rows if weights.rest is None else with_rare_tags(rows, weights)).mapInArrow(lean(run), OUT)
+    return (rows if weights.rest is None else with_rare_names(rows, weights)).mapInArrow(lean(run), SCHEMA)

@@ -83,11 +83,24 @@ class LanguageModel:
         return langs, scores
 
 
-def fit(docs: DataFrame, usable: Column, fit_rows: int = 2400, landmarks: int = 128, max_n: int = 4, width: int = 1 << 14, ridge: float = 1e-2) -> LanguageModel:
+def fit(
+    docs: DataFrame,
+    usable: Column,
+    fit_rows: int = 2400,
+    landmarks: int = 128,
+    max_n: int = 4,
+    width: int = 1 << 14,
+    ridge: float = 1e-2,
+) -> LanguageModel:
     """Learns from rows (doc_id, text, lang) with ``usable``, non-null lang and text."""
-    rows = docs.where(usable & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.col("lang") != UND)).select(F.col("doc_id").cast("string").alias("k"), "lang", "text")
+    rows = docs.where(
+        usable & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.col("lang") != UND)
+    ).select(F.col("doc_id").cast("string").alias("k"), "lang", "text")
     draw = F.pmod(F.xxhash64("k", F.lit(7)), F.lit(1_000_000)) / F.lit(1e6)
-    per = rows.groupBy("lang").agg(F.count("*").alias("n"), F.min(draw).alias("least")).orderBy(F.desc("n"), "lang").limit(fit_rows // 2 + 1).collect()
+    per = rows.groupBy("lang").agg(
+        F.count("*").alias("n"),
+        F.min(draw).alias("least"),
+    ).orderBy(F.desc("n"), "lang").limit(fit_rows // 2 + 1).collect()
     if not per:
         return LanguageModel([], np.zeros((width, 0), np.float32), np.zeros((0, 0), np.float32), max_n, width)
     if len(per) > fit_rows // 2:
@@ -99,9 +112,19 @@ def fit(docs: DataFrame, usable: Column, fit_rows: int = 2400, landmarks: int =
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([np.packbits(presence(t, max_n, width)).tobytes() for t in as_bytes(b.column(1))], pa.binary())], names=["lang", "o", "bits"])
-
-    got = sorted(picked.mapInArrow(lean(bits), "lang string, o long, bits binary").limit(2 * fit_rows).collect(), key=lambda r: (r["o"], r["lang"], r["bits"]))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    b.column(0),
+                    b.column(2),
+                    pa.array([np.packbits(presence(t, max_n, width)).tobytes() for t in as_bytes(b.column(1))], pa.binary()),
+                ],
+                names=["lang", "o", "bits"],
+            )
+
+    got = sorted(
+        picked.mapInArrow(lean(bits), "lang string, o long, bits binary").limit(2 * fit_rows).collect(),
+        key=lambda r: (r["o"], r["lang"], r["bits"]),
+    )
     labels = sorted({r["lang"] for r in got})
     if len(labels) < len(per):
         raise ValueError(f"{len(per) - len(labels)} labels have no row within twice fit_rows = {fit_rows}")
@@ -130,7 +153,10 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
         m = shared.value
         for b in batches:
             langs, scores = m.score(as_bytes(b.column(1)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
+                names=["doc_id", "lang_pred", "score"],
+            )
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(run), "doc_id long, lang_pred string, score double")
 
@@ -144,9 +170,15 @@ def tag(docs: DataFrame, model: LanguageModel) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             langs, scores = shared.value.score(as_bytes(b.column(at)))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*b.schema.names, "lang_pred", "score"])
-
-    return docs.mapInArrow(lean(run), T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+            yield pa.RecordBatch.from_arrays(
+                [*b.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
+                names=[*b.schema.names, "lang_pred", "score"],
+            )
+
+    return docs.mapInArrow(
+        lean(run),
+        T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]),
+    )
 
 
 def with_letter(docs: DataFrame) -> DataFrame:

@@ -46,6 +46,7 @@ BROADCAST_IDS = 2_000_000  # ids of target documents that are sent to the execut
 TOP = 1 << 17
 HEAVY = 1 << 13
 BUCKET = 2_000_000
+SUMMED = 1_000_000  # sums for documents that a task holds back at most
 BEGIN = -1  # in place of the hash of the word before the first
 NO_ID = -(1 << 63)
 #: a bigram of two frequent words is their numbers; others are hashes with this bit
@@ -227,7 +228,11 @@ def local_sums(docs: DataFrame, models: Models) -> DataFrame:
                 n, _ = doc_counts(q[some], doc[some])
                 logs[some] += m.gain(m.counts[q[some]] - own(n, side[some]), m.base[find(m.words, w[some])])
                 none = np.zeros(j - i)  # texts without words are rows too
-                yield sums(np.append(ids[i:j][doc], ids[i:j]), np.append(np.ones(len(doc)), none), np.concatenate([logs, np.stack([none, none], 1)]))
+                yield sums(
+                    np.append(ids[i:j][doc], ids[i:j]),
+                    np.append(np.ones(len(doc)), none),
+                    np.concatenate([logs, np.stack([none, none], 1)]),
+                )
 
     return docs.mapInArrow(lean(run), SUMS)
 
@@ -235,7 +240,12 @@ def local_sums(docs: DataFrame, models: Models) -> DataFrame:
 def pack(pos: np.ndarray, n: np.ndarray, *keys: np.ndarray) -> bytes:
     """Arrays of one length behind each other; the counts take a byte each if they fit."""
     small = not len(n) or n.max() < 256
-    parts = [np.array([len(n), 1 if small else 4], "<u4"), *(k.astype("<u8") for k in keys), pos.astype("<u2"), n.astype("u1" if small else "<u4")]
+    parts = [
+        np.array([len(n), 1 if small else 4], "<u4"),
+        *(k.astype("<u8") for k in keys),
+        pos.astype("<u2"),
+        n.astype("u1" if small else "<u4"),
+    ]
     return b"".join(p.tobytes() for p in parts)
 
 
@@ -273,14 +283,27 @@ def pairs(docs: DataFrame, models: Models, buckets: int) -> DataFrame:
                 starts = np.unique(bucket) if edges is None else np.flatnonzero(np.diff(edges))
                 rows = []
                 for k in starts.tolist():
-                    own_rows = order[edges[k] : edges[k + 1]] if edges is not None else order[np.searchsorted(bucket[order], k) : np.searchsorted(bucket[order], k, "right")]
+                    own_rows = order[edges[k] : edges[k + 1]] if edges is not None else order[
+                        np.searchsorted(bucket[order], k) : np.searchsorted(bucket[order], k, "right")
+                    ]
                     local, pos = np.unique(doc[own_rows], return_inverse=True)
                     f, r = p[own_rows] >= 0, p[own_rows] < 0
                     a, b = own_rows[f], own_rows[r]
-                    rows.append((k, ids[i:j][local].tobytes(), good[i:j][local].tobytes(), pack(pos[f], n[a], key[a]), pack(pos[r], n[b], h[b].view(U), second[b])))
+                    rows.append(
+                        (
+                            k,
+                            ids[i:j][local].tobytes(),
+                            good[i:j][local].tobytes(),
+                            pack(pos[f], n[a], key[a]),
+                            pack(pos[r], n[b], h[b].view(U), second[b]),
+                        )
+                    )
                 if rows:
                     kinds = [pa.int64(), *[pa.binary()] * 4]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["bucket", "ids", "good", "frequent", "rare"])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)],
+                        names=["bucket", "ids", "good", "frequent", "rare"],
+                    )
 
     return docs.mapInArrow(lean(run), "bucket long, ids binary, good binary, frequent binary, rare binary")
 
@@ -298,8 +321,16 @@ def grouped(n: np.ndarray, *keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def bucket_sums(rows: list[tuple[bytes, ...]], m: Models) -> pa.RecordBatch | None:
-    """Sums for documents from all rows (ids, good, frequent, rare) of one bucket."""
+def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    ids, logs = (np.concatenate(x) for x in zip(*parts, strict=True))
+    u, inverse = np.unique(ids, return_inverse=True)
+    return u, np.stack([np.bincount(inverse, x, len(u)) for x in logs.T], axis=1)
+
+
+def bucket_gains(rows: list[tuple[bytes, ...]], m: Models) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Parts (ids of documents, what they gain in both models) from all rows (ids, good, frequent, rare) of one bucket."""
+    if not rows:
+        return []
     out: list[tuple[np.ndarray, np.ndarray]] = []
     sizes = np.cumsum([0] + [len(r[1]) for r in rows])
     ids = np.frombuffer(b"".join(r[0] for r in rows), np.int64)
@@ -317,14 +348,13 @@ def bucket_sums(rows: list[tuple[bytes, ...]], m: Models) -> pa.RecordBatch | No
         if keys == 1:
             logs = m.gain(grouped(mine, *key) - mine, base)
         else:
-            logs = m.gain(grouped(mine, *key) - mine, base) - np.log1p((grouped(mine, key[0]) - grouped(mine, key[0], text)) * np.array(m.scale) / m.mu)
+            logs = m.gain(grouped(mine, *key) - mine, base) - np.log1p(
+                (grouped(mine, key[0]) - grouped(mine, key[0], text)) * np.array(m.scale) / m.mu
+            )
         logs *= n[:, None]
         some = np.flatnonzero(logs.any(axis=1))
         out.append((ids[text[some]], logs[some]))
-    if not out:
-        return None
-    all_ids, all_logs = (np.concatenate(x) for x in zip(*out, strict=True))
-    return sums(all_ids, np.zeros(len(all_ids)), all_logs)
+    return [merged(out)] if out else []
 
 
 def shuffled_sums(packed: DataFrame, models: Models, parts: int) -> DataFrame:
@@ -332,16 +362,23 @@ def shuffled_sums(packed: DataFrame, models: Models, parts: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, held = None, []
+        some: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in batches:
             for r in range(batch.num_rows):
                 k, *row = (c[r].as_py() for c in batch.columns)
                 if k != bucket:
-                    if held and (found := bucket_sums(held, sent.value)) is not None:
-                        yield found
+                    some += bucket_gains(held, sent.value)
+                    if sum(len(i) for i, _ in some) > SUMMED:  # a task's buckets share their documents
+                        some = [merged(some)]
+                        if len(some[0][0]) > SUMMED // 2:
+                            yield sums(some[0][0], np.zeros(len(some[0][0])), some[0][1])
+                            some = []
                     bucket, held = k, []
                 held.append(tuple(row))
-        if held and (found := bucket_sums(held, sent.value)) is not None:
-            yield found
+        some += bucket_gains(held, sent.value)
+        if some:
+            ids, logs = merged(some)
+            yield sums(ids, np.zeros(len(ids)), logs)
 
     return packed.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(lean(run), SUMS)
 
@@ -357,14 +394,21 @@ def score(docs: DataFrame, target: DataFrame, mu: float = 100.0, top: int = TOP,
     marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(good, "doc_id", "left")
     marked = marked.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text", "good")
     models, total = train(marked, mu, top, heavy)
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // bucket))
-    rare = shuffled_sums(pairs(marked, models, parts), models, parts)
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    buckets = parts * -(-total // (bucket * parts) or 1)
+    rare = shuffled_sums(pairs(marked, models, buckets), models, parts)
     out = local_sums(marked, models).unionByName(rare)
     out = out.groupBy("doc_id").agg(F.sum("n").alias("n_words"), F.sum("lt").alias("lt"), F.sum("lb").alias("lb"))
     n = F.nullif("n_words", F.lit(0))
     loss_t, loss_b = -F.col("lt") / n, -F.col("lb") / n
     doc_id = F.nullif("doc_id", F.lit(NO_ID))
-    return out.select(doc_id.alias("doc_id"), "n_words", loss_t.alias("loss_target"), loss_b.alias("loss_background"), (loss_t - loss_b).alias("score"))
+    return out.select(
+        doc_id.alias("doc_id"),
+        "n_words",
+        loss_t.alias("loss_target"),
+        loss_b.alias("loss_background"),
+        (loss_t - loss_b).alias("score"),
+    )
 
 
 def divide(scored: DataFrame, target: DataFrame) -> float:

@@ -29,6 +29,7 @@ from gapline.llm.shared import fresh_path, lean, materialise
 from gapline.llm.textbytes import as_bytes
 
 UNIT = 192
+KNOWN = 200_000  # payloads of a shard that a task remembers at most
 #: signature, then length and type of the first chunk of a PNG
 HEAD = b"\x89PNG\r\n\x1a\n" + struct.pack(">I", 13) + b"IHDR"
 HEADER_BYTES = 33
@@ -43,7 +44,10 @@ def encode_png(payload: bytes, width: int = UNIT) -> bytes:
     rows = np.frombuffer(payload, np.uint8).reshape(-1, width)
     lines = np.zeros((len(rows), width + 1), np.uint8)
     lines[:, 1:] = rows
-    return HEAD[:8] + _chunk(b"IHDR", struct.pack(">IIBBBBB", width, len(rows), 8, 0, 0, 0, 0)) + _chunk(b"IDAT", zlib.compress(lines.tobytes(), 4)) + _chunk(b"IEND", b"")
+    return HEAD[:8] + _chunk(
+        b"IHDR",
+        struct.pack(">IIBBBBB", width, len(rows), 8, 0, 0, 0, 0),
+    ) + _chunk(b"IDAT", zlib.compress(lines.tobytes(), 4)) + _chunk(b"IEND", b"")
 
 
 def read_header(head: bytes) -> tuple[int, int, int, int]:
@@ -113,12 +117,17 @@ def store(docs: DataFrame, folder: str | None = None) -> DataFrame:
                         info.size = len(form)
                         header = info.tobuf(tarfile.USTAR_FORMAT)
                         out.write(header + form + b"\0" * (-len(form) % 512))
+                        if len(places) >= KNOWN:  # forgetting one only stores it again
+                            places.clear()
                         places[key] = (digest, at + len(header), len(form))
                         at += len(header) + len(form) + -len(form) % 512
                     rows.append((doc, len(text), places[key][0], name, *places[key][1:]))
                 if rows:
                     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "n_bytes", "digest", "shard", "offset", "length"])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)],
+                        names=["doc_id", "n_bytes", "digest", "shard", "offset", "length"],
+                    )
             if out:
                 out.write(b"\0" * 1024)
         finally:
@@ -153,7 +162,10 @@ def with_metadata(index: DataFrame) -> DataFrame:
                         file = fs.open_input_file(f"{base}/{r['shard']}")
                     head, last = read_header(file.read_at(HEADER_BYTES, r["offset"])), place
                 rows.append(r | dict(zip(("width", "height", "depth", "colour"), head, strict=True)))
-            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([*b.schema, *((c, pa.int32()) for c in ("width", "height", "depth", "colour"))]))
+            yield pa.RecordBatch.from_pylist(
+                rows,
+                schema=pa.schema([*b.schema, *((c, pa.int32()) for c in ("width", "height", "depth", "colour"))]),
+            )
 
     cols = ["doc_id", "n_bytes", "digest", "folder", "shard", "offset", "length"]
     return _by_shard(index.select(*cols)).mapInArrow(lean(run), META)
@@ -185,7 +197,15 @@ def read_back(index: DataFrame) -> DataFrame:
                         raise ValueError(f"{r['shard']} at {r['offset']}: the stored bytes differ from their digest")
                     payload, last = decode_png(form), place
                     head = dict(zip(("width", "height", *EXTRA), read_header(form), strict=True))
-                    got = (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(form), sha, features(payload), *(head[c] for c in ("width", "height", *extra)))
+                    got = (
+                        len(payload),
+                        hashlib.sha256(payload).hexdigest(),
+                        zlib.crc32(payload[-16:]),
+                        len(form),
+                        sha,
+                        features(payload),
+                        *(head[c] for c in ("width", "height", *extra)),
+                    )
                 if any(r[c] != head[c] for c in meta):
                     raise ValueError(f"{r['shard']} at {r['offset']}: the metadata differ from the payload's")
                 rows.append((r["doc_id"], r["n_bytes"], *got))

@@ -16,7 +16,10 @@
 Linked: ``100 * overlap >= percent * union``. A pair at the threshold shares no band with a chance of about (1 - s**rows)**bands: 4e-7
 for the defaults at 0.85. Documents with fewer words than a shingle have their whole word sequence as the one shingle; without words
 (or null text) the set is empty and linked with nothing. Repeated rows of one id are one document if their texts are equal.
-A null id counts as larger than any other; a group of null ids alone has a null component and is kept.
+A null id counts as larger than any other; a group of null ids alone has a null component and is kept. An empty table gives an empty result.
+A worker holds a few words for each word of a text, and one text at a time if it is longer than ``BLOCK_BYTES``. Other columns aren't read.
+
+The two ways of 3 and 4 give the same groups; which one a group takes is decided by ``group_items`` alone, to bound a task's memory.
 """
 
 from __future__ import annotations
@@ -59,7 +62,10 @@ def shingle_hashes(b: Block, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 def set_digest(distinct: np.ndarray) -> bytes:
     """128 bits and the size: equal for equal sets."""
-    return np.array([mix(distinct + U(BASE)).sum(dtype=U), mix(distinct ^ U(0xA5A5A5A5A5A5A5A5)).sum(dtype=U)], "<u8").tobytes() + len(distinct).to_bytes(5, "little")
+    return np.array(
+        [mix(distinct + U(BASE)).sum(dtype=U), mix(distinct ^ U(0xA5A5A5A5A5A5A5A5)).sum(dtype=U)],
+        "<u8",
+    ).tobytes() + len(distinct).to_bytes(5, "little")
 
 
 def signatures(h: np.ndarray, first: np.ndarray, perms: int) -> np.ndarray:
@@ -99,7 +105,16 @@ def sign(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
                     k = mix(k + np.arange(bands, dtype=U) * U(0xD6E8FEB86659FD93)).view(np.int64)
                     for d, own in zip(has.tolist(), k.tolist(), strict=True):
                         keys[d] = own
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(count, pa.int64()), pa.array(cls, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "th", "n", "cls", "band"])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).slice(i, j - i),
+                        batch.column(1).slice(i, j - i),
+                        pa.array(count, pa.int64()),
+                        pa.array(cls, pa.binary()),
+                        pa.array(keys, pa.list_(pa.int64())),
+                    ],
+                    names=["doc_id", "th", "n", "cls", "band"],
+                )
 
     return docs.select("doc_id", "th", "text").mapInArrow(lean(run), "doc_id long, th long, n long, cls binary, band array<long>")
 
@@ -138,9 +153,16 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             m = pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(m), batch.column(1).filter(m)], names=["a", "b"])
 
-    parts = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("m")).select("a", F.explode(F.sequence(F.lit(0), F.floor(F.col("m") / 100).cast("int"))).alias("part"), F.floor(F.col("m") / 100).cast("int").alias("parts"))
+    parts = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("m")).select(
+        "a",
+        F.explode(F.sequence(F.lit(0), F.floor(F.col("m") / 100).cast("int"))).alias("part"),
+        F.floor(F.col("m") / 100).cast("int").alias("parts"),
+    )
     left = parts.join(sets.withColumnRenamed("cls", "a"), "a").select("a", "part", F.col("items").alias("x"))
-    share = pairs.join(parts.where("part = 0").select("a", "parts"), "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts") + 1).cast("int"))
+    share = pairs.join(parts.where("part = 0").select("a", "parts"), "a").withColumn(
+        "part",
+        F.pmod(F.xxhash64("b"), F.col("parts") + 1).cast("int"),
+    )
     right = share.select("a", "part", "b").join(sets.select(F.col("cls").alias("b"), F.col("items").alias("y")), "b")
     both = right.join(left, ["a", "part"]).select("a", "b", "x", "y")
     return both.mapInArrow(lean(run), "a binary, b binary")
@@ -150,22 +172,40 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """cls, comp for each of ``nodes`` (cls, comp: its label so far, a class): the smallest label along ``links`` (a, b)."""
     # links between labels are enough: nodes with one label stay together
     by = nodes.select("cls", "comp")
-    ends = links.join(by.select(F.col("cls").alias("a"), F.col("comp").alias("p")), "a").join(by.select(F.col("cls").alias("b"), F.col("comp").alias("q")), "b").where("p <> q").select("p", "q")
-    edges = materialise(ends.select(F.col("p").alias("u"), F.col("q").alias("v")).unionByName(ends.select(F.col("q").alias("u"), F.col("p").alias("v"))).distinct(), "edges")
+    ends = links.join(
+        by.select(F.col("cls").alias("a"), F.col("comp").alias("p")),
+        "a",
+    ).join(by.select(F.col("cls").alias("b"), F.col("comp").alias("q")), "b").where("p <> q").select("p", "q")
+    edges = materialise(
+        ends.select(F.col("p").alias("u"), F.col("q").alias("v")).unionByName(
+            ends.select(F.col("q").alias("u"), F.col("p").alias("v"))
+        ).distinct(),
+        "edges",
+    )
     low = materialise(edges.groupBy("u").agg(F.min("v").alias("near")).select("u", F.least("u", "near").alias("l")), "labels")
     while True:
         up = low.select(F.col("u").alias("v"), F.col("l").alias("lv"))
         near = edges.join(up, "v").groupBy("u").agg(F.min("lv").alias("ln"))
         new = low.join(near, "u", "left").select("u", F.least("l", F.coalesce("ln", "l")).alias("l2"), "l")
         jump = low.select(F.col("u").alias("l2"), F.col("l").alias("lj"))
-        new = materialise(new.join(jump, "l2", "left").select("u", F.least("l2", F.coalesce("lj", "l2")).alias("l"), (F.least("l2", F.coalesce("lj", "l2")) != F.col("l")).alias("moved")), "labels")
+        new = materialise(
+            new.join(jump, "l2", "left").select(
+                "u",
+                F.least("l2", F.coalesce("lj", "l2")).alias("l"),
+                (F.least("l2", F.coalesce("lj", "l2")) != F.col("l")).alias("moved"),
+            ),
+            "labels",
+        )
         discard(low)
         low = new.select("u", "l")
         moved = not new.where("moved").isEmpty()
         low._gapline_path = new._gapline_path
         if not moved:
             break
-    out = materialise(by.join(low.withColumnRenamed("u", "comp"), "comp", "left").select("cls", F.coalesce("l", "comp").alias("comp")), "comp")
+    out = materialise(
+        by.join(low.withColumnRenamed("u", "comp"), "comp", "left").select("cls", F.coalesce("l", "comp").alias("comp")),
+        "comp",
+    )
     discard(edges)
     discard(low)
     return out
@@ -247,7 +287,10 @@ def links_in_blocks(sets: DataFrame, percent: int) -> DataFrame:
 
         def done() -> pa.RecordBatch:
             found = (block_links if len(items) <= GROUP else prefix_links)(items, percent)
-            return pa.RecordBatch.from_arrays([pa.array([cls[x] for x, _ in found], pa.binary()), pa.array([cls[y] for _, y in found], pa.binary())], names=["a", "b"])
+            return pa.RecordBatch.from_arrays(
+                [pa.array([cls[x] for x, _ in found], pa.binary()), pa.array([cls[y] for _, y in found], pa.binary())],
+                names=["a", "b"],
+            )
 
         for batch in batches:
             for c, k, x in zip(*(col.to_pylist() for col in batch.columns), strict=True):
@@ -261,7 +304,10 @@ def links_in_blocks(sets: DataFrame, percent: int) -> DataFrame:
             yield done()
 
     n = max(1, int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return sets.select("comp", "cls", "items").repartition(n, "comp").sortWithinPartitions("comp").mapInArrow(lean(run), "a binary, b binary")
+    return sets.select("comp", "cls", "items").repartition(n, "comp").sortWithinPartitions("comp").mapInArrow(
+        lean(run),
+        "a binary, b binary",
+    )
 
 
 def prefixes(sets: DataFrame, percent: int) -> DataFrame:
@@ -271,9 +317,20 @@ def prefixes(sets: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             for c, k, x in zip(*(col.to_pylist() for col in batch.columns), strict=True):
                 t = np.frombuffer(x, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([c] * len(t), pa.binary()), pa.array([k] * len(t), pa.binary()), pa.array(np.full(len(t), len(t))), pa.array(t)], names=["comp", "cls", "n", "token"])
-
-    rows = sets.select("comp", "cls", "items").mapInArrow(lean(run), "comp binary, cls binary, n long, token long").withColumn("key", F.xxhash64("comp", "token")).select("key", "cls", "n")
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([c] * len(t), pa.binary()),
+                        pa.array([k] * len(t), pa.binary()),
+                        pa.array(np.full(len(t), len(t))),
+                        pa.array(t),
+                    ],
+                    names=["comp", "cls", "n", "token"],
+                )
+
+    rows = sets.select("comp", "cls", "items").mapInArrow(
+        lean(run),
+        "comp binary, cls binary, n long, token long",
+    ).withColumn("key", F.xxhash64("comp", "token")).select("key", "cls", "n")
     rows = materialise(rows, "tokens")
     often = rows.groupBy("key").agg(F.count(F.lit(1)).alias("f"))
     placed = rows.join(often, "key").withColumn("pos", F.row_number().over(Window.partitionBy("cls").orderBy("f", "key")))
@@ -292,22 +349,45 @@ def join_large(sets: DataFrame, percent: int) -> DataFrame:
     tested: DataFrame | None = None  # (key, cls) that were compared with all of their bucket
     for turn in range(STAR_ROUNDS + 1):
         now = member.join(nodes, "cls")
-        now = now.withColumn("was", F.lit(None).cast("boolean")) if tested is None else now.join(tested.withColumn("was", F.lit(True)), ["key", "cls"], "left")
+        now = now.withColumn("was", F.lit(None).cast("boolean")) if tested is None else now.join(
+            tested.withColumn("was", F.lit(True)),
+            ["key", "cls"],
+            "left",
+        )
         now = materialise(now.select("key", "cls", "deg", "n", "pos", "comp", F.coalesce("was", F.lit(False)).alias("was")), "now")
-        per = now.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"), F.max(F.when(~F.col("was"), F.struct("deg", "cls", "n", "pos"))).alias("best"))
+        per = now.groupBy("key", "comp").agg(
+            F.count(F.lit(1)).alias("c"),
+            F.max(F.when(~F.col("was"), F.struct("deg", "cls", "n", "pos"))).alias("best"),
+        )
         # the bucket's largest component needs no turn: a pair across components has an end outside it
         sizes = per.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("top"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
         if turn == 0:
-            pivot = now.groupBy("key").agg(F.max(F.struct("deg", "cls", "n", "pos", "comp")).alias("p")).select("key", "p.cls", "p.n", "p.pos", "p.comp")
+            pivot = now.groupBy("key").agg(
+                F.max(F.struct("deg", "cls", "n", "pos", "comp")).alias("p")
+            ).select("key", "p.cls", "p.n", "p.pos", "p.comp")
         elif turn < STAR_ROUNDS:
             outer = per.join(sizes, "key").where((F.col("comp") != F.col("top.comp")) & F.col("best").isNotNull())
-            pivot = outer.groupBy("key").agg(F.max(F.struct("best", "comp")).alias("p")).select("key", "p.best.cls", "p.best.n", "p.best.pos", "p.comp")
+            pivot = outer.groupBy("key").agg(F.max(F.struct("best", "comp")).alias("p")).select(
+                "key",
+                "p.best.cls",
+                "p.best.n",
+                "p.best.pos",
+                "p.comp",
+            )
         else:
-            pivot = now.join(sizes, "key").where((F.col("comp") != F.col("top.comp")) & ~F.col("was")).select("key", "cls", "n", "pos", "comp")
+            pivot = now.join(sizes, "key").where(
+                (F.col("comp") != F.col("top.comp")) & ~F.col("was")
+            ).select("key", "cls", "n", "pos", "comp")
         pivot = materialise(pivot.toDF("key", "a", "na", "pa", "ca"), "pivots")
         if pivot.isEmpty():
             break
-        other = now.where("not was").select(F.col("key").alias("k"), F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("comp").alias("cb"))
+        other = now.where("not was").select(
+            F.col("key").alias("k"),
+            F.col("cls").alias("b"),
+            F.col("n").alias("nb"),
+            F.col("pos").alias("pb"),
+            F.col("comp").alias("cb"),
+        )
         bound = 1 + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))  # overlap from this shingle on, at most
         enough = (100 + percent) * bound >= percent * (F.col("na") + F.col("nb"))
         pairs = pivot.join(other, (F.col("key") == F.col("k")) & (F.col("ca") != F.col("cb")) & enough).select("a", "b")
@@ -325,7 +405,8 @@ def join_large(sets: DataFrame, percent: int) -> DataFrame:
 
 
 def groups(docs: DataFrame, size: int = 5, percent: int = 80, bands: int = 20, rows: int = 4, group_items: int = GROUP_ITEMS) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id of the group), kept, for each row of ``docs`` (doc_id, text)."""
+    """doc_id, n_shingles, component_id (smallest doc_id of the group), kept (doc_id = component_id), th (xxhash64 of the text) and first for each row of ``docs``
+    (doc_id, text). ``first`` marks one pair of an id and a text in each group, so it tells rows apart that share an id or have none."""
     if rows % 2:
         raise ValueError("rows is even: minima and maxima come in pairs")
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
@@ -345,7 +426,10 @@ def groups(docs: DataFrame, size: int = 5, percent: int = 80, bands: int = 20, r
     texts = own.withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID))).join(need, ["doc_id", "th"])
     sets = sets_of(texts.select("cls", "text"), size).dropDuplicates(["cls"])
     sets = materialise(sets.join(candidates, "cls"), "sets")
-    large = sets.groupBy("comp").agg(F.count(F.lit(1)).alias("m"), F.sum(F.octet_length("items") / 8).alias("t")).where((F.col("t") > group_items) & (F.col("m") > 2))
+    large = sets.groupBy("comp").agg(
+        F.count(F.lit(1)).alias("m"),
+        F.sum(F.octet_length("items") / 8).alias("t"),
+    ).where((F.col("t") > group_items) & (F.col("m") > 2))
     large = materialise(large.select("comp", F.lit(True).alias("large")), "large")
     sets = sets.join(large, "comp", "left")
     small = sets.where("large is null")
@@ -355,10 +439,26 @@ def groups(docs: DataFrame, size: int = 5, percent: int = 80, bands: int = 20, r
     if not large.isEmpty():
         nodes = nodes.unionByName(join_large(sets.where("large"), percent))
 
-    label = rep.join(nodes, "cls", "left").select("cls", "doc_id", F.coalesce("comp", "cls").alias("comp"))
-    smallest = label.groupBy("comp").agg(F.min("doc_id").alias("component"))
-    label = label.join(smallest, "comp").select("cls", "component")
-    out = signed.select("doc_id", "n", "cls").join(label, "cls", "left")
-    component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.nullif(F.col("component"), F.lit(NO_ID)))
-    out = out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    label = rep.join(nodes, "cls", "left").select("cls", F.struct("doc_id", "th").alias("own"), F.coalesce("comp", "cls").alias("comp"))
+    smallest = label.groupBy("comp").agg(F.min("own").alias("lead"))
+    label = label.join(smallest, "comp").select("cls", "lead")
+    # sets without shingles are one key and linked with nothing: they take no part in the join
+    some = signed.where("n > 0").select("doc_id", "th", "n", "cls").join(label, "cls").drop("cls")
+    none = signed.where("n = 0").select(
+        "doc_id",
+        "th",
+        "n",
+        F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "th").alias("lead"),
+    )
+    out = some.select("doc_id", "th", "n", "lead").unionByName(none)
+    first = (F.coalesce("doc_id", F.lit(NO_ID)) == F.col("lead.doc_id")) & (F.col("th") == F.col("lead.th"))
+    component = F.nullif("lead.doc_id", F.lit(NO_ID))
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), "th", first.alias("first"))
+    return out.select(
+        "doc_id",
+        "n_shingles",
+        "component_id",
+        F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"),
+        "th",
+        "first",
+    )

@@ -2,21 +2,26 @@
 
 A document's token ids (with one end id) are cut, from the front, into as many pieces of ``max_len`` as fit and then
 into pieces of the binary digits of the rest, largest first. Each piece is one sequence: its length is a power of two,
-it needs no padding, and no sequence crosses documents. ``bucket`` is the binary logarithm of the length; a batch is made
-of one bucket's sequences. There is no shuffle: each document is cut where it is read.
+it needs no padding, and no sequence crosses documents. ``bucket`` is the binary logarithm of the length; :func:`batches` groups sequences of one
+bucket. Packing has no shuffle: each document is cut where it is read.
 
-Null text counts as empty (one piece: the end id). Rows with the same or a null id are packed on their own.
+Ids are those of the tokenizer for the whole text. With a tokenizer that takes texts apart as ``WORDWISE`` says (checked when it is loaded), distinct words are
+encoded once, for blocks of text that end at a blank, however long the text is; with any other each text is encoded at once.
+
+Null text counts as empty (one piece: the end id). Rows with the same or a null id are packed on their own. An empty table gives an empty
+result. Other columns aren't read.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gapline.llm.shared import lean
@@ -24,13 +29,33 @@ from gapline.llm.textbytes import Block, as_bytes, blocks
 
 BLOCK_BYTES = 2 << 20
 #: distinct words whose ids a worker keeps at most
-CACHED_WORDS = 200_000
+CACHED_WORDS = 600_000
 #: blanks: no token of the tokenizer reaches across, whatever stands around them
 BREAK = np.ones(256, bool)
 BREAK[[0x20, 0x09, 0x0A, 0x0D]] = False
 #: between a letter and one of these a token always ends
 STOP = np.zeros(256, bool)
 STOP[[ord(c) for c in ".,;:!?"]] = True
+#: how the tokenizer takes texts apart for which words can be encoded on their own; fixed values
+WORDWISE = {
+    "normalizer": {
+        "type": "Sequence",
+        "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}],
+    },
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {
+                "type": "Split",
+                "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"},
+                "behavior": "Removed",
+                "invert": True,
+            },
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "added": ["<|startoftext|>", "<|endoftext|>"],
+}
 MARK = b"\x01"
 LETTER = np.zeros(256, bool)
 LETTER[65:91] = LETTER[97:123] = True
@@ -39,7 +64,7 @@ FOLD[65:91] += 32
 
 
 class CachedEncoder:
-    """Ids of texts by a tokenizer that lower-cases and never joins text across blanks: a distinct word is encoded once."""
+    """Ids of texts. If the tokenizer is ``WORDWISE``, it lower-cases and never joins text across blanks, and a distinct word is encoded once."""
 
     def __init__(self, file: str | None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -50,6 +75,9 @@ class CachedEncoder:
 
             file = public_tokenizers.path("word_bpe_49k.json")
         self.tok = Tokenizer.from_file(file)
+        spec = json.loads(self.tok.to_str())
+        told = {k: spec[k] for k in ("normalizer", "pre_tokenizer")} | {"added": [x["content"] for x in spec["added_tokens"]]}
+        self.wordwise = told == WORDWISE
         mark = self.tok.encode(MARK.decode(), add_special_tokens=False).ids
         self.mark = mark[0] if len(mark) == 1 else None
         self.young: dict[bytes, bytes] = {}
@@ -88,10 +116,27 @@ class CachedEncoder:
         if len(plain) == len(words):
             return got
         known = dict(zip(plain, got, strict=True))
-        return [known[w] if w in known else np.array(self.tok.encode(w.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes() for w in words]
+        return [
+            known[w]
+            if w in known
+            else np.array(self.tok.encode(w.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
+            for w in words
+        ]
 
     def ids(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and where each text's begin and end among them."""
+        if not self.wordwise:
+            found = [
+                np.array(e.ids, "<u4")
+                for e in self.tok.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
+            ]
+            return np.concatenate([np.zeros(0, "<u4"), *found]), np.cumsum([0, *map(len, found)])
+        if len(texts) == 1 and len(texts[0]) > 2 * BLOCK_BYTES:
+            found = [self.by_words([x])[0] for x in at_blanks(texts[0], BLOCK_BYTES)]
+            return np.concatenate(found), np.array([0, sum(map(len, found))])
+        return self.by_words(texts)
+
+    def by_words(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         b = Block(texts)
         buf = b.buf
         inside = BREAK[buf]
@@ -116,6 +161,18 @@ class CachedEncoder:
         return ids, before[np.append(np.searchsorted(starts, b.begin), len(starts))]
 
 
+def at_blanks(text: bytes, most: int) -> Iterator[bytes]:
+    """Parts of a text that end at blanks, of at most ``most`` bytes where words allow that."""
+    a = 0
+    while len(text) - a > most:
+        z = max(text.rfind(c, a, a + most) for c in (b" ", b"\n", b"\t", b"\r")) + 1
+        if z <= a:
+            z = min((k for k in (text.find(c, a + most) for c in (b" ", b"\n", b"\t", b"\r")) if k >= 0), default=len(text))
+        yield text[a:z]
+        a = z
+    yield text[a:]
+
+
 def pieces(n: int, max_len: int) -> list[int]:
     """Lengths of the pieces of n ids: powers of two, not rising."""
     rest = n % max_len
@@ -153,3 +210,15 @@ def pack(docs: DataFrame, tokenizer_file: str | None = None, max_len: int = 2048
 
     out = docs.select("doc_id", "text").mapInArrow(lean(run), SCHEMA)
     return out.withColumns({"sequence_id": F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
+
+
+def batches(packed: DataFrame, tokens: int) -> DataFrame:
+    """``packed`` with batch: sequences of one bucket, ``tokens`` ids a batch (one sequence at least). Sequences are counted within the part of the input
+    that they come from, which stands in the high bits of sequence_id, so no bucket is gathered; its last batch of each part may be smaller."""
+    part = F.shiftright("sequence_id", 33)
+    place = F.row_number().over(Window.partitionBy("bucket", part).orderBy("sequence_id")) - 1
+    each = F.greatest(F.lit(1), F.floor(F.lit(tokens) / F.col("length")))
+    return packed.withColumn(
+        "batch",
+        F.concat_ws("-", F.col("bucket").cast("string"), part.cast("string"), F.floor(place / each).cast("string")),
+    )

@@ -16,7 +16,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 #: (verdict, host, path prefix)
-RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
+RULES = (
+    ("allow", "org", "/"),
+    ("block", "example.org", "/es/"),
+    ("block", "example.org", "/en/1"),
+    ("allow", "com", "/fr/"),
+    ("block", "com", "/de/"),
+)
 
 
 def op1_lmscore(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,21 +45,40 @@ def op3_url(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     told = "</s>[INST] ok [/INST]"
-    extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(told).alias("text"))
+    extra = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit(told).alias("text"),
+    )
     tree = chat.as_tree(turns.unionByName(extra))
     out = chat.format_paths(tree, chat.reply_paths(tree), branches=1)
     out = out.withColumns({"turns": chat.read_turns(F.col("formatted")), "loss": chat.read_loss(F.col("formatted"), F.col("mask"))})
     told_all = F.array_join(F.transform("turns", lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n"))), "")
-    return out.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(told_all, 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2(F.col("loss"), 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
+    return out.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(told_all, 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2(F.col("loss"), 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
 
 
 def op4_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.groups(table(spark, sf_dir, "documents"), percent=85)
+    return neardup.groups(table(spark, sf_dir, "documents"), percent=85).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
+    return out.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
+        ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
+    )
 
 
 def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,7 +87,13 @@ def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substrings.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2(F.coalesce("kept", F.coalesce("text", F.lit("")).cast("binary")), 256).alias("kept_sha256"))
+    return out.select(
+        "doc_id",
+        "n_bytes",
+        "n_removed",
+        "n_spans",
+        F.sha2(F.coalesce("kept", F.coalesce("text", F.lit("")).cast("binary")), 256).alias("kept_sha256"),
+    )
 
 
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,7 +108,18 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_lmscore, op2_html, op3_url, op4_neardup, op5_decontaminate, op6_chat, op7_media, op8_substrings, op9_language, op10_packing]
+    found = [
+        op1_lmscore,
+        op2_html,
+        op3_url,
+        op4_neardup,
+        op5_decontaminate,
+        op6_chat,
+        op7_media,
+        op8_substrings,
+        op9_language,
+        op10_packing,
+    ]
     return {f.__name__: f for f in found}
 
 
@@ -85,27 +127,41 @@ HOST = "translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), 'ABCDEFG
 PATH = "coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '')"
 _TWO = "regexp_extract(host, '([^.:]+[.][^.:]+)(:[0-9]*)?$', 1)"
 _THREE = "regexp_extract(host, '([^.:]+[.][^.:]+[.][^.:]+)(:[0-9]*)?$', 1)"
-_LISTED = ", ".join(f"'{x}'" for x in urlfilter.TWO_LABELS)
+_SECOND = f"regexp_matches({_TWO}, '^({'|'.join(urlfilter.SECOND)})[.][a-z]{{2}}$')"
 _M = """select case when t - t2::double / t = 0 or t is null then 10.0 else least(1000.0, greatest(1.0, 1 / greatest((v - k) / (t - t2::double / t), 1e-3) - 1)) end
 from (select sum(n * (s::double / n - p) * (s::double / n - p) / (p * (1 - p))) v, count(*) k, sum(n) t, sum(n * n) t2 from {} where n > 0 and p > 0 and p < 1)"""
 _RULED = sorted(RULES, key=lambda r: -len(r[1] + r[2]))
-_CASE = "case " + " ".join(f"when (host = '{h}' or ends_with(host, '.{h}')) and starts_with(path, '{p}') then '{{{k}}}'" for k, (_, h, p) in enumerate(_RULED)) + " end"
+_CASE = "case " + " ".join(
+    f"when (host = '{h}' or ends_with(host, '.{h}')) and starts_with(path, '{p}') then '{{{k}}}'" for k, (_, h, p) in enumerate(_RULED)
+) + " end"
+
+
+
+def _density(t: str) -> str:
+    return f"(-a * (greatest(-({t}), 0.0) + ln(1 + exp(-abs({t})))) - b * (greatest({t}, 0.0) + ln(1 + exp(-abs({t})))))"
+
+
+def _integral(x: str, y: str) -> str:
+    step = f"(({y} - {x}) / {urlfilter.NODES}.0)"
+    return f"{step} * list_sum(list_transform(range({urlfilter.NODES}), lambda k: exp({_density(f'({x} + (k + 0.5) * {step})')} - {_density('mid')})))"
+
 
 OP3 = f"""
 with own as (select page_id, {HOST} as host, {PATH} as path from pages),
 one as (select doc_id, case when min(quality) = 1 and max(coalesce(toxic, 0)) = 0 then 1 else 0 end good from labels where doc_id is not null and quality is not null group by doc_id),
 base as (select host, {_TWO} as two, {_THREE} as three, count(good) n, coalesce(sum(good), 0) s from own left join one on page_id = doc_id where host <> '' group by host),
-named as (select host, n, s, case when two in ({_LISTED}) then two else regexp_extract(host, '([^.:]*)(:[0-9]*)?$', 1) end suffix,
-  case when two in ({_LISTED}) and three <> '' then three when two = '' then host else two end as domain from base),
+named as (select host, n, s, case when {_SECOND} then two else regexp_extract(host, '([^.:]*)(:[0-9]*)?$', 1) end suffix,
+  case when {_SECOND} and three <> '' then three when two = '' then host else two end as domain from base),
 suffixes as (select suffix, sum(n) n, sum(s) s, (select (sum(s) + 1.0) / (sum(n) + 2.0) from named) p from named group by suffix),
 suffix_p as (select suffix, (s + ({_M.format("suffixes")}) * p) / (n + ({_M.format("suffixes")})) p from suffixes),
 domains as (select domain, suffix, sum(named.n) n, sum(named.s) s, any_value(p) p from named join suffix_p using (suffix) group by domain, suffix),
 domain_p as (select domain, suffix, (s + ({_M.format("domains")}) * p) / (n + ({_M.format("domains")})) p from domains),
 hosts as (select host, n, s, p from named join domain_p using (domain, suffix)),
 post as (select host, s + m * p a, n - s + m * (1 - p) b from (select *, ({_M.format("hosts")}) m from hosts)),
-bounds as (select host as known, a / (a + b) - 1.645 * sqrt(a / (a + b) * (1 - a / (a + b)) / (a + b + 1)) bound from post)
+limits as (select host as known, a, b, ln(a / b) mid, ln(a / b) - 8.0 * sqrt(1.0 / a + 1.0 / b) - 12.0 / a lo, ln(a / b) + 8.0 * sqrt(1.0 / a + 1.0 / b) + 12.0 / b hi from post),
+bounds as (select known, {_integral("cut", "hi")} / ({_integral("cut", "hi")} + {_integral("lo", "cut")}) mass from (select *, greatest(lo, least(hi, 0.0::double)) cut from limits))
 select page_id, host, path, {_CASE.format(*[h + p for _, h, p in _RULED])} as rule,
-  coalesce({_CASE.format(*[v for v, _, _ in _RULED])}, case when bound >= 0.5 then 'allow' else 'block' end) as verdict
+  coalesce({_CASE.format(*[v for v, _, _ in _RULED])}, case when mass >= 0.95 then 'allow' else 'block' end) as verdict
 from own left join bounds on host = known
 """
 

@@ -55,6 +55,17 @@ def discard(df: DataFrame) -> None:
         p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
 
 
+ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bound_batches() -> None:
+    """Arrow batches of at most 8 MB for this session, unless its user has set another bound than Spark's 64 MB: every task holds one or two of
+    them in the JVM and as many in Python."""
+    spark = SparkSession.getActiveSession()
+    if spark is not None and spark.conf.get(ARROW_BYTES, f"{64 << 20}b").rstrip("b") == str(64 << 20):
+        spark.conf.set(ARROW_BYTES, str(8 << 20))
+
+
 def trim() -> None:
     """Gives freed memory back to the system."""
     pa.default_memory_pool().release_unused()
@@ -70,6 +81,7 @@ Batches = Iterator[pa.RecordBatch]
 def lean(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
     """``run`` for ``mapInArrow``, with what it freed given back after each batch and task: Spark reuses its Python workers, so what one
     stage leaves would add to the next one's memory."""
+    bound_batches()
 
     def wrapped(batches: Batches) -> Batches:
         def each() -> Batches:

@@ -191,7 +191,12 @@ def find_anchors(docs: DataFrame, depth: int, places: bool) -> DataFrame:
                 occ = mix(head[own - owner[0]] + at.astype(U) * U(BASE)).view(np.int64)
                 cols = {"fp": pa.array(fp), "occ": pa.array(occ)}
                 if places:
-                    cols |= {"tk": keys.take(pa.array(own)), "s0": pa.array(s0.astype(np.int32)), "s1": pa.array(s1.astype(np.int32)), "at": pa.array(at.astype(np.int32))}
+                    cols |= {
+                        "tk": keys.take(pa.array(own)),
+                        "s0": pa.array(s0.astype(np.int32)),
+                        "s1": pa.array(s1.astype(np.int32)),
+                        "at": pa.array(at.astype(np.int32)),
+                    }
                 yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
 
     return docs.select("tk", "text").mapInArrow(lean(run), "fp long, occ long" + ", tk binary, s0 int, s1 int, at int" * places)
@@ -228,7 +233,10 @@ def sort_blocks(contexts: DataFrame, depth: int) -> DataFrame:
 
         def done() -> pa.RecordBatch:
             found = sort_block(held, depth)
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in held], pa.int64()), pa.array([r[1] for r in held], pa.binary()), pa.array(found, RUNS)], names=["fp", "ch", "runs"])
+            return pa.RecordBatch.from_arrays(
+                [pa.array([r[0] for r in held], pa.int64()), pa.array([r[1] for r in held], pa.binary()), pa.array(found, RUNS)],
+                names=["fp", "ch", "runs"],
+            )
 
         for batch in batches:
             for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -253,14 +261,25 @@ def count_windows(contexts: DataFrame, depth: int) -> DataFrame:
             for fp, ch, _d0, dup, ctx in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 n = len(ctx) - depth + 1
                 w = [hashlib.blake2b(ctx[k : k + depth], digest_size=16).digest() for k in range(n)]
-                yield pa.RecordBatch.from_arrays([pa.array([fp] * n, pa.int64()), pa.array([ch] * n, pa.binary()), pa.array(range(n), pa.int32()), pa.array([dup] * n, pa.bool_()), pa.array(w, pa.binary())], names=["fp", "ch", "k", "dup", "w"])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([fp] * n, pa.int64()),
+                        pa.array([ch] * n, pa.binary()),
+                        pa.array(range(n), pa.int32()),
+                        pa.array([dup] * n, pa.bool_()),
+                        pa.array(w, pa.binary()),
+                    ],
+                    names=["fp", "ch", "k", "dup", "w"],
+                )
 
     rows = contexts.select("fp", "ch", "d0", "dup", "ctx").mapInArrow(lean(run), "fp long, ch binary, k int, dup boolean, w binary")
     rows = materialise(rows, "windows")
     occ = F.xxhash64("fp", "ch", "k")
     often = rows.groupBy("w").agg(F.min(occ).alias("x"), F.max(occ).alias("y"), F.max("dup").alias("d")).where("x <> y or d").select("w")
     hit = rows.join(often, "w").select("fp", "ch", "k")
-    return hit.groupBy("fp", "ch").agg(F.array_sort(F.collect_list(F.struct(F.col("k").alias("a"), (F.col("k") + 1).alias("z")))).alias("runs"))
+    return hit.groupBy("fp", "ch").agg(
+        F.array_sort(F.collect_list(F.struct(F.col("k").alias("a"), (F.col("k") + 1).alias("z")))).alias("runs")
+    )
 
 
 def cut_contexts(texts: DataFrame, depth: int) -> DataFrame:
@@ -285,7 +304,11 @@ def cut_contexts(texts: DataFrame, depth: int) -> DataFrame:
                     some, offset = slice(p, q), ends[p : q + 1] - ends[p]
                     data = b.buf[np.repeat(b.begin[text[some]] + s0[some] - offset[:-1], size[some]) + np.arange(offset[-1])]
                     ctx = pa.Array.from_buffers(pa.binary(), q - p, [None, pa.py_buffer(offset.astype(np.int32)), pa.py_buffer(data)])
-                    cols = {"fp": pa.array(fp[some]), "tk": batch.column(0).slice(i, j - i).take(pa.array(text[some])), "s0": pa.array(s0[some])}
+                    cols = {
+                        "fp": pa.array(fp[some]),
+                        "tk": batch.column(0).slice(i, j - i).take(pa.array(text[some])),
+                        "s0": pa.array(s0[some]),
+                    }
                     cols |= {"d0": pa.array((at[some] - s0[some]).astype(np.int32)), "ctx": ctx}
                     yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
                     p = q
@@ -310,7 +333,13 @@ def cut_texts(texts: DataFrame, depth: int, as_text: bool) -> DataFrame:
             raw = as_bytes(batch.column(1))
             for i in range(0, len(raw), 500):
                 rows = []
-                for tk, text, whole, runs in zip(batch.column(0).slice(i, 500).to_pylist(), raw[i : i + 500], batch.column(2).slice(i, 500).to_pylist(), batch.column(3).slice(i, 500).to_pylist(), strict=True):
+                for tk, text, whole, runs in zip(
+                    batch.column(0).slice(i, 500).to_pylist(),
+                    raw[i : i + 500],
+                    batch.column(2).slice(i, 500).to_pylist(),
+                    batch.column(3).slice(i, 500).to_pylist(),
+                    strict=True,
+                ):
                     spans = [[0, len(text)]] if whole else []
                     for r in [] if whole else sorted((r["a"], r["z"]) for r in runs or ()):
                         if spans and r[0] <= spans[-1][1]:
@@ -324,11 +353,25 @@ def cut_texts(texts: DataFrame, depth: int, as_text: bool) -> DataFrame:
                         kept.append(text[end:a])
                         end = z
                     kept.append(text[end:])
-                    rows.append((tk, sum(z - a for a, z in spans), len(spans), [{"a": a, "z": z} for a, z in spans], b"".join(kept).decode() if as_text else b"".join(kept)))
+                    rows.append(
+                        (
+                            tk,
+                            sum(z - a for a, z in spans),
+                            len(spans),
+                            [{"a": a, "z": z} for a, z in spans],
+                            b"".join(kept).decode() if as_text else b"".join(kept),
+                        )
+                    )
                 kinds = [pa.binary(), pa.int64(), pa.int64(), RUNS, pa.string() if as_text else pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["tk", "n_removed", "n_spans", "spans", "kept"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)],
+                    names=["tk", "n_removed", "n_spans", "spans", "kept"],
+                )
 
-    return texts.select("tk", "text", "whole", "runs").mapInArrow(lean(run), "tk binary, n_removed long, n_spans long, spans array<struct<a:int,z:int>>, kept " + ("string" if as_text else "binary"))
+    return texts.select("tk", "text", "whole", "runs").mapInArrow(
+        lean(run),
+        "tk binary, n_removed long, n_spans long, spans array<struct<a:int,z:int>>, kept " + ("string" if as_text else "binary"),
+    )
 
 
 def find_runs(docs: DataFrame, depth: int, most: int) -> tuple[DataFrame, DataFrame]:
@@ -341,7 +384,10 @@ def find_runs(docs: DataFrame, depth: int, most: int) -> tuple[DataFrame, DataFr
     need = materialise(copies.join(found, "tk", "left").where("found is not null or copies > 1"), "found")
     discard(seen)
     one = docs.select(F.col("tk").alias("k"), F.col("doc_id").alias("d"), "text")
-    texts = need.join(one, (F.col("tk") == F.col("k")) & F.col("id").eqNullSafe(F.col("d"))).select("tk", "text", "copies", "found").dropDuplicates(["tk"])
+    texts = need.join(
+        one,
+        (F.col("tk") == F.col("k")) & F.col("id").eqNullSafe(F.col("d")),
+    ).select("tk", "text", "copies", "found").dropDuplicates(["tk"])
     texts = materialise(texts, "texts")
     discard(need)
     rows = materialise(cut_contexts(texts.where("found is not null"), depth).withColumn("ch", F.unhex(F.md5("ctx"))), "contexts")
@@ -349,7 +395,10 @@ def find_runs(docs: DataFrame, depth: int, most: int) -> tuple[DataFrame, DataFr
     distinct = rows.groupBy("fp", "ch").agg(F.min("d0").alias("d0"), (F.min(occ) != F.max(occ)).alias("dup"), F.first("ctx").alias("ctx"))
     many = rows.groupBy("fp").agg(F.min("ch").alias("c0"), F.max("ch").alias("c1"), F.approx_count_distinct("ch", 0.05).alias("kinds"))
     # an anchor hash with one context is decided by its count; the estimate only chooses between the two ways for the others
-    distinct = materialise(distinct.join(many.select("fp", (F.col("c0") == F.col("c1")).alias("alone"), (F.col("kinds") > most).alias("hot")), "fp"), "distinct")
+    distinct = materialise(
+        distinct.join(many.select("fp", (F.col("c0") == F.col("c1")).alias("alone"), (F.col("kinds") > most).alias("hot")), "fp"),
+        "distinct",
+    )
     all_windows = F.array(F.struct(F.lit(0).alias("a"), (F.octet_length("ctx") - depth + 1).alias("z")))
     decided = distinct.where("alone and dup").select("fp", "ch", all_windows.alias("runs"))
     runs = decided.unionByName(sort_blocks(distinct.where("not alone and not hot"), depth).where("size(runs) > 0"))
@@ -380,4 +429,10 @@ def remove_repeats(docs: DataFrame, depth: int = DEPTH, most: int = MOST, as_tex
     cut = cut_texts(cut.select("tk", "text", whole.alias("whole"), "runs"), depth, as_text).withColumnRenamed("tk", "_tk")
     out = docs.withColumn("_key", F.unhex(F.md5(F.coalesce("text", F.lit("")))))
     out = out.join(cut, F.col("_key") == F.col("_tk"), "left").drop("_key", "_tk")
-    return out.withColumns({"n_bytes": F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"), "n_removed": F.coalesce("n_removed", F.lit(0)).cast("long"), "n_spans": F.coalesce("n_spans", F.lit(0)).cast("long")})
+    return out.withColumns(
+        {
+            "n_bytes": F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"),
+            "n_removed": F.coalesce("n_removed", F.lit(0)).cast("long"),
+            "n_spans": F.coalesce("n_spans", F.lit(0)).cast("long"),
+        }
+    )

@@ -79,13 +79,33 @@ def tables(spark, tmp_path_factory):
         near = base.split()
         near[10 * k + 3] = f"Zz{k}"
         docs.append(" ".join(near))
-    docs += [text(40) + " " + passage + " " + text(40) for _ in range(4)] + [items[0][1], text(10) + " " + items[1][1] + " " + text(300), None, "", "12 345", "one two"]
+    docs += [text(40) + " " + passage + " " + text(40) for _ in range(4)] + [
+        items[0][1],
+        text(10) + " " + items[1][1] + " " + text(300),
+        None,
+        "",
+        "12 345",
+        "one two",
+    ]
     docs = [(i, t, rng.choice(["en", "fr"]), f"src{i % 3}", len(t or "")) for i, t in enumerate(docs)]
     folder = str(tmp_path_factory.mktemp("tables"))
-    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(
+        docs,
+        "doc_id long, text string, lang string, source string, n_chars long",
+    ).write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
-    spark.createDataFrame([(i, i % 2, int(i % 5 == 0)) for i in range(0, 30, 2)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
-    pages = [(i, f"http://h{i % 3}.example.com/en/{i}", f"<html><nav><a>Menu {i}</a></nav><article><h1>T {i}</h1><p>{t}</article><footer>Foot</footer></html>" if i % 7 else None) for i, t, *_ in docs]
+    spark.createDataFrame(
+        [(i, i % 2, int(i % 5 == 0)) for i in range(0, 30, 2)],
+        "doc_id long, quality int, toxic int",
+    ).write.parquet(f"{folder}/labels.parquet")
+    pages = [
+        (
+            i,
+            f"http://h{i % 3}.example.com/en/{i}",
+            f"<html><nav><a>Menu {i}</a></nav><article><h1>T {i}</h1><p>{t}</article><footer>Foot</footer></html>" if i % 7 else None,
+        )
+        for i, t, *_ in docs
+    ]
     spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{folder}/pages.parquet")
     turns = [(c, t, "user" if t % 2 == 0 else "assistant", rng.choice([text(5), None, "a</s>\\"])) for c in range(4) for t in range(c + 2)]
     spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{folder}/conversations.parquet")
@@ -104,18 +124,27 @@ def test_op1(spark, tables):
 
 def test_op2(spark, tables):
     for r in run(spark, tables, "op2_html"):
-        want = "" if r.page_id % 7 == 0 else "\n".join(x for x in (f"T {r.page_id}", " ".join((tables[1][r.page_id][1] or "None").split())) if x)
+        want = "" if r.page_id % 7 == 0 else "\n".join(
+            x for x in (f"T {r.page_id}", " ".join((tables[1][r.page_id][1] or "None").split())) if x
+        )
         assert r.text == want and r.n_chars == len(want)
 
 
 def test_op4(spark, tables):
     comp = near_groups(tables[1], 85)
-    assert {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in run(spark, tables, "op4_neardup")} == {(i, len(shingles(t)), comp[i], comp[i] == i) for i, t in tables[1]}
+    assert {
+        (r.doc_id, r.n_shingles, r.component_id, r.kept) for r in run(spark, tables, "op4_neardup")
+    } == {(i, len(shingles(t)), comp[i], comp[i] == i) for i, t in tables[1]}
 
 
 def test_op5(spark, tables):
-    want = {(i, n, h, len(f), hashlib.sha256(",".join(sorted(f)).encode()).hexdigest(), h > 0 and 20 * h >= n) for i, (n, h, f) in hits(tables[1], tables[2]).items()}
-    assert {(r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in run(spark, tables, "op5_decontaminate")} == want
+    want = {
+        (i, n, h, len(f), hashlib.sha256(",".join(sorted(f)).encode()).hexdigest(), h > 0 and 20 * h >= n)
+        for i, (n, h, f) in hits(tables[1], tables[2]).items()
+    }
+    assert {
+        (r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in run(spark, tables, "op5_decontaminate")
+    } == want
 
 
 def test_op6(spark, tables):
@@ -125,15 +154,50 @@ def test_op6(spark, tables):
     want = set()
     for c, t in by.items():
         loss = "".join(x for role, x in t if role == "assistant")
-        want.add((c, len(t), hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in t).encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest()))
+        want.add(
+            (
+                c,
+                len(t),
+                hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in t).encode()).hexdigest(),
+                len(loss),
+                hashlib.sha256(loss.encode()).hexdigest(),
+            )
+        )
     assert {(r.conv_id, r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in run(spark, tables, "op6_chat")} == want
 
 
+def png(payload):
+    """A gray PNG of 192 samples a line, put together by hand."""
+
+    def chunk(kind, data):
+        return len(data).to_bytes(4, "big") + kind + data + zlib.crc32(kind + data).to_bytes(4, "big")
+
+    lines = b"".join(b"\0" + payload[k : k + 192] for k in range(0, len(payload), 192))
+    size = (192).to_bytes(4, "big") + (len(payload) // 192).to_bytes(4, "big")
+    return b"\x89PNG\r\n\x1a\n" + chunk(
+        b"IHDR",
+        size + bytes([8, 0, 0, 0, 0]),
+    ) + chunk(b"IDAT", zlib.compress(lines, 4)) + chunk(b"IEND", b"")
+
+
+def features(payload):
+    n = len(payload)
+    share = [sum(32 * k <= x < 32 * k + 32 for x in payload) * 1000 // n for k in range(8)]
+    return f"m{sum(payload) * 1000 // n}-s{sum(x * x for x in payload) * 1000 // n}-" + ".".join(map(str, share))
+
+
 def test_op7(spark, tables):
     for r in run(spark, tables, "op7_media"):
         raw = (tables[1][r.doc_id][1] or "").encode()
         p = raw + b" " * (-len(raw) % 192 or (0 if raw else 192))
-        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]))
+        form = png(p)
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (
+            len(raw),
+            len(p),
+            hashlib.sha256(p).hexdigest(),
+            zlib.crc32(p[-16:]),
+        )
+        assert (r.media_bytes, r.media_sha256, r.feature) == (len(form), hashlib.sha256(form).hexdigest(), features(p))
 
 
 def test_op7_metadata(spark, tables):
@@ -147,7 +211,9 @@ def test_op8(spark, tables):
     want = set()
     for i, t in raw.items():
         kept = bytes(b for b, g in zip(t, gone[i], strict=True) if not g)
-        want.add((i, len(t), int(gone[i].sum()), int((np.diff(gone[i].astype(int), prepend=0) == 1).sum()), hashlib.sha256(kept).hexdigest()))
+        want.add(
+            (i, len(t), int(gone[i].sum()), int((np.diff(gone[i].astype(int), prepend=0) == 1).sum()), hashlib.sha256(kept).hexdigest())
+        )
     assert {(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in run(spark, tables, "op8_substrings")} == want
 
 
@@ -162,7 +228,10 @@ def encoded(text):
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    return np.array([*Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")).encode(text or "", add_special_tokens=False).ids, 1], "<u4")
+    return np.array(
+        [*Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")).encode(text or "", add_special_tokens=False).ids, 1],
+        "<u4",
+    )
 
 
 def packed(docs):
@@ -213,4 +282,64 @@ def test_pipeline(spark, tables):
         cut.append((i, "".join(chars)))
     found = hits(cut, tables[2])
     clean = [(i, t) for i, t in cut if not (found[i][1] > 0 and 20 * found[i][1] >= found[i][0])]
-    assert {(r.doc_id, r.start, r.length, r.ids_crc32, r.doc_tokens) for r in corpus_pipeline.run(spark, tables[0]).collect()} == packed(clean)
+    assert {
+        (r.doc_id, r.start, r.length, r.ids_crc32, r.doc_tokens) for r in corpus_pipeline.run(spark, tables[0]).collect()
+    } == packed(clean)
+
+
+def brute_pipeline(rows, items):
+    """Pieces of the rows (doc_id, text) that the stages leave, each stage in its plainest form. Near copies are told by id and text."""
+    rows = [(i, t) for i, t in rows if any(c.isalpha() for c in t or "")]
+    rows = list(dict.fromkeys(rows))
+    order = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0))
+    comp = near_groups(list(enumerate(t for _, t in order)), 80)
+    groups = collections.defaultdict(list)
+    for k, r in enumerate(order):
+        groups[comp[k]].append(r)
+    return groups
+
+
+@pytest.mark.parametrize("empty", ["documents", "benchmark", "labels"])
+def test_pipeline_with_empty_tables(spark, tables, tmp_path, empty):
+    import corpus_pipeline
+
+    for name in ("documents", "benchmark", "labels"):
+        df = spark.read.parquet(f"{tables[0]}/{name}.parquet")
+        (df.where("false") if name == empty else df).write.parquet(f"{tmp_path}/{name}.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path))
+    assert (got.count() == 0) == (empty == "documents")
+
+
+def test_neardup_stage_with_null_and_repeated_ids_and_clashing_columns(spark, tables):
+    """One row of each group stays, whatever its id; the columns stay those of documents."""
+    import corpus_pipeline
+
+    base = tables[1][20][1]
+    near = base.replace(base.split()[40], "Zzz")
+    other = " ".join(f"o{k}" for k in range(60))
+    rows = [(None, base), (None, near), (None, other), (5, base), (5, other), (5, base), (7, near), (None, None)]
+    docs = spark.createDataFrame(
+        [(i, t, "en", "s", 1, 0.5, "x") for i, t in rows],
+        "doc_id long, text string, lang string, source string, n_chars long, th double, first string",
+    )
+    got = corpus_pipeline.neardup_stage(spark, docs, tables[0])
+    assert got.columns == list(corpus_pipeline.COLUMNS)
+    texts = [(r.doc_id, r.text) for r in got.collect()]
+    groups = brute_pipeline(rows, tables[2])
+    assert len(texts) == len(groups) + 1 and (None, None) in texts
+    assert sorted(t for i, t in texts if i == 5) == sorted([base, other])
+
+
+def test_stages_keep_what_has_no_id(spark, tables):
+    import corpus_pipeline
+
+    passage = " ".join(f"p{k}" for k in range(80))
+    rows = [(None, passage + " one"), (None, "two " + passage), (3, "clean words here"), (3, tables[2][0][1])]
+    docs = spark.createDataFrame(
+        [(i, t, "en", "s", len(t), 1) for i, t in rows],
+        "doc_id long, text string, lang string, source string, n_chars long, row long",
+    )
+    cut = corpus_pipeline.substring_stage(spark, docs, tables[0]).collect()
+    assert len(cut) == 4 and all("p40" not in r.text for r in cut) and all(r.n_chars == len(r.text) for r in cut)
+    clean = corpus_pipeline.decontamination_stage(spark, docs, tables[0])
+    assert clean.columns == list(corpus_pipeline.COLUMNS) and sorted(r.text for r in clean.collect()) == sorted(t for _, t in rows[:3])
