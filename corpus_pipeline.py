@@ -21,10 +21,12 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def neardup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (five words, similarity 0.8) stays: the one with the smallest id."""
+    """One document of each group of near duplicates (five words, similarity 0.8) stays: the one with the smallest id, and of rows that share an id, or
+    have none, the one whose text has the smallest hash. Of rows with one id and one text, one stays."""
     docs = docs.select(*COLUMNS)
-    kept = neardup.groups(docs, size=5, percent=80).where("kept").select(F.col("doc_id").alias("k")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("k")), "left_semi").dropDuplicates(["doc_id", "text"])
+    first = neardup.groups(docs, size=5, percent=80).where("first").select(F.col("doc_id").alias("k"), "th").distinct()
+    own = F.col("doc_id").eqNullSafe(F.col("k")) & (F.xxhash64("text") == F.col("th"))
+    return docs.join(first, own, "left_semi").dropDuplicates(["doc_id", "text"])
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

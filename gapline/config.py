@@ -24,7 +24,9 @@ squares rectangle circle shape shapes piece pieces line lines angle point corner
 small smaller long longer short wide wider skinny skinnier straight flat curve size sizes""")
 COGNITIVE = _words("""rotate turn turned flip flipped move moved slide compare match matches fit fits align put try change different same start switch
 instead maybe wait actually wrong nevermind draw drawing""")
-METACOGNITIVE = _words("think guess maybe wait wrong sure check know realize realized notice noticed confused hmm actually probably might nevermind no")
+METACOGNITIVE = _words(
+    "think guess maybe wait wrong sure check know realize realized notice noticed confused hmm actually probably might nevermind no"
+)
 AFFECTIVE = _words("frustrating frustrated ugh hard easy tricky confusing good bad mad laughter like hate")
 STRUCTURAL = _words("then next first because so but however again also now okay")
 DETERMINERS = _words("a an the this that these those my your his her its their our")

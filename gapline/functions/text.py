@@ -110,9 +110,19 @@ def mentioned_id(text: Column) -> Column:
     return F.upper(F.replace(F.coalesce(F.regexp_extract(text, MENTIONED, 1), F.lit("")), F.lit("-"), F.lit("_")))
 
 
+def cue_words(text: Column) -> Column:
+    """Letter words in order, as they stand."""
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(CUE), F.lit(0))
+
+
+def cue_form(words: Column) -> Column:
+    """Lower-cased, with plain apostrophes."""
+    return F.replace(F.lower(words), F.lit("’"), F.lit("'"))
+
+
 def cues(text: Column, longest: int = 3) -> Column:
     """Distinct runs of 1 .. ``longest`` letter words, lower-cased."""
-    t = F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(CUE), F.lit(0)), lambda x: F.replace(F.lower(x), F.lit("’"), F.lit("'")))
+    t = F.transform(cue_words(text), cue_form)
 
     # the words stand beside their followers in one array, so no lambda holds the tokenizer
     beside = F.arrays_zip(*[(t if k == 0 else F.slice(t, F.lit(k + 1), F.size(t))).alias(f"w{k}") for k in range(longest)])

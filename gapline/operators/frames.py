@@ -47,17 +47,27 @@ def has_task(text: Column, words: Sequence[str] = T_WORDS) -> Column:
 def frames(texts: DataFrame, size: int = 5, stride: int = 1, short: bool = False) -> DataFrame:
     """id, i, frame, n_words for ``texts`` (id, text): word windows. Texts shorter than a window give one frame if ``short``, else none."""
     words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
-    t = texts.select("id", words.alias("w")).withColumn("n_words", F.size("w")).where((F.col("n_words") > 0) if short else (F.col("n_words") >= size))
+    t = texts.select("id", words.alias("w")).withColumn("n_words", F.size("w")).where(
+        (F.col("n_words") > 0) if short else (F.col("n_words") >= size)
+    )
     last = F.greatest(F.lit(0), F.col("n_words") - size)
     t = t.select("id", "w", "n_words", F.explode(F.sequence(F.lit(0), last, F.lit(stride))).alias("at"))
-    return t.select("id", F.expr(f"cast(at div {stride} as int)").alias("i"), F.array_join(F.slice("w", F.col("at") + 1, F.lit(size)), " ").alias("frame"), "n_words")
+    return t.select(
+        "id",
+        F.expr(f"cast(at div {stride} as int)").alias("i"),
+        F.array_join(F.slice("w", F.col("at") + 1, F.lit(size)), " ").alias("frame"),
+        "n_words",
+    )
 
 
 def demo_gates(frame: Column) -> Column:
     """Fixed weights (S, M, A, T) by the frame's words, A before M before T."""
     w = plain_words(frame)
     lit = {k: F.array(*[F.lit(x) for x in v]) for k, v in DEMO_GATES.items()}
-    return F.when(_any(w, DEMO_A_WORDS), lit["A"]).when(_any(w, M_WORDS), lit["M"]).when(_any(w, DEMO_T_WORDS), lit["T"]).otherwise(lit["S"])
+    return F.when(
+        _any(w, DEMO_A_WORDS),
+        lit["A"],
+    ).when(_any(w, M_WORDS), lit["M"]).when(_any(w, DEMO_T_WORDS), lit["T"]).otherwise(lit["S"])
 
 
 def softmax(z: Column) -> Column:
@@ -69,7 +79,11 @@ def linear_gates(vector: Column, weights: Sequence[Sequence[float]], bias: Seque
     """Softmax of a linear map of a vector column, without Python."""
 
     def dot(row: Sequence[float]) -> Column:
-        return F.aggregate(F.zip_with(vector, F.array(*[F.lit(float(x)) for x in row]), lambda a, b: a.cast("double") * b), F.lit(0.0), lambda s, x: s + x)
+        return F.aggregate(
+            F.zip_with(vector, F.array(*[F.lit(float(x)) for x in row]), lambda a, b: a.cast("double") * b),
+            F.lit(0.0),
+            lambda s, x: s + x,
+        )
 
     return softmax(F.array(*[dot(r) + float(b) for r, b in zip(weights, bias, strict=True)]))
 
@@ -79,7 +93,10 @@ def train_gates(vectors: DataFrame, label: str = "label", vector: str = "vector"
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.functions import array_to_vector
 
-    data = vectors.select(F.col(label).cast("double").alias("label"), array_to_vector(F.col(vector).cast("array<double>")).alias("features"))
+    data = vectors.select(
+        F.col(label).cast("double").alias("label"),
+        array_to_vector(F.col(vector).cast("array<double>")).alias("features"),
+    )
     model = LogisticRegression(maxIter=steps, family="multinomial").fit(data)
     return model.coefficientMatrix.toArray().tolist(), model.interceptVector.toArray().tolist(), model.summary.accuracy
 
@@ -106,34 +123,73 @@ def units(texts: DataFrame, scored: DataFrame, size: int = 5, stride: int = 1, t
     before it; a cut counts if it is beyond all earlier ones."""
     by = Window.partitionBy("id").orderBy("i")
     low = scored.withColumn("low", F.col("gravity") < threshold).withColumn("was", F.lag("low").over(by))
-    flip = low.where("was is not null and low <> was").withColumn("cut", F.least(F.when(F.col("low"), F.col("i") * stride + size - 1).otherwise(F.col("i") * stride), F.col("n_words")))
+    flip = low.where("was is not null and low <> was").withColumn(
+        "cut",
+        F.least(F.when(F.col("low"), F.col("i") * stride + size - 1).otherwise(F.col("i") * stride), F.col("n_words")),
+    )
     beyond = F.coalesce(F.max("cut").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     cuts = flip.withColumn("beyond", beyond).where("cut > beyond").select("id", F.col("cut").alias("at"))
     ends = scored.select("id", "n_words").distinct()
-    marks = cuts.unionByName(ends.select("id", F.lit(0).alias("at"))).unionByName(ends.select("id", F.col("n_words").alias("at"))).distinct()
+    marks = cuts.unionByName(ends.select("id", F.lit(0).alias("at"))).unionByName(
+        ends.select("id", F.col("n_words").alias("at"))
+    ).distinct()
     w = Window.partitionBy("id").orderBy("at")
-    spans = marks.select("id", F.col("at").alias("a"), F.lead("at").over(w).alias("z"), F.row_number().over(w).alias("unit")).where("z is not null")
+    spans = marks.select(
+        "id",
+        F.col("at").alias("a"),
+        F.lead("at").over(w).alias("z"),
+        F.row_number().over(w).alias("unit"),
+    ).where("z is not null")
     words = texts.select("id", F.filter(F.split("text", r"\s+"), lambda x: x != "").alias("w"))
-    return spans.join(words, "id").select("id", "unit", "a", "z", F.array_join(F.slice("w", F.col("a") + 1, F.col("z") - F.col("a")), " ").alias("text"))
+    return spans.join(words, "id").select(
+        "id",
+        "unit",
+        "a",
+        "z",
+        F.array_join(F.slice("w", F.col("a") + 1, F.col("z") - F.col("a")), " ").alias("text"),
+    )
 
 
 def q_matrix(unit_table: DataFrame, gates: Callable[[Column], Column] = demo_gates, size: int = 5, least: int = 3) -> DataFrame:
     """Units of ``least`` words or more, numbered anew, with mean gate weights and their greatest dimension; units shorter than a
     frame have zero weights and dimension None."""
-    keep = unit_table.where(F.col("z") - F.col("a") >= least).withColumn("EDU_Index", F.row_number().over(Window.partitionBy("id").orderBy("unit")))
+    keep = unit_table.where(F.col("z") - F.col("a") >= least).withColumn(
+        "EDU_Index",
+        F.row_number().over(Window.partitionBy("id").orderBy("unit")),
+    )
     own = keep.select(F.struct("id", "EDU_Index").alias("id"), "text")
     g = frames(own, size).withColumn("g", gates(F.col("frame")))
     mean = g.groupBy("id").agg(*[F.avg(F.col("g")[k]).alias(f"w{k}") for k in range(4)])
-    out = keep.select("id", "EDU_Index", "text").join(mean.select("id.id", "id.EDU_Index", *[f"w{k}" for k in range(4)]), ["id", "EDU_Index"], "left")
+    out = keep.select("id", "EDU_Index", "text").join(
+        mean.select("id.id", "id.EDU_Index", *[f"w{k}" for k in range(4)]),
+        ["id", "EDU_Index"],
+        "left",
+    )
     best = F.greatest(*[F.round(f"w{k}", 9) for k in range(4)])
     dim = F.lit(None).cast("string")
     for k in (3, 2, 1, 0):
         dim = F.when(F.round(f"w{k}", 9) == best, DIMENSIONS[k]).otherwise(dim)
     out = out.withColumn("Dominant_Dim", F.coalesce(dim, F.lit("None")))
-    return out.select(F.col("id").alias("Student_ID"), "EDU_Index", F.col("text").alias("EDU_Text"), "Dominant_Dim", *[(F.col("Dominant_Dim") == d).cast("int").alias(f"Q_{d}") for d in DIMENSIONS], *[F.round(F.coalesce(f"w{k}", F.lit(0.0)), 4).alias(f"Weight_{d}") for k, d in enumerate(DIMENSIONS)])
-
-
-def batch(answers: DataFrame, gates: Callable[[Column], Column] = demo_gates, size: int = 5, stride: int = 1, threshold: float = 0.35) -> DataFrame:
+    return out.select(
+        F.col("id").alias("Student_ID"),
+        "EDU_Index",
+        F.col("text").alias("EDU_Text"),
+        "Dominant_Dim",
+        *[(F.col("Dominant_Dim") == d).cast("int").alias(f"Q_{d}") for d in DIMENSIONS],
+        *[
+            (F.round(F.round(F.coalesce(f"w{k}", F.lit(0.0)), 9) * 10_000.0) / 10_000.0).alias(f"Weight_{d}")
+            for k, d in enumerate(DIMENSIONS)
+        ],
+    )
+
+
+def batch(
+    answers: DataFrame,
+    gates: Callable[[Column], Column] = demo_gates,
+    size: int = 5,
+    stride: int = 1,
+    threshold: float = 0.35,
+) -> DataFrame:
     """The batch run: ``answers`` (id, text with `` | `` between turns) to a Q-matrix."""
     texts = answers.select("id", F.replace(F.coalesce("text", F.lit("")), F.lit(" | "), F.lit(" ")).alias("text"))
     return q_matrix(units(texts, scored_frames(frames(texts, size, stride), gates), size, stride, threshold), gates, size)

@@ -20,13 +20,27 @@ from gapline.functions import text as T
 
 RECORD = ("Record_ID", "Source_Row", "Source_Column")
 CHUNK = (*RECORD, "chunk")
-PARSER = ("spacy_legality", "spacy_legality_reason", "spacy_left_pos", "spacy_right_pos", "spacy_left_dep", "spacy_right_dep", "spacy_same_sentence", "spacy_sentence_boundary", "spacy_inside_noun_chunk")
+PARSER = (
+    "spacy_legality",
+    "spacy_legality_reason",
+    "spacy_left_pos",
+    "spacy_right_pos",
+    "spacy_left_dep",
+    "spacy_right_dep",
+    "spacy_same_sentence",
+    "spacy_sentence_boundary",
+    "spacy_inside_noun_chunk",
+)
 
 
 def chunks(transcripts: DataFrame, clean_text: bool = True) -> DataFrame:
     """Keys, chunk, tokens, offset (its first token's place in the record, event marks counted), truncated."""
     body = transcripts.select(*RECORD, T.normalize(F.col("text"), clean_text).alias("text")).where("text <> ''")
-    parts = body.select(*RECORD, T.truncated(F.col("text")).alias("truncated"), F.posexplode(F.split("text", C.EVENT)).alias("chunk", "part"))
+    parts = body.select(
+        *RECORD,
+        T.truncated(F.col("text")).alias("truncated"),
+        F.posexplode(F.split("text", C.EVENT)).alias("chunk", "part"),
+    )
     parts = parts.withColumn("tokens", T.tokenize(F.col("part"))).drop("part")
     w = Window.partitionBy(*RECORD).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     return parts.withColumn("offset", F.coalesce(F.sum(F.size("tokens") + 1).over(w), F.lit(0)).cast("int"))
@@ -57,7 +71,10 @@ def cue_shift(left: Column, right: Column) -> Column:
     both = F.size(F.array_intersect(left, right))
     volume = F.least(F.lit(1.0), n / 4.0)
     one_sided = F.least(F.lit(0.4), n / 4.0)
-    return F.when((F.size(left) == 0) & (F.size(right) == 0), 0.0).when((F.size(left) == 0) | (F.size(right) == 0), one_sided).otherwise((1.0 - both / (n - both)) * volume)
+    return F.when((F.size(left) == 0) & (F.size(right) == 0), 0.0).when(
+        (F.size(left) == 0) | (F.size(right) == 0),
+        one_sided,
+    ).otherwise((1.0 - both / (n - both)) * volume)
 
 
 def thresholded_drop(drop: Column, floor: float, ceiling: float) -> Column:
@@ -72,19 +89,26 @@ def jaccard(left: Column, right: Column) -> Column:
 
 @F.pandas_udf(DoubleType())
 def sequence_ratio(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """Ratcliff-Obershelp ratio of two texts, each distinct pair of a batch once; order counts."""
+    """Ratcliff-Obershelp ratio of two texts, each distinct pair of a batch once; order counts. 0 for nulls."""
     from difflib import SequenceMatcher
 
     for left, right in batches:
         pairs = list(zip(left, right, strict=True))
-        known = {p: SequenceMatcher(None, *p).ratio() for p in set(pairs)}
+        known = {p: SequenceMatcher(None, *p).ratio() if p[0] is not None else 0.0 for p in set(pairs)}
         yield pd.Series([known[p] for p in pairs], dtype="float64")
 
 
 def lexical(left: Column, right: Column) -> Column:
-    """max(jaccard, 0.35 * sequence ratio of the sorted words); 0 if a side is empty."""
-    ratio = sequence_ratio(F.array_join(F.array_sort(left), " "), F.array_join(F.array_sort(right), " "))
-    return F.when((F.size(left) == 0) | (F.size(right) == 0), 0.0).otherwise(F.greatest(jaccard(left, right), 0.35 * ratio))
+    """max(jaccard, 0.35 * sequence ratio of the sorted words); 0 if a side is empty.
+
+    No ratio of texts of m and n characters exceeds 2 * min(m, n) / (m + n): where the jaccard index is at least 0.35 of that, none is computed."""
+    a, b = (F.array_join(F.array_sort(x), " ") for x in (left, right))
+    some = (F.size(left) > 0) & (F.size(right) > 0)
+    most = 2.0 * F.least(F.length(a), F.length(b)) / F.greatest(F.length(a) + F.length(b), F.lit(1))
+    near = jaccard(left, right)
+    needed = some & (near < 0.35 * most)
+    ratio = sequence_ratio(F.when(needed, a), F.when(needed, b))
+    return F.when(some, F.greatest(near, 0.35 * ratio)).otherwise(0.0)
 
 
 def vector_similarity(left: Column, right: Column) -> Column:
@@ -97,6 +121,12 @@ def vector_similarity(left: Column, right: Column) -> Column:
     return F.coalesce(F.when(size > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), (dot(left, right) / size + 1.0) / 2.0))), F.lit(0.0))
 
 
+def encoded_similarity(encoder: Callable[[Column], Column]) -> Callable[[Column, Column], Column]:
+    """Similarity of the two sides' texts by their vectors. ``encoder`` maps a text column to a float array column, as a pandas UDF around a sentence
+    encoder does; pass the result as ``text_similarity`` of :func:`score`."""
+    return lambda left, right: vector_similarity(encoder(left), encoder(right))
+
+
 def rule_reason(left: Column, right: Column) -> Column:
     """Why a gap must not be a boundary, by word lists; the first that holds, else empty."""
     a, b = F.lower(left), F.lower(right)
@@ -121,24 +151,133 @@ def parser_legality(features: DataFrame) -> DataFrame:
     reasons = F.array_compact(
         F.array(
             F.when(F.col("inside_noun_chunk"), F.lit("inside_noun_chunk")),
-            F.when(ld.isin("det", "amod", "compound", "nummod", "poss", "aux", "auxpass", "cop", "case", "mark") & rp.isin("NOUN", "PROPN", "ADJ", "VERB", "AUX", "PRON", "NUM"), F.concat(F.lit("left_dep_"), ld, F.lit("_needs_head"))),
-            F.when(((lp == "AUX") | ld.isin("aux", "auxpass", "cop")) & rp.isin("VERB", "AUX", "ADJ", "NOUN", "PRON", "ADV"), F.lit("inside_auxiliary_or_copula_phrase")),
+            F.when(
+                ld.isin(
+                    "det",
+                    "amod",
+                    "compound",
+                    "nummod",
+                    "poss",
+                    "aux",
+                    "auxpass",
+                    "cop",
+                    "case",
+                    "mark",
+                ) & rp.isin("NOUN", "PROPN", "ADJ", "VERB", "AUX", "PRON", "NUM"),
+                F.concat(F.lit("left_dep_"), ld, F.lit("_needs_head")),
+            ),
+            F.when(
+                ((lp == "AUX") | ld.isin("aux", "auxpass", "cop")) & rp.isin("VERB", "AUX", "ADJ", "NOUN", "PRON", "ADV"),
+                F.lit("inside_auxiliary_or_copula_phrase"),
+            ),
             F.when((lp == "ADP") & rp.isin("DET", "ADJ", "NOUN", "PROPN", "PRON", "NUM"), F.lit("inside_prepositional_phrase")),
             F.when(lp.isin("ADJ", "ADV") & rp.isin("ADJ", "NOUN", "PROPN", "VERB", "AUX"), F.lit("inside_modifier_head_phrase")),
             F.when(F.col("right_is_punct"), F.lit("before_punctuation")),
         )
     )
-    cue = F.col("right_lower").isin("actually", "but", "so", "then", "next", "okay", "wait", "because", "however", "now", "also", "first", "again")
-    semi = F.col("same_sentence") & ~F.col("sentence_boundary") & ~cue & lp.isin("VERB", "NOUN", "PROPN", "ADJ", "ADV") & rp.isin("NOUN", "PROPN", "PRON", "NUM", "ADJ", "ADV")
+    cue = F.col("right_lower").isin(
+        "actually",
+        "but",
+        "so",
+        "then",
+        "next",
+        "okay",
+        "wait",
+        "because",
+        "however",
+        "now",
+        "also",
+        "first",
+        "again",
+    )
+    semi = F.col("same_sentence") & ~F.col("sentence_boundary") & ~cue & lp.isin("VERB", "NOUN", "PROPN", "ADJ", "ADV") & rp.isin(
+        "NOUN",
+        "PROPN",
+        "PRON",
+        "NUM",
+        "ADJ",
+        "ADV",
+    )
     legality = F.when(F.size(reasons) > 0, "illegal").when(semi, "semi_legal").otherwise("legal")
     text = F.when(F.size(reasons) > 0, F.array_join(reasons, ";")).when(semi, "within_sentence_noncue_gap").otherwise("")
-    return features.select(*RECORD, "gap", legality.alias("spacy_legality"), text.alias("spacy_legality_reason"), lp.alias("spacy_left_pos"), rp.alias("spacy_right_pos"), ld.alias("spacy_left_dep"), F.col("right_dep").alias("spacy_right_dep"), F.col("same_sentence").alias("spacy_same_sentence"), F.col("sentence_boundary").alias("spacy_sentence_boundary"), F.col("inside_noun_chunk").alias("spacy_inside_noun_chunk"))
+    return features.select(
+        *RECORD,
+        "gap",
+        legality.alias("spacy_legality"),
+        text.alias("spacy_legality_reason"),
+        lp.alias("spacy_left_pos"),
+        rp.alias("spacy_right_pos"),
+        ld.alias("spacy_left_dep"),
+        F.col("right_dep").alias("spacy_right_dep"),
+        F.col("same_sentence").alias("spacy_same_sentence"),
+        F.col("sentence_boundary").alias("spacy_sentence_boundary"),
+        F.col("inside_noun_chunk").alias("spacy_inside_noun_chunk"),
+    )
+
+
+PARSED = "array<struct<text:string,pos:string,dep:string,sentence:int,ends:boolean,punct:boolean,noun_chunk:int>>"
+
+
+def align_key(text: Column) -> Column:
+    """What a token and a parser's token are compared by: lower case, plain apostrophes, nothing but word characters at the ends."""
+    out = F.replace(F.lower(text), F.lit("’"), F.lit("'"))
+    return F.when(out == C.EVENT.lower(), "").otherwise(F.regexp_replace(out, r"(?U)^\W+|\W+$", ""))
+
+
+def aligned(words: Column, parsed: Column, reach: int = 4) -> Column:
+    """For each of ``words`` the place of its token in ``parsed`` (see ``PARSED``), or null: the first of the next ``reach`` tokens that has the same
+    key or text. Places rise; a word that isn't found moves nothing on. A word without a key is looked for only if it is a punctuation mark."""
+    keys = F.transform(parsed, lambda x: F.struct(align_key(x["text"]).alias("key"), x["text"].alias("text")))
+
+    def step(acc: Column, word: Column) -> Column:
+        key = align_key(word)
+        ahead = F.slice(keys, acc.next + 1, F.lit(reach))
+        at = F.array_position(F.transform(ahead, lambda x: (x.key == key) | (x["text"] == word)), True)
+        found = ((key != "") | word.isin(*C.PUNCTUATION)) & (at > 0)
+        place = F.when(found, (acc.next + at - 1).cast("int"))
+        return F.struct(F.coalesce(place + 1, acc.next).alias("next"), F.array_append(acc.places, place).alias("places"))
+
+    start = F.struct(F.lit(0).alias("next"), F.array().cast("array<int>").alias("places"))
+    return F.aggregate(words, start, step, lambda acc: acc.places)
+
+
+def parser_features(chunked: DataFrame, parsed: DataFrame) -> DataFrame:
+    """What :func:`parser_legality` reads, for each gap whose two tokens the parser has too: ``chunked`` as of :func:`chunks`, ``parsed`` with the keys of a
+    chunk and parsed (``PARSED``): a parser's tokens of the chunk's text."""
+    both = chunked.join(parsed.select(*CHUNK, F.col("parsed").cast(PARSED).alias("parsed")), list(CHUNK))
+    both = both.withColumn("at", aligned(F.col("tokens"), F.col("parsed")))
+    gap = both.select(*RECORD, "offset", "parsed", "at", F.explode(F.sequence(F.lit(1), F.greatest(F.size("at") - 1, F.lit(1)))).alias("k"))
+    gap = gap.withColumns(
+        {"l": F.get("parsed", F.get("at", F.col("k") - 1)), "r": F.get("parsed", F.get("at", F.col("k")))}
+    ).where("l is not null and r is not null")
+    same = F.col("l.sentence") == F.col("r.sentence")
+    return gap.select(
+        *RECORD,
+        (F.col("offset") + F.col("k")).alias("gap"),
+        F.col("l.pos").alias("left_pos"),
+        F.col("r.pos").alias("right_pos"),
+        F.col("l.dep").alias("left_dep"),
+        F.col("r.dep").alias("right_dep"),
+        F.lower("r.text").alias("right_lower"),
+        F.col("r.punct").alias("right_is_punct"),
+        same.alias("same_sentence"),
+        (~same | F.col("l.ends")).alias("sentence_boundary"),
+        F.coalesce(F.col("l.noun_chunk") == F.col("r.noun_chunk"), F.lit(False)).alias("inside_noun_chunk"),
+    )
 
 
-def score(tokenized: DataFrame, vocabulary: Vocabulary | None = None, config: Config | None = None, parser: DataFrame | None = None, similarity: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+def score(
+    tokenized: DataFrame,
+    vocabulary: Vocabulary | None = None,
+    config: Config | None = None,
+    parser: DataFrame | None = None,
+    similarity: Callable[[Column, Column], Column] | None = None,
+    text_similarity: Callable[[Column, Column], Column] | None = None,
+) -> DataFrame:
     """Evidence of every gap of ``tokenized`` (see :func:`tokens`); ``gap`` is the right token's place in the record.
 
-    ``similarity`` maps the two sides' sorted word sets to a number and overrides ``config.continuity`` (jaccard or lexical).
+    ``similarity`` maps the two sides' word sets to a number and overrides ``config.continuity`` (jaccard or lexical); so does ``text_similarity``, which gets
+    the two sides' texts (see :func:`encoded_similarity`).
     ``parser`` is a table of :func:`parser_legality`; without one only the rules hold."""
     v, c = vocabulary or Vocabulary(), config or Config()
     by = Window.partitionBy(*CHUNK).orderBy("pos")
@@ -180,12 +319,24 @@ def score(tokenized: DataFrame, vocabulary: Vocabulary | None = None, config: Co
         }
     ).where("pos > 0")
     alike = similarity or {"jaccard": jaccard, "lexical": lexical}[c.continuity]
-    out = seen.withColumn("s", alike(F.col("l_words"), F.col("r_words")))
+    if text_similarity is None:
+        out = seen.withColumn("s", alike(F.col("l_words"), F.col("r_words")))
+    else:
+        out = seen.withColumn("s", text_similarity(T.detokenize(F.col("l_tokens")), T.detokenize(F.col("r_tokens"))))
 
     def signal(d: str) -> Column:
         return F.least(F.lit(1.0), F.col(d) * 4.0)
 
-    out = out.withColumns({"drop": thresholded_drop(1.0 - F.col("s"), c.drop_floor, c.drop_ceiling), "shift": cue_shift(F.col("l_cues"), F.col("r_cues")), "ec": signal("d_c"), "m": signal("d_m"), "a": signal("d_a"), "r": signal("d_r")})
+    out = out.withColumns(
+        {
+            "drop": thresholded_drop(1.0 - F.col("s"), c.drop_floor, c.drop_ceiling),
+            "shift": cue_shift(F.col("l_cues"), F.col("r_cues")),
+            "ec": signal("d_c"),
+            "m": signal("d_m"),
+            "a": signal("d_a"),
+            "r": signal("d_r"),
+        }
+    )
     gate = c.gate_floor + (1.0 - c.gate_floor) * F.col("ec")
     out = out.withColumn("c", c.semantic_weight * F.col("drop") * gate + c.cue_shift_weight * F.col("shift"))
     out = out.withColumn("p", 0.45 * F.col("c") + 0.25 * F.col("m") + 0.15 * F.col("a") + 0.15 * F.col("r"))
@@ -204,15 +355,38 @@ def score(tokenized: DataFrame, vocabulary: Vocabulary | None = None, config: Co
     illegal = F.array_compact(
         F.array(
             F.when(F.col("rule_constraint_reason") != "", F.concat(F.lit("rule:"), "rule_constraint_reason")),
-            F.when((F.col("spacy_legality") == "illegal") & (F.col("spacy_legality_reason") != ""), F.concat(F.lit("spacy:"), "spacy_legality_reason")),
+            F.when(
+                (F.col("spacy_legality") == "illegal") & (F.col("spacy_legality_reason") != ""),
+                F.concat(F.lit("spacy:"), "spacy_legality_reason"),
+            ),
         )
     )
     out = out.withColumn("constraint_reason", F.array_join(illegal, ";"))
-    legality = F.when(F.col("constraint_reason") != "", "illegal").when(F.col("spacy_legality") == "semi_legal", "semi_legal").otherwise("legal")
+    legality = F.when(F.col("constraint_reason") != "", "illegal").when(
+        F.col("spacy_legality") == "semi_legal",
+        "semi_legal",
+    ).otherwise("legal")
     sentence = F.coalesce("spacy_sentence_boundary", F.lit(False)) | F.col("left_token").isin(".", "?", "!", ";", ":")
     out = out.withColumn("boundary_legality", legality)
-    out = out.withColumns({"penalty": F.when(F.col("boundary_legality") == "semi_legal", c.semi_legal_penalty).otherwise(0.0), "boost": F.when(sentence & (F.col("boundary_legality") != "illegal"), c.sentence_boost).otherwise(0.0)})
-    numbers = {"semantic_continuity": "s", "task_density": "d_task", "cognitive_transition": "c", "semantic_drop_component": "drop", "cognitive_cue_evidence": "ec", "cognitive_cue_shift": "shift", "metacognitive_reset": "m", "affective_friction": "a", "structural_break": "r", "transition_pressure": "p", "raw_semantic_gravity": "raw"}
+    out = out.withColumns(
+        {
+            "penalty": F.when(F.col("boundary_legality") == "semi_legal", c.semi_legal_penalty).otherwise(0.0),
+            "boost": F.when(sentence & (F.col("boundary_legality") != "illegal"), c.sentence_boost).otherwise(0.0),
+        }
+    )
+    numbers = {
+        "semantic_continuity": "s",
+        "task_density": "d_task",
+        "cognitive_transition": "c",
+        "semantic_drop_component": "drop",
+        "cognitive_cue_evidence": "ec",
+        "cognitive_cue_shift": "shift",
+        "metacognitive_reset": "m",
+        "affective_friction": "a",
+        "structural_break": "r",
+        "transition_pressure": "p",
+        "raw_semantic_gravity": "raw",
+    }
     context = F.concat(T.detokenize(F.col("l_tokens")), F.lit(" <BOUNDARY> "), T.detokenize(F.col("r_tokens")))
     return out.select(
         *CHUNK,
@@ -225,7 +399,10 @@ def score(tokenized: DataFrame, vocabulary: Vocabulary | None = None, config: Co
         *[four_places(F.col(x)).alias(k) for k, x in numbers.items()],
         four_places(F.col("raw") + F.col("penalty") - F.col("boost")).alias("semantic_gravity"),
         "boundary_legality",
-        F.array_join(F.array_compact(F.array(F.nullif("constraint_reason", F.lit("")), F.nullif("spacy_legality_reason", F.lit("")))), ";").alias("legality_reason"),
+        F.array_join(
+            F.array_compact(F.array(F.nullif("constraint_reason", F.lit("")), F.nullif("spacy_legality_reason", F.lit("")))),
+            ";",
+        ).alias("legality_reason"),
         F.round("penalty", 4).alias("legality_penalty"),
         F.round("boost", 4).alias("sentence_boundary_boost"),
         "rule_constraint_reason",

@@ -11,7 +11,18 @@ from gapline import config as C
 from gapline.functions import text as T
 
 MARK = "[[CANDIDATE_BOUNDARY]]"
-HUMAN = ("Boundary_Strength_0_3", "Human_C_t", "Human_M_t", "Human_A_t", "Human_R_t", "Human_Primary_Type", "Cue_Span", "Counterexample_or_Exclusion", "Codebook_Issue", "Notes")
+HUMAN = (
+    "Boundary_Strength_0_3",
+    "Human_C_t",
+    "Human_M_t",
+    "Human_A_t",
+    "Human_R_t",
+    "Human_Primary_Type",
+    "Cue_Span",
+    "Counterexample_or_Exclusion",
+    "Codebook_Issue",
+    "Notes",
+)
 REQUIRED = HUMAN[:5]
 
 
@@ -28,10 +39,33 @@ def boundary_items(boundaries: DataFrame) -> DataFrame:
     """Selected boundaries and unconstrained candidates, one row each."""
     chosen = T.as_bool(F.col("selected_boundary"))
     b = boundaries.where(chosen | (T.as_bool(F.col("candidate_boundary")) & (F.trim(F.coalesce("constraint_reason", F.lit(""))) == "")))
-    b = b.withColumns({"Item_Source": F.when(chosen, "selected").otherwise("candidate"), "Algorithm_Dominant_Signal": dominant_signal([F.col(c) for c in C.SIGNAL_COLUMNS.values()])})
-    names = {"boundary_legality": "Boundary_Legality", "legality_reason": "Legality_Reason", "rule_constraint_reason": "Rule_Reason", "spacy_legality_reason": "Spacy_Reason", "spacy_left_pos": "Spacy_Left_POS", "spacy_right_pos": "Spacy_Right_POS", "spacy_left_dep": "Spacy_Left_DEP", "spacy_right_dep": "Spacy_Right_DEP", "constraint_reason": "Boundary_Constraint_Reason"}
+    b = b.withColumns(
+        {
+            "Item_Source": F.when(chosen, "selected").otherwise("candidate"),
+            "Algorithm_Dominant_Signal": dominant_signal([F.col(c) for c in C.SIGNAL_COLUMNS.values()]),
+        }
+    )
+    names = {
+        "boundary_legality": "Boundary_Legality",
+        "legality_reason": "Legality_Reason",
+        "rule_constraint_reason": "Rule_Reason",
+        "spacy_legality_reason": "Spacy_Reason",
+        "spacy_left_pos": "Spacy_Left_POS",
+        "spacy_right_pos": "Spacy_Right_POS",
+        "spacy_left_dep": "Spacy_Left_DEP",
+        "spacy_right_dep": "Spacy_Right_DEP",
+        "constraint_reason": "Boundary_Constraint_Reason",
+    }
     return b.select(
-        F.concat(F.col("Record_ID").cast("string"), F.lit("__row_"), F.col("Source_Row").cast("string"), F.lit("__"), "Source_Column", F.lit("__gap_"), F.col("gap").cast("string")).alias("Annotation_Item_ID"),
+        F.concat(
+            F.col("Record_ID").cast("string"),
+            F.lit("__row_"),
+            F.col("Source_Row").cast("string"),
+            F.lit("__"),
+            "Source_Column",
+            F.lit("__gap_"),
+            F.col("gap").cast("string"),
+        ).alias("Annotation_Item_ID"),
         "Record_ID",
         "Source_Row",
         "Source_Column",
@@ -54,18 +88,53 @@ def segment_context(items: DataFrame, segments: DataFrame) -> DataFrame:
     segment that ends, and the next that begins, at or around the item's gap, so no pair of an item and a segment is made."""
     keys = ["Record_ID", "Source_Row", "Source_Column"]
     by = Window.partitionBy(*keys).orderBy("Segment_Index")
-    s = segments.select(*keys, "Token_Start", "Token_End", F.struct("Token_End", F.col("Segment_Text").alias("text"), F.coalesce(F.lag("Segment_Text").over(by), F.lit("")).alias("previous")).alias("left_"), F.struct("Token_Start", F.col("Segment_Text").alias("text")).alias("right_"))
+    s = segments.select(
+        *keys,
+        "Token_Start",
+        "Token_End",
+        F.struct(
+            "Token_End",
+            F.col("Segment_Text").alias("text"),
+            F.coalesce(F.lag("Segment_Text").over(by), F.lit("")).alias("previous"),
+        ).alias("left_"),
+        F.struct("Token_Start", F.col("Segment_Text").alias("text")).alias("right_"),
+    )
     none = F.lit(None)
     kinds = dict(s.dtypes)
-    mark = items.select(*keys, F.col("Boundary_Gap").alias("at"), "Annotation_Item_ID", none.cast(kinds["left_"]).alias("left_"), none.cast(kinds["right_"]).alias("right_"))
-    ends = s.select(*keys, F.col("Token_End").alias("at"), none.cast("string").alias("Annotation_Item_ID"), "left_", none.cast(kinds["right_"]).alias("right_"))
-    begins = s.select(*keys, F.col("Token_Start").alias("at"), none.cast("string").alias("Annotation_Item_ID"), none.cast(kinds["left_"]).alias("left_"), "right_")
+    mark = items.select(
+        *keys,
+        F.col("Boundary_Gap").alias("at"),
+        "Annotation_Item_ID",
+        none.cast(kinds["left_"]).alias("left_"),
+        none.cast(kinds["right_"]).alias("right_"),
+    )
+    ends = s.select(
+        *keys,
+        F.col("Token_End").alias("at"),
+        none.cast("string").alias("Annotation_Item_ID"),
+        "left_",
+        none.cast(kinds["right_"]).alias("right_"),
+    )
+    begins = s.select(
+        *keys,
+        F.col("Token_Start").alias("at"),
+        none.cast("string").alias("Annotation_Item_ID"),
+        none.cast(kinds["left_"]).alias("left_"),
+        "right_",
+    )
     line = mark.unionByName(ends).unionByName(begins)
     w = Window.partitionBy(*keys).orderBy("at")
     before, after = w.rangeBetween(Window.unboundedPreceding, 0), w.rangeBetween(0, Window.unboundedFollowing)
-    seen = line.withColumns({"l": F.last("left_", True).over(before), "r": F.first("right_", True).over(after)}).where("Annotation_Item_ID is not null")
+    seen = line.withColumns(
+        {"l": F.last("left_", True).over(before), "r": F.first("right_", True).over(after)}
+    ).where("Annotation_Item_ID is not null")
     exact = F.col("l.Token_End") == F.col("at")
-    context = seen.select("Annotation_Item_ID", F.when(exact, F.col("l.previous")).otherwise("").alias("Previous_Segment"), F.coalesce("l.text", F.lit("")).alias("Left_Segment"), F.coalesce("r.text", F.lit("")).alias("Right_Segment"))
+    context = seen.select(
+        "Annotation_Item_ID",
+        F.when(exact, F.col("l.previous")).otherwise("").alias("Previous_Segment"),
+        F.coalesce("l.text", F.lit("")).alias("Left_Segment"),
+        F.coalesce("r.text", F.lit("")).alias("Right_Segment"),
+    )
     return items.join(context, "Annotation_Item_ID", "left")
 
 
@@ -97,7 +166,10 @@ def template(items: DataFrame, annotators: str) -> DataFrame:
     """Each item once for each annotator (a short list), with empty label columns."""
     names = F.array(*[F.lit(a) for a in parse_annotators(annotators)])
     out = items.withColumn("Annotator_ID", F.explode(names))
-    out = out.withColumn("Annotation_ID", F.concat_ws("__", "Annotation_Item_ID", "Annotator_ID")).withColumns({c: F.lit("") for c in HUMAN})
+    out = out.withColumn(
+        "Annotation_ID",
+        F.concat_ws("__", "Annotation_Item_ID", "Annotator_ID"),
+    ).withColumns({c: F.lit("") for c in HUMAN})
     front = ["Annotation_ID", "Annotation_Item_ID", "Annotator_ID", *HUMAN, "Sampling_Stratum"]
     return out.select(*front, *[c for c in out.columns if c not in front])
 
@@ -117,12 +189,19 @@ def review_table(labels: DataFrame) -> DataFrame:
         if c not in labels.columns:
             labels = labels.withColumn(c, F.lit(""))
     full = reduce(lambda a, b: a & b, [F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))) != "" for c in REQUIRED])
-    return labels.withColumn("Review_Status", F.when(full, "complete").otherwise("pending")).orderBy(F.desc("Review_Status"), "Annotation_ID")
+    return labels.withColumn(
+        "Review_Status",
+        F.when(full, "complete").otherwise("pending"),
+    ).orderBy(F.desc("Review_Status"), "Annotation_ID")
 
 
 def review_progress(labels: DataFrame) -> DataFrame:
     done = F.count_if(F.col("Review_Status") == "complete")
-    return review_table(labels).agg(done.alias("Completed"), F.count(F.lit(1)).alias("Total"), F.round(100.0 * done / F.nullif(F.count(F.lit(1)), F.lit(0)), 1).alias("Percent"))
+    return review_table(labels).agg(
+        done.alias("Completed"),
+        F.count(F.lit(1)).alias("Total"),
+        F.round(100.0 * done / F.nullif(F.count(F.lit(1)), F.lit(0)), 1).alias("Percent"),
+    )
 
 
 def for_annotator(labels: DataFrame, annotator: str | None) -> DataFrame:
@@ -135,12 +214,21 @@ def apply_reviews(labels: DataFrame, reviews: DataFrame) -> DataFrame:
     cols = [c for c in HUMAN if c in reviews.columns]
     last = reviews.groupBy("Annotation_ID").agg(F.max_by(F.struct(*cols), "saved_at").alias("new"))
     out = labels.join(last, "Annotation_ID", "left")
-    return out.select(*[F.when(F.col("new").isNotNull(), F.col(f"new.{c}")).otherwise(F.col(c)).alias(c) if c in cols else F.col(c) for c in labels.columns])
+    return out.select(
+        *[
+            F.when(F.col("new").isNotNull(), F.col(f"new.{c}")).otherwise(F.col(c)).alias(c)
+            if c in cols
+            else F.col(c)
+            for c in labels.columns
+        ]
+    )
 
 
 def invalid_labels(labels: DataFrame) -> DataFrame:
     """Annotations whose filled cells are outside the permitted values."""
-    bad = F.col("Boundary_Strength_0_3").isNotNull() & (F.trim("Boundary_Strength_0_3") != "") & T.strength_label(F.col("Boundary_Strength_0_3")).isNull()
+    bad = F.col("Boundary_Strength_0_3").isNotNull() & (
+        F.trim("Boundary_Strength_0_3") != ""
+    ) & T.strength_label(F.col("Boundary_Strength_0_3")).isNull()
     for s in C.SIGNALS:
         cell = F.trim(F.coalesce(F.col(f"Human_{s}").cast("string"), F.lit("")))
         bad = bad | ((cell != "") & T.binary_label(F.col(f"Human_{s}")).isNull())

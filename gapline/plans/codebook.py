@@ -30,3 +30,7 @@ def codebook(spark: SparkSession) -> DataFrame:
 
 def instructions(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(INSTRUCTIONS, "Section string, Instruction string")
+
+
+def short_labels(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(list(SHORT.items()), "Signal string, Label string")

@@ -47,11 +47,39 @@ class Ledger:
         one = self.spark.createDataFrame([tuple(values.get(f.name, "") for f in schema)], schema)
         one.withColumn(stamp, now).write.mode("append").saveAsTable(name)
 
-    def log_event(self, operation: str, input_path: str = "", output_path: str = "", parameters: dict | None = None, status: str = "success", message: str = "") -> None:
-        self._append("calibration_events", {"operation": operation, "input_path": input_path or "", "output_path": output_path or "", "parameters_json": json.dumps(parameters or {}, ensure_ascii=False, default=str), "status": status, "message": message}, "id")
+    def log_event(
+        self,
+        operation: str,
+        input_path: str = "",
+        output_path: str = "",
+        parameters: dict | None = None,
+        status: str = "success",
+        message: str = "",
+    ) -> None:
+        self._append(
+            "calibration_events",
+            {
+                "operation": operation,
+                "input_path": input_path or "",
+                "output_path": output_path or "",
+                "parameters_json": json.dumps(parameters or {}, ensure_ascii=False, default=str),
+                "status": status,
+                "message": message,
+            },
+            "id",
+        )
 
     def save_artifact(self, step: str, path: str = "", parameters: dict | None = None, message: str = "") -> None:
-        self._append("current_artifacts_log", {"step": step, "artifact_path": path or "", "parameters_json": json.dumps(parameters or {}, ensure_ascii=False, default=str), "message": message}, "seq")
+        self._append(
+            "current_artifacts_log",
+            {
+                "step": step,
+                "artifact_path": path or "",
+                "parameters_json": json.dumps(parameters or {}, ensure_ascii=False, default=str),
+                "message": message,
+            },
+            "seq",
+        )
 
     def artifacts(self) -> DataFrame:
         return latest_by(self.spark.table(f"{self.db}.current_artifacts_log"), "step", "seq").drop("seq").orderBy("step")

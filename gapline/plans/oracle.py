@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import asdict
+
 from gapline import config as C
 from gapline.functions import text as T
-from gapline.operators import frames
-from gapline.plans.queries import CONFIG, GATE_WORDS, WORDS
+from gapline.operators import frames, qc
+from gapline.plans.queries import _POS as POS
+from gapline.plans.queries import CONFIG, GATE_WORDS, LOW, WORDS
 
 
 def q(words) -> str:
@@ -17,7 +20,7 @@ def lit(text: str) -> str:
 
 
 def r4(x: str) -> str:
-    return f"(round(({x}) * 10000.0::double) / 10000.0::double)"
+    return f"(round(({x}) * 10000.0::double) / 10000.0::double + 0.0::double)"
 
 
 TOKEN, CUE, WORD, SPEAKER = (lit(x) for x in (T.TOKEN, T.CUE, T.WORD, T.SPEAKER))
@@ -75,8 +78,253 @@ picked as (select rid, src, chunk, list_reduce(list_prepend(cast([] as bigint[])
   case when c[1] >= {CONFIG.min_segment_tokens} and n - c[1] >= {CONFIG.min_segment_tokens} and len(list_filter(acc, lambda e: abs(c[1] - e) < {max(CONFIG.min_segment_tokens, CONFIG.nms_radius + 1)})) = 0 then list_concat(acc, c) else acc end) sel from ordered),
 chosen as (select rid, src, chunk, unnest(sel) pos from picked)"""
 
-WITH_GAPS = f"with {TRANSCRIPTS}, {FLAGS}"
+WITH_GAPS = f"with recursive {TRANSCRIPTS}, {FLAGS}"
 WITH_VALLEY = f"{WITH_GAPS}, {VALLEY}"
+KEY = "rid, src, chunk"
+SENTENCE_END = "('.', '?', '!', ';', ':')"
+
+
+def selection(most: int) -> str:
+    """Forced boundaries: one step splits the first span that is too long, until there is none or it can't be split."""
+    least = CONFIG.min_segment_tokens
+    span = f"r.pos between a + {least} and z - {least}"
+    kinds = [f"list_filter(rs, lambda r: r.{x} and {span})" for x in ("free", "usable")]
+    best = f"""list_sort(list_transform(case when len({kinds[0]}) > 0 then {kinds[0]} else {kinds[1]} end,
+      lambda r: {{'b': r.bonus, 'k': r.k, 'd': abs(2 * r.pos - a - z), 'p': r.pos}}))[1].p"""
+    return f"""longc as (select {KEY}, any_value(n)::bigint n, list({{'pos': pos::bigint, 'k': k, 'free': reason = '',
+    'usable': token not in ({PUNCT}) and lower(left_token) not in ({q(C.TRAILING_FUNCTION)}),
+    'bonus': case when left_token in {SENTENCE_END} then -3 when low in ('okay', 'then', 'but', 'and', 'wait', 'actually', 'so') then -2 else 0 end}} order by pos) rs
+  from valley where n > {most} group by {KEY}),
+steps as (select longc.*, list_sort(list_concat([0::bigint, n], coalesce(sel, cast([] as bigint[])))) cuts, cast([] as bigint[]) added from longc left join picked using ({KEY})
+  union all select {KEY}, n, rs, list_sort(list_append(cuts, best)), list_append(added, best) from (select *, {best} best from (select *, cuts[i] a, cuts[i + 1] z
+    from (select *, list_position(list_transform(range(1, len(cuts)), lambda j: cuts[j + 1] - cuts[j] > {most}), true) i from steps) where i > 0)) where best is not null),
+forced as (select {KEY}, unnest(added) pos from (select *, row_number() over (partition by {KEY} order by len(added) desc) rk from steps) where rk = 1),
+sel as (select {KEY}, pos, false f from chosen union all select {KEY}, pos, true from forced),
+bound as (select valley.*, sel.pos is not null picked, coalesce(f, false) f, case when nn > 0 then (ss - {CONFIG.sensitivity}::double * sqrt(greatest(0, nn * qq - ss * ss)::double)) / nn / 10000 else g end t
+  from valley left join sel using ({KEY}, pos))"""
+
+
+def kind(means: list[str]) -> tuple[str, str]:
+    """(type, confidence) of the four means."""
+    names = ("cognitive", "metacognitive", "affective", "structural")
+    o = "list_sort([" + ", ".join(
+        f"{{'neg': -({m}), 'at': {i}, 'nm': '{n}'}}" for i, (m, n) in enumerate(zip(means, names, strict=True))
+    ) + "])"
+    return (
+        f"case when -{o}[1].neg < 0.20 then 'low_signal' when {o}[2].neg <= -0.30 and greatest(0.0, -{o}[1].neg + {o}[2].neg) < 0.10"
+        f" then 'mixed_' || {o}[1].nm || '_' || {o}[2].nm else {o}[1].nm end",
+        r4(f"greatest(0.0::double, -{o}[1].neg + {o}[2].neg)"),
+    )
+
+
+SCORES = {
+    "c": "Mean_C_t",
+    "m": "Mean_M_t",
+    "a": "Mean_A_t",
+    "rr": "Mean_R_t",
+    "g": "Mean_Semantic_Gravity",
+    "dt": "Mean_Task_Density",
+    "p": "Mean_Transition_Pressure",
+}
+
+
+def segmentation(most: int, cap: int) -> str:
+    """Segments (seg: keys, idx, a, z, n, txt, typ, conf, k_c .. k_p, trunc, merged) of at most ``most`` tokens where that can be, at most ``cap`` of a record."""
+    whole = {x: f"cast(round({r4(x)} * 10000) as bigint)" for x in SCORES}
+    typ, conf = kind([f"m_{x}" for x in ("c", "m", "a", "rr")])
+    typ2, conf2 = kind([f"s.k_{x} / 10000.0::double" for x in ("c", "m", "a", "rr")])
+    pair = ", ".join(
+        f"'k_{x}': (case when st[i].k_{x} + st[i + 1].k_{x} < 0 then -1 else 1 end * ((abs(st[i].k_{x} + st[i + 1].k_{x}) + 1) // 2))::bigint"
+        for x in SCORES
+    )
+    return f"""{selection(most)},
+marked as (select tok.*, sum(case when sel.pos is not null then 1 else 0 end) over (partition by tok.rid, tok.src, tok.chunk order by tok.pos) seg, sel.pos is not null cut from tok left join sel using ({KEY}, pos)),
+body as (select {KEY}, seg, any_value(off) off, min(pos) a, max(pos) + 1 z, list(token order by pos) words from marked group by all),
+proof as (select {KEY}, unnest(case when cut then [seg, seg - 1] else [seg] end) seg, {", ".join(f"{e} w_{x}" for x, e in whole.items())} from marked join scored using ({KEY}, pos)),
+means as (select {KEY}, seg, {", ".join(f"sum(w_{x})::double / count(*) / 10000 m_{x}, (case when sum(w_{x}) < 0 then -1 else 1 end * ((2 * abs(sum(w_{x})) + count(*)) // (2 * count(*))))::bigint k_{x}" for x in SCORES)} from proof group by all),
+cutoff as (select rid, src, coalesce(regexp_matches(rtrim(txt), '[\\p{{L}}\\p{{N}}]$') and (lw in ({q(C.TRUNCATED)}) or (length(lw) <= 4 and lw not in ({q(C.COMMON_SHORT)}))), false) tr
+  from (select *, lower(list_filter(regexp_extract_all(txt, {TOKEN}), lambda x: x not in ({PUNCT}))[-1]) lw from t0)),
+plain as (select rid, src, row_number() over (partition by rid, src order by chunk, seg) idx, off + a a, off + z z, z - a n, {DETOK.format("words")} txt, {typ} typ, {conf} conf,
+  {", ".join(f"k_{x}" for x in SCORES)}, tr and lead(seg) over (partition by rid, src order by chunk, seg) is null trunc from body join means using ({KEY}, seg) join cutoff using (rid, src)),
+lines as (select rid, src, list({{'idx': idx::bigint, 'a': a::bigint, 'z': z::bigint, 'n': n::bigint, 'txt': txt, 'typ': typ, 'conf': conf, {", ".join(f"'k_{x}': k_{x}" for x in SCORES)}, 'trunc': trunc, 'merged': false}} order by idx) st
+  from plain group by rid, src),
+joins as (select rid, src, st from lines union all select rid, src, list_concat(list_concat(st[1 : i - 1], [{{'idx': st[i].idx, 'a': st[i].a, 'z': st[i + 1].z, 'n': st[i].n + st[i + 1].n,
+    'txt': st[i].txt || ' ' || st[i + 1].txt, 'typ': '', 'conf': 0.0::double, {pair}, 'trunc': st[i].trunc or st[i + 1].trunc, 'merged': true}}]), st[i + 2 :])
+  from (select *, list_position(sizes, list_min(sizes)) i from (select *, list_transform(range(1, len(st)), lambda j: st[j].n + st[j + 1].n) sizes from joins where len(st) > {cap}) where list_min(sizes) <= {most})),
+final as (select rid, src, unnest(st) s, generate_subscripts(st, 1) idx from (select *, row_number() over (partition by rid, src order by len(st)) rk from joins) where rk = 1),
+seg as (select rid, src, idx, s.a, s.z, s.n, case when s.merged then trim(regexp_replace(s.txt, '\\s+([.!?;:,])', '\\1', 'g')) else s.txt end txt, case when s.merged then {typ2} else s.typ end typ,
+  case when s.merged then {conf2} else s.conf end conf, {", ".join(f"s.k_{x} k_{x}" for x in SCORES)}, s.trunc, s.merged from final)"""
+
+
+def segment_columns() -> str:
+    means = {x: f'k_{x} / 10000.0::double "{n}"' for x, n in SCORES.items()}
+    return f"""rid "Record_ID", src "Source_Row", 'text' "Source_Column", idx::int "Segment_Index", a::int "Token_Start", z::int "Token_End", n::int "Token_Count", txt "Segment_Text", typ "Segment_Type",
+conf "Segment_Type_Confidence", {", ".join(means[x] for x in ("c", "m", "a", "rr"))}, trunc "Source_Truncation_Flag", {", ".join(means[x] for x in ("g", "dt", "p"))}, merged "Merged_By_Max_Segment_Count\""""
+
+
+CONTEXT = f"""sides as (select {KEY}, pos, list(token) over l lt, list(token) over g rt from tok
+  window l as (partition by {KEY} order by pos rows between {w} preceding and 1 preceding), g as (partition by {KEY} order by pos rows between current row and {w - 1} following)),
+evidence as (select bound.*, {DETOK.format("lt")} || ' <BOUNDARY> ' || {DETOK.format("rt")} context, case when reason <> '' then 'rule:' || reason else '' end con,
+  case when reason <> '' then 'illegal' else 'legal' end legality from bound join sides using ({KEY}, pos))"""
+
+EVIDENCE = f"""rid "Record_ID", src "Source_Row", 'text' "Source_Column", gap::int gap, left_token, token right_token, {r4('s')} semantic_continuity, {r4('dt')} task_density, {r4('c')} cognitive_transition,
+{r4('dp')} semantic_drop_component, {r4('ec')} cognitive_cue_evidence, {r4('sh')} cognitive_cue_shift, {r4('m')} metacognitive_reset, {r4('a')} affective_friction, {r4('rr')} structural_break,
+{r4('p')} transition_pressure, {r4('raw')} raw_semantic_gravity, g semantic_gravity, legality boundary_legality, con legality_reason, 0.0::double legality_penalty, boost sentence_boundary_boost,
+reason rule_constraint_reason, '' spacy_legality, '' spacy_legality_reason, '' spacy_left_pos, '' spacy_right_pos, '' spacy_left_dep, '' spacy_right_dep, null::boolean spacy_same_sentence,
+null::boolean spacy_sentence_boundary, null::boolean spacy_inside_noun_chunk, {r4('t')} local_threshold, {r4('t - g')} boundary_margin, cand candidate_boundary, picked selected_boundary,
+f forced_max_length_boundary, reason <> '' constraint_blocked, con constraint_reason, cand and t - g <= {CONFIG.ambiguous_margin}::double review_flag, context"""
+
+
+def _key(x: str) -> str:
+    return f"regexp_replace(replace(lower({x}), '’', ''''), '^[^\\p{{L}}\\p{{M}}\\p{{N}}_]+|[^\\p{{L}}\\p{{M}}\\p{{N}}_]+$', '', 'g')"
+
+
+def _tags() -> str:
+    return " ".join(f"when lower(w) in ({q(these.split())}) then '{tag}'" for tag, these in POS)
+
+
+_AHEAD = "coalesce(list_position(list_transform(kt[acc.nxt + 1 : acc.nxt + 4], lambda y: y.k = x.k or y.t = x.w), true), 0)"
+_ZERO = "'nxt': 0::bigint, 'pl': cast([] as bigint[])"
+_HEADS = "('NOUN', 'PROPN', 'ADJ', 'VERB', 'AUX', 'PRON', 'NUM')"
+PARSER = f"""pp as (select {KEY}, off, toks, list_filter(string_split(regexp_replace(array_to_string(toks, ' '), '([''’]|ing\\b)', ' \\1', 'g'), ' '), lambda w: w <> '') pw from placed),
+pr as (select {KEY}, pw, unnest(pw) w, generate_subscripts(pw, 1) - 1 i from pp),
+pt as (select *, case when regexp_full_match(w, '[.!?;:,]') then 'PUNCT' {_tags()} when length(w) % 3 = 0 then 'VERB' when length(w) % 5 = 0 then 'ADJ' else 'NOUN' end tag,
+  len(list_filter(pw[1 : i], lambda x: x in ('.', '!', '?'))) sent from pr),
+pd as (select {KEY}, i, w, tag, sent, case when tag = 'DET' then 'det' when tag = 'AUX' then 'aux' when tag = 'ADP' then 'prep' when length(w) % 7 = 0 then 'compound' else 'dep' end dep,
+  w in ('.', '!', '?') ends, case when tag in ('DET', 'ADJ', 'NOUN') then i // 4 end nc from pt),
+pk as (select *, list_transform(pw, lambda w: {{'k': {_key('w')}, 't': w}}) kt from pp where len(toks) > 0),
+pa as (select {KEY}, off, list_reduce(list_prepend({{{_ZERO}, 'w': '', 'k': ''}}, list_transform(toks, lambda w: {{{_ZERO}, 'w': w, 'k': {_key('w')}}})),
+  lambda acc, x: list_transform([case when x.k <> '' or x.w in ({PUNCT}) then {_AHEAD} else 0 end],
+    lambda m: {{'nxt': acc.nxt + m, 'pl': list_append(acc.pl, case when m > 0 then acc.nxt + m - 1 end), 'w': '', 'k': ''}})[1]).pl pl from pk),
+pi as (select *, unnest(range(1, len(pl))) j from pa),
+pg as (select {KEY}, off + j gap, pl[j] li, pl[j + 1] ri from pi),
+pf as (select g.rid, g.src, g.chunk, gap, l.tag lt, r.tag rt, l.dep ld, r.dep rd, lower(r.w) rw, r.tag = 'PUNCT' punct, l.sent = r.sent same, l.sent <> r.sent or l.ends sb, coalesce(l.nc = r.nc, false) nc
+  from pg g join pd l on g.rid = l.rid and g.src = l.src and g.chunk = l.chunk and g.li = l.i join pd r on g.rid = r.rid and g.src = r.src and g.chunk = r.chunk and g.ri = r.i),
+pq as (select *, list_filter([case when nc then 'inside_noun_chunk' end,
+  case when ld in ('det', 'amod', 'compound', 'nummod', 'poss', 'aux', 'auxpass', 'cop', 'case', 'mark') and rt in {_HEADS} then 'left_dep_' || ld || '_needs_head' end,
+  case when (lt = 'AUX' or ld in ('aux', 'auxpass', 'cop')) and rt in ('VERB', 'AUX', 'ADJ', 'NOUN', 'PRON', 'ADV') then 'inside_auxiliary_or_copula_phrase' end,
+  case when lt = 'ADP' and rt in ('DET', 'ADJ', 'NOUN', 'PROPN', 'PRON', 'NUM') then 'inside_prepositional_phrase' end,
+  case when lt in ('ADJ', 'ADV') and rt in ('ADJ', 'NOUN', 'PROPN', 'VERB', 'AUX') then 'inside_modifier_head_phrase' end,
+  case when punct then 'before_punctuation' end], lambda x: x is not null) why,
+  same and not sb and rw not in ('actually', 'but', 'so', 'then', 'next', 'okay', 'wait', 'because', 'however', 'now', 'also', 'first', 'again')
+    and lt in ('VERB', 'NOUN', 'PROPN', 'ADJ', 'ADV') and rt in ('NOUN', 'PROPN', 'PRON', 'NUM', 'ADJ', 'ADV') halfway from pf),
+parser as (select *, case when len(why) > 0 then 'illegal' when halfway then 'semi_legal' else 'legal' end leg,
+  case when len(why) > 0 then array_to_string(why, ';') when halfway then 'within_sentence_noncue_gap' else '' end why_text from pq)"""
+
+MODES = f"""pm as (select l.*, p.sb, coalesce(p.leg, '') leg, coalesce(p.why_text, '') why_text
+  from legal l left join (select rid, src, gap, sb, leg, why_text from parser) p on l.rid = p.rid and l.src = p.src and l.gap = p.gap),
+pc as (select *, array_to_string(list_filter([case when reason <> '' then 'rule:' || reason end, case when leg = 'illegal' and why_text <> '' then 'spacy:' || why_text end], lambda x: x is not null), ';') con from pm),
+pl2 as (select *, case when con <> '' then 'illegal' when leg = 'semi_legal' then 'semi_legal' else 'legal' end bl from pc),
+pb as (select *, case when bl = 'semi_legal' then 0.18::double else 0.0::double end pen,
+  case when (coalesce(sb, false) or left_token in {SENTENCE_END}) and bl <> 'illegal' then 0.08::double else 0.0::double end bst from pl2)"""
+
+_CELL = "(['0', '1.0', ' True', 'false', 'yes', 'N', '3', '2.0', '', '4', 'maybe'])[doc_id % 11 + 1]"
+
+
+def _report() -> str:
+    events = f"(select sum(len(regexp_extract_all(raw, {lit(T.EVENT_MARK)}))) from turns)"
+    words = f"(select coalesce(sum(len(regexp_extract_all(txt, {WORD}))), 0) from turns where speaker = 'Interviewee')"
+    lines = {
+        "Source documents": "(select count(*) from docs)",
+        "Successful documents": "(select count(*) from docs)",
+        "Error documents": "0",
+        "Parsed speaker turns": "(select count(*) from turns)",
+        "Event markers": events,
+        "Interviewee turns": "(select count(*) from turns where speaker = 'Interviewee')",
+        "Interviewer turns": "(select count(*) from turns where speaker = 'Interviewer')",
+        "Interviewee words": words,
+        "Documents without interviewee turns": "(select count(*) from docs where id not in (select id from turns where speaker = 'Interviewee'))",
+        "Documents with artifacts": "0",
+        "Artifacts": "0",
+        "Documents with unintelligible markers": "(select count(*) from docs where un > 0)",
+        "Unintelligible markers": "(select coalesce(sum(un), 0) from docs)",
+    }
+    rows = ", ".join(["'# Extraction report'", "''", *[f"'- {k}: ' || {v}::bigint" for k, v in lines.items()]])
+    return f"""with {INTERVIEW}, {TURNS}, docs as (select id, len(regexp_extract_all(full_text, '(?i)unintelligible|\\[uninte')) un from norm), r as (select [{rows}] t)
+select (generate_subscripts(t, 1) - 1)::int line, unnest(t) "text" from r"""
+
+
+_CRITERIA = '{"min_support":5,"min_precision":0.65,"min_lift":1.05}'
+_VALUE = f"""'{{"words":' || to_json(w)::varchar || ',"phrases":' || to_json(p)::varchar || ',"exclude_patterns":[],"criteria":{_CRITERIA}}}'"""
+
+
+def rounded(x: str, digits: int) -> str:
+    return f"(round(({x}) * {10.0**digits}::double) / {10.0**digits}::double)"
+
+
+def _status() -> str:
+    zero = q(
+        (
+            "Event token leakage",
+            "Bracket event leakage",
+            "Speaker label leakage",
+            "Punctuation-leading segments",
+            "Selected illegal boundaries",
+        )
+    )
+    tests = {
+        "Median segment tokens": "v between 12 and 25",
+        "Mean segment tokens": "v between 15 and 30",
+        "Short segment rate": "v <= 0.25",
+        "Long segments > 60 tokens": "v = 0",
+    }
+    tests |= {"Max tokens": "v <= 60", "Max segments per record": "v <= 80", "Selected semi-legal boundary rate": "v <= 0.15"}
+    ladder = " ".join(f"when metric = {lit(m)} then case when {t} then 'PASS' else 'WARNING' end" for m, t in tests.items())
+    other = "max(v) over (partition by pair)"
+    return f"""case when metric in ('Segments', 'Boundaries', 'Records', 'Selected boundaries') then 'INFO'
+  when pair <> '' then case when count(v) over (partition by pair) < 2 then 'WARNING' when ends_with(metric, ': selected') = (pair = 'Mean transition pressure') then case when v = {other} and v > min(v) over (partition by pair) then 'PASS' else 'WARNING' end
+    else case when v = min(v) over (partition by pair) and v < {other} then 'PASS' else 'WARNING' end end
+  when v is null then 'WARNING' {ladder} when metric in ({zero}) then case when v = 0 then 'PASS' else 'FAIL' end else 'INFO' end"""
+
+
+def _summary() -> str:
+    mean = lambda x, test: rounded(f"sum(cast(round({r4(x)} * 10000) as bigint)) filter (where {test}) / count(*) filter (where {test}) / 10000", 4)
+    values = {
+        "Segments": "segs", "Boundaries": "bounds", "Records": "recs", "Median segment tokens": "med", "Mean segment tokens": "mean", "Short segments < 8 tokens": "short", "Short segment rate": "rate",
+        "Long segments > 60 tokens": "lng", "Max tokens": "mx", "Max segments per record": "per", "Event token leakage": "ev", "Bracket event leakage": "br", "Speaker label leakage": "sp",
+        "Punctuation-leading segments": "pu", "Selected boundaries": "chosen", "Selected illegal boundaries": "ill", "Selected semi-legal boundary rate": "0.0", "Mean semantic gravity: selected": "gs",
+        "Mean semantic gravity: non-selected": "gn", "Mean transition pressure: selected": "ps", "Mean transition pressure: non-selected": "pn",
+    }
+    rows = ", ".join(
+        f"{{'at': {i}, 'metric': {lit(m)}, 'v': ({v})::double, 'criterion': {lit(qc.CRITERIA[m])}}}"
+        for i, (m, v) in enumerate(values.items())
+    )
+    return f"""one as (select count(*) segs, {rounded("median(n)", 2)} med, {rounded("sum(n) / count(n)", 2)} mean, count(*) filter (where n < 8) short, {rounded("count(*) filter (where n < 8) / count(*)", 3)} rate,
+  count(*) filter (where n > 60) lng, max(n) mx, count(*) filter (where contains(txt, '<EVENT>')) ev, count(*) filter (where regexp_matches(txt, '(?i)\\[(?:Pause|Drawing|End of Audio|Unintelligible)')) br,
+  count(*) filter (where regexp_matches(txt, {LABEL})) sp, count(*) filter (where regexp_matches(txt, '^\\s*[,.;:!?]')) pu from seg),
+two as (select count(*) recs, max(c) per from (select rid, count(*) c from seg group by rid)),
+three as (select count(*) bounds, count(*) filter (where picked) chosen, count(*) filter (where picked and reason <> '') ill, {mean("g", "picked")} gs, {mean("g", "not picked")} gn, {mean("p", "picked")} ps, {mean("p", "not picked")} pn from bound),
+metrics as (select r.*, regexp_extract(r.metric, '^(Mean .*): (?:non-)?selected$', 1) pair from (select unnest([{rows}]) r from one, two, three)),
+judged as (select *, {_status()} status from metrics)
+select "at"::int "at", metric "Metric", v "Value", criterion "Criterion", status "Status", case status when 'PASS' then 'Within the suggested range.' when 'FAIL' then 'Must be zero before annotation.'
+  when 'WARNING' then 'Missing, or outside the suggested range.' else 'Reported for traceability.' end "Status_Note" from judged"""
+
+
+def _saturation() -> str:
+    cells = " union all ".join(
+        f"select '{s}' sig, {r4(x)} v from bound" for s, x in (("C_t", "c"), ("M_t", "m"), ("A_t", "a"), ("R_t", "rr"))
+    )
+    parts = " union all ".join(
+        f"select '{s}' sig, typ = '{C.TYPE_NAMES[s]}' first, k_{x} k from seg"
+        for s, x in (("C_t", "c"), ("M_t", "m"), ("A_t", "a"), ("R_t", "rr"))
+    )
+    return f"""cells as ({cells}), per as (select sig, {rounded("sum(cast(round(v * 10000) as bigint)) / count(v) / 10000", 3)} mean, quantile_cont(v, 0.5) mid, {rounded("quantile_cont(v, 0.9)", 3)} p90,
+  {rounded("count(*) filter (where v > 0.8) / count(v)", 3)} high from cells group by sig),
+parts2 as ({parts}), own as (select sig, count(*) filter (where first) pri, {rounded("count(*) filter (where first) / count(*)", 3)} prate, count(*) filter (where k / 10000.0::double >= 0.5) pos,
+  {rounded("count(*) filter (where k / 10000.0::double >= 0.5) / count(*)", 3)} posrate, {rounded("sum(k) / count(k) / 10000", 3)} ms from parts2 group by sig)
+select sig "Signal", mean "Mean", p90 "P90", high "Pct_High", pri "Primary_Segments", prate "Primary_Rate", pos "Positive_Segments", posrate "Positive_Rate", ms "Mean_Segment_Signal", {rounded("mid", 3)} "Median",
+mid > 0.75 "Saturated", case when mid > 0.75 or {rounded("mid", 3)} > 0.75 or high > 0.5 or posrate > 0.6 then 'WARNING' else 'PASS' end "Status" from per join own using (sig)"""
+
+
+ITEMS = f"""dominant as (select *, greatest({r4('c')}, {r4('m')}, {r4('a')}, {r4('rr')}) best from evidence where picked or (cand and con = '')),
+items as (select *, case when picked then 'selected' else 'candidate' end source, case when best < 0.20 then 'low_signal' when {r4('c')} = best then 'C_t' when {r4('m')} = best then 'M_t' when {r4('a')} = best then 'A_t' else 'R_t' end dom,
+  rid || '__row_' || src || '__text__gap_' || gap item from dominant)"""
+
+ITEM_COLUMNS = f"""item "Annotation_Item_ID", rid "Record_ID", src "Source_Row", 'text' "Source_Column", gap::int "Boundary_Gap", source "Item_Source", source || '_' || dom "Sampling_Stratum", dom "Algorithm_Dominant_Signal",
+picked "Algorithm_Selected_Boundary", legality "Boundary_Legality", con "Legality_Reason", reason "Rule_Reason", '' "Spacy_Reason", '' "Spacy_Left_POS", '' "Spacy_Right_POS", '' "Spacy_Left_DEP", '' "Spacy_Right_DEP",
+con "Boundary_Constraint_Reason", '[[CANDIDATE_BOUNDARY]] marks the candidate break; it is not transcript text.' "Boundary_Marker_Explanation", replace(context, '<BOUNDARY>', '[[CANDIDATE_BOUNDARY]]') "Boundary_Context",
+{r4('c')} "Alg_C_t", {r4('m')} "Alg_M_t", {r4('a')} "Alg_A_t", {r4('rr')} "Alg_R_t", g "Semantic_Gravity", {r4('t - g')} "Boundary_Margin\""""
+
 
 CLEAN = "coalesce(text, '')"
 for a, b in (*T.CONTROLS, ("Â", ""), *T.SEQUENCES):
@@ -84,10 +332,19 @@ for a, b in (*T.CONTROLS, ("Â", ""), *T.SEQUENCES):
 for a, b in T.REPAIRS:
     CLEAN = f"regexp_replace({CLEAN}, {lit(a.replace('(?iU)', '(?i)').replace('(?U)', ''))}, {lit(b.replace('$', chr(92)))}, 'g')"
 CLEAN = f"trim({CLEAN})"
-ARTIFACTS = " + ".join([f"len(regexp_extract_all(coalesce(text, ''), '(?:{T.LOST})+'))", f"len(regexp_extract_all(coalesce(text, ''), {LABEL}))", *[f"(length(coalesce(text, '')) - length(replace(coalesce(text, ''), {lit(m) if m.isprintable() else f'chr({ord(m)})'}, ''))) // {len(m)}" for m in ["\x14", "\x19", "\x1c", "\x1d", "\xfd", "\xfd", "Â", *(s for s, _ in T.SEQUENCES)]]])
+ARTIFACTS = " + ".join(
+    [
+        f"len(regexp_extract_all(coalesce(text, ''), '(?:{T.LOST})+'))",
+        f"len(regexp_extract_all(coalesce(text, ''), {LABEL}))",
+        *[
+            f"(length(coalesce(text, '')) - length(replace(coalesce(text, ''), {lit(m) if m.isprintable() else f'chr({ord(m)})'}, ''))) // {len(m)}"
+            for m in ["\x14", "\x19", "\x1c", "\x1d", "\xfd", "\xfd", "Â", *(s for s, _ in T.SEQUENCES)]
+        ],
+    ]
+)
 
 INTERVIEW = """iv as (select conv_id, upper('et_' || conv_id) id, string_agg(case when role = 'user' then 'Interviewee: ' else 'Interviewer: ' end || coalesce(text, '') || case when turn % 3 = 0 then ' [Pause 3s] ' else chr(10) end, '' order by turn) raw
-  from conversations where role <> 'system' group by conv_id),
+  from conversations group by conv_id),
 norm as (select id, trim(regexp_replace(regexp_replace(raw, '\\n{3,}', chr(10) || chr(10), 'g'), '[ \\t]+', ' ', 'g'), ' ' || chr(10)) full_text from iv)"""
 TURNS = f"""bodies as (select id, unnest(regexp_extract_all(full_text, {SPEAKER}, 1)) who, unnest(string_split_regex(full_text, {lit(T.SPEAKER.replace("(Interviewer|Interviewee)", "(?:Interviewer|Interviewee)"))})[2:]) body,
   generate_subscripts(regexp_extract_all(full_text, {SPEAKER}, 1), 1) nr from norm),
@@ -99,8 +356,20 @@ lab2 as (select 'd_' || doc_id item, 'r1' who, quality * 2 st, quality c, qualit
   union all select 'd_' || doc_id, 'r2', (1 - toxic) * 2 + toxic, 1 - toxic, quality, case when doc_id % 5 > 0 then toxic end, null from lab)"""
 
 
+CUES = f"""texts as (select doc_id, list_transform(regexp_extract_all(coalesce(text, ''), {CUE}), lambda x: replace(lower(x), '’', '''')) t from lab),
+grams as (select distinct doc_id, g from (select doc_id, unnest(list_concat(t, list_transform(range(1, greatest(len(t), 1)), lambda i: t[i] || ' ' || t[i + 1]), list_transform(range(1, greatest(len(t) - 1, 1)), lambda i: t[i] || ' ' || t[i + 1] || ' ' || t[i + 2]))) g from texts)),
+sg as ({" union all ".join(f"select '{s}' sig, item, {c} v from lab2 where {c} is not null" for s, c in (("C_t", "c"), ("M_t", "m"), ("A_t", "a"), ("R_t", "r")))}),
+by_item as (select sig, item, count(*) n, sum(v) p from sg group by sig, item), tot as (select sig, sum(n) n, sum(p) p from by_item group by sig),
+per as (select sig, g, sum(n) n, sum(p) p from by_item join grams on item = 'd_' || doc_id group by sig, g having sum(n) >= 5),
+cues as (select per.sig "Signal", g "Cue", per.n::bigint "Support", per.p::bigint "Positive_With_Cue", round(per.p / per.n, 3) "Precision", round(coalesce(per.p / nullif(tot.p, 0), 0.0), 3) "Recall",
+  round((per.p / per.n) / nullif(tot.p / tot.n, 0), 3) "Lift" from per join tot using (sig) where per.p / per.n >= 0.65 and (tot.p = 0 or (per.p / per.n) / (tot.p / tot.n) >= 1.05))"""
+
+
 def _cells() -> str:
-    return " union all ".join(f"select '{s}' sig, item, who, {c} v from lab2 where {c} is not null" for s, c in (("Boundary_Strength_0_3", "st"), ("C_t", "c"), ("M_t", "m"), ("A_t", "a"), ("R_t", "r")))
+    return " union all ".join(
+        f"select '{s}' sig, item, who, {c} v from lab2 where {c} is not null"
+        for s, c in (("Boundary_Strength_0_3", "st"), ("C_t", "c"), ("M_t", "m"), ("A_t", "a"), ("R_t", "r"))
+    )
 
 
 def _gate() -> str:
@@ -113,10 +382,11 @@ def _gate() -> str:
     return f"case when {has(GATE_WORDS['A'])} then {arr('A')} when {has(GATE_WORDS['M'])} then {arr('M')} when {has(GATE_WORDS['T'])} then {arr('T')} else {arr('S')} end"
 
 
-FRAMES = f"""ft as (select conv_id || '_' || turn id, list_filter(string_split_regex(coalesce(text, ''), '\\s+'), lambda x: x <> '') wl from conversations),
+def frame_sql(task_words, text: str = "coalesce(text, '')") -> str:
+    return f"""ft as (select conv_id || '_' || turn id, list_filter(string_split_regex({text}, '\\s+'), lambda x: x <> '') wl from conversations),
 fr as (select id, wl, len(wl) n, unnest(range(0, len(wl) - 4)) i from ft where len(wl) >= 5),
 fw as (select *, list_filter(string_split_regex(regexp_replace(lower(array_to_string(wl[i + 1 : i + 5], ' ')), '[^a-zA-Z\\s]', '', 'g'), '\\s+'), lambda x: x <> '') ws from fr),
-fg as (select *, {_gate()} gt, case when list_has_any(ws, [{q(GATE_WORDS["T"])}]) then 1.0::double else 0.0::double end tk from fw),
+fg as (select *, {_gate()} gt, case when list_has_any(ws, [{q(task_words)}]) then 1.0::double else 0.0::double end tk from fw),
 fs as (select *, round(gt[4] * (1.0::double + 0.5::double * tk) - (gt[1] * 0.1::double + gt[2] * 0.8::double + gt[3] * 1.2::double), 6) grav from fg),
 fl as (select *, grav < 0.35 low, lag(grav < 0.35) over (partition by id order by i) was from fs),
 fc as (select id, i, least(case when low then i + 4 else i end, n) cut from fl where was is not null and low <> was),
@@ -124,9 +394,27 @@ fb as (select id, cut from (select *, coalesce(max(cut) over (partition by id or
 fm as (select id, cut pt from fb union select id, 0 from fr union select id, n from fr),
 fu as (select id, pt a, lead(pt) over (partition by id order by pt) z, row_number() over (partition by id order by pt) unit from fm)"""
 
+
+def _q_matrix() -> str:
+    dims = ["gS", "gM", "gA", "gT"]
+    gates = ", ".join(f"avg(gt[{k + 1}]) {d}" for k, d in enumerate(dims))
+    best = "greatest(" + ", ".join(f"round({d}, 9)" for d in dims) + ")"
+    dim = "case " + " ".join(f"when round({d}, 9) = {best} then '{d[1]}'" for d in dims) + " else 'None' end"
+    clean = "regexp_replace(lower(array_to_string(words[j + 1 : j + 5], ' ')), '[^a-zA-Z\\s]', '', 'g')"
+    return f"""with {frame_sql(frames.T_WORDS, "replace(coalesce(text, ''), ' | ', ' ')")},
+kept as (select fu.id, row_number() over (partition by fu.id order by unit) edu, wl[a + 1 : z] words from fu join ft using (id) where z - a >= 3),
+uf as (select id, edu, list_filter(string_split_regex({clean}, '\\s+'), lambda x: x <> '') ws from (select *, unnest(range(0, len(words) - 4)) j from kept where len(words) >= 5)),
+ug as (select id, edu, {gates} from (select *, {_gate()} gt from uf) group by id, edu),
+un as (select kept.id, kept.edu, array_to_string(words, ' ') txt, {", ".join(dims)}, {dim} dim from kept left join ug on kept.id = ug.id and kept.edu = ug.edu)
+select id "Student_ID", edu::int "EDU_Index", txt "EDU_Text", dim "Dominant_Dim", {", ".join(f"(dim = '{d[1]}')::int \"Q_{d[1]}\"" for d in dims)}, {", ".join(f"round(round(coalesce({d}, 0.0), 9) * 10000.0::double) / 10000.0::double \"Weight_{d[1]}\"" for d in dims)} from un"""
+
+
 _SILVER = "list_filter(string_split_regex(regexp_replace(lower(coalesce(text, '')), '[^a-zA-Z\\s]', '', 'g'), '\\s+'), lambda x: x <> '')"
 _WEIGHTS = [[((i * 7 + k * 3) % 11 - 5) / 10.0 for i in range(64)] for k in range(4)]
-_Z = ", ".join(f"list_inner_product(cast(embedding as double[]), [{', '.join(f'{x}::double' for x in row)}]) + {b}::double z{k}" for k, (row, b) in enumerate(zip(_WEIGHTS, (0.1, 0.0, -0.1, 0.2), strict=True)))
+_Z = ", ".join(
+    f"list_inner_product(cast(embedding as double[]), [{', '.join(f'{x}::double' for x in row)}]) + {b}::double z{k}"
+    for k, (row, b) in enumerate(zip(_WEIGHTS, (0.1, 0.0, -0.1, 0.2), strict=True))
+)
 
 ORACLES = {
     "clean_artifacts": f"select doc_id, md5({CLEAN}) cleaned_md5, cast({ARTIFACTS} as bigint) artifacts from documents",
@@ -139,6 +427,62 @@ len(regexp_extract_all(raw, {lit(T.EVENT_MARK)}))::int "Event_Count", len(list_f
 coalesce(words, 0)::bigint "Interviewee_Words", len(regexp_extract_all(full_text, '(?i)unintelligible|\\[uninte'))::int "Unintelligible_Count", len(regexp_extract_all(full_text, {lit(T.TIMESTAMP)}))::int "Timestamp_Count", 0::bigint "Artifact_Count", md5(coalesce(resp, '')) response_md5
 from norm left join (select id, count(*) n, count(*) filter (where speaker = 'Interviewee') ee, count(*) filter (where speaker = 'Interviewer') er, sum(len(regexp_extract_all(txt, {WORD}))) filter (where speaker = 'Interviewee') words,
 string_agg(txt, ' | ' order by turn_index) filter (where speaker = 'Interviewee') resp from turns group by id) x on norm.id = x.id""",
+    "corpus_events": f"""with {INTERVIEW}, {TURNS}, ev as (select *, regexp_extract_all(raw, {lit(T.EVENT_MARK)}) marks, string_split_regex(raw, {lit(T.EVENT_MARK)}) bits from turns),
+eo as (select *, unnest(range(1, len(marks) + 1)) i from ev),
+ep as (select *, trim(regexp_extract(marks[i], '^\\[([A-Za-z ]+)', 1)) kd, (coalesce(list_sum(list_transform(bits[1 : i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(marks[1 : i - 1], lambda x: length(x))), 0))::int beg from eo)
+select id "ID", turn_index::int "Turn_Index", speaker "Speaker", i::int "Event_Index", case when kd = '' then 'Event' else upper(kd[1]) || lower(kd[2:]) end "Event_Type", marks[i] "Event_Text", beg "Char_Start", (beg + length(marks[i]))::int "Char_End" from ep""",
+    "legacy_turns": f"""with {INTERVIEW}, said as (select conv_id, list_filter(list_transform(list_filter(string_split_regex(raw, '(?i)Interviewer:'), lambda x: regexp_matches(x, '(?i)Interviewee:')),
+  lambda x: trim(regexp_replace(regexp_extract(x, '(?is)Interviewee:\\s*(.*)', 1), '\\s+', ' ', 'g'))), lambda x: x <> '') l from iv)
+select 'et-' || conv_id stem, len(l)::int "Total_Turns", md5(array_to_string(l, ' | ')) response_md5 from said""",
+    "boundary_evidence": f"""{WITH_VALLEY}, {selection(CONFIG.max_segment_tokens)}, {CONTEXT} select {EVIDENCE} from evidence""",
+    "forced_split": f"""{WITH_VALLEY}, {selection(25)} select rid "Record_ID", gap::int gap, g semantic_gravity from bound where f""",
+    "segments": f"""{WITH_VALLEY}, {segmentation(CONFIG.max_segment_tokens, CONFIG.max_segments_per_record)} select {segment_columns()} from seg""",
+    "cap_merge": f"""{WITH_VALLEY}, {segmentation(LOW.max_segment_tokens, LOW.max_segments_per_record)} select {segment_columns()} from seg""",
+    "qc_summary": f"""{WITH_VALLEY}, {segmentation(CONFIG.max_segment_tokens, CONFIG.max_segments_per_record)}, {_summary()}""",
+    "qc_signals": f"""{WITH_VALLEY}, {segmentation(CONFIG.max_segment_tokens, CONFIG.max_segments_per_record)}, {_saturation()}""",
+    "boundary_items": f"""{WITH_VALLEY}, {selection(CONFIG.max_segment_tokens)}, {CONTEXT}, {ITEMS} select {ITEM_COLUMNS} from items""",
+    "segment_context": f"""{WITH_VALLEY}, {segmentation(CONFIG.max_segment_tokens, CONFIG.max_segments_per_record)}, {CONTEXT}, {ITEMS},
+prior as (select *, coalesce(lag(txt) over (partition by rid, src order by idx), '') prev from seg),
+lefts as (select i.item, i.rid, i.src, i.gap, p.txt lt, p.z lz, p.prev from items i asof left join prior p on i.rid = p.rid and i.src = p.src and i.gap >= p.z),
+rights as (select l.*, p.txt rt from lefts l asof left join prior p on l.rid = p.rid and l.src = p.src and l.gap <= p.a)
+select item "Annotation_Item_ID", case when lz = gap then prev else '' end "Previous_Segment", coalesce(lt, '') "Left_Segment", coalesce(rt, '') "Right_Segment" from rights""",
+    "q_matrix": _q_matrix(),
+    "parser_legality": f"""with {TRANSCRIPTS}, {PARSER} select rid "Record_ID", gap::int gap, leg spacy_legality, why_text spacy_legality_reason, lt spacy_left_pos, rd spacy_right_dep,
+same spacy_same_sentence, sb spacy_sentence_boundary, nc spacy_inside_noun_chunk from parser""",
+    "legality_modes": f"""{WITH_GAPS}, {PARSER}, {MODES} select rid "Record_ID", gap::int gap, bl boundary_legality,
+array_to_string(list_filter([nullif(con, ''), nullif(why_text, '')], lambda x: x is not null), ';') legality_reason,
+con constraint_reason, pen legality_penalty, bst sentence_boundary_boost, {r4("raw + pen - bst")} semantic_gravity from pb""",
+    "label_migration": """select doc_id, case when doc_id % 4 = 3 then null when quality = 0 then '0' when quality = 1 then '2' end "Boundary_Strength_0_3" from labels""",
+    "label_validation": f"""with {LABELS}, x as (select item || '__' || who id, (item[3:])::bigint * 2 + (who = 'r2')::int n, * from lab2),
+y as (select id, case when n % 11 = 0 then '4' when n % 11 = 1 then ' ' else st::varchar end st, case when n % 7 = 0 then 'maybe' when m = 1 then 'yes' else 'no' end m,
+  case when n % 5 = 0 then 'mixed' when n % 13 = 0 then 'other' else '' end kind from x)
+select id "Annotation_ID", st "Boundary_Strength_0_3", m "Human_M_t", kind "Human_Primary_Type" from y where st = '4' or m = 'maybe' or kind = 'other'""",
+    "review_upsert": f"""with {LABELS}, x as (select item || '__' || who id, ((item[3:])::bigint * 2 + (who = 'r2')::int) % 3 n, * from lab2)
+select id "Annotation_ID", case when n = 0 then '3' else st::varchar end "Boundary_Strength_0_3", case when n = 0 then '0' else c::varchar end "Human_C_t",
+case when m = 1 then 'yes' else 'no' end "Human_M_t" from x""",
+    "annotator_rows": f"""with {LABELS} select item || '__' || who "Annotation_ID",
+case when st is null or c is null or m is null or a is null or r is null then 'pending' else 'complete' end "Review_Status" from lab2 where who = 'r2'""",
+    "label_cells": f"""select doc_id, case when trim(c) in ('0', '0.0', 'False', 'false') then '0' when trim(c) in ('1', '1.0', 'True', 'true') then '1' when trim(c) <> '' then trim(c) end choice,
+case when lower(trim(c)) in ('1', '1.0', 'true', 'yes', 'y') then 1 when lower(trim(c)) in ('0', '0.0', 'false', 'no', 'n') then 0 end "binary",
+case when try_cast(trim(c) as double) in (0, 1, 2, 3) then try_cast(trim(c) as double)::int end strength,
+lower(c) in ('true', '1', 'yes', 'y') "boolean" from (select doc_id, {_CELL} c from labels)""",
+    "gate_training_set": f"""with c as (select 'Interviewee: ' || text t from conversations union all select case when turn % 2 = 0 then role end from conversations),
+x as (select trim(replace(t, 'Interviewee:', '')) text from c where t is not null), y as (select text, {_SILVER} w from x where length(text) >= 5)
+select case when list_has_any(w, [{q(frames.A_WORDS)}]) then 2 when list_has_any(w, [{q(frames.M_WORDS)}]) then 1 when list_has_any(w, [{q(frames.T_WORDS)}]) then 3 else 0 end "label",
+count(*) texts, sum(length(text))::bigint chars from y group by 1""",
+    "cleaned_table": f"""select doc_id, md5({CLEAN}) text_md5, source, (select sum({ARTIFACTS}) + count(*) from documents)::bigint artifacts from documents""",
+    "vocabulary_json": f"""with {LABELS}, {CUES},
+top as (select *, row_number() over (partition by "Signal" order by "Precision" desc, "Lift" desc nulls last, "Support" desc, "Cue") rk from cues),
+lists as (select s, coalesce(list("Cue" order by rk) filter (where not contains("Cue", ' ')), []) w, coalesce(list("Cue" order by rk) filter (where contains("Cue", ' ')), []) p
+  from (values ('C_t'), ('M_t'), ('A_t'), ('R_t')) v(s) left join (select * from top where rk <= 20) t on s = "Signal" group by s)
+select '{{' || string_agg('"' || s || '":' || {_VALUE}, ',' order by s) || '}}' vocabulary from lists""",
+    "corpus_report": _report(),
+    "document_ids": f"""select doc_id, 'ETE21_' || lpad(doc_id::varchar, 4, '0') id, case when doc_id % 2 = 0 then 'ETE21_' || lpad(doc_id::varchar, 4, '0') else '' end mentioned, 1::bigint artifacts,
+len(regexp_extract_all(array_to_string(string_split(coalesce(text, ''), ' ')[1 : 3], ' ') || ' see '
+  || case when doc_id % 2 = 0 then 'ete21-' || lpad(doc_id::varchar, 4, '0') else 'ET-99' end || ' now', {WORD}))::bigint words from documents""",
+    "source_rows": """select n_nationkey::varchar "Record_ID", row_number() over (order by n_nationkey) + 1 "Source_Row", 'n_name' "Source_Column", md5(n_name) text_md5 from nation""",
+    "run_facts": f"""select unnest([{", ".join(lit(k) for k in ("rows", *asdict(CONFIG)))}]) "Field",
+unnest([(select count(*) from conversations)::varchar, {", ".join(lit(str(v)) for v in asdict(CONFIG).values())}]) "Value\"""",
     "gap_density_signals": f"""{WITH_GAPS} select rid "Record_ID", gap::int gap, {r4('dt')} task_density, {r4('m')} metacognitive_reset, {r4('a')} affective_friction, {r4('rr')} structural_break from scored""",
     "gap_continuity": f"""{WITH_GAPS} select rid "Record_ID", gap::int gap, {r4('s')} semantic_continuity, {r4('dp')} semantic_drop_component, {r4('sh')} cognitive_cue_shift, {r4('ec')} cognitive_cue_evidence from scored""",
     "gap_pressure_gravity": f"""{WITH_GAPS} select rid "Record_ID", gap::int gap, {r4('c')} cognitive_transition, {r4('p')} transition_pressure, {r4('raw')} raw_semantic_gravity, g semantic_gravity from scored""",
@@ -183,20 +527,17 @@ select b.sig "Signal", b.n "Completed_Labels", rate "Positive_Rate", coalesce(mu
 from lab2 group by item having min(st) <> max(st) or min(c) <> max(c) or min(m) <> max(m) or coalesce(min(a) <> max(a), false) or coalesce(min(r) <> max(r), false)""",
     "kappa": """with n as (select count(*) n, count(*) filter (where quality = 1 - toxic) same, count(*) filter (where quality = 1) q1, count(*) filter (where toxic = 0) t1 from labels where quality is not null and toxic is not null),
 x as (select *, q1 * t1 + (n - q1) * (n - t1) x from n) select 'all' g, round(case when x = n * n then case when same = n then 1.0 end else (n * same - x) / (n * n - x) end, 6) kappa from x""",
-    "cue_association": f"""with {LABELS}, rows as (select doc_id, quality c, quality m, case when doc_id % 5 > 0 then toxic end a, quality r, list_transform(regexp_extract_all(coalesce(text, ''), {CUE}), lambda x: replace(lower(x), '’', '''')) t from lab),
-grams as (select distinct doc_id, g from (select doc_id, unnest(list_concat(t, list_transform(range(1, greatest(len(t), 1)), lambda i: t[i] || ' ' || t[i + 1]), list_transform(range(1, greatest(len(t) - 1, 1)), lambda i: t[i] || ' ' || t[i + 1] || ' ' || t[i + 2]))) g from rows)),
-sg as ({" union all ".join(f"select '{s}' sig, doc_id, {c} v from rows where {c} is not null" for s, c in (("C_t", "c"), ("M_t", "m"), ("A_t", "a"), ("R_t", "r")))}),
-tot as (select sig, count(*) n, sum(v) p from sg group by sig),
-per as (select sig, g, count(*) n, sum(v) p from sg join grams using (doc_id) group by sig, g having count(*) >= 5)
-select per.sig "Signal", g "Cue", per.n "Support", per.p::bigint "Positive_With_Cue", round(per.p / per.n, 3) "Precision", round(coalesce(per.p / nullif(tot.p, 0), 0.0), 3) "Recall", round((per.p / per.n) / nullif(tot.p / tot.n, 0), 3) "Lift"
-from per join tot using (sig) where per.p / per.n >= 0.65 and (tot.p = 0 or (per.p / per.n) / (tot.p / tot.n) >= 1.05)""",
+    "cue_association": f"""with {LABELS}, {CUES} select * from cues""",
+    "recommended_vocab": f"""with {LABELS}, {CUES}, top as (select *, row_number() over (partition by "Signal" order by "Precision" desc, "Lift" desc nulls last, "Support" desc, "Cue") rk from cues)
+select s "Signal", coalesce(string_agg("Cue", ', ' order by rk) filter (where not contains("Cue", ' ')), '') "Recommended_Words", coalesce(string_agg("Cue", ', ' order by rk) filter (where contains("Cue", ' ')), '') "Recommended_Phrases"
+from (values ('C_t'), ('M_t'), ('A_t'), ('R_t')) v(s) left join (select * from top where rk <= 50) t on s = "Signal" group by s""",
     "review_progress": f"""with {LABELS} select count(*) filter (where st is not null and c is not null and m is not null and a is not null and r is not null) "Completed", count(*) "Total",
 round(100.0 * count(*) filter (where st is not null and c is not null and m is not null and a is not null and r is not null) / nullif(count(*), 0), 1)::double "Percent" from lab2""",
     "silver_label": f"""select conv_id || '_' || turn id, case when list_has_any(w, [{q(frames.A_WORDS)}]) then 2 when list_has_any(w, [{q(frames.M_WORDS)}]) then 1 when list_has_any(w, [{q(frames.T_WORDS)}]) then 3 else 0 end "label",
 case when list_has_any(w, [{q(frames.T_WORDS)}]) then 1.0::double else 0.0::double end has_task from (select *, {_SILVER} w from conversations)""",
     "sliding_frames": """select id, count(*) n_frames, max(i)::int "last", md5(string_agg(f, '|' order by i)) frames_md5 from (select id, unnest(range(0, len(wl) - 4, 2)) // 2 i, array_to_string(wl[unnest(range(0, len(wl) - 4, 2)) + 1 : unnest(range(0, len(wl) - 4, 2)) + 5], ' ') f
 from (select conv_id || '_' || turn id, list_filter(string_split_regex(coalesce(text, ''), '\\s+'), lambda x: x <> '') wl from conversations) where len(wl) >= 5) group by id""",
-    "frame_units": f"""with {FRAMES} select fu.id, unit::int unit, a::int a, z::int z, md5(array_to_string(wl[a + 1 : z], ' ')) text_md5 from fu join ft using (id) where z is not null""",
+    "frame_units": f"""with {frame_sql(GATE_WORDS["T"])} select fu.id, unit::int unit, a::int a, z::int z, md5(array_to_string(wl[a + 1 : z], ' ')) text_md5 from fu join ft using (id) where z is not null""",
     "embedding_gate": f"""with z as (select vec_id, {_Z} from embeddings), e as (select vec_id, exp(z0 - greatest(z0, z1, z2, z3)) a, exp(z1 - greatest(z0, z1, z2, z3)) b, exp(z2 - greatest(z0, z1, z2, z3)) c, exp(z3 - greatest(z0, z1, z2, z3)) d from z)
 select vec_id, round(a / (a + b + c + d), 4) "gS", round(b / (a + b + c + d), 4) "gM", round(c / (a + b + c + d), 4) "gA", round(d / (a + b + c + d), 4) "gT" from e""",
     "cosine_continuity": """with e as (select vec_id, cast(embedding as double[]) x, lead(cast(embedding as double[])) over (partition by label order by vec_id) y from embeddings)

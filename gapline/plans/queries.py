@@ -17,7 +17,13 @@ from gapline.operators import agreement, corpus, decode, frames, gaps, qc, sampl
 from gapline.plans import ledger, segmentation
 from gapline.sources import tables
 
-WORDS = Vocabulary.from_texts(task="the and that this la der", cognitive="is it to with are de le un und die", metacognitive="of in en que zu", affective="for by du el ist", structural="or but on et y")
+WORDS = Vocabulary.from_texts(
+    task="the and that this la der",
+    cognitive="is it to with are de le un und die",
+    metacognitive="of in en que zu",
+    affective="for by du el ist",
+    structural="or but on et y",
+)
 CONFIG = Config(continuity="jaccard")
 LOW = Config(continuity="jaccard", max_segments_per_record=6, max_segment_tokens=40)
 
@@ -29,7 +35,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each turn of a conversation as a transcript."""
     c = table(spark, sf_dir, "conversations")
-    return c.select(F.concat_ws("_", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("Record_ID"), F.col("turn").cast("long").alias("Source_Row"), F.lit("text").alias("Source_Column"), "text")
+    return c.select(
+        F.concat_ws("_", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("Record_ID"),
+        F.col("turn").cast("long").alias("Source_Row"),
+        F.lit("text").alias("Source_Column"),
+        "text",
+    )
 
 
 def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,7 +67,13 @@ def clean_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tokenize_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", T.tokenize(F.coalesce("text", F.lit(""))).alias("t"))
-    return d.select("doc_id", F.size("t").alias("n_tokens"), F.size(F.filter("t", lambda x: T.is_word(x))).alias("n_words"), F.md5(F.array_join("t", " ")).alias("tokens_md5"), F.md5(T.detokenize(F.col("t"))).alias("detokenized_md5"))
+    return d.select(
+        "doc_id",
+        F.size("t").alias("n_tokens"),
+        F.size(F.filter("t", lambda x: T.is_word(x))).alias("n_words"),
+        F.md5(F.array_join("t", " ")).alias("tokens_md5"),
+        F.md5(T.detokenize(F.col("t"))).alias("detokenized_md5"),
+    )
 
 
 def truncation_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,17 +82,36 @@ def truncation_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _interviews(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations as interview documents: users are interviewees, assistants interviewers."""
-    c = table(spark, sf_dir, "conversations").where("role <> 'system'")
+    """Conversations as interview documents: users are interviewees, all others interviewers."""
+    c = table(spark, sf_dir, "conversations")
     who = F.when(F.col("role") == "user", "Interviewee: ").otherwise("Interviewer: ")
-    turn = F.struct("turn", F.concat(who, F.coalesce("text", F.lit("")), F.when(F.col("turn") % 3 == 0, " [Pause 3s] ").otherwise("\n")).alias("t"))
+    turn = F.struct(
+        "turn",
+        F.concat(who, F.coalesce("text", F.lit("")), F.when(F.col("turn") % 3 == 0, " [Pause 3s] ").otherwise("\n")).alias("t"),
+    )
     d = c.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(turn)), lambda x: x.t), "").alias("text"))
-    return d.select("text", F.concat(F.lit("et-"), F.col("conv_id").cast("string")).alias("stem"), F.lit("conversations").alias("file_name"), F.lit("").alias("source_path"), F.lit("ok").alias("status"), F.lit("").alias("error"))
+    return d.select(
+        "text",
+        F.concat(F.lit("et-"), F.col("conv_id").cast("string")).alias("stem"),
+        F.lit("conversations").alias("file_name"),
+        F.lit("").alias("source_path"),
+        F.lit("ok").alias("status"),
+        F.lit("").alias("error"),
+    )
 
 
 def corpus_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = corpus.turns(corpus.prepare(_interviews(spark, sf_dir)))
-    return t.select("ID", "Turn_Index", "Speaker", F.md5("Turn_Text").alias("turn_md5"), "Word_Count", "Event_Count", "Unintelligible_Count", "Timestamp_Count")
+    return t.select(
+        "ID",
+        "Turn_Index",
+        "Speaker",
+        F.md5("Turn_Text").alias("turn_md5"),
+        "Word_Count",
+        "Event_Count",
+        "Unintelligible_Count",
+        "Timestamp_Count",
+    )
 
 
 def corpus_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,7 +122,19 @@ def corpus_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def corpus_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = corpus.prepare(_interviews(spark, sf_dir))
     d = corpus.documents(p, corpus.turns(p))
-    return d.select("ID", "Text_Chars", "Text_Words", "Turn_Count", "Interviewee_Turns", "Interviewer_Turns", "Interviewee_Words", "Unintelligible_Count", "Timestamp_Count", "Artifact_Count", F.md5("Interviewee_Response").alias("response_md5"))
+    return d.select(
+        "ID",
+        "Text_Chars",
+        "Text_Words",
+        "Turn_Count",
+        "Interviewee_Turns",
+        "Interviewer_Turns",
+        "Interviewee_Words",
+        "Unintelligible_Count",
+        "Timestamp_Count",
+        "Artifact_Count",
+        F.md5("Interviewee_Response").alias("response_md5"),
+    )
 
 
 def legacy_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,15 +151,37 @@ def gap_density_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gap_continuity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _gaps(spark, sf_dir).select("Record_ID", "gap", "semantic_continuity", "semantic_drop_component", "cognitive_cue_shift", "cognitive_cue_evidence")
+    return _gaps(spark, sf_dir).select(
+        "Record_ID",
+        "gap",
+        "semantic_continuity",
+        "semantic_drop_component",
+        "cognitive_cue_shift",
+        "cognitive_cue_evidence",
+    )
 
 
 def gap_pressure_gravity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _gaps(spark, sf_dir).select("Record_ID", "gap", "cognitive_transition", "transition_pressure", "raw_semantic_gravity", "semantic_gravity")
+    return _gaps(spark, sf_dir).select(
+        "Record_ID",
+        "gap",
+        "cognitive_transition",
+        "transition_pressure",
+        "raw_semantic_gravity",
+        "semantic_gravity",
+    )
 
 
 def gap_legality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _gaps(spark, sf_dir).select("Record_ID", "gap", "left_token", "right_token", "rule_constraint_reason", "boundary_legality", "sentence_boundary_boost")
+    return _gaps(spark, sf_dir).select(
+        "Record_ID",
+        "gap",
+        "left_token",
+        "right_token",
+        "rule_constraint_reason",
+        "boundary_legality",
+        "sentence_boundary_boost",
+    )
 
 
 def valley_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,8 +195,13 @@ def boundary_select(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def boundary_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All evidence columns, lexical continuity with the sequence ratio."""
-    return _segments(spark, sf_dir, Config(continuity="lexical"))[1]
+    """All evidence columns of every gap."""
+    return _segments(spark, sf_dir)[1]
+
+
+def lexical_continuity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Continuity with the sequence ratio, the default; SQL has no such ratio."""
+    return _gaps(spark, sf_dir, Config(continuity="lexical")).select("Record_ID", "gap", "semantic_continuity", "semantic_gravity")
 
 
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,7 +209,11 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def forced_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _selected(spark, sf_dir, Config(continuity="jaccard", max_segment_tokens=25)).where("forced_max_length_boundary").select("Record_ID", "gap", "semantic_gravity")
+    return _selected(
+        spark,
+        sf_dir,
+        Config(continuity="jaccard", max_segment_tokens=25),
+    ).where("forced_max_length_boundary").select("Record_ID", "gap", "semantic_gravity")
 
 
 def cap_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,7 +228,20 @@ def _greedy_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def segment_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _greedy_segments(spark, sf_dir)
-    return s.select("Record_ID", "Segment_Index", "Token_Start", "Token_End", "Token_Count", F.md5("Segment_Text").alias("text_md5"), "Segment_Type", "Mean_C_t", "Mean_M_t", "Mean_A_t", "Mean_R_t", "Mean_Semantic_Gravity")
+    return s.select(
+        "Record_ID",
+        "Segment_Index",
+        "Token_Start",
+        "Token_End",
+        "Token_Count",
+        F.md5("Segment_Text").alias("text_md5"),
+        "Segment_Type",
+        "Mean_C_t",
+        "Mean_M_t",
+        "Mean_A_t",
+        "Mean_R_t",
+        "Mean_Semantic_Gravity",
+    )
 
 
 def qc_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -163,8 +255,22 @@ def qc_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
 def qc_token_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The metrics of whole turns as segments, which SQL can follow."""
     t = transcripts(spark, sf_dir).select("*", F.size(T.tokenize(F.coalesce("text", F.lit("")))).alias("Token_Count"))
-    seg = t.select("Record_ID", "Source_Column", F.lit(1).alias("Segment_Index"), F.lit(0).alias("Token_Start"), F.col("Token_Count").alias("Token_End"), "Token_Count", F.col("text").alias("Segment_Text"))
-    none = seg.select("Record_ID", "Source_Column", F.lit(1).alias("gap"), F.lit(True).alias("candidate_boundary"), (F.col("Token_Count") > 50).alias("selected_boundary"))
+    seg = t.select(
+        "Record_ID",
+        "Source_Column",
+        F.lit(1).alias("Segment_Index"),
+        F.lit(0).alias("Token_Start"),
+        F.col("Token_Count").alias("Token_End"),
+        "Token_Count",
+        F.col("text").alias("Segment_Text"),
+    )
+    none = seg.select(
+        "Record_ID",
+        "Source_Column",
+        F.lit(1).alias("gap"),
+        F.lit(True).alias("candidate_boundary"),
+        (F.col("Token_Count") > 50).alias("selected_boundary"),
+    )
     return qc.summary(seg, none).select("Metric", "Value", "Status")
 
 
@@ -174,7 +280,10 @@ def boundary_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _document_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
-    return d.select(F.concat(F.lit("d_"), F.col("doc_id").cast("string")).alias("Annotation_Item_ID"), F.concat_ws("_", "lang", F.when(F.col("n_chars") > 2000, "long").otherwise("short")).alias("Sampling_Stratum"))
+    return d.select(
+        F.concat(F.lit("d_"), F.col("doc_id").cast("string")).alias("Annotation_Item_ID"),
+        F.concat_ws("_", "lang", F.when(F.col("n_chars") > 2000, "long").otherwise("short")).alias("Sampling_Stratum"),
+    )
 
 
 def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -183,28 +292,70 @@ def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def template_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sampling.template(_document_items(spark, sf_dir), "Ana, Ben; Ana,Cy").select("Annotation_ID", "Annotation_Item_ID", "Annotator_ID", "Sampling_Stratum", "Notes")
+    return sampling.template(_document_items(spark, sf_dir), "Ana, Ben; Ana,Cy").select(
+        "Annotation_ID",
+        "Annotation_Item_ID",
+        "Annotator_ID",
+        "Sampling_Stratum",
+        "Notes",
+    )
 
 
 def segment_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     seg, bound = _segments(spark, sf_dir)
-    return sampling.segment_context(sampling.boundary_items(bound), seg).select("Annotation_Item_ID", "Previous_Segment", "Left_Segment", "Right_Segment")
+    return sampling.segment_context(sampling.boundary_items(bound), seg).select(
+        "Annotation_Item_ID",
+        "Previous_Segment",
+        "Left_Segment",
+        "Right_Segment",
+    )
 
 
 def turn_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As-of context of every tenth token place of a conversation among its turns."""
-    c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("Record_ID"), F.lit(0).alias("Source_Row"), F.lit("text").alias("Source_Column"), (F.col("turn") + 1).alias("Segment_Index"), (F.col("turn") * 10).alias("Token_Start"), (F.col("turn") * 10 + 10).alias("Token_End"), F.md5("text").alias("Segment_Text"))
-    items = c.select("Record_ID", "Source_Row", "Source_Column", F.explode(F.array(F.col("Token_Start"), F.col("Token_Start") + 5)).alias("Boundary_Gap"))
-    items = items.withColumn("Annotation_Item_ID", F.concat_ws("_", F.col("Record_ID").cast("string"), F.col("Boundary_Gap").cast("string")))
+    c = table(spark, sf_dir, "conversations").select(
+        F.col("conv_id").alias("Record_ID"),
+        F.lit(0).alias("Source_Row"),
+        F.lit("text").alias("Source_Column"),
+        (F.col("turn") + 1).alias("Segment_Index"),
+        (F.col("turn") * 10).alias("Token_Start"),
+        (F.col("turn") * 10 + 10).alias("Token_End"),
+        F.md5("text").alias("Segment_Text"),
+    )
+    items = c.select(
+        "Record_ID",
+        "Source_Row",
+        "Source_Column",
+        F.explode(F.array(F.col("Token_Start"), F.col("Token_Start") + 5)).alias("Boundary_Gap"),
+    )
+    items = items.withColumn(
+        "Annotation_Item_ID",
+        F.concat_ws("_", F.col("Record_ID").cast("string"), F.col("Boundary_Gap").cast("string")),
+    )
     return sampling.segment_context(items, c).select("Annotation_Item_ID", "Previous_Segment", "Left_Segment", "Right_Segment")
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two raters of each labelled document, from its quality and toxicity."""
     lab = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
-    who = F.explode(F.array(F.struct(F.lit("r1").alias("w"), F.col("quality").alias("v"), F.lit(0).alias("k")), F.struct(F.lit("r2").alias("w"), (1 - F.col("toxic")).alias("v"), F.lit(1).alias("k"))))
+    who = F.explode(
+        F.array(
+            F.struct(F.lit("r1").alias("w"), F.col("quality").alias("v"), F.lit(0).alias("k")),
+            F.struct(F.lit("r2").alias("w"), (1 - F.col("toxic")).alias("v"), F.lit(1).alias("k")),
+        )
+    )
     x = lab.select("doc_id", "quality", "toxic", "text", who.alias("r"))
-    text = x.select(F.concat(F.lit("d_"), F.col("doc_id").cast("string")).alias("Annotation_Item_ID"), F.col("r.w").alias("Annotator_ID"), "doc_id", "text", (F.col("r.v") * 2 + F.col("r.k") * F.col("toxic")).cast("string").alias("Boundary_Strength_0_3"), F.col("r.v").cast("string").alias("Human_C_t"), F.when(F.col("quality") == 1, "yes").otherwise("no").alias("Human_M_t"), F.when(F.col("doc_id") % 5 > 0, F.col("toxic").cast("string")).alias("Human_A_t"), F.when(F.col("r.k") == 0, F.col("quality").cast("string")).alias("Human_R_t"))
+    text = x.select(
+        F.concat(F.lit("d_"), F.col("doc_id").cast("string")).alias("Annotation_Item_ID"),
+        F.col("r.w").alias("Annotator_ID"),
+        "doc_id",
+        "text",
+        (F.col("r.v") * 2 + F.col("r.k") * F.col("toxic")).cast("string").alias("Boundary_Strength_0_3"),
+        F.col("r.v").cast("string").alias("Human_C_t"),
+        F.when(F.col("quality") == 1, "yes").otherwise("no").alias("Human_M_t"),
+        F.when(F.col("doc_id") % 5 > 0, F.col("toxic").cast("string")).alias("Human_A_t"),
+        F.when(F.col("r.k") == 0, F.col("quality").cast("string")).alias("Human_R_t"),
+    )
     return text.withColumn("Annotation_ID", F.concat_ws("__", "Annotation_Item_ID", "Annotator_ID"))
 
 
@@ -218,7 +369,13 @@ def item_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def disagreement_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = agreement.disagreement(_labels(spark, sf_dir).drop("text"))
-    return d.select("Annotation_Item_ID", "Annotator_Count", "Boundary_Strength_Values", "C_t_Disagreement", F.col("Annotation_ID").alias("First_Annotation"))
+    return d.select(
+        "Annotation_Item_ID",
+        "Annotator_Count",
+        "Boundary_Strength_Values",
+        "C_t_Disagreement",
+        F.col("Annotation_ID").alias("First_Annotation"),
+    )
 
 
 def kappa(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -227,7 +384,7 @@ def kappa(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _cues(spark: SparkSession, sf_dir: str, longest: int = 3) -> DataFrame:
-    labels = _labels(spark, sf_dir).where("Annotator_ID = 'r1'").withColumnRenamed("text", "Boundary_Context")
+    labels = _labels(spark, sf_dir).withColumnRenamed("text", "Boundary_Context")
     return agreement.cue_association(labels, 5, 0.65, 1.05, longest)
 
 
@@ -262,12 +419,20 @@ def _gates(frame):
 
 
 def silver_label(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _frame_texts(spark, sf_dir).select("id", frames.silver_label(F.col("text")).alias("label"), frames.has_task(F.col("text")).alias("has_task"))
+    return _frame_texts(spark, sf_dir).select(
+        "id",
+        frames.silver_label(F.col("text")).alias("label"),
+        frames.has_task(F.col("text")).alias("has_task"),
+    )
 
 
 def sliding_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = frames.frames(_frame_texts(spark, sf_dir), 5, 2)
-    return f.groupBy("id").agg(F.count(F.lit(1)).alias("n_frames"), F.max("i").alias("last"), F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "frame"))), lambda x: x.frame), "|")).alias("frames_md5"))
+    return f.groupBy("id").agg(
+        F.count(F.lit(1)).alias("n_frames"),
+        F.max("i").alias("last"),
+        F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "frame"))), lambda x: x.frame), "|")).alias("frames_md5"),
+    )
 
 
 def frame_units(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -284,14 +449,20 @@ def embedding_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
     weights = [[((i * 7 + k * 3) % 11 - 5) / 10.0 for i in range(64)] for k in range(4)]
     g = frames.linear_gates(F.col("embedding"), weights, [0.1, 0.0, -0.1, 0.2])
-    return e.select("vec_id", g.alias("g")).select("vec_id", *[F.round(F.col("g")[k], 4).alias(f"g{d}") for k, d in enumerate(frames.DIMENSIONS)])
+    return e.select("vec_id", g.alias("g")).select(
+        "vec_id",
+        *[F.round(F.col("g")[k], 4).alias(f"g{d}") for k, d in enumerate(frames.DIMENSIONS)],
+    )
 
 
 def cosine_continuity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Continuity of each vector with the next of its label."""
     from pyspark.sql import Window
 
-    e = table(spark, sf_dir, "embeddings").withColumn("next", F.lead("embedding").over(Window.partitionBy("label").orderBy("vec_id"))).where("next is not null")
+    e = table(spark, sf_dir, "embeddings").withColumn(
+        "next",
+        F.lead("embedding").over(Window.partitionBy("label").orderBy("vec_id")),
+    ).where("next is not null")
     return e.select("vec_id", F.round(gaps.vector_similarity(F.col("embedding"), F.col("next")), 4).alias("continuity"))
 
 
@@ -312,6 +483,251 @@ def column_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(found, "kind string, column_name string")
 
 
+#: stand-ins for a parser's tags, by frequent words and endings
+_POS = (
+    ("DET", "the a la le der die el"),
+    ("AUX", "is are was be"),
+    ("ADP", "of in to for with de en du von"),
+    ("PRON", "it this that il er"),
+)
+
+
+def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of a made-up parser for each chunk: the text's words and marks, cut at apostrophes and before ``ing``, so that some don't align."""
+    c = gaps.chunks(transcripts(spark, sf_dir), False)
+    text = F.regexp_replace(F.array_join("tokens", " "), "(['’]|ing\\b)", " $1")
+    words = F.filter(F.split(text, " "), lambda w: w != "")
+
+    def token(w, i):
+        low = F.lower(w)
+        pos = F.when(low.rlike("^[.!?;:,]$"), "PUNCT")
+        for tag, these in _POS:
+            pos = pos.when(low.isin(*these.split()), tag)
+        pos = pos.when(F.length(w) % 3 == 0, "VERB").when(F.length(w) % 5 == 0, "ADJ").otherwise("NOUN")
+        dep = F.when(pos == "DET", "det").when(pos == "AUX", "aux").when(pos == "ADP", "prep").when(
+            F.length(w) % 7 == 0,
+            "compound",
+        ).otherwise("dep")
+        ends = F.size(F.filter(F.slice(words, F.lit(1), i), lambda x: x.isin(".", "!", "?")))
+        return F.struct(
+            w.alias("text"),
+            pos.alias("pos"),
+            dep.alias("dep"),
+            ends.alias("sentence"),
+            w.isin(".", "!", "?").alias("ends"),
+            (pos == "PUNCT").alias("punct"),
+            F.when(pos.isin("DET", "ADJ", "NOUN"), F.floor(i / 4).cast("int")).alias("noun_chunk"),
+        )
+
+    return c.select(*gaps.CHUNK, F.transform(words, token).alias("parsed"))
+
+
+def parser_legality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Legality of gaps by a parser's tokens, aligned with the text's own."""
+    f = gaps.parser_features(gaps.chunks(transcripts(spark, sf_dir), False), _parsed(spark, sf_dir))
+    p = gaps.parser_legality(f)
+    return p.select(
+        "Record_ID",
+        F.col("gap").cast("int").alias("gap"),
+        "spacy_legality",
+        "spacy_legality_reason",
+        "spacy_left_pos",
+        "spacy_right_dep",
+        "spacy_same_sentence",
+        "spacy_sentence_boundary",
+        "spacy_inside_noun_chunk",
+    )
+
+
+def legality_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules and parser together: legality, penalty and boost of each gap."""
+    parser = gaps.parser_legality(gaps.parser_features(gaps.chunks(transcripts(spark, sf_dir), False), _parsed(spark, sf_dir)))
+    out = gaps.score(_tokens(spark, sf_dir), WORDS, CONFIG, parser)
+    return out.select(
+        "Record_ID",
+        "gap",
+        "boundary_legality",
+        "legality_reason",
+        "constraint_reason",
+        "legality_penalty",
+        "sentence_boundary_boost",
+        "semantic_gravity",
+    )
+
+
+def label_migration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Old validity labels, in several spellings, as strengths."""
+    lab = table(spark, sf_dir, "labels")
+    old = F.when(F.col("doc_id") % 4 == 0, F.col("quality").cast("double").cast("string")).when(
+        F.col("doc_id") % 4 == 1,
+        F.when(F.col("quality") == 1, " True ").otherwise("false"),
+    ).when(F.col("doc_id") % 4 == 2, F.col("quality").cast("string")).otherwise("")
+    return sampling.migrate(lab.select("doc_id", old.alias("Human_Boundary_Valid"), F.lit("2").alias("Confidence_1_3")))
+
+
+def label_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Annotations with cells outside the permitted values, some of them made so."""
+    x = _labels(spark, sf_dir).drop("text", "doc_id")
+    n = F.crc32("Annotation_ID")
+    x = x.withColumn("Boundary_Strength_0_3", F.when(n % 11 == 0, "4").when(n % 11 == 1, " ").otherwise(F.col("Boundary_Strength_0_3")))
+    x = x.withColumn("Human_M_t", F.when(n % 7 == 0, "maybe").otherwise(F.col("Human_M_t"))).withColumn(
+        "Human_Primary_Type",
+        F.when(n % 5 == 0, "mixed").when(n % 13 == 0, "other").otherwise(""),
+    )
+    return sampling.invalid_labels(x).select("Annotation_ID", "Boundary_Strength_0_3", "Human_M_t", "Human_Primary_Type")
+
+
+def review_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Annotations with the last saved review of each; every third has some."""
+    x = _labels(spark, sf_dir).drop("text", "doc_id")
+    n = F.crc32("Annotation_ID") % 3
+    saved = F.explode(F.sequence(F.lit(1), F.lit(3))).alias("saved_at")
+    reviews = x.where(n == 0).select("Annotation_ID", saved).withColumns(
+        {"Boundary_Strength_0_3": F.col("saved_at").cast("string"), "Human_C_t": F.when(F.col("saved_at") == 3, "0").otherwise("1")}
+    )
+    return sampling.apply_reviews(x, reviews).select("Annotation_ID", "Boundary_Strength_0_3", "Human_C_t", "Human_M_t")
+
+
+def annotator_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = sampling.review_table(sampling.for_annotator(_labels(spark, sf_dir).drop("text", "doc_id"), " r2 "))
+    return x.select("Annotation_ID", "Review_Status")
+
+
+def label_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells of several spellings as choices, binary labels, strengths and booleans."""
+    cell = F.element_at(
+        F.array(*[F.lit(x) for x in ("0", "1.0", " True", "false", "yes", "N", "3", "2.0", "", "4", "maybe")]),
+        (F.pmod("doc_id", F.lit(11)) + 1).cast("int"),
+    )
+    x = table(spark, sf_dir, "labels").select("doc_id", cell.alias("cell"))
+    return x.select(
+        "doc_id",
+        T.choice(F.col("cell")).alias("choice"),
+        T.binary_label(F.col("cell")).alias("binary"),
+        T.strength_label(F.col("cell")).alias("strength"),
+        T.as_bool(F.col("cell")).alias("boolean"),
+    )
+
+
+def gate_training_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts with silver labels, as the gates are trained on."""
+    c = table(spark, sf_dir, "conversations").select(
+        F.concat(F.lit("Interviewee: "), F.col("text")).alias("a"),
+        F.when(F.col("turn") % 2 == 0, F.col("role")).alias("b"),
+    )
+    return frames.training_set(c, ["a", "b"]).groupBy("label").agg(F.count(F.lit(1)).alias("texts"), F.sum(F.length("text")).alias("chars"))
+
+
+def cleaned_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A whole table cleaned, with the artifacts found in all its cells."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", F.concat(F.lit("Speaker 1: "), "source").alias("source"))
+    cleaned, found = tables.clean_table(d)
+    return cleaned.select("doc_id", F.md5("text").alias("text_md5"), "source").withColumn("artifacts", found.scalar())
+
+
+def vocabulary_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return agreement.vocabulary_json(agreement.recommended(_cues(spark, sf_dir), 20), 5, 0.65, 1.05)
+
+
+def corpus_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of the extraction report."""
+    p = corpus.prepare(_interviews(spark, sf_dir))
+    t = corpus.turns(p)
+    lines = corpus.report(corpus.documents(p, t), t, corpus.events(t)).split("\n")
+    return spark.createDataFrame(list(enumerate(lines)), "line int, text string")
+
+
+def document_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids from file names and from texts, and raw artifacts."""
+    d = table(spark, sf_dir, "documents")
+    stem = F.concat(F.lit("ete21-"), F.lpad(F.col("doc_id").cast("string"), 4, "0"))
+    text = F.concat(
+        F.substring_index(F.coalesce("text", F.lit("")), " ", 3),
+        F.lit(" see "),
+        F.when(F.col("doc_id") % 2 == 0, stem).otherwise("ET-99"),
+        F.lit("\x02 now"),
+    )
+    return d.select(
+        "doc_id",
+        T.source_id(stem).alias("id"),
+        T.mentioned_id(text).alias("mentioned"),
+        T.raw_artifacts(text).alias("artifacts"),
+        T.word_count(text).alias("words"),
+    )
+
+
+def source_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text cells in long form, rows numbered as they are read; read by the table reader."""
+    c = tables.read_table(spark, f"{sf_dir}/nation.parquet")
+    return segmentation.long_form(
+        c,
+        "n_nationkey",
+        ["n_name", "n_comment"] if "n_comment" in c.columns else ["n_name"],
+    ).select("Record_ID", "Source_Row", "Source_Column", F.md5("text").alias("text_md5"))
+
+
+def run_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segmentation.run_metadata(spark, CONFIG, rows=table(spark, sf_dir, "conversations").count())
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [clean_artifacts, tokenize_counts, truncation_flags, corpus_turns, corpus_events, corpus_documents, legacy_turns, gap_density_signals, gap_continuity, gap_pressure_gravity, gap_legality_rules, valley_candidates, boundary_select, boundary_evidence, segments, segment_types, forced_split, cap_merge, qc_summary, qc_signals, qc_token_lengths, boundary_items, stratified_sample, template_expand, segment_context, turn_context, signal_agreement, item_agreement, disagreement_items, kappa, cue_association, recommended_vocab, review_progress, silver_label, sliding_frames, frame_units, q_matrix, embedding_gate, cosine_continuity, event_history, latest_artifact, column_inference]
+    found = [
+        clean_artifacts,
+        tokenize_counts,
+        truncation_flags,
+        corpus_turns,
+        corpus_events,
+        corpus_documents,
+        legacy_turns,
+        gap_density_signals,
+        gap_continuity,
+        gap_pressure_gravity,
+        gap_legality_rules,
+        valley_candidates,
+        boundary_select,
+        boundary_evidence,
+        lexical_continuity,
+        segments,
+        segment_types,
+        forced_split,
+        cap_merge,
+        qc_summary,
+        qc_signals,
+        qc_token_lengths,
+        boundary_items,
+        stratified_sample,
+        template_expand,
+        segment_context,
+        turn_context,
+        signal_agreement,
+        item_agreement,
+        disagreement_items,
+        kappa,
+        cue_association,
+        recommended_vocab,
+        review_progress,
+        silver_label,
+        sliding_frames,
+        frame_units,
+        q_matrix,
+        embedding_gate,
+        cosine_continuity,
+        event_history,
+        latest_artifact,
+        column_inference,
+        parser_legality,
+        legality_modes,
+        label_migration,
+        label_validation,
+        review_upsert,
+        annotator_rows,
+        label_cells,
+        gate_training_set,
+        cleaned_table,
+        vocabulary_json,
+        corpus_report,
+        document_ids,
+        source_rows,
+        run_facts,
+    ]
     return {f.__name__: f for f in found}

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gapline.config import Config, Vocabulary
 from gapline.operators import decode, gaps
+from gapline.sources.tables import with_row_numbers
 
 #: boundary table, in order, after the record's keys
 EVIDENCE = (
@@ -20,34 +21,66 @@ EVIDENCE = (
 ).split()
 
 
-def long_form(df: DataFrame, id_column: str | None, text_columns: list[str], item_column: str | None = None, row_column: str | None = None) -> DataFrame:
+def long_form(
+    df: DataFrame,
+    id_column: str | None,
+    text_columns: list[str],
+    item_column: str | None = None,
+    row_column: str | None = None,
+) -> DataFrame:
     """Record_ID, Source_Row, Source_Column and text, one row for each text cell. ``row_column`` numbers the source's rows; without one,
-    rows are numbered in the order of the id and texts (2 is the first, as in a sheet with a header)."""
-    if row_column is None:
-        from pyspark.sql import Window
-
-        keys = [c for c in (id_column, item_column) if c] + text_columns
-        df = df.withColumn("_row", F.row_number().over(Window.orderBy(*keys)) + 1)
-    else:
-        df = df.withColumn("_row", F.col(row_column))
+    rows are numbered as they are read (2 is the first, as in a sheet with a header)."""
+    df = with_row_numbers(df, "_row") if row_column is None else df.withColumn("_row", F.col(row_column))
     record = F.col(id_column).cast("string") if id_column else (F.col("_row") - 1).cast("string")
     if item_column:
         record = F.concat_ws("__", record, F.col(item_column).cast("string"))
     cells = F.explode(F.array(*[F.struct(F.lit(c).alias("Source_Column"), F.col(c).alias("text")) for c in text_columns])).alias("cell")
-    return df.select(record.alias("Record_ID"), F.col("_row").cast("long").alias("Source_Row"), cells).select("Record_ID", "Source_Row", "cell.*")
-
-
-def boundary_table(transcripts: DataFrame, vocabulary: Vocabulary | None = None, config: Config | None = None, clean_text: bool = True, parser: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    return df.select(
+        record.alias("Record_ID"),
+        F.col("_row").cast("long").alias("Source_Row"),
+        cells,
+    ).select("Record_ID", "Source_Row", "cell.*")
+
+
+def boundary_table(
+    transcripts: DataFrame,
+    vocabulary: Vocabulary | None = None,
+    config: Config | None = None,
+    clean_text: bool = True,
+    parser: DataFrame | None = None,
+) -> tuple[DataFrame, DataFrame]:
     """(tokens, gaps with decoded boundaries)."""
     tokens = gaps.tokens(gaps.chunks(transcripts, clean_text))
     return tokens, decode.select(decode.valleys(gaps.score(tokens, vocabulary, config, parser), config), config)
 
 
 #: what decoding and segment means need of a gap
-NARROW = tuple(dict.fromkeys([*gaps.CHUNK, "offset", "n_tokens", "pos", "gap", "k", "left_token", "right_token", "candidate_boundary", "constraint_reason", *decode.MEANS.values()]))
-
-
-def segment(transcripts: DataFrame, vocabulary: Vocabulary | None = None, config: Config | None = None, clean_text: bool = True, parser: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+NARROW = tuple(
+    dict.fromkeys(
+        [
+            *gaps.CHUNK,
+            "offset",
+            "n_tokens",
+            "pos",
+            "gap",
+            "k",
+            "left_token",
+            "right_token",
+            "candidate_boundary",
+            "constraint_reason",
+            *decode.MEANS.values(),
+        ]
+    )
+)
+
+
+def segment(
+    transcripts: DataFrame,
+    vocabulary: Vocabulary | None = None,
+    config: Config | None = None,
+    clean_text: bool = True,
+    parser: DataFrame | None = None,
+) -> tuple[DataFrame, DataFrame]:
     """(segments, boundaries) of ``transcripts`` (Record_ID, Source_Row, Source_Column, text).
 
     Decoding reads the scores twice (to choose, and to mark), so they are kept, a few columns wide, for both; a lost part is

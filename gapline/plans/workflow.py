@@ -39,7 +39,17 @@ class Workflow:
         self.ledger.log_event(operation, parameters=parameters)
         return tuple(self.ledger.read_table(n) for n in TABLES[number])
 
-    def segment(self, df: DataFrame, id_column: str | None = None, text_columns: str | list[str] | None = None, item_column: str | None = None, row_column: str | None = None, vocabulary: Vocabulary | None = None, config: Config | None = None, clean_text: bool = True) -> tuple[DataFrame, ...]:
+    def segment(
+        self,
+        df: DataFrame,
+        id_column: str | None = None,
+        text_columns: str | list[str] | None = None,
+        item_column: str | None = None,
+        row_column: str | None = None,
+        vocabulary: Vocabulary | None = None,
+        config: Config | None = None,
+        clean_text: bool = True,
+    ) -> tuple[DataFrame, ...]:
         """Segments, boundaries, cleaned input and run metadata of a table of transcripts."""
         cfg = config or Config()
 
@@ -50,7 +60,14 @@ class Workflow:
             long = segmentation.long_form(cleaned, id_col, texts, item_column, row_column)
             seg, bound = segmentation.segment(long, vocabulary, cfg, clean_text)
             found = artifacts.first()["artifacts"] if artifacts is not None else 0
-            meta = segmentation.run_metadata(self.spark, cfg, id_column=id_col, text_columns=", ".join(texts), clean_text=clean_text, encoding_artifacts=found)
+            meta = segmentation.run_metadata(
+                self.spark,
+                cfg,
+                id_column=id_col,
+                text_columns=", ".join(texts),
+                clean_text=clean_text,
+                encoding_artifacts=found,
+            )
             return seg, bound, cleaned, meta
 
         return self._step(0, "segment", {"id_column": id_column, "text_columns": text_columns}, work)
@@ -74,15 +91,50 @@ class Workflow:
     def evaluate(self, labels: DataFrame) -> tuple[DataFrame, ...]:
         if "Annotation_ID" not in labels.columns:
             labels = labels.withColumn("Annotation_ID", F.concat_ws("__", "Annotation_Item_ID", "Annotator_ID"))
-        return self._step(3, "evaluate", {}, lambda: (sampling.migrate(labels), agreement.signal_agreement(labels), agreement.item_agreement(labels), agreement.disagreement(labels)))
-
-    def mine_cues(self, labels: DataFrame, min_support: int = 5, min_precision: float = 0.65, min_lift: float = 1.5) -> tuple[DataFrame, ...]:
+        return self._step(
+            3,
+            "evaluate",
+            {},
+            lambda: (
+                sampling.migrate(labels),
+                agreement.signal_agreement(labels),
+                agreement.item_agreement(labels),
+                agreement.disagreement(labels),
+            ),
+        )
+
+    def mine_cues(
+        self,
+        labels: DataFrame,
+        min_support: int = 5,
+        min_precision: float = 0.65,
+        min_lift: float = 1.5,
+    ) -> tuple[DataFrame, ...]:
         def work() -> tuple[DataFrame, ...]:
             cues = agreement.cue_association(labels, min_support, min_precision, min_lift)
             return labels, cues, agreement.vocabulary_summary(agreement.recommended(cues))
 
         return self._step(4, "cues", {"min_support": min_support, "min_precision": min_precision, "min_lift": min_lift}, work)
 
+    def export_reviewed(self, folder: str, labels: DataFrame | None = None, form: str = "parquet") -> str:
+        """The reviewed annotations (the current template, or ``labels``) with instructions, codebook and short labels, one folder each, under ``folder``."""
+        items = sampling.migrate(self.ledger.read_table("step2_annotation_items") if labels is None else labels)
+        if items.isEmpty():
+            raise ValueError("there are no annotation items yet")
+        book = self.ledger.read_table("step2_codebook")
+        book = codebook.codebook(self.spark) if book.isEmpty() else book
+        tables.write_tables(
+            folder,
+            form,
+            annotation_items=items,
+            instructions=codebook.instructions(self.spark),
+            codebook=book,
+            short_labels=codebook.short_labels(self.spark),
+        )
+        self.ledger.save_artifact("step2_reviewed_annotation_template", folder)
+        self.ledger.log_event("export_reviewed_template", output_path=folder)
+        return folder
+
     def restore(self) -> dict[str, DataFrame]:
         """The current tables of all steps, the history and the artifacts."""
         return self.ledger.restore(*[n for names in TABLES.values() for n in names])

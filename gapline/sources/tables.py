@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import os
 import re
 
@@ -63,7 +64,14 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.format("binaryFile").load(path)
     name = F.element_at(F.split("path", "/"), -1)
     ok = F.is_valid_utf8(F.col("content").cast("string"))
-    return files.select(F.when(ok, F.col("content").cast("string")).otherwise("").alias("text"), F.regexp_replace(name, r"\.[^.]*$", "").alias("stem"), name.alias("file_name"), F.col("path").alias("source_path"), F.when(ok, "ok").otherwise("error").alias("status"), F.when(ok, "").otherwise("not UTF-8").alias("error"))
+    return files.select(
+        F.when(ok, F.col("content").cast("string")).otherwise("").alias("text"),
+        F.regexp_replace(name, r"\.[^.]*$", "").alias("stem"),
+        name.alias("file_name"),
+        F.col("path").alias("source_path"),
+        F.when(ok, "ok").otherwise("error").alias("status"),
+        F.when(ok, "").otherwise("not UTF-8").alias("error"),
+    )
 
 
 def infer_id_column(df: DataFrame, wanted: str | None = None) -> str | None:
@@ -82,7 +90,13 @@ def infer_text_columns(df: DataFrame, wanted: str | list[str] | None = None, id_
         return names
     found = [c for p in TEXT_NAMES for c in df.columns if re.search(p, c, re.I)]
     if not found:
-        found = [f.name for f in df.schema.fields if isinstance(f.dataType, Ty.StringType) and f.name != id_column and not re.search(NOT_TEXT, f.name, re.I)]
+        found = [
+            f.name
+            for f in df.schema.fields
+            if isinstance(f.dataType, Ty.StringType)
+            and f.name != id_column
+            and not re.search(NOT_TEXT, f.name, re.I)
+        ]
     if not found:
         raise ValueError("no text column found; name one")
     return list(dict.fromkeys(found))
@@ -104,6 +118,17 @@ def preview(df: DataFrame, rows: int = 10) -> tuple[DataFrame, str | None, list[
     return df.limit(rows), id_column, infer_text_columns(df, None, id_column)
 
 
+def with_row_numbers(df: DataFrame, name: str = "row", first: int = 2) -> DataFrame:
+    """``df`` with its rows' numbers in the order they are read (2 is the first, as in a sheet with a header). Rows are counted in each part of the input; only
+    the parts' sizes, one number each, reach the driver."""
+    own = df.withColumn("_at", F.monotonically_increasing_id())
+    sizes = own.groupBy(F.shiftright("_at", 33).alias("part")).agg(F.count(F.lit(1)).alias("n")).orderBy("part").collect()
+    before = dict(zip([r["part"] for r in sizes], itertools.accumulate([0, *(r["n"] for r in sizes)]), strict=False))
+    starts = F.create_map(*[F.lit(x) for pair in before.items() for x in pair]) if before else F.create_map().cast("map<bigint,bigint>")
+    place = F.element_at(starts, F.shiftright("_at", 33)) + F.col("_at").bitwiseAND((1 << 33) - 1) + first
+    return own.withColumn(name, place.cast("long")).drop("_at")
+
+
 def write_tables(folder: str, form: str = "parquet", **tables: DataFrame) -> None:
     """One folder for each table, as a workbook has one sheet; csv has a header and no byte-order mark."""
     for name, df in tables.items():

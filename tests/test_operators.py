@@ -3,6 +3,7 @@
 import itertools
 import random
 
+import numpy as np
 import pytest
 from gapline import config as C
 from gapline.config import Config, Vocabulary
@@ -21,7 +22,17 @@ def one(spark, value, expr):
     return spark.createDataFrame([(value,)], "x string").select(expr(F.col("x")).alias("y")).first()["y"]
 
 
-@pytest.mark.parametrize(("raw", "want"), [(f"That{LOST}{LOST}{LOST}s", "That's"), ("Interviewee 2: I think", "I think"), (None, ""), (f"a {LOST} b", "a - b"), ("x\x14y \x1cq\x1d", 'x - y "q"'), ("â€™tis  so", "'tis so")])
+@pytest.mark.parametrize(
+    ("raw", "want"),
+    [
+        (f"That{LOST}{LOST}{LOST}s", "That's"),
+        ("Interviewee 2: I think", "I think"),
+        (None, ""),
+        (f"a {LOST} b", "a - b"),
+        ("x\x14y \x1cq\x1d", 'x - y "q"'),
+        ("â€™tis  so", "'tis so"),
+    ],
+)
 def test_clean(spark, raw, want):
     assert one(spark, raw, T.clean) == want
 
@@ -35,15 +46,29 @@ def test_tokens(spark):
     assert one(spark, "I can't, wait <EVENT> ok.", T.tokenize) == ["I", "can't", ",", "wait", "<EVENT>", "ok", "."]
     assert one(spark, "I can't, wait.", lambda x: T.detokenize(T.tokenize(x))) == "I can't, wait."
     assert one(spark, "wait, no", T.cues) == ["wait", "wait no", "no"]
-    assert [one(spark, x, T.truncated) for x in ("then the rectangl", "it is done.", "we saw it", "", "a thi")] == [True, False, False, False, True]
+    assert [
+        one(spark, x, T.truncated) for x in ("then the rectangl", "it is done.", "we saw it", "", "a thi")
+    ] == [True, False, False, False, True]
 
 
 @pytest.mark.parametrize(
     ("left", "right", "want"),
-    [("the", "triangle", "after_function_word"), ("i", "think", "after_auxiliary_or_copula"), ("big", "triangle", "inside_noun_phrase"), ("x", "shape", "inside_compound_word"), ("probably", "going", "inside_adverbial_phrase"), ("done", "but", "before_connector"), ("very", "a", "after_modifier"), ("done", ".", "before_punctuation"), (".", "but", "")],
+    [
+        ("the", "triangle", "after_function_word"),
+        ("i", "think", "after_auxiliary_or_copula"),
+        ("big", "triangle", "inside_noun_phrase"),
+        ("x", "shape", "inside_compound_word"),
+        ("probably", "going", "inside_adverbial_phrase"),
+        ("done", "but", "before_connector"),
+        ("very", "a", "after_modifier"),
+        ("done", ".", "before_punctuation"),
+        (".", "but", ""),
+    ],
 )
 def test_rules(spark, left, right, want):
-    assert spark.createDataFrame([(left, right)], "a string, b string").select(gaps.rule_reason(F.col("a"), F.col("b")).alias("r")).first()["r"] == want
+    assert spark.createDataFrame([(left, right)], "a string, b string").select(
+        gaps.rule_reason(F.col("a"), F.col("b")).alias("r")
+    ).first()["r"] == want
 
 
 def test_formulas(spark):
@@ -55,36 +80,131 @@ def test_formulas(spark):
         gaps.vector_similarity(F.array(F.lit(0.0)), F.array(F.lit(1.0))).alias("zero"),
         gaps.lexical(F.array(F.lit("tide")), F.array(F.lit("diet"))).alias("lex"),
     ).first()
-    assert (row["drop"], row["one"], row["two"], row["cos"], row["zero"], row["lex"]) == (0.6667, 0.25, 0.6667, 0.5, 0.0, pytest.approx(0.35 * 0.25))
+    assert (
+        row["drop"],
+        row["one"],
+        row["two"],
+        row["cos"],
+        row["zero"],
+        row["lex"],
+    ) == (0.6667, 0.25, 0.6667, 0.5, 0.0, pytest.approx(0.35 * 0.25))
 
 
 def test_greedy(spark):
-    got = spark.sql("select array(struct(1 k, 30 pos), struct(2 k, 20 pos), struct(3 k, 45 pos), struct(4 k, 33 pos)) c").select(decode.greedy(F.col("c"), F.lit(60), Config()).alias("g")).first()["g"]
+    got = spark.sql(
+        "select array(struct(1 k, 30 pos), struct(2 k, 20 pos), struct(3 k, 45 pos), struct(4 k, 33 pos)) c"
+    ).select(decode.greedy(F.col("c"), F.lit(60), Config()).alias("g")).first()["g"]
     assert got == [30, 45]
 
 
 def test_classify(spark):
     def kind(*m):
-        return tuple(spark.range(1).select(*[x.alias(n) for n, x in zip("kc", decode.classify([F.lit(v).cast("double") for v in m]), strict=True)]).first())
+        return tuple(
+            spark.range(1).select(
+                *[x.alias(n) for n, x in zip("kc", decode.classify([F.lit(v).cast("double") for v in m]), strict=True)]
+            ).first()
+        )
 
     assert kind(0.35, 0.32, 0.10, 0.05)[0] == "mixed_cognitive_metacognitive" and kind(0.35, 0.32, 0.10, 0.05)[1] == pytest.approx(0.03)
-    assert kind(0.1, 0.19, 0.0, 0.0)[0] == "low_signal" and kind(0.1, 0.1, 0.6, 0.0)[0] == "affective" and kind(None, None, None, None)[0] == "low_signal"
+    assert kind(0.1, 0.19, 0.0, 0.0)[0] == "low_signal" and kind(0.1, 0.1, 0.6, 0.0)[0] == "affective" and kind(
+        None,
+        None,
+        None,
+        None,
+    )[0] == "low_signal"
+
+
+def plain_cuts(n, chosen, rows, least, most):
+    """Forced boundaries in the plainest form: rows are (pos, k, free, usable, bonus)."""
+    added = []
+    while True:
+        ends = sorted({0, n, *chosen, *added})
+        a, z = next(((a, z) for a, z in itertools.pairwise(ends) if z - a > most), (0, 0))
+        inside = [r for r in rows if a + least <= r[0] <= z - least]
+        best = sorted((r[4], r[1], abs(r[0] - (a + z) / 2), r[0]) for r in [r for r in inside if r[2]] or [r for r in inside if r[3]])
+        if not best:
+            return added
+        added.append(best[0][3])
+
+
+def columns(rows):
+    return {k: np.array([r[i] for r in rows]) for i, k in ((1, "k"), (2, "free"), (3, "usable"), (4, "bonus"))}
 
 
-def test_split_long():
+def test_forced_cuts():
     rows = [(p, p % 7, p % 5 > 0, True, -3 if p == 41 else 0) for p in range(1, 100)]
-    assert decode.split_long(100, [], rows, 12, 60) == [41]  # the sentence end; both spans fit then
-    assert decode.split_long(100, [], [r for r in rows if r[0] < 12], 12, 60) == []
-    assert decode.split_long(60, [], rows, 12, 60) == []
+    assert decode.forced_cuts(100, [], columns(rows), 12, 60) == [41]  # the sentence end; both spans fit then
+    assert decode.forced_cuts(60, [], columns(rows[:59]), 12, 60) == []
     blocked = [(p, 0, False, p == 50, 0) for p in range(1, 100)]
-    assert decode.split_long(100, [], blocked, 12, 60) == [50]
+    assert decode.forced_cuts(100, [], columns(blocked), 12, 60) == [50]
+    rng = random.Random(6)
+    for _ in range(200):
+        n = rng.randrange(2, 200)
+        rows = [(p, rng.randrange(5), rng.random() < 0.3, rng.random() < 0.5, rng.choice((-3, -2, 0, 0))) for p in range(1, n)]
+        chosen = sorted(rng.sample(range(1, n), min(n - 1, rng.randrange(3))))
+        assert decode.forced_cuts(n, chosen, columns(rows), 6, 30) == plain_cuts(n, chosen, rows, 6, 30)
+
+
+def test_greedy_cuts():
+    rng = random.Random(8)
+    for _ in range(200):
+        n, apart = rng.randrange(2, 300), rng.randrange(5, 20)
+        candidates = [(rng.randrange(9), p) for p in range(1, n) if rng.random() < 0.3]
+        want = []
+        for _, p in sorted(candidates):
+            if 5 <= p <= n - 5 and all(abs(p - q) >= apart for q in want):
+                want.append(p)
+        assert decode.greedy_cuts(n, candidates, 5, apart) == sorted(want)
+
+
+def test_merge_plan():
+    rng = random.Random(4)
+    for _ in range(300):
+        sizes = [rng.randrange(1, 12) for _ in range(rng.randrange(1, 25))]
+        values = [rng.choice((float("nan"), rng.randrange(-9999, 9999) / 1e4)) for _ in sizes]
+        cap, most = rng.randrange(1, 10), rng.randrange(5, 60)
+        left = [([i], s, v) for i, (s, v) in enumerate(zip(sizes, values, strict=True))]
+        while len(left) > cap:
+            total, i = min((a[1] + b[1], i) for i, (a, b) in enumerate(itertools.pairwise(left)))
+            if total > most:
+                break
+            a, b = left[i : i + 2]
+            mean = a[2] if b[2] != b[2] else b[2] if a[2] != a[2] else decode.half_up(a[2], b[2])
+            left[i : i + 2] = [(a[0] + b[0], total, mean)]
+        runs = decode.merge_plan(sizes, cap, most)
+        assert [decode.leaves(r) for r in runs] == [x[0] for x in left]
+        assert [repr(decode.joint_mean(r, values)) for r in runs] == [repr(x[2]) for x in left]
 
 
 @pytest.fixture(scope="module")
 def talk(spark):
     rng = random.Random(7)
-    words = ["rotate", "the", "shape", "wait", "maybe", "then", "it", "is", "hard", "so", "piece", "fits", "left", ".", ",", "I", "think", "good", "no", "because"]
-    rows = [(f"r{k}", k + 2, "text", " ".join(rng.choices(words, k=n)) + (" | " + " ".join(rng.choices(words, k=30)) if k % 3 == 0 else "")) for k, n in enumerate([3, 20, 80, 150, 300, 1, 40])]
+    words = [
+        "rotate",
+        "the",
+        "shape",
+        "wait",
+        "maybe",
+        "then",
+        "it",
+        "is",
+        "hard",
+        "so",
+        "piece",
+        "fits",
+        "left",
+        ".",
+        ",",
+        "I",
+        "think",
+        "good",
+        "no",
+        "because",
+    ]
+    rows = [
+        (f"r{k}", k + 2, "text", " ".join(rng.choices(words, k=n)) + (" | " + " ".join(rng.choices(words, k=30)) if k % 3 == 0 else ""))
+        for k, n in enumerate([3, 20, 80, 150, 300, 1, 40])
+    ]
     rows += [("empty", 20, "text", ""), ("null", 21, "text", None)]
     return spark.createDataFrame(rows, "Record_ID string, Source_Row long, Source_Column string, text string")
 
@@ -107,7 +227,11 @@ def test_segments_tile_chunks(spark, talk):
 
 
 def test_segment_cap_and_evidence(spark, talk):
-    seg, bound = segmentation.segment(talk, config=Config(max_segments_per_record=2, max_segment_tokens=500), vocabulary=Vocabulary.from_texts(task="rotate shape"))
+    seg, bound = segmentation.segment(
+        talk,
+        config=Config(max_segments_per_record=2, max_segment_tokens=500),
+        vocabulary=Vocabulary.from_texts(task="rotate shape"),
+    )
     per = {r.Record_ID: r["count"] for r in seg.groupBy("Record_ID").count().collect()}
     assert max(per.values()) <= 2 and not {"empty", "null"} & set(per)
     assert bound.columns == [*gaps.RECORD, *segmentation.EVIDENCE] and len(segmentation.EVIDENCE) == 38
@@ -126,10 +250,24 @@ def test_partitions_do_not_matter(spark, talk):
 
 
 def test_parser_features(spark):
-    f = spark.createDataFrame([("r", 2, "text", 1, "ADP", "NOUN", "prep", "pobj", "box", False, True, False, False), ("r", 2, "text", 2, "NOUN", "NOUN", "x", "y", "box", False, True, False, False), ("r", 2, "text", 3, "NOUN", "NOUN", "x", "y", "then", False, True, False, False)], "Record_ID string, Source_Row long, Source_Column string, gap int, left_pos string, right_pos string, left_dep string, right_dep string, right_lower string, right_is_punct boolean, same_sentence boolean, sentence_boundary boolean, inside_noun_chunk boolean")
+    f = spark.createDataFrame(
+        [
+            ("r", 2, "text", 1, "ADP", "NOUN", "prep", "pobj", "box", False, True, False, False),
+            ("r", 2, "text", 2, "NOUN", "NOUN", "x", "y", "box", False, True, False, False),
+            ("r", 2, "text", 3, "NOUN", "NOUN", "x", "y", "then", False, True, False, False),
+        ],
+        "Record_ID string, Source_Row long, Source_Column string, gap int, left_pos string, right_pos string, left_dep string, right_dep string, right_lower string, right_is_punct boolean, same_sentence boolean, sentence_boundary boolean, inside_noun_chunk boolean",
+    )
     p = gaps.parser_legality(f)
-    assert [(r.spacy_legality, r.spacy_legality_reason) for r in p.orderBy("gap").collect()] == [("illegal", "inside_prepositional_phrase"), ("semi_legal", "within_sentence_noncue_gap"), ("legal", "")]
-    t = spark.createDataFrame([("r", 2, "text", "one two three four five")], "Record_ID string, Source_Row long, Source_Column string, text string")
+    assert [(r.spacy_legality, r.spacy_legality_reason) for r in p.orderBy("gap").collect()] == [
+        ("illegal", "inside_prepositional_phrase"),
+        ("semi_legal", "within_sentence_noncue_gap"),
+        ("legal", ""),
+    ]
+    t = spark.createDataFrame(
+        [("r", 2, "text", "one two three four five")],
+        "Record_ID string, Source_Row long, Source_Column string, text string",
+    )
     got = segmentation.boundary_table(t, config=Config(continuity="jaccard", legality_mode="spacy"), parser=p)[1].orderBy("gap").collect()
     assert [r.boundary_legality for r in got] == ["illegal", "semi_legal", "legal", "legal"] and got[1].legality_penalty == 0.18
 
@@ -160,18 +298,27 @@ def test_sampling(spark, talk):
         right = [x for x in own if x.Token_Start >= r.Boundary_Gap]
         assert r.Left_Segment == (left[-1].Segment_Text if left else "") and r.Right_Segment == (right[0].Segment_Text if right else "")
     t = sampling.template(items, "A; B,A")
-    assert t.count() == 2 * n and t.columns[:3] == ["Annotation_ID", "Annotation_Item_ID", "Annotator_ID"] and sampling.parse_annotators(" ") == ["Annotator_1"]
+    assert t.count() == 2 * n and t.columns[:3] == [
+        "Annotation_ID",
+        "Annotation_Item_ID",
+        "Annotator_ID",
+    ] and sampling.parse_annotators(" ") == ["Annotator_1"]
     assert sampling.review_progress(t).first()["Completed"] == 0
     assert sampling.for_annotator(t, "B").count() == n and sampling.for_annotator(t, "").count() == 0
 
 
 def labels(spark, rows):
-    return spark.createDataFrame(rows, "Annotation_ID string, Annotation_Item_ID string, Annotator_ID string, Boundary_Strength_0_3 string, Human_C_t string, Human_M_t string, Human_A_t string, Human_R_t string, Boundary_Context string")
+    return spark.createDataFrame(
+        rows,
+        "Annotation_ID string, Annotation_Item_ID string, Annotator_ID string, Boundary_Strength_0_3 string, Human_C_t string, Human_M_t string, Human_A_t string, Human_R_t string, Boundary_Context string",
+    )
 
 
 def test_agreement(spark):
     a, b = [1, 1, 0, 0], [1, 0, 0, 0]
-    rows = [(f"{k}{w}", f"i{k}", w, str(v * 2), str(v), "yes", None, "1.0", "wait no") for k in range(4) for w, v in (("x", a[k]), ("y", b[k]))]
+    rows = [
+        (f"{k}{w}", f"i{k}", w, str(v * 2), str(v), "yes", None, "1.0", "wait no") for k in range(4) for w, v in (("x", a[k]), ("y", b[k]))
+    ]
     got = {r.Signal: r for r in agreement.signal_agreement(labels(spark, rows)).collect()}
     assert got["C_t"].Cohen_Kappa == 0.5 and got["C_t"].Exact_Agreement == 0.75 and got["C_t"].Multi_Annotated_Items == 4
     assert got["M_t"].Cohen_Kappa == 1.0 and got["R_t"].Completed_Labels == 8 and "A_t" not in got
@@ -183,7 +330,9 @@ def test_agreement(spark):
 def test_cues(spark):
     rows = [(str(k), f"i{k}", "x", "1", str(int(k < 6)), "0", "0", "0", "wait no" if k < 6 else "then rotate") for k in range(12)]
     cues = agreement.cue_association(labels(spark, rows))
-    assert {(r.Signal, r.Cue, r.Support, r.Precision, r.Recall, r.Lift) for r in cues.collect()} == {("C_t", c, 6, 1.0, 1.0, 2.0) for c in ("wait", "no", "wait no")}
+    assert {
+        (r.Signal, r.Cue, r.Support, r.Precision, r.Recall, r.Lift) for r in cues.collect()
+    } == {("C_t", c, 6, 1.0, 1.0, 2.0) for c in ("wait", "no", "wait no")}
     lists = agreement.recommended(cues)
     assert {r.Signal: (r.words, r.phrases) for r in lists.collect()}["C_t"] == (["no", "wait"], ["wait no"])
     assert '"min_support":5' in agreement.vocabulary_json(lists).first()["vocabulary"]
@@ -193,7 +342,14 @@ def test_label_cells(spark):
     df = spark.createDataFrame([("0", "0"), ("1", "1")], "Human_Boundary_Valid string, Confidence_1_3 string")
     out = sampling.migrate(df)
     assert out.columns == ["Boundary_Strength_0_3"] and sorted(r[0] for r in out.collect()) == ["0", "2"]
-    bad = labels(spark, [("a", "i", "x", "4", "1", "1", "1", "1", ""), ("b", "i", "x", "3", "maybe", "1", "1", "1", ""), ("c", "i", "x", "", "", "", "", "", "")]).withColumn("Human_Primary_Type", F.lit(""))
+    bad = labels(
+        spark,
+        [
+            ("a", "i", "x", "4", "1", "1", "1", "1", ""),
+            ("b", "i", "x", "3", "maybe", "1", "1", "1", ""),
+            ("c", "i", "x", "", "", "", "", "", ""),
+        ],
+    ).withColumn("Human_Primary_Type", F.lit(""))
     assert sorted(r.Annotation_ID for r in sampling.invalid_labels(bad).collect()) == ["a", "b"]
 
 
@@ -205,8 +361,16 @@ def test_frame_segments(spark):
     text = "I rotate the shape. I align the triangle. Wait, I think it is wrong. It is frustrating. Let me turn this edge."
     t = spark.createDataFrame([("a", text)], "id string, text string")
     u = frames.units(t, frames.scored_frames(frames.frames(t, 3), task_words=frames.DEMO_T_WORDS), 3, 1, 0.4)
-    assert [r.text for r in u.orderBy("unit").collect()] == ["I rotate the shape. I align the triangle.", "Wait, I think it is wrong. It is frustrating.", "Let me turn this edge."]
-    assert frames.frames(t.withColumn("text", F.lit("two words")), 5).count() == 0 and frames.frames(t.withColumn("text", F.lit("two words")), 5, short=True).count() == 1
+    assert [r.text for r in u.orderBy("unit").collect()] == [
+        "I rotate the shape. I align the triangle.",
+        "Wait, I think it is wrong. It is frustrating.",
+        "Let me turn this edge.",
+    ]
+    assert frames.frames(t.withColumn("text", F.lit("two words")), 5).count() == 0 and frames.frames(
+        t.withColumn("text", F.lit("two words")),
+        5,
+        short=True,
+    ).count() == 1
     q = frames.batch(t).collect()
     assert all(r.Q_S + r.Q_M + r.Q_A + r.Q_T == (r.Dominant_Dim != "None") for r in q)
 
@@ -222,17 +386,35 @@ def test_gates(spark):
 
 def test_corpus(spark):
     text = "intro\nInterviewer: hi [Pause 3s] there 01:30\nInterviewee 2: I  [Laughter] turn it\r\nInterviewee:   \nInterviewer: ok [unintelligible word]"
-    raw = spark.createDataFrame([(text, "et-12", "a.doc", "p", "ok", None)], "text string, stem string, file_name string, source_path string, status string, error string")
+    raw = spark.createDataFrame(
+        [(text, "et-12", "a.doc", "p", "ok", None)],
+        "text string, stem string, file_name string, source_path string, status string, error string",
+    )
     p = corpus.prepare(raw)
     t = corpus.turns(p)
     rows = t.orderBy("Turn_Index").collect()
-    assert [(r.Turn_Index, r.Speaker, r.Turn_Text) for r in rows] == [(1, "Interviewer", "hi <EVENT> there 01:30"), (2, "Interviewee", "I <EVENT> turn it"), (3, "Interviewer", "ok <EVENT>")]
+    assert [(r.Turn_Index, r.Speaker, r.Turn_Text) for r in rows] == [
+        (1, "Interviewer", "hi <EVENT> there 01:30"),
+        (2, "Interviewee", "I <EVENT> turn it"),
+        (3, "Interviewer", "ok <EVENT>"),
+    ]
     e = corpus.events(t).orderBy("Turn_Index").collect()
     assert (e[0].Event_Type, e[0].Event_Text, e[0].Char_Start, e[0].Char_End) == ("Pause", "[Pause 3s]", 3, 13)
     d = corpus.documents(p, t).first()
-    assert (d.ID, d.Turn_Count, d.Interviewee_Turns, d.Interviewee_Response, d.Unintelligible_Count, d.Timestamp_Count) == ("ET_12", 3, 1, "I <EVENT> turn it", 1, 1)
+    assert (
+        d.ID,
+        d.Turn_Count,
+        d.Interviewee_Turns,
+        d.Interviewee_Response,
+        d.Unintelligible_Count,
+        d.Timestamp_Count,
+    ) == ("ET_12", 3, 1, "I <EVENT> turn it", 1, 1)
     assert "- Parsed speaker turns: 3" in corpus.report(corpus.documents(p, t), t, corpus.events(t))
-    assert one(spark, "Interviewee: a  b Interviewer: q Interviewee:  Interviewer: z interviewee: c\nd", corpus.legacy_turns) == ["a b", "c d"]
+    assert one(
+        spark,
+        "Interviewee: a  b Interviewer: q Interviewee:  Interviewer: z interviewee: c\nd",
+        corpus.legacy_turns,
+    ) == ["a b", "c d"]
     assert one(spark, "see ete21-1234 now", T.mentioned_id) == "ETE21_1234"
 
 
@@ -265,7 +447,9 @@ def test_ledger(spark):
     book.log_event("b", status="error", message="no")
     book.save_artifact("s1", "p1")
     book.save_artifact("s1", "p2")
-    assert [r.operation for r in book.history(1).collect()] == ["b"] and book.artifact_path("s1") == "p2" and book.artifact_path("s2") is None
+    assert [
+        r.operation for r in book.history(1).collect()
+    ] == ["b"] and book.artifact_path("s1") == "p2" and book.artifact_path("s2") is None
     book.replace_table("my table!", spark.range(3))
     assert book.read_table("my table!").count() == 3 and book.read_table("none").count() == 0
     df = spark.createDataFrame([(1, 1, "x"), (1, 2, "y"), (2, 1, "z")], "k int, o int, v string")
@@ -277,7 +461,13 @@ def test_review_stream(spark, tmp_path):
     (tmp_path / "in").mkdir()
     base = labels(spark, [("a", "i", "x", "", "", "", "", "", ""), ("b", "j", "x", "", "", "", "", "", "")])
     for k, v in enumerate(("1", "3")):
-        (tmp_path / "in" / f"{k}.json").write_text(f'{{"Annotation_ID": "a", "saved_at": "2024-01-0{k + 1}T00:00:00Z", "Boundary_Strength_0_3": "{v}"}}')
-        reviews.keep_reviews(reviews.review_stream(spark, str(tmp_path / "in")), str(tmp_path / "log"), str(tmp_path / "cp")).awaitTermination(60)
+        (tmp_path / "in" / f"{k}.json").write_text(
+            f'{{"Annotation_ID": "a", "saved_at": "2024-01-0{k + 1}T00:00:00Z", "Boundary_Strength_0_3": "{v}"}}'
+        )
+        reviews.keep_reviews(
+            reviews.review_stream(spark, str(tmp_path / "in")),
+            str(tmp_path / "log"),
+            str(tmp_path / "cp"),
+        ).awaitTermination(60)
     got = {r.Annotation_ID: r.Boundary_Strength_0_3 for r in reviews.current_labels(spark, base, str(tmp_path / "log")).collect()}
     assert got == {"a": "3", "b": ""}

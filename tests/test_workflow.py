@@ -14,7 +14,10 @@ DATA = "/root/testdata/sf0.001"
 
 
 def test_workflow(spark):
-    df = spark.createDataFrame([(f"p{k}", "I rotate the piece and wait. " * 12 + "Then it fits, I think it is good. " * 6) for k in range(3)], "ID string, Transcript string")
+    df = spark.createDataFrame(
+        [(f"p{k}", "I rotate the piece and wait. " * 12 + "Then it fits, I think it is good. " * 6) for k in range(3)],
+        "ID string, Transcript string",
+    )
     flow = Workflow(spark, f"w_{uuid.uuid4().hex[:8]}")
     try:
         seg, bound, cleaned, meta, summary, signals = flow.segment_and_inspect(df, config=Config(continuity="jaccard"))
@@ -29,13 +32,30 @@ def test_workflow(spark):
         with pytest.raises(ValueError, match="misses columns"):
             flow.evaluate(items.select("Annotation_Item_ID", "Annotator_ID"))
         state = flow.restore()
-        assert state["history"].first()["status"] == "error" and state["artifacts"].count() == 5 and state["step3_signal_agreement"].count() == 5
+        assert state["history"].first()["status"] == "error" and state["artifacts"].count() == 5 and state[
+            "step3_signal_agreement"
+        ].count() == 5
     finally:
         spark.sql(f"DROP DATABASE {flow.ledger.db} CASCADE")
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
-@pytest.mark.parametrize("name", ["clean_artifacts", "tokenize_counts", "corpus_turns", "gap_pressure_gravity", "boundary_select", "segment_types", "turn_context", "signal_agreement", "cue_association", "frame_units", "embedding_gate"])
+@pytest.mark.parametrize(
+    "name",
+    [
+        "clean_artifacts",
+        "tokenize_counts",
+        "corpus_turns",
+        "gap_pressure_gravity",
+        "boundary_select",
+        "segment_types",
+        "turn_context",
+        "signal_agreement",
+        "cue_association",
+        "frame_units",
+        "embedding_gate",
+    ],
+)
 def test_query_against_sql(spark, name):
     import duckdb
 
@@ -51,7 +71,9 @@ def test_query_against_sql(spark, name):
     def key(row):
         return tuple(str(round(x, 9) if isinstance(x, float) else x) for x in row)
 
-    assert sorted(key(r[c] for c in cols) for r in got.collect()) == sorted(key(dict(zip(names, r, strict=True))[c] for c in cols) for r in want.fetchall())
+    assert sorted(key(r[c] for c in cols) for r in got.collect()) == sorted(
+        key(dict(zip(names, r, strict=True))[c] for c in cols) for r in want.fetchall()
+    )
 
 
 def test_truncation_reads_the_whole_text(spark, monkeypatch):
