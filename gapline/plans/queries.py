@@ -567,8 +567,8 @@ def label_migration(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def label_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Annotations with cells outside the permitted values, some of them made so."""
-    x = _labels(spark, sf_dir).drop("text", "doc_id")
-    n = F.crc32("Annotation_ID")
+    x = _labels(spark, sf_dir).drop("text")
+    n = F.col("doc_id") * 2 + (F.col("Annotator_ID") == "r2").cast("int")
     x = x.withColumn("Boundary_Strength_0_3", F.when(n % 11 == 0, "4").when(n % 11 == 1, " ").otherwise(F.col("Boundary_Strength_0_3")))
     x = x.withColumn("Human_M_t", F.when(n % 7 == 0, "maybe").otherwise(F.col("Human_M_t"))).withColumn(
         "Human_Primary_Type",
@@ -579,8 +579,8 @@ def label_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def review_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Annotations with the last saved review of each; every third has some."""
-    x = _labels(spark, sf_dir).drop("text", "doc_id")
-    n = F.crc32("Annotation_ID") % 3
+    x = _labels(spark, sf_dir).drop("text")
+    n = (F.col("doc_id") * 2 + (F.col("Annotator_ID") == "r2").cast("int")) % 3
     saved = F.explode(F.sequence(F.lit(1), F.lit(3))).alias("saved_at")
     reviews = x.where(n == 0).select("Annotation_ID", saved).withColumns(
         {"Boundary_Strength_0_3": F.col("saved_at").cast("string"), "Human_C_t": F.when(F.col("saved_at") == 3, "0").otherwise("1")}

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import asdict
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gapline.config import Config, Vocabulary
@@ -80,16 +81,18 @@ def segment(
     config: Config | None = None,
     clean_text: bool = True,
     parser: DataFrame | None = None,
+    text_similarity: Callable[[Column, Column], Column] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(segments, boundaries) of ``transcripts`` (Record_ID, Source_Row, Source_Column, text).
 
     Decoding reads the scores twice (to choose, and to mark), so they are kept, a few columns wide, for both; a lost part is
-    recomputed. The wide evidence is scored again if it is asked for, unless the sequence ratio makes that dear: then it is what is kept.
+    recomputed. The wide evidence is scored again if it is asked for, unless the sequence ratio or ``text_similarity`` (see
+    :func:`gapline.operators.gaps.encoded_similarity`) makes that dear: then it is what is kept.
     ``unpersist`` or the catalog's ``clearCache`` releases it."""
     c = config or Config()
     tokens = gaps.tokens(gaps.chunks(transcripts, clean_text))
-    scored = decode.valleys(gaps.score(tokens, vocabulary, c, parser), c)
-    if c.continuity == "lexical":
+    scored = decode.valleys(gaps.score(tokens, vocabulary, c, parser, text_similarity=text_similarity), c)
+    if c.continuity == "lexical" or text_similarity is not None:
         scored = scored.persist()
         chosen = decode.select(scored, c)
         return decode.cap_segments(decode.segments(tokens, chosen), c), chosen.select(*gaps.RECORD, *EVIDENCE)

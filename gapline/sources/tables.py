@@ -17,6 +17,9 @@ ID_NAMES = ("ID", "Id", "id", "Student_ID", "student_id", "Participant", "partic
 TEXT_NAMES = (r"^Interviewee_Response$", r"^Transcript$", r"^Text$", r"^Content$", r"^Item\s*\d+$")
 NOT_TEXT = r"choice|choic|score|response\s*\d+|correct"
 # end of fixed values
+#: characters of windows-1252 where ISO-8859-1 has controls: as read, and as meant
+_SEEN = [(chr(b), bytes([b]).decode("cp1252", "ignore")) for b in range(0x80, 0xA0)]
+WINDOWS = "".join(a for a, z in _SEEN if z), "".join(z for _, z in _SEEN)
 
 
 def _charset(spark: SparkSession, path: str) -> str:
@@ -36,11 +39,13 @@ def read_table(spark: SparkSession, path: str, sheet: str | int | None = None) -
         return spark.createDataFrame(pd.read_excel(path, sheet_name=sheet or 0).astype(object).where(lambda d: d.notna(), None))
     if suffix == ".csv":
         charset = _charset(spark, path)
-        if charset != "utf-8":
-            spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-        out = spark.read.option("header", True).option("encoding", charset).option("multiLine", True).option("escape", '"').csv(path)
+        read = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+        out = read.option("encoding", "UTF-8" if charset == "utf-8" else "ISO-8859-1").csv(path)
+        if charset != "utf-8":  # the two differ in 27 characters
+            name = str.maketrans(*WINDOWS)
+            out = out.select(*[F.translate(F.col(f"`{c}`"), *WINDOWS).alias(c.translate(name)) for c in out.columns])
         first = out.columns[0] if out.columns else ""
-        return out.withColumnRenamed(first, first.lstrip("﻿"))
+        return out.withColumnRenamed(first, first.lstrip("\ufeff"))
     if suffix in (".json", ".jsonl"):
         return read_jsonl(spark, path)
     if suffix in (".parquet", ".orc"):
@@ -55,7 +60,8 @@ def read_jsonl(spark: SparkSession, path: str, schema: str | None = None) -> Dat
     """One object a line; blank lines and a byte-order mark are skipped."""
     lines = spark.read.text(path).select(F.regexp_replace("value", "^﻿", "").alias("value")).where(F.trim("value") != "")
     if schema is None:
-        schema = spark.read.json(lines.rdd.map(lambda r: r.value)).schema.simpleString() if lines.head(1) else RAW
+        found = lines.agg(F.schema_of_variant_agg(F.try_parse_json("value")).alias("s")).first()["s"] or ""
+        schema = found.replace("OBJECT<", "STRUCT<").replace("VOID", "STRING") if found.startswith("OBJECT<") else RAW
     return lines.select(F.from_json("value", schema).alias("r")).select("r.*")
 
 

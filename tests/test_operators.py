@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import re
 
 import numpy as np
 import pytest
@@ -209,9 +210,19 @@ def talk(spark):
     return spark.createDataFrame(rows, "Record_ID string, Source_Row long, Source_Column string, text string")
 
 
+def local(spark, df):
+    """The same rows, computed once."""
+    return spark.createDataFrame(df.collect(), df.schema)
+
+
+@pytest.fixture(scope="module")
+def segmented(spark, talk):
+    return tuple(local(spark, x) for x in segmentation.segment(talk, config=Config(continuity="jaccard")))
+
+
 def test_segments_tile_chunks(spark, talk):
     cfg = Config(continuity="jaccard")
-    tokens, scored = segmentation.boundary_table(talk, config=cfg)
+    tokens, scored = (local(spark, x) for x in segmentation.boundary_table(talk, config=cfg))
     seg = decode.segments(tokens, scored).collect()
     size = {}
     for r in tokens.collect():
@@ -227,11 +238,24 @@ def test_segments_tile_chunks(spark, talk):
 
 
 def test_segment_cap_and_evidence(spark, talk):
+    from difflib import SequenceMatcher
+
     seg, bound = segmentation.segment(
         talk,
         config=Config(max_segments_per_record=2, max_segment_tokens=500),
         vocabulary=Vocabulary.from_texts(task="rotate shape"),
     )
+    seg, bound = local(spark, seg), local(spark, bound)
+    for r in bound.collect():  # the default continuity, by hand
+        sides = [
+            sorted({w.lower() for w in x.split() if re.fullmatch("[A-Za-z0-9]+", w.strip(".,;:!?"))} if x.strip() else set())
+            for x in r.context.split("<BOUNDARY>")
+        ]
+        a, b = ([w.strip(".,;:!?") for w in x] for x in sides)
+        a, b = sorted(set(a)), sorted(set(b))
+        near = len(set(a) & set(b)) / len(set(a) | set(b)) if a and b else 0
+        want = max(near, 0.35 * SequenceMatcher(None, " ".join(a), " ".join(b)).ratio()) if a and b else 0
+        assert r.semantic_continuity == pytest.approx(want, abs=6e-5)
     per = {r.Record_ID: r["count"] for r in seg.groupBy("Record_ID").count().collect()}
     assert max(per.values()) <= 2 and not {"empty", "null"} & set(per)
     assert bound.columns == [*gaps.RECORD, *segmentation.EVIDENCE] and len(segmentation.EVIDENCE) == 38
@@ -246,7 +270,7 @@ def test_partitions_do_not_matter(spark, talk):
     try:
         assert rows(1) == rows(7)
     finally:
-        spark.conf.set("spark.sql.shuffle.partitions", 4)
+        spark.conf.set("spark.sql.shuffle.partitions", 2)
 
 
 def test_parser_features(spark):
@@ -272,8 +296,44 @@ def test_parser_features(spark):
     assert [r.boundary_legality for r in got] == ["illegal", "semi_legal", "legal", "legal"] and got[1].legality_penalty == 0.18
 
 
-def test_quality_control(spark, talk):
-    seg, bound = segmentation.segment(talk, config=Config(continuity="jaccard"))
+def test_alignment(spark):
+    """Words and a parser's tokens: the next four tokens are looked at, and a miss moves nothing on."""
+    cases = [
+        ("I do n't know .", ["I", "don't", "know", "."], [0, None, 3, 4]),
+        ("a b c d e f", ["a", "f", "b"], [0, None, 1]),
+        ("x y Wait , no", ["Wait", ",", "<EVENT>", "no"], [2, 3, None, 4]),
+        ("", ["a"], [None]),
+        ("don’t \"stop\"", ["don't", "stop"], [0, 1]),
+    ]
+    rows = [([(t, "NOUN", "x", 0, False, False, None) for t in text.split()], words) for text, words, _ in cases]
+    df = spark.createDataFrame(rows, f"parsed {gaps.PARSED}, words array<string>")
+    got = [r.at for r in df.select(gaps.aligned(F.col("words"), F.col("parsed")).alias("at")).collect()]
+    assert got == [at for *_, at in cases]
+
+
+def test_encoder_sees_texts(spark):
+    t = spark.createDataFrame(
+        [("r", 2, "text", "one two, one two three")],
+        "Record_ID string, Source_Row long, Source_Column string, text string",
+    )
+    tokens = gaps.tokens(gaps.chunks(t))
+    vector = lambda x: F.array(F.length(x).cast("double"), F.lit(3.0))
+    got = gaps.score(tokens, config=Config(continuity="jaccard"), text_similarity=gaps.encoded_similarity(vector)).orderBy("gap").collect()
+    for r in got:
+        a, b = ((len(x.strip()), 3.0) for x in r.context.split("<BOUNDARY>"))
+        cos = (a[0] * b[0] + 9) / ((a[0] ** 2 + 9) * (b[0] ** 2 + 9)) ** 0.5
+        assert r.semantic_continuity == pytest.approx((cos + 1) / 2, abs=6e-5)
+
+
+def test_row_numbers_follow_the_input(spark):
+    df = spark.range(0, 100, 1, 7).where("id % 3 > 0")
+    got = [(r.id, r.row) for r in tables.with_row_numbers(df).collect()]
+    assert got == [(x, k + 2) for k, x in enumerate(x for x in range(100) if x % 3)]
+    assert tables.with_row_numbers(df.where("false")).count() == 0
+
+
+def test_quality_control(segmented):
+    seg, bound = segmented
     m = {r.Metric: r for r in qc.summary(seg, bound).collect()}
     assert set(m) == set(qc.CRITERIA) and m["Event token leakage"].Status == "PASS" and m["Selected illegal boundaries"].Value == 0
     assert {r.Signal for r in qc.signals(seg, bound).collect()} == set(C.SIGNALS)
@@ -281,9 +341,9 @@ def test_quality_control(spark, talk):
         qc.summary(seg.drop("Segment_Text"), bound)
 
 
-def test_sampling(spark, talk):
-    seg, bound = segmentation.segment(talk, config=Config(continuity="jaccard"))
-    items = sampling.boundary_items(bound)
+def test_sampling(spark, segmented):
+    seg, bound = segmented
+    items = local(spark, sampling.boundary_items(bound))
     n = items.count()
     for size in (1, 5, n, n + 10):
         s = sampling.stratified_sample(items, size).collect()

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 DATA = "/root/testdata/sf0.001"
 
 
-def test_workflow(spark):
+def test_workflow(spark, tmp_path):
     df = spark.createDataFrame(
         [(f"p{k}", "I rotate the piece and wait. " * 12 + "Then it fits, I think it is good. " * 6) for k in range(3)],
         "ID string, Transcript string",
@@ -31,8 +31,11 @@ def test_workflow(spark):
         assert flow.mine_cues(items.withColumns(cells), 2, 0.5, 0.5)[1].count() > 0
         with pytest.raises(ValueError, match="misses columns"):
             flow.evaluate(items.select("Annotation_Item_ID", "Annotator_ID"))
+        folder = flow.export_reviewed(str(tmp_path / "reviewed"), items.withColumns(cells))
+        assert spark.read.parquet(f"{folder}/annotation_items").count() == 12
+        assert {spark.read.parquet(f"{folder}/{x}").count() for x in ("instructions", "codebook", "short_labels")} == {3, 10, 4}
         state = flow.restore()
-        assert state["history"].first()["status"] == "error" and state["artifacts"].count() == 5 and state[
+        assert state["history"].first()["status"] == "error" and state["artifacts"].count() == 6 and state[
             "step3_signal_agreement"
         ].count() == 5
     finally:
