@@ -184,5 +184,48 @@ from t group by conv_id
 """
 
 
+AZ = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP4 = f"""
+with recursive d as (select doc_id, regexp_extract_all({AZ}, '[^\\x20\\x09-\\x0D]+') w from documents),
+sh as (select distinct doc_id, case when len(w) < 5 then array_to_string(w, ' ') else array_to_string(w[k : k + 4], ' ') end g
+  from (select doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) k from d where len(w) > 0)),
+n as (select doc_id, count(*) n from sh group by doc_id),
+common as (select a.doc_id x, b.doc_id y, count(*) c from sh a join sh b on a.g = b.g and a.doc_id <> b.doc_id group by all),
+links as (select x, y from common join n p on x = p.doc_id join n q on y = q.doc_id where 100 * c >= 85 * (p.n + q.n - c)),
+reach as (select x, y from links union select r.x, l.y from reach r join links l on r.y = l.x),
+least_ as (select x, min(y) m from reach group by x)
+select d.doc_id, coalesce(n.n, 0) n_shingles, least(d.doc_id, coalesce(m, d.doc_id)) component_id, m is null or d.doc_id <= m kept
+from d left join n on d.doc_id = n.doc_id left join least_ on d.doc_id = x
+"""
+
+_WORD = "'[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'"
+OP5 = f"""
+with d as (select doc_id, row_number() over () rid, regexp_extract_all({AZ}, {_WORD}) w from documents),
+i as (select item_id::varchar item, regexp_extract_all({AZ}, {_WORD}) w from benchmark),
+wins as (select distinct item, s, array_to_string(w[k : k + s - 1], ' ') win
+  from (select item, w, least(13, len(w)) s, unnest(range(1, len(w) - least(13, len(w)) + 2)) k from i where len(w) > 0)),
+dw as (select rid, s, k, array_to_string(w[k : k + s - 1], ' ') win from (select rid, w, s, unnest(range(1, len(w) - s + 2)) k from d, (select distinct s from wins) where len(w) >= s)),
+hits as (select rid, k, s, item from dw join wins using (s, win)),
+hit as (select rid, count(distinct p) n from (select rid, unnest(range(k, k + s)) p from (select distinct rid, k, s from hits)) group by rid),
+found as (select rid, count(distinct item) n, string_agg(distinct item, ',' order by item) ids from hits group by rid)
+select doc_id, len(w) n_words, coalesce(hit.n, 0) n_hit, coalesce(found.n, 0) n_items, sha256(coalesce(ids, '')) items_sha256,
+  coalesce(hit.n, 0) > 0 and 20 * coalesce(hit.n, 0) >= len(w) contaminated from d left join hit using (rid) left join found using (rid)
+"""
+
+OP8 = """
+with d as (select doc_id, row_number() over () rid, hex(encode(coalesce(text, ''))) h from documents),
+parts as (select rid, len(h) // 2 n, 256 * c base, substring(h, 512 * c + 1, 910) part from (select rid, h, unnest(range(0, (len(h) // 2 - 200) // 256 + 1)) c from d where len(h) >= 400)),
+w as (select rid, base + k k, md5(substring(part, 2 * k + 1, 400)) m from (select rid, base, part, unnest(range(0, least(256, n - 199 - base))) k from parts)),
+often as (select m from w group by m having count(*) > 1),
+starts as (select rid, k, k > lag(k, 1, -1000) over (partition by rid order by k) + 200 fresh from w join often using (m)),
+spans as (select rid, min(k) a, max(k) + 200 z from (select rid, k, sum(fresh::int) over (partition by rid order by k) run from starts) group by rid, run),
+cut as (select rid, a, z, lag(z, 1, 0) over (partition by rid order by a) p from spans),
+kept as (select rid, sum(z - a)::bigint gone, count(*) runs, max(z) last, string_agg(substring(h, 2 * p + 1, 2 * (a - p)), '' order by a) t from cut join d using (rid) group by rid)
+select doc_id, (len(h) // 2)::bigint n_bytes, coalesce(gone, 0) n_removed, coalesce(runs, 0) n_spans,
+  sha256(unhex(case when last is null then h else t || substring(h, 2 * last + 1) end)) kept_sha256 from d left join kept using (rid)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url": OP3, "op6_chat": OP6}
+    return {"op3_url": OP3, "op4_neardup": OP4, "op5_decontaminate": OP5, "op6_chat": OP6, "op8_substrings": OP8}
