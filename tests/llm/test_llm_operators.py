@@ -10,7 +10,7 @@ import zlib
 
 import numpy as np
 import pytest
-from gapline.llm import chat, decontam, htmltext, language, lmscore, media, neardup, packing, substrings, urlfilter
+from gapline.llm import chat, decontam, htmltext, language, lmscore, media, neardup, packing, substrings, textbytes, urlfilter
 from pyspark.sql import functions as F
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -153,6 +153,56 @@ def test_substrings_as_text(spark, rows):
         assert "\ufffd" not in r.kept and len(r.text.encode()) - len(r.kept.encode()) == r.n_removed
 
 
+def test_word_hashes_in_segments(monkeypatch):
+    """Hashes don't depend on how many bytes are handled at once, also for a word longer than that."""
+    texts = [b"One two  three", b"x" * 1000 + b" y", b"", "\u00e9t\u00e9 ".encode() * 100, b"A" * 700]
+
+    def hashes():
+        b = textbytes.Block(texts)
+        b.words(textbytes.ALNUM)
+        return b.word_hashes().tolist()
+
+    want = hashes()
+    for size in (64, 100, 999):
+        monkeypatch.setattr(textbytes, "SEGMENT", size)
+        assert hashes() == want
+
+
+def test_anchors_of_long_texts(monkeypatch):
+    """A long text in overlapping parts files each window as the whole text does."""
+    rng = random.Random(12)
+    texts = [" ".join(words(rng, n)).encode() for n in (3, 900, 40, 2000)] + [b"ab" * 3000]
+
+    def windows():
+        found = set()
+        for part, owner, shift in substrings.pieces(texts, 200):
+            t, fp, at, s0, s1 = substrings.anchors(textbytes.Block(part), 200)
+            for k in range(len(t)):
+                move = shift[t[k]]
+                found |= {(owner[t[k]], w + move, fp[k], at[k] + move) for w in range(s0[k], s1[k] + 1)}
+        return found
+
+    want = windows()
+    assert {(d, w) for d, w, *_ in want} == {(d, w) for d, t in enumerate(texts) for w in range(len(t) - 199)}
+    monkeypatch.setattr(substrings, "BLOCK_BYTES", 700)
+    assert windows() == want
+
+
+def test_texts_of_50_megabytes():
+    """One long text goes through each operator's parser in bounded parts."""
+    text = b"some words of a long text, " * (50_000_000 // 27)
+    n = 6 * (50_000_000 // 27)
+    before, after, doc = lmscore.bigrams([text])
+    assert len(after) == len(before) == len(doc) == n and len(np.unique(after)) == 6
+    b, h = decontam.parsed([b"short", text])
+    assert np.diff(b.first).tolist() == [1, n] and len(h) == n + 1
+    shingles, first = neardup.shingle_hashes(textbytes.Block([text]), 5)
+    assert first.tolist() == [0, n - 4] and len(np.unique(shingles)) == 6
+    parts = list(packing.at_blanks(text, 1 << 20))
+    assert b"".join(parts) == text and max(map(len, parts)) <= 1 << 20
+    assert sum(len(p[0][0]) - 199 for p in substrings.pieces([text], 200)) == len(text) - 199
+
+
 def test_difference_cover():
     v = 32
     d = substrings.difference_cover(v)
