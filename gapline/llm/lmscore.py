@@ -18,7 +18,7 @@ Counts cover all words of all documents and grow with the input; none is gathere
 
 All other pairs of a document and a bigram are filed once under a bucket of their bigram (of their first word, if it is rare), packed by
 bucket and block of text, and shuffled. There are as many buckets as keep one within ``bucket`` pairs or so. A bucket is sorted in memory, counts its
-bigrams and gives sums for documents back. Sums are aggregated by document.
+bigrams and gives sums for documents back, packed by groups of documents, which are shuffled and added up.
 
 Words are runs of digits, letters and non-ASCII characters, A-Z lower-cased. Texts of any length are handled in blocks; a long text's bigrams
 are counted at once. A document is a doc_id: rows that share one (or have none) are one document, though each row is a text of its own when own
@@ -46,6 +46,7 @@ BROADCAST_IDS = 2_000_000  # ids of target documents that are sent to the execut
 TOP = 1 << 17
 HEAVY = 1 << 13
 BUCKET = 2_000_000
+GROUP = 200_000  # documents whose sums are added up together, or so
 SUMMED = 1_000_000  # sums for documents that a task holds back at most
 BEGIN = -1  # in place of the hash of the word before the first
 NO_ID = -(1 << 63)
@@ -184,13 +185,57 @@ def train(docs: DataFrame, mu: float, top: int, heavy: int) -> tuple[Models, int
     return models, total
 
 
+PACKED = "part long, data binary"
 SUMS = "doc_id long, n long, lt double, lb double"
 
 
-def sums(ids: np.ndarray, n: np.ndarray, logs: np.ndarray) -> pa.RecordBatch:
+def merged(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """Sums by document of parts (ids, words, gains in both models)."""
+    ids, n, logs = (np.concatenate(x) for x in zip(*parts, strict=True))
     u, inverse = np.unique(ids, return_inverse=True)
-    cols = [u, np.bincount(inverse, n, len(u)).astype(np.int64), *(np.bincount(inverse, x, len(u)).astype(float) for x in logs.T)]
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["doc_id", "n", "lt", "lb"])
+    return u, np.bincount(inverse, n, len(u)), np.stack([np.bincount(inverse, x, len(u)) for x in logs.T], axis=1)
+
+
+def dealt(parts: list[tuple[np.ndarray, ...]], groups: int) -> pa.RecordBatch:
+    """Sums by document, packed by ``groups`` of documents: a row holds all that a task has for a group."""
+    ids, n, logs = merged(parts)
+    group = (scramble(ids.view(U)) % U(groups)).astype(np.int64)
+    order = np.argsort(group, kind="stable")
+    found, first = np.unique(group[order], return_index=True)
+    rows = []
+    for a, z in zip(first.tolist(), [*first[1:].tolist(), len(order)], strict=True):
+        k = order[a:z]
+        rows.append(ids[k].astype("<i8").tobytes() + np.concatenate([n[k], logs[k, 0], logs[k, 1]]).astype("<f8").tobytes())
+    return pa.RecordBatch.from_arrays([pa.array(found), pa.array(rows, pa.binary())], names=["part", "data"])
+
+
+def unpacked(data: bytes) -> tuple[np.ndarray, ...]:
+    size = len(data) // 32
+    values = np.frombuffer(data, "<f8", 3 * size, 8 * size).reshape(3, size)
+    return np.frombuffer(data, "<i8", size), values[0], values[1:].T
+
+
+def total_sums(packed: DataFrame, parts: int) -> DataFrame:
+    """One row for each document from rows of :func:`dealt`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def done() -> pa.RecordBatch:
+            ids, n, logs = merged(held)
+            cols = [ids, n.astype(np.int64), logs[:, 0], logs[:, 1]]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["doc_id", "n", "lt", "lb"])
+
+        part, held = None, []
+        for batch in batches:
+            for k, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if k != part and held:
+                    yield done()
+                    held = []
+                part = k
+                held.append(unpacked(data.as_py()))
+        if held:
+            yield done()
+
+    return packed.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(lean(run), SUMS)
 
 
 def doc_counts(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -206,7 +251,7 @@ def doc_counts(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return n, order[at]
 
 
-def local_sums(docs: DataFrame, models: Models) -> DataFrame:
+def local_sums(docs: DataFrame, models: Models, groups: int) -> DataFrame:
     """What a document's score has of counts that the executors have: denominators of frequent first words, the base, heavy bigrams."""
     sent = docs.sparkSession.sparkContext.broadcast(models)
 
@@ -228,13 +273,10 @@ def local_sums(docs: DataFrame, models: Models) -> DataFrame:
                 n, _ = doc_counts(q[some], doc[some])
                 logs[some] += m.gain(m.counts[q[some]] - own(n, side[some]), m.base[find(m.words, w[some])])
                 none = np.zeros(j - i)  # texts without words are rows too
-                yield sums(
-                    np.append(ids[i:j][doc], ids[i:j]),
-                    np.append(np.ones(len(doc)), none),
-                    np.concatenate([logs, np.stack([none, none], 1)]),
-                )
+                some = [(ids[i:j][doc], np.ones(len(doc)), logs), (ids[i:j], none, np.stack([none, none], 1))]
+                yield dealt(some, groups)
 
-    return docs.mapInArrow(lean(run), SUMS)
+    return docs.mapInArrow(lean(run), PACKED)
 
 
 def pack(pos: np.ndarray, n: np.ndarray, *keys: np.ndarray) -> bytes:
@@ -321,17 +363,11 @@ def grouped(n: np.ndarray, *keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    ids, logs = (np.concatenate(x) for x in zip(*parts, strict=True))
-    u, inverse = np.unique(ids, return_inverse=True)
-    return u, np.stack([np.bincount(inverse, x, len(u)) for x in logs.T], axis=1)
-
-
-def bucket_gains(rows: list[tuple[bytes, ...]], m: Models) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Parts (ids of documents, what they gain in both models) from all rows (ids, good, frequent, rare) of one bucket."""
+def bucket_gains(rows: list[tuple[bytes, ...]], m: Models) -> list[tuple[np.ndarray, ...]]:
+    """Parts (ids of documents, no words, what they gain in both models) from all rows (ids, good, frequent, rare) of one bucket."""
     if not rows:
         return []
-    out: list[tuple[np.ndarray, np.ndarray]] = []
+    out: list[tuple[np.ndarray, ...]] = []
     sizes = np.cumsum([0] + [len(r[1]) for r in rows])
     ids = np.frombuffer(b"".join(r[0] for r in rows), np.int64)
     good = np.frombuffer(b"".join(r[1] for r in rows), bool)
@@ -353,34 +389,33 @@ def bucket_gains(rows: list[tuple[bytes, ...]], m: Models) -> list[tuple[np.ndar
             )
         logs *= n[:, None]
         some = np.flatnonzero(logs.any(axis=1))
-        out.append((ids[text[some]], logs[some]))
+        out.append((ids[text[some]], np.zeros(len(some)), logs[some]))
     return [merged(out)] if out else []
 
 
-def shuffled_sums(packed: DataFrame, models: Models, parts: int) -> DataFrame:
+def shuffled_sums(packed: DataFrame, models: Models, parts: int, groups: int) -> DataFrame:
     sent = packed.sparkSession.sparkContext.broadcast(models)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, held = None, []
-        some: list[tuple[np.ndarray, np.ndarray]] = []
+        some: list[tuple[np.ndarray, ...]] = []
         for batch in batches:
             for r in range(batch.num_rows):
                 k, *row = (c[r].as_py() for c in batch.columns)
                 if k != bucket:
                     some += bucket_gains(held, sent.value)
-                    if sum(len(i) for i, _ in some) > SUMMED:  # a task's buckets share their documents
+                    if sum(len(x[0]) for x in some) > SUMMED:  # a task's buckets share their documents
                         some = [merged(some)]
                         if len(some[0][0]) > SUMMED // 2:
-                            yield sums(some[0][0], np.zeros(len(some[0][0])), some[0][1])
+                            yield dealt(some, groups)
                             some = []
                     bucket, held = k, []
                 held.append(tuple(row))
         some += bucket_gains(held, sent.value)
         if some:
-            ids, logs = merged(some)
-            yield sums(ids, np.zeros(len(ids)), logs)
+            yield dealt(some, groups)
 
-    return packed.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(lean(run), SUMS)
+    return packed.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(lean(run), PACKED)
 
 
 def score(docs: DataFrame, target: DataFrame, mu: float = 100.0, top: int = TOP, heavy: int = HEAVY, bucket: int = BUCKET) -> DataFrame:
@@ -396,9 +431,9 @@ def score(docs: DataFrame, target: DataFrame, mu: float = 100.0, top: int = TOP,
     models, total = train(marked, mu, top, heavy)
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     buckets = parts * -(-total // (bucket * parts) or 1)
-    rare = shuffled_sums(pairs(marked, models, buckets), models, parts)
-    out = local_sums(marked, models).unionByName(rare)
-    out = out.groupBy("doc_id").agg(F.sum("n").alias("n_words"), F.sum("lt").alias("lt"), F.sum("lb").alias("lb"))
+    groups = parts * (-(-docs.count() // (GROUP * parts)) or 1)
+    rare = shuffled_sums(pairs(marked, models, buckets), models, parts, groups)
+    out = total_sums(local_sums(marked, models, groups).unionByName(rare), parts).withColumnRenamed("n", "n_words")
     n = F.nullif("n_words", F.lit(0))
     loss_t, loss_b = -F.col("lt") / n, -F.col("lb") / n
     doc_id = F.nullif("doc_id", F.lit(NO_ID))
