@@ -29,11 +29,11 @@ def test_workflow(spark, tmp_path):
         _, agree, per, none = flow.evaluate(items.withColumns(cells))
         assert {r.Cohen_Kappa for r in agree.collect()} == {1.0} and per.count() == 6 and none.count() == 0
         assert flow.mine_cues(items.withColumns(cells), 2, 0.5, 0.5)[1].count() > 0
-        with pytest.raises(ValueError, match="misses columns"):
-            flow.evaluate(items.select("Annotation_Item_ID", "Annotator_ID"))
         folder = flow.export_reviewed(str(tmp_path / "reviewed"), items.withColumns(cells))
         assert spark.read.parquet(f"{folder}/annotation_items").count() == 12
         assert {spark.read.parquet(f"{folder}/{x}").count() for x in ("instructions", "codebook", "short_labels")} == {3, 10, 4}
+        with pytest.raises(ValueError, match="misses columns"):
+            flow.evaluate(items.select("Annotation_Item_ID", "Annotator_ID"))
         state = flow.restore()
         assert state["history"].first()["status"] == "error" and state["artifacts"].count() == 6 and state[
             "step3_signal_agreement"
@@ -56,6 +56,12 @@ def test_workflow(spark, tmp_path):
         "signal_agreement",
         "cue_association",
         "frame_units",
+        "q_matrix",
+        "corpus_events",
+        "legacy_turns",
+        "label_validation",
+        "parser_legality",
+        "forced_split",
         "embedding_gate",
     ],
 )
