@@ -231,14 +231,19 @@ def aligned(words: Column, parsed: Column, reach: int = 4) -> Column:
 
     def step(acc: Column, word: Column) -> Column:
         key = align_key(word)
-        ahead = F.slice(keys, acc.next + 1, F.lit(reach))
-        at = F.array_position(F.transform(ahead, lambda x: (x.key == key) | (x["text"] == word)), True)
+        ahead = F.slice(acc["keys"], acc["next"] + 1, F.lit(reach))
+        at = F.array_position(F.transform(ahead, lambda x: (x["key"] == key) | (x["text"] == word)), True)
         found = ((key != "") | word.isin(*C.PUNCTUATION)) & (at > 0)
-        place = F.when(found, (acc.next + at - 1).cast("int"))
-        return F.struct(F.coalesce(place + 1, acc.next).alias("next"), F.array_append(acc.places, place).alias("places"))
+        place = F.when(found, (acc["next"] + at - 1).cast("int"))
+        return F.struct(
+            F.coalesce(place + 1, acc["next"]).alias("next"),
+            F.array_append(acc["places"], place).alias("places"),
+            acc["keys"].alias("keys"),
+        )
 
-    start = F.struct(F.lit(0).alias("next"), F.array().cast("array<int>").alias("places"))
-    return F.aggregate(words, start, step, lambda acc: acc.places)
+    # the keys are part of the state, so they are taken once, not for each word
+    start = F.struct(F.lit(0).alias("next"), F.array().cast("array<int>").alias("places"), keys.alias("keys"))
+    return F.aggregate(words, start, step, lambda acc: acc["places"])
 
 
 def parser_features(chunked: DataFrame, parsed: DataFrame) -> DataFrame:

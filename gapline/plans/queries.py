@@ -496,7 +496,8 @@ def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of a made-up parser for each chunk: the text's words and marks, cut at apostrophes and before ``ing``, so that some don't align."""
     c = gaps.chunks(transcripts(spark, sf_dir), False)
     text = F.regexp_replace(F.array_join("tokens", " "), "(['’]|ing\\b)", " $1")
-    words = F.filter(F.split(text, " "), lambda w: w != "")
+    c = c.select(*gaps.CHUNK, F.filter(F.split(text, " "), lambda w: w != "").alias("words"))
+    words = F.col("words")
 
     def token(w, i):
         low = F.lower(w)
