@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gapline.llm import chat, decontam, htmltext, language, lmscore, media, neardup, packing, substrings, urlfilter
+from gapline.llm import chat, decontam, exactdup, fim, htmltext, language, lmscore, media, neardup, packing, periodic, substrings, urlfilter
 from gapline.llm.shared import materialise
 
 
@@ -107,6 +107,54 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "bucket")
 
 
+def op11_exactdup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exactdup.find(table(spark, sf_dir, "documents"))
+
+
+def with_runs(docs: DataFrame) -> DataFrame:
+    """doc_id and text; of the documents whose h = crc32(doc_id) is a multiple of 10, the words from the a-th on repeat the p words from there."""
+    g = F.floor(F.col("h") / 10)
+    docs = docs.select("doc_id", "text", F.crc32(F.col("doc_id").cast("string").cast("binary")).alias("h"))
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    some = docs.where("h % 10 = 0").withColumn("w", words).withColumn("n", F.size("w")).where("n > 0")
+    some = some.withColumn("a", (g % F.col("n")).cast("int"))
+    some = some.withColumn("p", (1 + F.floor((F.col("n") - F.col("a")) / (3 + g % 8))).cast("int"))
+    times = F.ceil((F.col("n") - F.col("a")) / F.col("p")).cast("int")
+    again = F.slice(F.flatten(F.array_repeat(F.slice("w", F.col("a") + 1, F.col("p")), times)), F.lit(1), F.col("n") - F.col("a"))
+    some = some.select("doc_id", F.array_join(F.concat(F.slice("w", F.lit(1), F.col("a")), again), " ").alias("text"))
+    rest = docs.where(F.coalesce(F.col("h") % 10 != 0, F.lit(True)) | ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)))
+    return rest.select("doc_id", "text").unionByName(some)
+
+
+def op12_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = periodic.collapse_runs(with_runs(table(spark, sf_dir, "documents")))
+    line = F.transform("runs", lambda r: F.concat_ws(",", r.start, r.length, r.period))
+    out = out.withColumns({"best": periodic.strongest(F.col("runs")), "lines": F.array_join(line, "\n")})
+    return out.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(F.when(F.size("runs") > 0, F.concat("lines", F.lit("\n"))).otherwise(""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fim.transform(table(spark, sf_dir, "documents"))
+    return out.select(
+        "doc_id",
+        "n",
+        "form",
+        "prefix_chars",
+        "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(fim.restore(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         op1_lmscore,
@@ -119,6 +167,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_substrings,
         op9_language,
         op10_packing,
+        op11_exactdup,
+        op12_periodic,
+        op13_fim,
     ]
     return {f.__name__: f for f in found}
 
@@ -227,5 +278,48 @@ select doc_id, (len(h) // 2)::bigint n_bytes, coalesce(gone, 0) n_removed, coale
 """
 
 
+OP11 = r"""
+with t as (select doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') t from documents)
+select doc_id, min(doc_id) over (partition by t) keep_id, count(*) over (partition by t) group_size,
+  doc_id = min(doc_id) over (partition by t) kept, sha256(t) text_sha256 from t
+"""
+
+#: stretches of words that agree with those q later, by a join on words within a third of the text; of those with the same ends the least q is the period
+_BITS = "list_transform(range(8 * length(s)), lambda k: (ascii(s[k // 8 + 1]) >> (k % 8)) & 1)"
+_CRC = f"xor(list_reduce([4294967295] || {_BITS}, lambda c, b: xor(c >> 1, 3988292384 * (xor(c, b) & 1))), 4294967295)"
+
+OP12 = rf"""
+with src as (select doc_id, doc_id::varchar s, row_number() over () rid, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') w from documents),
+h as (select doc_id, rid, w, coalesce({_CRC}, 1) crc from src),
+made as (select doc_id, rid, w, len(w) n, crc % 10 = 0 and len(w) > 0 own, case when len(w) > 0 then (crc // 10) % len(w) end a, (crc // 10) % 8 e from h),
+x as (select doc_id, rid, n, case when own then list_concat(w[1 : a], list_transform(range(a, n), lambda i: w[1 + a + (i - a) % (1 + (n - a) // (3 + e))])) else w end w from made),
+p as (select rid, n, unnest(range(n)) i, unnest(w) t from x where n >= 24),
+eq as (select l.rid, r.i - l.i q, l.i from p l join p r on l.rid = r.rid and l.t = r.t and r.i > l.i and 3 * (r.i - l.i) <= l.n),
+st as (select rid, q, min(i) a, count(*) + q length from (select rid, q, i, i - row_number() over (partition by rid, q order by i) g from eq) group by rid, q, g),
+runs as (select rid, a, length, min(q) q from st where length >= greatest(24, 3 * q) group by rid, a, length),
+best as (select rid, a, length, q, row_number() over (partition by rid order by length::hugeint * 1000000000000 // q desc, a, q) k from runs),
+listed as (select rid, count(*) n_runs, string_agg(a || ',' || length || ',' || q || chr(10), '' order by a, q) s from runs group by rid),
+gone as (select distinct rid, unnest(range(a + q, a + length)) i from runs),
+kept as (select p.rid, string_agg(t, ' ' order by i) c from p left join gone using (rid, i) where gone.i is null group by p.rid)
+select doc_id, coalesce(n_runs, 0) n_runs, b.a start, b.length, b.q period, 1000 * b.length // b.q exponent_milli,
+  sha256(coalesce(s, '')) runs_sha256, sha256(coalesce(c, array_to_string(w, ' '))) collapsed_sha256
+from x left join listed using (rid) left join best b on b.rid = x.rid and k = 1 left join kept on kept.rid = x.rid
+"""
+
+OP13 = """
+with d as (select doc_id, coalesce(text, '') t, sha256('7:' || coalesce(doc_id::varchar, '')) h from documents),
+e as (select *, string_split(t, chr(10)) parts, length(t) - length(replace(t, chr(10), '')) + (t <> '' and not ends_with(t, chr(10)))::int n,
+  ('0x' || h[1:8])::bigint h1, ('0x' || h[9:16])::bigint h2, ('0x' || h[17:24])::bigint h3, ('0x' || h[25:32])::bigint h4 from d),
+c as (select *, least(h1 % (n + 1), h2 % (n + 1)) i, greatest(h1 % (n + 1), h2 % (n + 1)) j,
+  case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or h3 % 100 >= 100 then 'plain' when h4 % 100 < 50 then 'spm' else 'psm' end form from e),
+k as (select *, case when i = n then length(t) when i = 0 then 0 else length(array_to_string(parts[1:i], chr(10))) + 1 end a,
+  case when j = n then length(t) when j = 0 then 0 else length(array_to_string(parts[1:j], chr(10))) + 1 end z from c),
+s as (select *, t[1:a] p, t[a + 1:z] m, t[z + 1:] s from k)
+select doc_id, n, form, case when form <> 'plain' then a end prefix_chars, case when form <> 'plain' then z - a end middle_chars,
+  sha256(case form when 'plain' then t when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m else '<S>' || s || '<P>' || p || '<M>' || m end) output_sha256,
+  sha256(t) restored_sha256 from s
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url": OP3, "op4_neardup": OP4, "op5_decontaminate": OP5, "op6_chat": OP6, "op8_substrings": OP8}
+    return {"op3_url": OP3, "op4_neardup": OP4, "op5_decontaminate": OP5, "op6_chat": OP6, "op8_substrings": OP8, "op11_exactdup": OP11, "op12_periodic": OP12, "op13_fim": OP13}
