@@ -16,7 +16,9 @@ from pyspark.sql.types import DoubleType
 
 from gapline import config as C
 from gapline.config import Config, Vocabulary
+from gapline.functions import sequence
 from gapline.functions import text as T
+from gapline.operators import encoders
 
 RECORD = ("Record_ID", "Source_Row", "Source_Column")
 CHUNK = (*RECORD, "chunk")
@@ -90,12 +92,11 @@ def jaccard(left: Column, right: Column) -> Column:
 @F.pandas_udf(DoubleType())
 def sequence_ratio(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """Ratcliff-Obershelp ratio of two texts, each distinct pair of a batch once; order counts. 0 for nulls."""
-    from difflib import SequenceMatcher
-
     for left, right in batches:
         pairs = list(zip(left, right, strict=True))
-        known = {p: SequenceMatcher(None, *p).ratio() if p[0] is not None else 0.0 for p in set(pairs)}
-        yield pd.Series([known[p] for p in pairs], dtype="float64")
+        some = [p for p in dict.fromkeys(pairs) if p[0] is not None]
+        known = dict(zip(some, sequence.ratios([a for a, _ in some], [b for _, b in some]), strict=True))
+        yield pd.Series([known.get(p, 0.0) for p in pairs], dtype="float64")
 
 
 def lexical(left: Column, right: Column) -> Column:
@@ -111,6 +112,9 @@ def lexical(left: Column, right: Column) -> Column:
     return F.when(some, F.greatest(near, 0.35 * ratio)).otherwise(0.0)
 
 
+SIMILARITY = {"jaccard": jaccard, "lexical": lexical}
+
+
 def vector_similarity(left: Column, right: Column) -> Column:
     """(cosine + 1) / 2 of two float arrays, clipped; 0 for null or zero vectors."""
 
@@ -281,8 +285,9 @@ def score(
 ) -> DataFrame:
     """Evidence of every gap of ``tokenized`` (see :func:`tokens`); ``gap`` is the right token's place in the record.
 
-    ``similarity`` maps the two sides' word sets to a number and overrides ``config.continuity`` (jaccard or lexical); so does ``text_similarity``, which gets
-    the two sides' texts (see :func:`encoded_similarity`).
+    ``config.continuity`` is jaccard, lexical or a model (see :mod:`gapline.operators.encoders`); lexical takes the place of a model that can't be
+    loaded. ``similarity`` maps the two sides' word sets to a number and overrides it; so does ``text_similarity``, which gets the two
+    sides' texts (see :func:`encoded_similarity`).
     ``parser`` is a table of :func:`parser_legality`; without one only the rules hold."""
     v, c = vocabulary or Vocabulary(), config or Config()
     by = Window.partitionBy(*CHUNK).orderBy("pos")
@@ -323,11 +328,17 @@ def score(
             "r_tokens": F.collect_list("token").over(right),
         }
     ).where("pos > 0")
-    alike = similarity or {"jaccard": jaccard, "lexical": lexical}[c.continuity]
-    if text_similarity is None:
-        out = seen.withColumn("s", alike(F.col("l_words"), F.col("r_words")))
-    else:
+    model = None
+    if similarity is None and text_similarity is None and c.continuity not in SIMILARITY:
+        model = encoders.find_or_warn(tokenized.sparkSession, c.continuity)
+    if text_similarity is not None:
         out = seen.withColumn("s", text_similarity(T.detokenize(F.col("l_tokens")), T.detokenize(F.col("r_tokens"))))
+    elif model is not None:
+        out = encoders.with_vectors(seen.drop("l_words", "r_words"), model)
+        out = out.withColumn("s", vector_similarity(F.col("l_vector"), F.col("r_vector"))).drop("l_vector", "r_vector")
+    else:
+        alike = similarity or SIMILARITY.get(c.continuity, lexical)
+        out = seen.withColumn("s", alike(F.col("l_words"), F.col("r_words")))
 
     def signal(d: str) -> Column:
         return F.least(F.lit(1.0), F.col(d) * 4.0)

@@ -99,43 +99,24 @@ def segment_context(items: DataFrame, segments: DataFrame) -> DataFrame:
         ).alias("left_"),
         F.struct("Token_Start", F.col("Segment_Text").alias("text")).alias("right_"),
     )
-    none = F.lit(None)
-    kinds = dict(s.dtypes)
-    mark = items.select(
-        *keys,
-        F.col("Boundary_Gap").alias("at"),
-        "Annotation_Item_ID",
-        none.cast(kinds["left_"]).alias("left_"),
-        none.cast(kinds["right_"]).alias("right_"),
-    )
-    ends = s.select(
-        *keys,
-        F.col("Token_End").alias("at"),
-        none.cast("string").alias("Annotation_Item_ID"),
-        "left_",
-        none.cast(kinds["right_"]).alias("right_"),
-    )
-    begins = s.select(
-        *keys,
-        F.col("Token_Start").alias("at"),
-        none.cast("string").alias("Annotation_Item_ID"),
-        none.cast(kinds["left_"]).alias("left_"),
-        "right_",
-    )
-    line = mark.unionByName(ends).unionByName(begins)
-    w = Window.partitionBy(*keys).orderBy("at")
-    before, after = w.rangeBetween(Window.unboundedPreceding, 0), w.rangeBetween(0, Window.unboundedFollowing)
-    seen = line.withColumns(
-        {"l": F.last("left_", True).over(before), "r": F.first("right_", True).over(after)}
-    ).where("Annotation_Item_ID is not null")
+    item = F.struct(*[F.col(c) for c in items.columns])
+    parts = {"item_": items.select(item.alias("x")).schema["x"].dataType} | {k: s.schema[k].dataType for k in ("left_", "right_")}
+
+    def line(df: DataFrame, at: str, **given: Column) -> DataFrame:
+        return df.select(*keys, F.col(at).cast("long").alias("at"), *[given.get(k, F.lit(None).cast(t)).alias(k) for k, t in parts.items()])
+
+    marks = line(items, "Boundary_Gap", item_=item)
+    whole = marks.unionByName(line(s, "Token_End", left_=F.col("left_"))).unionByName(line(s, "Token_Start", right_=F.col("right_")))
+    # both frames grow from one end, so each row is read once; one that shrinks towards the end is read again for every row
+    up, down = (Window.partitionBy(*keys).orderBy(order).rangeBetween(Window.unboundedPreceding, 0) for order in (F.col("at"), F.desc("at")))
+    seen = whole.withColumns({"l": F.last("left_", True).over(up), "r": F.last("right_", True).over(down)}).where("item_ is not null")
     exact = F.col("l.Token_End") == F.col("at")
-    context = seen.select(
-        "Annotation_Item_ID",
+    return seen.select(
+        "item_.*",
         F.when(exact, F.col("l.previous")).otherwise("").alias("Previous_Segment"),
         F.coalesce("l.text", F.lit("")).alias("Left_Segment"),
         F.coalesce("r.text", F.lit("")).alias("Right_Segment"),
     )
-    return items.join(context, "Annotation_Item_ID", "left")
 
 
 def draw(item: Column, seed: int) -> Column:

@@ -6,9 +6,8 @@ from dataclasses import asdict
 
 from gapline import config as C
 from gapline.functions import text as T
-from gapline.operators import frames, qc
-from gapline.plans.queries import _POS as POS
-from gapline.plans.queries import CONFIG, GATE_WORDS, LOW, WORDS
+from gapline.operators import frames, qc, tagging
+from gapline.plans.queries import CONFIG, ENDINGS, GATE_WORDS, LOW, POS, WORDS
 
 
 def q(words) -> str:
@@ -50,11 +49,17 @@ ctx as (select *, lag(token) over p as left_token,
   coalesce(list_distinct(list(low) filter (where fc = 1) over l), []) lc, coalesce(list_distinct(list(low) filter (where fc = 1) over g), []) rc
   from flagged window p as (partition by rid, src, chunk order by pos), a as (partition by rid, src, chunk order by pos rows between {w} preceding and {w - 1} following),
   l as (partition by rid, src, chunk order by pos rows between {w} preceding and 1 preceding), g as (partition by rid, src, chunk order by pos rows between current row and {w - 1} following)),
-base as (select *, off + pos gap, len(list_intersect(lw, rw)) iw, len(list_intersect(lc, rc)) ic from ctx where pos > 0),
-sig as (select *, case when len(lw) = 0 or len(rw) = 0 then 0.0 else iw / (len(lw) + len(rw) - iw) end s,
+base as (select *, off + pos gap, len(list_intersect(lw, rw)) iw, len(list_intersect(lc, rc)) ic from ctx where pos > 0)"""
+
+JACCARD = "case when len(lw) = 0 or len(rw) = 0 then 0.0 else iw / (len(lw) + len(rw) - iw) end"
+
+
+def signals(similarity: str = JACCARD, sides: str = "base") -> str:
+    """Scores of the gaps of ``sides``, with ``similarity`` as their continuity."""
+    return f"""sig as (select *, {similarity} s,
   case when len(lc) = 0 and len(rc) = 0 then 0.0 when len(lc) = 0 or len(rc) = 0 then least(0.4::double, (len(lc) + len(rc)) / 4.0::double)
     else (1.0::double - ic / (len(lc) + len(rc) - ic)) * least(1.0::double, (len(lc) + len(rc)) / 4.0::double) end sh,
-  least(1.0::double, dc * 4.0::double) ec, least(1.0::double, dm * 4.0::double) m, least(1.0::double, da * 4.0::double) a, least(1.0::double, dr * 4.0::double) rr from base),
+  least(1.0::double, dc * 4.0::double) ec, least(1.0::double, dm * 4.0::double) m, least(1.0::double, da * 4.0::double) a, least(1.0::double, dr * 4.0::double) rr from {sides}),
 sig2 as (select *, greatest(0.0::double, least(1.0::double, (1.0::double - s - {CONFIG.drop_floor}::double) / ({CONFIG.drop_ceiling - CONFIG.drop_floor}::double))) dp from sig),
 sig3 as (select *, 0.45::double * dp * (0.25::double + 0.75::double * ec) + 0.55::double * sh c from sig2),
 sig4 as (select *, 0.45::double * c + 0.25::double * m + 0.15::double * a + 0.15::double * rr p from sig3),
@@ -69,6 +74,34 @@ legal as (select *, case when token in ({PUNCT}) then 'before_punctuation' when
 gaps as (select *, case when left_token in ('.', '?', '!', ';', ':') and reason = '' then 0.08::double else 0.0::double end boost from legal),
 scored as (select *, {r4('raw + 0.0::double - boost')} g, cast(round({r4('raw + 0.0::double - boost')} * 10000) as bigint) k from gaps)"""
 
+
+#: the longest common block of two texts first, then what is left and right of it: cells that agree, their runs on diagonals, and the runs of each
+#: part of the table (known by its first row) cut at its block, until none is left
+BLOCKS = """texts as (select *, array_to_string(list_sort(lw), ' ') ta, array_to_string(list_sort(rw), ' ') tb from base),
+pairs as (select row_number() over () pid, ta, tb from (select distinct ta, tb from texts where ta <> '' and tb <> '')),
+ca as (select pid, unnest(range(length(ta))) i, unnest(string_split(ta, '')) c from pairs),
+cb as (select pid, unnest(range(length(tb))) j, unnest(string_split(tb, '')) c from pairs),
+agree as (select pid, i, j, i - row_number() over (partition by pid, i - j order by i) g from ca join cb using (pid, c)),
+runs as (select pid, 0::bigint part, min(i) i, min(j) j, count(*) n, 0 depth from agree group by pid, i - j, g),
+cuts as (select * from runs union all select pid, u.part, u.i, u.j, u.n, depth + 1 from (select pid, depth, unnest([
+    {'part': part, 'i': i, 'j': j, 'n': least(n, b.i - i, b.j - j)},
+    {'part': b.i + b.n, 'i': i + greatest(0, b.i + b.n - i, b.j + b.n - j), 'j': j + greatest(0, b.i + b.n - i, b.j + b.n - j), 'n': n - greatest(0, b.i + b.n - i, b.j + b.n - j)}]) u
+  from (select *, first({'i': i, 'j': j, 'n': n}) over (partition by pid, part order by n desc, i, j) b from cuts)) where u.n > 0),
+sums as (select pid, sum(n) m from (select pid, depth, part, max(n) n from cuts group by all) group by pid),
+sided as (select texts.*, coalesce(2.0::double * m / (length(ta) + length(tb)), 0.0::double) ratio from texts left join pairs using (ta, tb) left join sums using (pid))"""
+LEXICAL = f"case when len(lw) = 0 or len(rw) = 0 then 0.0::double else greatest({JACCARD}, 0.35::double * ratio) end"
+
+#: sums of the words' vectors over both sides of each gap; a word's place is 1 if that digit of its hash is at least 8
+PLACES = range(16)
+_UNIT = ", ".join(f"case when not wd2 then 0 when md5('gap:0:' || low)[{k + 1}] >= '8' then 1 else -1 end v{k}" for k in PLACES)
+_DOT = lambda x, y: "(" + " + ".join(f"{x}{k} * {y}{k}" for k in PLACES) + ")::double"
+VECTORS = f"""unit as (select rid, src, chunk, pos, {_UNIT} from (select *, regexp_matches(token, '[A-Za-z0-9]') wd2 from flagged)),
+vec as (select rid, src, chunk, pos, {", ".join(f"coalesce(sum(v{k}) over l, 0) l{k}, sum(v{k}) over g g{k}" for k in PLACES)} from unit
+  window l as (partition by rid, src, chunk order by pos rows between {w} preceding and 1 preceding), g as (partition by rid, src, chunk order by pos rows between current row and {w - 1} following)),
+met as (select rid, src, chunk, pos, {_DOT("l", "g")} lg, sqrt({_DOT("l", "l")}) * sqrt({_DOT("g", "g")}) size from vec),
+sided as (select base.*, case when size > 0 then greatest(0.0::double, least(1.0::double, (lg / size + 1.0::double) / 2.0::double)) else 0.0::double end cosine
+  from base join met using (rid, src, chunk, pos))"""
+
 VALLEY = f"""nb as (select *, count(k) over x + count(k) over y nn, coalesce(sum(k) over x, 0) + coalesce(sum(k) over y, 0) ss, coalesce(sum(k * k) over x, 0) + coalesce(sum(k * k) over y, 0) qq,
   lag(k) over z kb, lead(k) over z ka from scored window z as (partition by rid, src, chunk order by pos),
   x as (partition by rid, src, chunk order by pos rows between {r} preceding and 1 preceding), y as (partition by rid, src, chunk order by pos rows between 1 following and {r} following)),
@@ -78,7 +111,7 @@ picked as (select rid, src, chunk, list_reduce(list_prepend(cast([] as bigint[])
   case when c[1] >= {CONFIG.min_segment_tokens} and n - c[1] >= {CONFIG.min_segment_tokens} and len(list_filter(acc, lambda e: abs(c[1] - e) < {max(CONFIG.min_segment_tokens, CONFIG.nms_radius + 1)})) = 0 then list_concat(acc, c) else acc end) sel from ordered),
 chosen as (select rid, src, chunk, unnest(sel) pos from picked)"""
 
-WITH_GAPS = f"with recursive {TRANSCRIPTS}, {FLAGS}"
+WITH_GAPS = f"with recursive {TRANSCRIPTS}, {FLAGS}, {signals()}"
 WITH_VALLEY = f"{WITH_GAPS}, {VALLEY}"
 KEY = "rid, src, chunk"
 SENTENCE_END = "('.', '?', '!', ';', ':')"
@@ -180,18 +213,57 @@ def _key(x: str) -> str:
 
 
 def _tags() -> str:
-    return " ".join(f"when lower(w) in ({q(these.split())}) then '{tag}'" for tag, these in POS)
-
+    these = " ".join(f"when lw in ({q(these.split())}) then '{tag}'" for tag, these in POS)
+    return these + " " + " ".join(f"when regexp_matches(lw, '({'|'.join(ends)})$') then '{tag}'" for tag, ends in ENDINGS)
+
+
+def _cost(n: str, total: str, kinds: str) -> str:
+    return f"floor(-1000 * ln((coalesce({n}, 0) + {tagging.ADDED}::double) / ({total} + {tagging.ADDED}::double * {kinds})) + 0.5)::bigint"
+
+
+def _kept(name: str, key: str) -> str:
+    """Costs by tag of the most frequent keys of ``silver``."""
+    return f"""{name}_n as (select {key} key, tag, count(*) n from silver group by all),
+{name}_k as (select key from {name}_n group by key order by sum(n) desc, key limit {tagging.KEPT}),
+{name} as (select k.key, list({_cost("c.n", "t.n", f"((select count(*) from {name}_k) + 1)")} order by t.tag) cost from {name}_k k cross join tagn t left join {name}_n c on c.key = k.key and c.tag = t.tag group by k.key)"""
+
+
+#: counts of a hidden Markov model, and the least costs by tag, word after word; back from the last word along the steps that gave them
+TAGGER = f"""pp as (select {KEY}, off, toks, regexp_extract_all({DETOK.format("toks")}, {lit(tagging.TOKEN)}) pw from placed),
+pw1 as (select {KEY}, pw, unnest(pw) w, generate_subscripts(pw, 1) - 1 i from pp),
+said as (select *, lower(w) lw from pw1),
+silver as (select *, case when regexp_full_match(lw, '[^a-z0-9]+') then 'PUNCT' when regexp_full_match(lw, '[0-9]+') then 'NUM' {_tags()} else 'NOUN' end tag
+  from said where split_part(rid, '_', 1)::bigint % 2 = 0),
+tagn as (select tag, count(*) n, row_number() over (order by tag) ix from silver group by tag),
+{_kept("bywords", "lw")}, {_kept("byends", "right(lw, 3)")},
+went as (select coalesce(lag(tag) over (partition by {KEY} order by i), '<s>') prev, tag from silver),
+froms as (select prev, count(*) n from went group by prev),
+stepn as (select prev, tag, count(*) n from went group by all),
+stepc as (select f.prev, list({_cost("c.n", "f.n", "(select count(*) from tagn)")} order by t.tag) cost from
+  (select p.prev, coalesce(n, 0) n from (select tag prev from tagn union all select '<s>') p left join froms using (prev)) f
+  cross join tagn t left join stepn c on c.prev = f.prev and c.tag = t.tag group by f.prev),
+hmm as (select list(cost order by prev) filter (where prev <> '<s>') step, any_value(cost) filter (where prev = '<s>') start, (select list(tag order by tag) from tagn) tags from stepc),
+emit as (select {KEY}, i, w, len(pw) m, coalesce(a.cost, b.cost, list_transform(tags, lambda x: 0::bigint)) own
+  from said left join bywords a on a.key = lw left join byends b on b.key = right(lw, 3) cross join hmm),
+vit as (select {KEY}, i, m, list_transform(range(len(tags)), lambda t: start[t + 1] + own[t + 1]) sc, list_transform(tags, lambda x: 0::bigint) bp from emit cross join hmm where i = 0
+  union all select {KEY}, i, m, list_transform(range(len(own)), lambda t: list_min(ways[t + 1]) + own[t + 1]), list_transform(ways, lambda x: list_position(x, list_min(x))::bigint)
+  from (select e.rid, e.src, e.chunk, e.i, e.m, own, list_transform(range(len(own)), lambda t: list_transform(range(len(own)), lambda s: sc[s + 1] + step[s + 1][t + 1])) ways
+    from vit join emit e on e.rid = vit.rid and e.src = vit.src and e.chunk = vit.chunk and e.i = vit.i + 1 cross join hmm)),
+back as (select {KEY}, i, list_position(sc, list_min(sc))::bigint ix from vit where i = m - 1
+  union all select {KEY}, v.i - 1, v.bp[ix] from back join vit v using ({KEY}, i) where v.i > 0),
+pt as (select {KEY}, i, w, tags[ix] tag from back join said using ({KEY}, i) cross join hmm)"""
 
 _AHEAD = "coalesce(list_position(list_transform(kt[acc.nxt + 1 : acc.nxt + 4], lambda y: y.k = x.k or y.t = x.w), true), 0)"
 _ZERO = "'nxt': 0::bigint, 'pl': cast([] as bigint[])"
 _HEADS = "('NOUN', 'PROPN', 'ADJ', 'VERB', 'AUX', 'PRON', 'NUM')"
-PARSER = f"""pp as (select {KEY}, off, toks, list_filter(string_split(regexp_replace(array_to_string(toks, ' '), '([''’]|ing\\b)', ' \\1', 'g'), ' '), lambda w: w <> '') pw from placed),
-pr as (select {KEY}, pw, unnest(pw) w, generate_subscripts(pw, 1) - 1 i from pp),
-pt as (select *, case when regexp_full_match(w, '[.!?;:,]') then 'PUNCT' {_tags()} when length(w) % 3 = 0 then 'VERB' when length(w) % 5 = 0 then 'ADJ' else 'NOUN' end tag,
-  len(list_filter(pw[1 : i], lambda x: x in ('.', '!', '?'))) sent from pr),
-pd as (select {KEY}, i, w, tag, sent, case when tag = 'DET' then 'det' when tag = 'AUX' then 'aux' when tag = 'ADP' then 'prep' when length(w) % 7 = 0 then 'compound' else 'dep' end dep,
-  w in ('.', '!', '?') ends, case when tag in ('DET', 'ADJ', 'NOUN') then i // 4 end nc from pt),
+PARSER = f"""{TAGGER},
+px as (select *, tag in ({q(tagging.NOMINAL)}) nominal, w in ('.', '!', '?') ends from pt),
+py as (select *, nominal and not coalesce(lag(nominal) over p, false) head, lead(tag) over p after from px window p as (partition by {KEY} order by i)),
+pd as (select {KEY}, i, w, tag, ends, coalesce(sum(ends::int) over (p rows between unbounded preceding and 1 preceding), 0) sent,
+  case when nominal then sum(head::int) over (p rows between unbounded preceding and current row) end nc,
+  case when tag = 'DET' then 'det' when tag = 'AUX' then 'aux' when tag = 'ADP' then 'prep' when tag = 'ADJ' and after in ('ADJ', 'NOUN', 'PROPN') then 'amod'
+    when tag = 'NUM' and after in ('NOUN', 'PROPN') then 'nummod' when tag in ('NOUN', 'PROPN') and after in ('NOUN', 'PROPN') then 'compound' else 'dep' end dep
+  from py window p as (partition by {KEY} order by i)),
 pk as (select *, list_transform(pw, lambda w: {{'k': {_key('w')}, 't': w}}) kt from pp where len(toks) > 0),
 pa as (select {KEY}, off, list_reduce(list_prepend({{{_ZERO}, 'w': '', 'k': ''}}, list_transform(toks, lambda w: {{{_ZERO}, 'w': w, 'k': {_key('w')}}})),
   lambda acc, x: list_transform([case when x.k <> '' or x.w in ({PUNCT}) then {_AHEAD} else 0 end],
@@ -447,7 +519,8 @@ lefts as (select i.item, i.rid, i.src, i.gap, p.txt lt, p.z lz, p.prev from item
 rights as (select l.*, p.txt rt from lefts l asof left join prior p on l.rid = p.rid and l.src = p.src and l.gap <= p.a)
 select item "Annotation_Item_ID", case when lz = gap then prev else '' end "Previous_Segment", coalesce(lt, '') "Left_Segment", coalesce(rt, '') "Right_Segment" from rights""",
     "q_matrix": _q_matrix(),
-    "parser_legality": f"""with {TRANSCRIPTS}, {PARSER} select rid "Record_ID", gap::int gap, leg spacy_legality, why_text spacy_legality_reason, lt spacy_left_pos, rd spacy_right_dep,
+    "tagged_words": f"""with recursive {TRANSCRIPTS}, {TAGGER} select rid "Record_ID", chunk::int chunk, i::int "at", w word, tag from pt""",
+    "parser_legality": f"""with recursive {TRANSCRIPTS}, {PARSER} select rid "Record_ID", gap::int gap, leg spacy_legality, why_text spacy_legality_reason, lt spacy_left_pos, rd spacy_right_dep,
 same spacy_same_sentence, sb spacy_sentence_boundary, nc spacy_inside_noun_chunk from parser""",
     "legality_modes": f"""{WITH_GAPS}, {PARSER}, {MODES} select rid "Record_ID", gap::int gap, bl boundary_legality,
 array_to_string(list_filter([nullif(con, ''), nullif(why_text, '')], lambda x: x is not null), ';') legality_reason,
@@ -485,6 +558,10 @@ len(regexp_extract_all(array_to_string(string_split(coalesce(text, ''), ' ')[1 :
 unnest([(select count(*) from conversations)::varchar, {", ".join(lit(str(v)) for v in asdict(CONFIG).values())}]) "Value\"""",
     "gap_density_signals": f"""{WITH_GAPS} select rid "Record_ID", gap::int gap, {r4('dt')} task_density, {r4('m')} metacognitive_reset, {r4('a')} affective_friction, {r4('rr')} structural_break from scored""",
     "gap_continuity": f"""{WITH_GAPS} select rid "Record_ID", gap::int gap, {r4('s')} semantic_continuity, {r4('dp')} semantic_drop_component, {r4('sh')} cognitive_cue_shift, {r4('ec')} cognitive_cue_evidence from scored""",
+    "lexical_continuity": f"""with recursive {TRANSCRIPTS}, {FLAGS}, {BLOCKS}, {signals(LEXICAL, "sided")}
+select rid "Record_ID", gap::int gap, {r4('s')} semantic_continuity, g semantic_gravity from scored""",
+    "encoded_continuity": f"""with recursive {TRANSCRIPTS}, {FLAGS}, {VECTORS}, {signals("cosine", "sided")}
+select rid "Record_ID", gap::int gap, {r4('s')} semantic_continuity, g semantic_gravity from scored""",
     "gap_pressure_gravity": f"""{WITH_GAPS} select rid "Record_ID", gap::int gap, {r4('c')} cognitive_transition, {r4('p')} transition_pressure, {r4('raw')} raw_semantic_gravity, g semantic_gravity from scored""",
     "gap_legality_rules": f"""{WITH_GAPS} select rid "Record_ID", gap::int gap, left_token, token right_token, reason rule_constraint_reason, case when reason <> '' then 'illegal' else 'legal' end boundary_legality, boost sentence_boundary_boost from scored""",
     "valley_candidates": f"""{WITH_VALLEY} select rid "Record_ID", gap::int gap, cand candidate_boundary, reason <> '' constraint_blocked from valley""",

@@ -5,15 +5,17 @@ The synthetic prose has few of the default cue words, so the queries pass a voca
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import gapline
 from gapline import config as C
 from gapline.config import Config, Vocabulary
 from gapline.functions import text as T
-from gapline.operators import agreement, corpus, decode, frames, gaps, qc, sampling
+from gapline.operators import agreement, corpus, decode, frames, gaps, qc, sampling, tagging
 from gapline.plans import ledger, segmentation
 from gapline.sources import tables
 
@@ -200,10 +202,19 @@ def boundary_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lexical_continuity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Continuity with the sequence ratio, the default; SQL has no such ratio."""
+    """Continuity with the sequence ratio, the default."""
     return _gaps(spark, sf_dir, Config(continuity="lexical")).select("Record_ID", "gap", "semantic_continuity", "semantic_gravity")
 
 
+#: a model in a file: words as random directions
+MODEL = os.path.join(os.path.dirname(gapline.__file__), "models", "words16.json")
+
+
+def encoded_continuity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Continuity by the vectors that a model gives the two sides."""
+    return _gaps(spark, sf_dir, Config(continuity=MODEL)).select("Record_ID", "gap", "semantic_continuity", "semantic_gravity")
+
+
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _segments(spark, sf_dir)[0]
 
@@ -483,44 +494,42 @@ def column_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(found, "kind string, column_name string")
 
 
-#: stand-ins for a parser's tags, by frequent words and endings
-_POS = (
+#: silver tags to train the tagger on: frequent words, then endings, else NOUN
+POS = (
     ("DET", "the a la le der die el"),
-    ("AUX", "is are was be"),
-    ("ADP", "of in to for with de en du von"),
+    ("AUX", "is are was be ist est"),
+    ("ADP", "of in to for with de en du von zu"),
     ("PRON", "it this that il er"),
 )
+ENDINGS = (("ADV", ("ly",)), ("VERB", ("ing", "ed", "en", "er")), ("ADJ", ("al", "ous", "ich", "que")))
 
 
-def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tokens of a made-up parser for each chunk: the text's words and marks, cut at apostrophes and before ``ing``, so that some don't align."""
-    c = gaps.chunks(transcripts(spark, sf_dir), False)
-    text = F.regexp_replace(F.array_join("tokens", " "), "(['’]|ing\\b)", " $1")
-    c = c.select(*gaps.CHUNK, F.filter(F.split(text, " "), lambda w: w != "").alias("words"))
-    words = F.col("words")
-
-    def token(w, i):
-        low = F.lower(w)
-        pos = F.when(low.rlike("^[.!?;:,]$"), "PUNCT")
-        for tag, these in _POS:
-            pos = pos.when(low.isin(*these.split()), tag)
-        pos = pos.when(F.length(w) % 3 == 0, "VERB").when(F.length(w) % 5 == 0, "ADJ").otherwise("NOUN")
-        dep = F.when(pos == "DET", "det").when(pos == "AUX", "aux").when(pos == "ADP", "prep").when(
-            F.length(w) % 7 == 0,
-            "compound",
-        ).otherwise("dep")
-        ends = F.size(F.filter(F.slice(words, F.lit(1), i), lambda x: x.isin(".", "!", "?")))
-        return F.struct(
-            w.alias("text"),
-            pos.alias("pos"),
-            dep.alias("dep"),
-            ends.alias("sentence"),
-            w.isin(".", "!", "?").alias("ends"),
-            (pos == "PUNCT").alias("punct"),
-            F.when(pos.isin("DET", "ADJ", "NOUN"), F.floor(i / 4).cast("int")).alias("noun_chunk"),
-        )
+def _silver(word):
+    low = F.lower(word)
+    out = F.when(low.rlike("^[^a-z0-9]+$"), "PUNCT").when(low.rlike("^[0-9]+$"), "NUM")
+    for tag, these in POS:
+        out = out.when(low.isin(*these.split()), tag)
+    for tag, ends in ENDINGS:
+        out = out.when(low.rlike(f"({'|'.join(ends)})$"), tag)
+    return out.otherwise("NOUN")
 
-    return c.select(*gaps.CHUNK, F.transform(words, token).alias("parsed"))
+
+def _tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every chunk's words with tags, by a tagger trained on silver tags of the even conversations."""
+    spoken = tagging.words(gaps.chunks(transcripts(spark, sf_dir), False))
+    even = spoken.where(F.substring_index("Record_ID", "_", 1).cast("long") % 2 == 0)
+    silver = even.select(F.transform("words", lambda w: F.struct(w.alias("text"), _silver(w).alias("tag"))).alias("tagged"))
+    return tagging.tag(spoken, tagging.tagger(tagging.train(silver)))
+
+
+def tagged_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _tagged(spark, sf_dir)
+    pair = F.posexplode(F.arrays_zip("words", "tags")).alias("at", "x")
+    return t.select("Record_ID", "chunk", pair).select("Record_ID", "chunk", "at", F.col("x.words").alias("word"), F.col("x.tags").alias("tag"))
+
+
+def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tagging.parse(_tagged(spark, sf_dir))
 
 
 def parser_legality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -688,6 +697,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         boundary_select,
         boundary_evidence,
         lexical_continuity,
+        encoded_continuity,
         segments,
         segment_types,
         forced_split,
@@ -716,6 +726,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         event_history,
         latest_artifact,
         column_inference,
+        tagged_words,
         parser_legality,
         legality_modes,
         label_migration,

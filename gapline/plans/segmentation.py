@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gapline.config import Config, Vocabulary
-from gapline.operators import decode, gaps
+from gapline.operators import decode, gaps, tagging
 from gapline.sources.tables import with_row_numbers
 
 #: boundary table, in order, after the record's keys
@@ -80,19 +80,23 @@ def segment(
     vocabulary: Vocabulary | None = None,
     config: Config | None = None,
     clean_text: bool = True,
-    parser: DataFrame | None = None,
+    parser: DataFrame | str | None = None,
     text_similarity: Callable[[Column, Column], Column] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(segments, boundaries) of ``transcripts`` (Record_ID, Source_Row, Source_Column, text).
 
+    ``parser`` is the path of a saved tagger (:mod:`gapline.operators.tagging`) or a table of :func:`gapline.operators.gaps.parser_legality`.
     Decoding reads the scores twice (to choose, and to mark), so they are kept, a few columns wide, for both; a lost part is
-    recomputed. The wide evidence is scored again if it is asked for, unless the sequence ratio or ``text_similarity`` (see
+    recomputed. The wide evidence is scored again if it is asked for, unless the sequence ratio, a model or ``text_similarity`` (see
     :func:`gapline.operators.gaps.encoded_similarity`) makes that dear: then it is what is kept.
     ``unpersist`` or the catalog's ``clearCache`` releases it."""
     c = config or Config()
-    tokens = gaps.tokens(gaps.chunks(transcripts, clean_text))
+    chunked = gaps.chunks(transcripts, clean_text)
+    tokens = gaps.tokens(chunked)
+    if isinstance(parser, str):
+        parser = tagging.legality(chunked, parser)
     scored = decode.valleys(gaps.score(tokens, vocabulary, c, parser, text_similarity=text_similarity), c)
-    if c.continuity == "lexical" or text_similarity is not None:
+    if c.continuity != "jaccard" or text_similarity is not None:
         scored = scored.persist()
         chosen = decode.select(scored, c)
         return decode.cap_segments(decode.segments(tokens, chosen), c), chosen.select(*gaps.RECORD, *EVIDENCE)
