@@ -5,10 +5,15 @@ presence in ``width`` hashed places. The kernel of two texts is the cosine of th
 sample give a Nyström map; one-versus-rest ridge regression on it gives a score for each language. Batches of documents are scored
 by two matrix products (presence by landmarks, kernels by weights).
 
-Training uses about ``fit_rows`` labelled rows, twice as many at most, spread evenly over the labels by a hash of the id; only their
-presence bits (width / 8 bytes each) reach the driver. Every label takes part with a row and a landmark at least; more labels than
-``fit_rows`` / 2 are an error. Null text, or text without a letter, is ``und`` with score 0; with no labelled rows all
-are ``und``. Rows with the same or a null id are scored on their own; ``lang`` is null-safe and only used for training.
+Training uses about ``fit_rows`` labelled rows, twice as many at most, spread evenly over the labels; only their presence bits (width / 8
+bytes each) reach the driver. The draw is a hash of id and text, and a label's rows are taken in the order of it, so the same rows are
+drawn however the table is split, and rows with one id, or none, are told apart by their texts; rows that agree in both give the same
+bits, whichever is taken. Every label takes part with a row and a landmark at least; more labels than ``fit_rows`` / 2 are an error, and
+nothing else is.
+
+Null text, or text without a letter, is ``und`` with score 0; with no labelled rows, or none at all, all are ``und``, and an empty table
+gives an empty result. Texts of any length are read whole. Rows with the same or a null id are scored on their own; ``lang`` is null-safe
+and only used for training. :func:`identify` reads id and text only; :func:`tag` keeps all columns and replaces those named as its own.
 """
 
 from __future__ import annotations
@@ -18,7 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -96,7 +101,7 @@ def fit(
     rows = docs.where(
         usable & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.col("lang") != UND)
     ).select(F.col("doc_id").cast("string").alias("k"), "lang", "text")
-    draw = F.pmod(F.xxhash64("k", F.lit(7)), F.lit(1_000_000)) / F.lit(1e6)
+    draw = F.pmod(F.xxhash64("k", "text", F.lit(7)), F.lit(1 << 52)) / F.lit(float(1 << 52))
     per = rows.groupBy("lang").agg(
         F.count("*").alias("n"),
         F.min(draw).alias("least"),
@@ -106,9 +111,14 @@ def fit(
     if len(per) > fit_rows // 2:
         raise ValueError(f"more than {fit_rows // 2} labels: fit_rows = {fit_rows} can't hold them all")
     each = fit_rows // len(per)
-    below = [(r["lang"], max(min(1.0, 1.2 * each / r["n"]), r["least"] + 5e-7)) for r in per]  # the row of the least draw is always in
+    below = [(r["lang"], max(min(1.0, 1.2 * each / r["n"]), r["least"])) for r in per]  # the row of the least draw is always in
     below = F.broadcast(docs.sparkSession.createDataFrame(below, "lang string, below double"))
-    picked = rows.join(below, "lang").where(draw < F.col("below")).select("lang", "text", F.xxhash64("k", F.lit(8)).alias("o"))
+    picked = rows.withColumn("draw", draw).join(below, "lang").where("draw <= below")
+    # many rows may agree in id and text; each task keeps the first of a label before they are dealt (window group limit)
+    picked = picked.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("draw", F.xxhash64("text")))).where(
+        F.col("rank") <= 2 * each
+    )
+    picked = picked.select("lang", "text", F.xxhash64("k", "text", F.lit(8)).alias("o"))
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -122,12 +132,10 @@ def fit(
             )
 
     got = sorted(
-        picked.mapInArrow(lean(bits), "lang string, o long, bits binary").limit(2 * fit_rows).collect(),
+        picked.mapInArrow(lean(bits), "lang string, o long, bits binary").collect(),
         key=lambda r: (r["o"], r["lang"], r["bits"]),
     )
     labels = sorted({r["lang"] for r in got})
-    if len(labels) < len(per):
-        raise ValueError(f"{len(per) - len(labels)} labels have no row within twice fit_rows = {fit_rows}")
     x = np.array([np.unpackbits(np.frombuffer(r["bits"], np.uint8)) for r in got], np.float32)
     x /= np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))
     turn: dict[str, int] = {}
