@@ -290,7 +290,9 @@ def score(
     sides' texts (see :func:`encoded_similarity`).
     ``parser`` is a table of :func:`parser_legality`; without one only the rules hold."""
     v, c = vocabulary or Vocabulary(), config or Config()
-    by = Window.partitionBy(*CHUNK).orderBy("pos")
+    # tokens in blocks come with those of the neighbouring blocks that windows reach (see gapline.operators.wide)
+    blocks = [x for x in ("block", "own") if x in tokenized.columns]
+    by = Window.partitionBy(*CHUNK, *blocks[:1]).orderBy("pos")
     w = c.context_width
     left, right, around = by.rowsBetween(-w, -1), by.rowsBetween(0, w - 1), by.rowsBetween(-w, w - 1)
     low = F.lower("token")
@@ -410,6 +412,7 @@ def score(
         "n_tokens",
         "pos",
         "gap",
+        *blocks,
         "left_token",
         F.col("token").alias("right_token"),
         *[four_places(F.col(x)).alias(k) for k, x in numbers.items()],

@@ -550,9 +550,11 @@ lists as (select s, coalesce(list("Cue" order by rk) filter (where not contains(
   from (values ('C_t'), ('M_t'), ('A_t'), ('R_t')) v(s) left join (select * from top where rk <= 20) t on s = "Signal" group by s)
 select '{{' || string_agg('"' || s || '":' || {_VALUE}, ',' order by s) || '}}' vocabulary from lists""",
     "corpus_report": _report(),
-    "document_ids": f"""select doc_id, 'ETE21_' || lpad(doc_id::varchar, 4, '0') id, case when doc_id % 2 = 0 then 'ETE21_' || lpad(doc_id::varchar, 4, '0') else '' end mentioned, 1::bigint artifacts,
-len(regexp_extract_all(array_to_string(string_split(coalesce(text, ''), ' ')[1 : 3], ' ') || ' see '
-  || case when doc_id % 2 = 0 then 'ete21-' || lpad(doc_id::varchar, 4, '0') else 'ET-99' end || ' now', {WORD}))::bigint words from documents""",
+    "document_ids": f"""with x as (select doc_id, 'ete21-' || lpad(doc_id::varchar, 4, '0') stem, coalesce(text, '') t from documents),
+y as (select *, t || case when doc_id % 3 = 0 then ' see ' || stem else '' end || case when doc_id % 2 = 0 then chr(2) else '' end s from x)
+select doc_id, upper(replace(stem, '-', '_')) id, upper(replace(coalesce(regexp_extract(s, {lit(T.MENTIONED)}, 1), ''), '-', '_')) mentioned,
+  (len(regexp_extract_all(s, {lit(f"(?:{T.LOST})+")})) + len(regexp_extract_all(s, {lit(T.CONTROL_CHARS)})) + length(s) - length(replace(s, '�', '')))::bigint artifacts,
+  len(regexp_extract_all(s, {WORD}))::bigint words from y""",
     "source_rows": """select n_nationkey::varchar "Record_ID", row_number() over (order by n_nationkey) + 1 "Source_Row", 'n_name' "Source_Column", md5(n_name) text_md5 from nation""",
     "run_facts": f"""select unnest([{", ".join(lit(k) for k in ("rows", *asdict(CONFIG)))}]) "Field",
 unnest([(select count(*) from conversations)::varchar, {", ".join(lit(str(v)) for v in asdict(CONFIG).values())}]) "Value\"""",
@@ -621,7 +623,9 @@ select vec_id, round(a / (a + b + c + d), 4) "gS", round(b / (a + b + c + d), 4)
 select vec_id, round(greatest(0.0, least(1.0, (list_inner_product(x, y) / (sqrt(list_inner_product(x, x)) * sqrt(list_inner_product(y, y))) + 1.0) / 2.0))::double, 4) continuity from e where y is not null""",
     "event_history": "select event_id id, user_id, event_type from events order by event_id desc limit 100",
     "latest_artifact": "select user_id, max(event_id) event_id, max_by(event_type, event_id) event_type, max_by(value, event_id) as value from events group by user_id",
-    "column_inference": "select * from (values ('id', 'ID'), ('text', 'text')) v(kind, column_name)",
+    "column_inference": """with c as (select conv_id || '_' || turn rid, turn::bigint src, unnest([{'k': 'Response 1', 't': turn::varchar}, {'k': 'Choice', 't': role},
+    {'k': 'item 2', 't': text}, {'k': 'Item 10', 't': upper(role)}, {'k': 'Remarks', 't': role}]) x from conversations)
+select rid "Record_ID", src "Source_Row", x.k "Source_Column", md5(x.t) text_md5 from c where regexp_matches(x.k, '(?i)^Item\\s*\\d+$')""",
 }
 
 

@@ -489,9 +489,18 @@ def latest_artifact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def column_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "conversations").withColumnRenamed("conv_id", "ID")
-    found = [("id", tables.infer_id_column(c)), *[("text", x) for x in tables.infer_text_columns(c, None, "ID")]]
-    return spark.createDataFrame(found, "kind string, column_name string")
+    """Text cells of the columns that inference picks, in long form, of the turns under the names that a form export gives its columns."""
+    c = table(spark, sf_dir, "conversations").select(
+        F.col("turn").alias("Response 1"),
+        F.col("role").alias("Choice"),
+        F.concat_ws("_", "conv_id", "turn").alias("Student_ID"),
+        F.col("text").alias("item 2"),
+        F.upper("role").alias("Item 10"),
+        F.col("role").alias("Remarks"),
+    )
+    key = tables.infer_id_column(c)
+    cells = segmentation.long_form(c, key, tables.infer_text_columns(c, None, key), row_column="Response 1")
+    return cells.select("Record_ID", "Source_Row", "Source_Column", F.md5("text").alias("text_md5"))
 
 
 #: silver tags to train the tagger on: frequent words, then endings, else NOUN
@@ -648,15 +657,11 @@ def corpus_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def document_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ids from file names and from texts, and raw artifacts."""
+    """Ids from file names and from the whole texts, in which every third document is mentioned at the end; raw artifacts and words of the texts."""
     d = table(spark, sf_dir, "documents")
     stem = F.concat(F.lit("ete21-"), F.lpad(F.col("doc_id").cast("string"), 4, "0"))
-    text = F.concat(
-        F.substring_index(F.coalesce("text", F.lit("")), " ", 3),
-        F.lit(" see "),
-        F.when(F.col("doc_id") % 2 == 0, stem).otherwise("ET-99"),
-        F.lit("\x02 now"),
-    )
+    said = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit(" see "), stem)).otherwise("")
+    text = F.concat(F.coalesce("text", F.lit("")), said, F.when(F.col("doc_id") % 2 == 0, "\x02").otherwise(""))
     return d.select(
         "doc_id",
         T.source_id(stem).alias("id"),

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gapline.config import Config, Vocabulary
-from gapline.operators import decode, gaps, tagging
+from gapline.operators import decode, gaps, tagging, wide
+from gapline.sources.shared import Scope
 from gapline.sources.tables import with_row_numbers
 
 #: boundary table, in order, after the record's keys
@@ -55,6 +56,8 @@ def boundary_table(
     return tokens, decode.select(decode.valleys(gaps.score(tokens, vocabulary, config, parser), config), config)
 
 
+#: characters of a record that one task can hold as tokens and gaps
+LONG = 1_000_000
 #: what decoding and segment means need of a gap
 NARROW = tuple(
     dict.fromkeys(
@@ -82,15 +85,28 @@ def segment(
     clean_text: bool = True,
     parser: DataFrame | str | None = None,
     text_similarity: Callable[[Column, Column], Column] | None = None,
+    long_text: int | None = LONG,
 ) -> tuple[DataFrame, DataFrame]:
     """(segments, boundaries) of ``transcripts`` (Record_ID, Source_Row, Source_Column, text).
 
+    Records with more than ``long_text`` characters are shared out to many tasks (:mod:`gapline.operators.wide`), with the same results; they are
+    looked for first. None: there are none to look for.
     ``parser`` is the path of a saved tagger (:mod:`gapline.operators.tagging`) or a table of :func:`gapline.operators.gaps.parser_legality`.
     Decoding reads the scores twice (to choose, and to mark), so they are kept, a few columns wide, for both; a lost part is
     recomputed. The wide evidence is scored again if it is asked for, unless the sequence ratio, a model or ``text_similarity`` (see
     :func:`gapline.operators.gaps.encoded_similarity`) makes that dear: then it is what is kept.
     ``unpersist`` or the catalog's ``clearCache`` releases it."""
     c = config or Config()
+    if long_text is not None and not (far := transcripts.where(F.length("text") > long_text)).isEmpty():
+        near = transcripts.where(F.length("text").isNull() | (F.length("text") <= long_text))
+        seg, bound = _segment(near, vocabulary, c, clean_text, parser, text_similarity)
+        seg2, bound2 = _segment_long(far, vocabulary, c, clean_text, parser, text_similarity)
+        return decode.cap_segments(seg.unionByName(seg2), c), bound.unionByName(bound2)
+    seg, bound = _segment(transcripts, vocabulary, c, clean_text, parser, text_similarity)
+    return decode.cap_segments(seg, c), bound
+
+
+def _segment(transcripts, vocabulary, c: Config, clean_text: bool, parser, text_similarity) -> tuple[DataFrame, DataFrame]:
     chunked = gaps.chunks(transcripts, clean_text)
     tokens = gaps.tokens(chunked)
     if isinstance(parser, str):
@@ -99,11 +115,24 @@ def segment(
     if c.continuity != "jaccard" or text_similarity is not None:
         scored = scored.persist()
         chosen = decode.select(scored, c)
-        return decode.cap_segments(decode.segments(tokens, chosen), c), chosen.select(*gaps.RECORD, *EVIDENCE)
+        return decode.segments(tokens, chosen), chosen.select(*gaps.RECORD, *EVIDENCE)
     chosen = decode.select(scored.select(*NARROW).persist(), c)
     marks = chosen.where("selected_boundary").select(*gaps.CHUNK, "pos", "selected_boundary", "forced_max_length_boundary")
-    wide = scored.join(marks, [*gaps.CHUNK, "pos"], "left").na.fill(False, ["selected_boundary", "forced_max_length_boundary"])
-    return decode.cap_segments(decode.segments(tokens, chosen), c), wide.select(*gaps.RECORD, *EVIDENCE)
+    wide_rows = scored.join(marks, [*gaps.CHUNK, "pos"], "left").na.fill(False, ["selected_boundary", "forced_max_length_boundary"])
+    return decode.segments(tokens, chosen), wide_rows.select(*gaps.RECORD, *EVIDENCE)
+
+
+def _segment_long(transcripts, vocabulary, c: Config, clean_text: bool, parser, text_similarity, block: int = wide.BLOCK) -> tuple[DataFrame, DataFrame]:
+    """The same for very long records, a record in many tasks. What it writes to the shared folder stays for the results."""
+    scope = Scope(transcripts.sparkSession)
+    if isinstance(parser, str):
+        parser = tagging.legality(gaps.chunks(transcripts, clean_text), parser)
+    tokens = scope.keep(wide.tokens(transcripts, scope, clean_text))
+    around = wide.in_blocks(tokens, c.context_width + c.local_radius + 1, block)
+    scored = scope.keep(decode.valleys(gaps.score(around, vocabulary, c, parser, text_similarity=text_similarity), c))
+    chosen = scope.keep(wide.select(scored, c, scope, block))
+    own = wide.numbered(decode.with_scores(tokens, chosen), block)
+    return decode.number_segments(decode.segment_bodies(own)), chosen.select(*gaps.RECORD, *EVIDENCE)
 
 
 def run_metadata(spark, config: Config, **facts: object) -> DataFrame:
