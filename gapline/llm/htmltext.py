@@ -12,10 +12,11 @@ counts, over all of them, in one pass with partial sums,
 * for each tag, how often it stands inside and outside;
 * the same for words and tags of such pages that are in the article, and that are beside it.
 
-So on a page with an article, what is beside it scores next to nothing, whatever its names. On other pages the names decide: a word
+So on a page with an article, what is beside it scores next to nothing, whatever its names, and is left out of a region that holds words of articles. On other
+pages the names decide (with the sample's article tags renamed, all texts still come out the same): a word
 scores by the worst name around it, a tag by its own counts. ``PRIOR`` pages are added to the counts of names in common use
-(``PRIOR_OUT``), also as all parts of a longer name (``site-footer``, but not ``has-footer``, ``comments-open`` or ``header-wrap``); what the pages show goes
-against them. Names that no page shows say nothing. An element is outside if its name's log-odds are below -``SURE``; ``html`` and ``body``
+(``PRIOR_OUT``), also as all parts of a longer name (``site-footer``, but not ``entry-header``), or, for ``ZONES``, as any part of one (``reader-comments``,
+``cookie-notice-wrapper``, but not ``has-sidebar`` or ``comments-open``); what the pages show goes against them. Names that no page shows say nothing. An element is outside if its name's log-odds are below -``SURE``; ``html`` and ``body``
 never are. Articles in outside elements count only if a page has no other article.
 
 Counts of the ``kept`` most frequent names are sent to the executors; pages with other names get theirs from a table, joined by name.
@@ -63,10 +64,21 @@ PRIOR_OUT = frozenset(
     reply replies respond discussion social share sharing related recommended widget complementary contentinfo search pagination pager copyright legal skip""".split()
 )
 ARTICLE = frozenset("article main".split())
+#: those of them that make any longer name outside, whatever its other parts are
+ZONES = frozenset(
+    """nav navigation navbar sidebar breadcrumb breadcrumbs toolbar topbar notice cookie cookies consent gdpr popup modal newsletter subscribe signup ad ads advert
+    adverts advertisement advertising sponsor sponsored promo promotion comment comments disqus social share sharing related recommended pagination pager""".split()
+)
+#: parts that tell of a layout or a state instead (``has-sidebar``, ``comments-open``, ``sidebar-layout``)
+STATES = frozenset(
+    "has no with without not is show hide hidden open closed enabled disabled wrap layout template theme content free".split()
+)
 #: parts of a class name or id that leave the rest its meaning
 PARTS = frozenset(
     "site page main global left right top bottom primary secondary block box bar item items links list posts section slot unit".split()
 )
+#: what may be glued to a zone (``commentlist``)
+GLUED = re.compile(rf"({'|'.join(sorted(x for x in ZONES if len(x) > 5))})(list|form|box|area|bar|block|body|thread|wrapper|container|section)")
 PRIOR = 40
 KEPT = 1000
 SURE = 3.0
@@ -103,6 +115,8 @@ def log_odds(name: str, inside: int, outside: int) -> float:
 @lru_cache(maxsize=1 << 14)
 def common_outside(name: str) -> bool:
     parts = [x for x in re.split(r"[^a-z0-9]+", name) if x]
+    if any(x in ZONES or GLUED.fullmatch(x) for x in parts) and not STATES.intersection(parts):
+        return True
     return any(x in PRIOR_OUT for x in parts) and all(x in PRIOR_OUT or x in PARTS or x.isdigit() for x in parts)
 
 
@@ -237,9 +251,10 @@ def extract(html_text: str | None, w: Weights, whole: bool = False) -> str:
     a, z = (0, len(page.seq)) if whole else best_region(score(page, place, worst, w))
     blocks: list[str] = []
     run: list[str] = []
+    articles = not whole and any(kind == "word" and place[i] == IN for kind, _, i in page.seq[a:z])
     for kind, value, i in page.seq[a:z]:
         if kind == "word":
-            if place[i] == OUT or worst[i] >= -SURE:
+            if worst[i] >= -SURE and place[i] != OUT or place[i] == OUT and not articles:
                 run.append(value)
         elif value == "br":
             run.append(" ")

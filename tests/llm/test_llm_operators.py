@@ -644,6 +644,81 @@ def test_html_query_on_pages_by_brute_force(spark):
     )
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no tables")
+def test_html_weights_carry_over_to_pages_without_articles(spark):
+    """Learnt where articles are marked, applied where the same pages mark none; pages that aren't among those learnt from."""
+    rows = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("page_id", "url", "html")
+    w = htmltext.learn(rows.where("page_id % 2 = 0"))
+    same = both = mine = theirs = n = 0
+    for r in rows.where("page_id % 2 = 1").collect():
+        bare = re.sub(r"(</?)article\b", r"\1div", r.html)
+        got, want = htmltext.extract(bare, w), htmltext.extract(r.html, w)
+        x, y = collections.Counter(got.split()), collections.Counter(want.split())
+        both, mine, theirs = both + (x & y).total(), mine + x.total(), theirs + y.total()
+        same, n = same + (got == want), n + 1
+    assert 2 * both / (mine + theirs) >= 0.95 and same >= 0.95 * n
+
+
+@pytest.mark.parametrize(
+    "name",
+    "post-comments comments-area reader-comments blog-sidebar share-buttons cookie-notice-wrapper ad-container comment-thread user-comments commentlist".split(),
+)
+def test_html_zones_by_a_part_of_their_name(name):
+    text = "Words of the page, more of them and some more to be sure"
+    zone = f"<div class='{name}'><p>LEAKED words, of which there are some</p></div>"
+    for page in ("<article><p>{0}</p>{1}<p>{0}</p></article>", "<div class=content><p>{0}</p><p>{0}</p></div>{1}", "<div><p>{0}</p>{1}<p>{0}</p></div>"):
+        assert htmltext.extract(page.format(text, zone), htmltext.BARE) == f"{text}\n{text}"
+
+
+def test_html_what_stands_between_articles_is_left_out():
+    text = "Words of the page, more of them and some more to be sure"
+    page = f"<article><p>{text}</p></article><p>in between</p><article><p>{text}</p></article>"
+    assert htmltext.extract(page, htmltext.BARE) == f"{text}\n{text}"
+    for name in ("entry-header", "has-sidebar", "ad-free", "commentary", "sidebar-layout"):
+        assert htmltext.extract(f"<article><div class='{name}'><h1>Title</h1></div><p>{text}</p></article>", htmltext.BARE) == f"Title\n{text}"
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no tables")
+def test_html_empty_table_of_pages_as_a_query(spark, tmp_path):
+    from gapline.llm import queries
+
+    spark.read.parquet("/root/testdata/sf0.001/pages.parquet").limit(0).write.parquet(f"{tmp_path}/pages.parquet")
+    assert queries.op2_html(spark, str(tmp_path)).count() == 0
+
+
+def _same_model(a, b):
+    return a.labels == b.labels and np.array_equal(a.marks, b.marks) and np.allclose(a.weights, b.weights)
+
+
+@pytest.mark.parametrize("ids", ["null", "one", "few"])
+def test_language_with_null_and_repeated_ids(spark, ids):
+    """Thousands of rows with one id or none, some of them repeated: every label takes part, whatever the partitioning."""
+    rng = random.Random(9)
+    text = {lang: [f"{lang}{k} word of{k % 7} {lang * 3} the{k % 11}" for k in range(800)] for lang in ("aa", "bb", "cc")}
+    rows = []
+    for lang, n in (("aa", 6000), ("bb", 3500), ("cc", 5)):
+        for k in range(n):
+            rows.append(({"null": None, "one": 7, "few": k % 3}[ids], text[lang][k % (800 if lang != "bb" else 2)], lang))
+    rng.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    models = [language.fit(d, F.lit(True), fit_rows=60, landmarks=16, width=1 << 10) for d in (docs.repartition(1), docs.repartition(7, "text"))]
+    assert models[0].labels == ["aa", "bb", "cc"] and _same_model(*models)
+    got = language.identify(docs, models[0]).groupBy("lang_pred").count().collect()
+    assert sum(r["count"] for r in got) == len(rows) and {r.lang_pred for r in got} == {"aa", "bb", "cc"}
+
+
+def test_language_empty_table_long_texts_and_clashing_columns(spark):
+    kind = "doc_id long, text string, lang string, lang_pred int, score string, k string, draw int, below int, rank int"
+    rows = [(i, ("le chat " if i % 2 else "the dog ") * (200_000 if i < 2 else 30), "fr" if i % 2 else "en", 1, "x", "k", 1, 2, 3) for i in range(20)]
+    docs = spark.createDataFrame(rows, kind)
+    model = language.fit(docs, F.lit(True))
+    assert {(r.doc_id % 2, r.lang_pred) for r in language.identify(docs, model).collect()} == {(0, "en"), (1, "fr")}
+    tagged = language.tag(docs, model)
+    assert sorted(tagged.columns) == sorted(docs.columns) and {(r.doc_id % 2, r.lang_pred, r.k, r.rank) for r in tagged.collect()} == {(0, "en", "k", 3), (1, "fr", "k", 3)}
+    none = docs.limit(0)
+    assert language.identify(none, language.fit(none, F.lit(True))).count() == 0 == language.tag(none, model).count()
+
+
 def test_best_region_by_brute_force():
     rng = random.Random(3)
     for _ in range(200):
