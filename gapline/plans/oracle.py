@@ -556,6 +556,8 @@ select doc_id, upper(replace(stem, '-', '_')) id, upper(replace(coalesce(regexp_
   (len(regexp_extract_all(s, {lit(f"(?:{T.LOST})+")})) + len(regexp_extract_all(s, {lit(T.CONTROL_CHARS)})) + length(s) - length(replace(s, '�', '')))::bigint artifacts,
   len(regexp_extract_all(s, {WORD}))::bigint words from y""",
     "source_rows": """select n_nationkey::varchar "Record_ID", row_number() over (order by n_nationkey) + 1 "Source_Row", 'n_name' "Source_Column", md5(n_name) text_md5 from nation""",
+    "workbook_sheets": """select c_custkey::bigint c_custkey, c_name, c_acctbal, c_mktsegment, n_nationkey::bigint n_nationkey, n_name
+from customer left join nation on c_nationkey = n_nationkey""",
     "run_facts": f"""select unnest([{", ".join(lit(k) for k in ("rows", *asdict(CONFIG)))}]) "Field",
 unnest([(select count(*) from conversations)::varchar, {", ".join(lit(str(v)) for v in asdict(CONFIG).values())}]) "Value\"""",
     "gap_density_signals": f"""{WITH_GAPS} select rid "Record_ID", gap::int gap, {r4('dt')} task_density, {r4('m')} metacognitive_reset, {r4('a')} affective_friction, {r4('rr')} structural_break from scored""",

@@ -6,6 +6,7 @@ The synthetic prose has few of the default cue words, so the queries pass a voca
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +18,8 @@ from gapline.config import Config, Vocabulary
 from gapline.functions import text as T
 from gapline.operators import agreement, corpus, decode, frames, gaps, qc, sampling, tagging
 from gapline.plans import ledger, segmentation
-from gapline.sources import tables
+from gapline.sources import tables, workbook
+from gapline.sources.shared import shared_folder
 
 WORDS = Vocabulary.from_texts(
     task="the and that this la der",
@@ -681,6 +683,15 @@ def source_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).select("Record_ID", "Source_Row", "Source_Column", F.md5("text").alias("text_md5"))
 
 
+def workbook_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers and nations written as two sheets of a workbook, read back by name and by number, and joined."""
+    path = f"{shared_folder(spark)}/gapline-{uuid.uuid4().hex}.xlsx"
+    workbook.write({"customers": table(spark, sf_dir, "customer"), "nations": table(spark, sf_dir, "nation")}, path)
+    c, n = tables.read_table(spark, path, "customers"), tables.read_table(spark, path, 1)
+    out = c.join(n, F.col("c_nationkey") == F.col("n_nationkey"), "left")
+    return out.select("c_custkey", "c_name", "c_acctbal", "c_mktsegment", "n_nationkey", "n_name")
+
+
 def run_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segmentation.run_metadata(spark, CONFIG, rows=table(spark, sf_dir, "conversations").count())
 
@@ -746,5 +757,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         document_ids,
         source_rows,
         run_facts,
+        workbook_sheets,
     ]
     return {f.__name__: f for f in found}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import itertools
 import os
 import re
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as Ty
 
 from gapline.functions import text as T
+from gapline.sources import workbook
 
 # Column names and patterns of the inference.
 ID_NAMES = ("ID", "Id", "id", "Student_ID", "student_id", "Participant", "participant")
@@ -22,30 +24,53 @@ _SEEN = [(chr(b), bytes([b]).decode("cp1252", "ignore")) for b in range(0x80, 0x
 WINDOWS = "".join(a for a, z in _SEEN if z), "".join(z for _, z in _SEEN)
 
 
-def _charset(spark: SparkSession, path: str) -> str:
-    """The first of UTF-8 and windows-1252 in which all files decode; a distributed check, no bytes reach the driver."""
-    files = spark.read.format("binaryFile").load(path)
-    bad = files.where(~F.is_valid_utf8(F.col("content").cast("string"))).limit(1).count()
-    return "windows-1252" if bad else "utf-8"
+#: bytes that windows-1252 doesn't define, as ISO-8859-1 shows them
+UNDEFINED = "[" + "".join(a for a, z in _SEEN if not z) + "]"
+
+
+def charsets(spark: SparkSession, path: str) -> dict[str, list[str]]:
+    """The files at ``path`` by their charset: utf-8, else windows-1252, else ``replace`` (UTF-8 with replacement characters). Lines are checked where they
+    are read, large files in many tasks, and folded by file; names of files reach the driver."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+    bad = ~F.is_valid_utf8("value")
+    unknown = F.decode(F.col("value").cast("binary"), "ISO-8859-1").rlike(UNDEFINED)
+    found = lines.groupBy("file").agg(F.bool_or(bad).alias("bad"), F.bool_or(unknown).alias("unknown"))
+    kind = F.when(~F.col("bad"), "utf-8").when(~F.col("unknown"), "windows-1252").otherwise("replace")
+    out: dict[str, list[str]] = {}
+    for r in found.select("file", kind.alias("kind")).orderBy("file").collect():
+        out.setdefault(r["kind"], []).append(r["file"])
+    return out
+
+
+def read_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """CSV files with a header, each in its own charset. With ``multi_line`` cells may hold line ends, and a file is read by one task; without, large
+    files are read by many."""
+    parts = []
+    for kind, files in (charsets(spark, path) or {"utf-8": [path]}).items():
+        read = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
+        out = read.option("encoding", "ISO-8859-1" if kind == "windows-1252" else "UTF-8").csv(files)
+        if kind == "windows-1252":  # the two differ in 27 characters
+            name = str.maketrans(*WINDOWS)
+            out = out.select(*[F.translate(F.col(f"`{c}`"), *WINDOWS).alias(c.translate(name)) for c in out.columns])
+        if kind == "replace":  # lines read without decoding keep their bytes
+            out = out.select(*[F.make_valid_utf8(F.col(f"`{c}`")).alias(c) for c in out.columns])
+        first = out.columns[0] if out.columns else ""
+        parts.append(out.withColumnRenamed(first, first.lstrip("\ufeff")))
+    return functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
 def read_table(spark: SparkSession, path: str, sheet: str | int | None = None) -> DataFrame:
-    """A table by its suffix: csv (with a header; UTF-8 or windows-1252), parquet, json or jsonl, orc, or a workbook where a reader for
-    those is installed."""
+    """A table by its suffix: csv (see :func:`read_csv`), parquet, json or jsonl, orc, a workbook (see :mod:`gapline.sources.workbook`; of the older
+    binary kind only where a reader for those is installed)."""
     suffix = os.path.splitext(path.rstrip("/"))[1].lower()
-    if suffix in (".xlsx", ".xlsm", ".xls"):
-        import pandas as pd  # a workbook is one small file by its nature: at most a million rows
+    if suffix in (".xlsx", ".xlsm"):
+        return workbook.read(spark, path, sheet)
+    if suffix == ".xls":
+        import pandas as pd  # one small file by its nature: at most 65,536 rows
 
         return spark.createDataFrame(pd.read_excel(path, sheet_name=sheet or 0).astype(object).where(lambda d: d.notna(), None))
     if suffix == ".csv":
-        charset = _charset(spark, path)
-        read = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
-        out = read.option("encoding", "UTF-8" if charset == "utf-8" else "ISO-8859-1").csv(path)
-        if charset != "utf-8":  # the two differ in 27 characters
-            name = str.maketrans(*WINDOWS)
-            out = out.select(*[F.translate(F.col(f"`{c}`"), *WINDOWS).alias(c.translate(name)) for c in out.columns])
-        first = out.columns[0] if out.columns else ""
-        return out.withColumnRenamed(first, first.lstrip("\ufeff"))
+        return read_csv(spark, path)
     if suffix in (".json", ".jsonl"):
         return read_jsonl(spark, path)
     if suffix in (".parquet", ".orc"):
@@ -135,11 +160,18 @@ def with_row_numbers(df: DataFrame, name: str = "row", first: int = 2) -> DataFr
     return own.withColumn(name, place.cast("long")).drop("_at")
 
 
-def write_tables(folder: str, form: str = "parquet", **tables: DataFrame) -> None:
-    """One folder for each table, as a workbook has one sheet; csv has a header and no byte-order mark."""
+def write_tables(folder: str, form: str = "parquet", mark: bool = False, **tables: DataFrame) -> None:
+    """One folder for each table (csv with a header and, with ``mark``, a byte-order mark in each file), or, as ``xlsx``, one workbook named ``folder`` with a
+    sheet for each."""
+    if form == "xlsx":
+        workbook.write(tables, folder if folder.endswith(".xlsx") else f"{folder}.xlsx")
+        return
     for name, df in tables.items():
-        w = df.write.mode("overwrite")
-        w.option("header", True).csv(f"{folder}/{name}") if form == "csv" else w.format(form).save(f"{folder}/{name}")
+        if form == "csv":
+            df = df.withColumnRenamed(df.columns[0], "\ufeff" + df.columns[0]) if mark and df.columns else df
+            df.write.mode("overwrite").option("header", True).csv(f"{folder}/{name}")
+        else:
+            df.write.mode("overwrite").format(form).save(f"{folder}/{name}")
 
 
 def output_folder(local: str = "output/calibration", variable: str = "GAPLINE_OUTPUT_DIR") -> str:
