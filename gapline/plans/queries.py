@@ -16,7 +16,7 @@ import gapline
 from gapline import config as C
 from gapline.config import Config, Vocabulary
 from gapline.functions import text as T
-from gapline.operators import agreement, corpus, decode, frames, gaps, qc, sampling, tagging
+from gapline.operators import agreement, corpus, decode, frames, gaps, qc, sampling, tagging, training
 from gapline.plans import ledger, segmentation
 from gapline.sources import tables, workbook
 from gapline.sources.shared import shared_folder
@@ -458,6 +458,14 @@ def q_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frames.batch(_frame_texts(spark, sf_dir), _gates)
 
 
+def gate_training(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Loss and accuracy of each epoch of the gates' training on vectors, whose labels are dealt to four classes."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.pmod("label", F.lit(4)).alias("label"), F.col("embedding").alias("vector"))
+    gates = training.train(e, 4, epochs=3, batch=512, rate=0.02)
+    rows = [(k + 1, round(a, 6), round(b, 6)) for k, (a, b) in enumerate(zip(gates.losses, gates.accuracies, strict=True))]
+    return spark.createDataFrame(rows, "epoch int, loss double, accuracy double")
+
+
 def embedding_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
     weights = [[((i * 7 + k * 3) % 11 - 5) / 10.0 for i in range(64)] for k in range(4)]
@@ -737,6 +745,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         sliding_frames,
         frame_units,
         q_matrix,
+        gate_training,
         embedding_gate,
         cosine_continuity,
         event_history,
