@@ -6,13 +6,15 @@ import functools
 import itertools
 import os
 import re
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as Ty
 
 from gapline.functions import text as T
-from gapline.sources import workbook
+from gapline.sources import word, workbook
 
 # Column names and patterns of the inference.
 ID_NAMES = ("ID", "Id", "id", "Student_ID", "student_id", "Participant", "participant")
@@ -91,18 +93,21 @@ def read_jsonl(spark: SparkSession, path: str, schema: str | None = None) -> Dat
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """Plain-text files of a folder as raw records; a file that isn't UTF-8 gets status error."""
-    files = spark.read.format("binaryFile").load(path)
-    name = F.element_at(F.split("path", "/"), -1)
-    ok = F.is_valid_utf8(F.col("content").cast("string"))
-    return files.select(
-        F.when(ok, F.col("content").cast("string")).otherwise("").alias("text"),
-        F.regexp_replace(name, r"\.[^.]*$", "").alias("stem"),
-        name.alias("file_name"),
-        F.col("path").alias("source_path"),
-        F.when(ok, "ok").otherwise("error").alias("status"),
-        F.when(ok, "").otherwise("not UTF-8").alias("error"),
-    )
+    """Text and word-processor files of a folder as raw records (see :mod:`gapline.sources.word`); a file that can't be read gets status error and the reason."""
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for place, contents in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                name = place.rsplit("/", 1)[-1]
+                try:
+                    text, error = word.text_of(name, contents.as_py() or b""), ""
+                except Exception as e:  # whatever is wrong with a file is that file's status
+                    text, error = "", str(e) or type(e).__name__
+                row = (text, re.sub(r"\.[^.]*$", "", name), name, place, "error" if error else "ok", error)
+                yield pa.RecordBatch.from_arrays([pa.array([x], pa.string()) for x in row], names=[c.split()[0] for c in RAW.split(", ")])
+
+    return files.mapInArrow(run, RAW)
 
 
 def infer_id_column(df: DataFrame, wanted: str | None = None) -> str | None:
