@@ -11,7 +11,8 @@ character of each control string becomes ``\\l`` (for ``<``) or ``\\k`` (for ``[
 original can be restored exactly.
 
 Null text or role counts as empty. Messages on a cycle have no root and are on no path. A null conv_id is a conversation of its
-own. Each row of a plain table of turns is one message, also if rows repeat.
+own. Each row of a plain table of turns is one message, also if rows repeat. An empty table gives an empty result; texts of any length
+are formatted whole; columns besides those named aren't read.
 """
 
 from __future__ import annotations

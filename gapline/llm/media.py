@@ -6,7 +6,8 @@ again. Rows carry digest, shard, offset and length. Metadata columns (width, hei
 of the header bytes only; decoding reads the member's own range. A shard's name holds the task attempt, so a repeated or
 speculative attempt never touches a shard that rows point to.
 
-Null text is an empty payload (one block of blanks). Rows are independent; equal texts give equal forms and features.
+Null text is an empty payload (one block of blanks). Rows are independent; equal texts give equal forms and features, repeated rows repeated ones. An
+empty table gives an empty result and no shard. A text of any length is one payload, held by its task. Only id and text are read.
 """
 
 from __future__ import annotations

@@ -17,7 +17,7 @@ at a time, blockwise:
 4. The runs of repeated windows go back to their texts.
 
 Equal texts are one text with a count: if it is ``depth`` bytes long and occurs twice, all of it goes. Matches never cross texts. Null
-text is empty. Rows are judged alike whatever their other columns. A text of any length is handled in overlapping parts of
+text is empty; an empty table gives an empty result. Rows are judged alike whatever their other columns. A text of any length is handled in overlapping parts of
 ``BLOCK_BYTES``; beside those a worker holds its bytes once or twice and a few words for each of its anchors.
 """
 

@@ -166,6 +166,55 @@ def test_op6(spark, tables):
     assert {(r.conv_id, r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in run(spark, tables, "op6_chat")} == want
 
 
+CLASH = "key id k row rows turns loss path parent score bits th place run part at n fp"
+
+
+@pytest.mark.parametrize("name", ["op6_chat", "op7_media", "op8_substrings", "op11_exactdup", "op12_periodic", "op13_fim", "op9_language"])
+def test_empty_tables_and_clashing_columns(spark, tables, tmp_path, name):
+    """Columns with the operators' own names change nothing; an empty table gives an empty result (and the planted conversation)."""
+    from pyspark.sql import functions as F
+
+    want = sorted(map(str, run(spark, tables, name)))
+    for t in ("documents", "conversations"):
+        df = spark.read.parquet(f"{tables[0]}/{t}.parquet")
+        more = df.withColumns({c: F.lit(f"x{c}") for c in CLASH.split()})
+        more.write.parquet(f"{tmp_path}/more/{t}.parquet")
+        more.limit(0).write.parquet(f"{tmp_path}/none/{t}.parquet")
+    assert sorted(map(str, queries.queries()[name](spark, f"{tmp_path}/more").collect())) == want
+    none = queries.queries()[name](spark, f"{tmp_path}/none").collect()
+    assert [r.conv_id for r in none] == [-7] if name == "op6_chat" else none == []
+
+
+@pytest.mark.parametrize("name", ["op6_chat", "op7_media"])
+def test_very_long_texts(spark, tmp_path, name):
+    text = "word é " * 300_000
+    spark.createDataFrame([(1, text), (2, text)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 0, "user", "q"), (1, 1, "assistant", text)], "conv_id long, turn long, role string, text string").write.parquet(
+        f"{tmp_path}/conversations.parquet"
+    )
+    got = queries.queries()[name](spark, str(tmp_path)).collect()
+    if name == "op6_chat":
+        r = next(r for r in got if r.conv_id == 1)
+        assert (r.loss_chars, r.loss_sha256) == (len(text), hashlib.sha256(text.encode()).hexdigest())
+    else:
+        raw = text.encode()
+        p = raw + b" " * (-len(raw) % 192)
+        assert {(r.doc_id, r.payload_sha256) for r in got} == {(k, hashlib.sha256(p).hexdigest()) for k in (1, 2)}
+
+
+def test_op1_with_labels_of_both_kinds(spark, tables, tmp_path):
+    """Documents like the labelled good ones score lower than those like the others."""
+    rng = random.Random(4)
+    words = {k: [f"{k}{a}{b}" for a in "xyz" for b in "uvw"] for k in "gb"}
+    docs = [(i, " ".join(rng.choices(words["gb"[i % 2]], k=60))) for i in range(80)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1 - i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {r.doc_id: r for r in queries.op1_lmscore(spark, str(tmp_path)).collect()}
+    assert len(got) == 80
+    good, bad = ([got[i].score for i in range(k, 80, 2)] for k in (0, 1))
+    assert max(good) < min(bad) and all(got[i].keep == (i % 2 == 0) for i in got)
+
+
 def png(payload):
     """A gray PNG of 192 samples a line, put together by hand."""
 
