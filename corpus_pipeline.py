@@ -1,4 +1,8 @@
-"""Corpus pipeline: each stage's result is written as Parquet and read again as the next one's documents."""
+"""Corpus pipeline: each stage's result is written as Parquet and read again as the next one's documents.
+
+In every stage null text counts as empty, an empty table gives an empty result, texts are read whole, and columns besides those of documents
+are left behind. Rows are told apart by id and text, so null and repeated ids are fine; rows that agree in
+both share their fate, but among near duplicates one of them stays."""
 
 from __future__ import annotations
 
@@ -30,13 +34,14 @@ def neardup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Strings of 200 bytes that occur elsewhere too are cut out of the texts."""
+    """Strings of 200 bytes that occur elsewhere too are cut out of the texts: of repeated rows all of such a text goes. Null text stays null; what is cut away
+    whole becomes empty, and its row stays."""
     out = substrings.remove_repeats(docs.select(*COLUMNS), as_text=True).withColumn("text", F.coalesce("kept", "text"))
     return out.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long")).select(*COLUMNS)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold benchmark passages go."""
+    """Documents that hold benchmark passages go, with all rows of the same id and text; without benchmark items all stay. Null text has no words and stays."""
     docs = docs.select(*COLUMNS)
     found = decontam.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     bad = found.where("contaminated").select(F.col("doc_id").alias("k"), "row").distinct()
@@ -44,7 +49,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token sequences of power-of-two lengths, each of one document."""
+    """Token sequences of power-of-two lengths, each of one document; null or empty text is one sequence, the end id. Repeated rows give repeated pieces."""
     return packing.pack(docs)
 
 

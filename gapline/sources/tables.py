@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import functools
-import itertools
 import os
 import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as Ty
 
@@ -155,14 +154,14 @@ def preview(df: DataFrame, rows: int = 10) -> tuple[DataFrame, str | None, list[
 
 
 def with_row_numbers(df: DataFrame, name: str = "row", first: int = 2) -> DataFrame:
-    """``df`` with its rows' numbers in the order they are read (2 is the first, as in a sheet with a header). Rows are counted in each part of the input; only
-    the parts' sizes, one number each, reach the driver."""
-    own = df.withColumn("_at", F.monotonically_increasing_id())
-    sizes = own.groupBy(F.shiftright("_at", 33).alias("part")).agg(F.count(F.lit(1)).alias("n")).orderBy("part").collect()
-    before = dict(zip([r["part"] for r in sizes], itertools.accumulate([0, *(r["n"] for r in sizes)]), strict=False))
-    starts = F.create_map(*[F.lit(x) for pair in before.items() for x in pair]) if before else F.create_map().cast("map<bigint,bigint>")
-    place = F.element_at(starts, F.shiftright("_at", 33)) + F.col("_at").bitwiseAND((1 << 33) - 1) + first
-    return own.withColumn(name, place.cast("long")).drop("_at")
+    """``df`` with its rows' numbers in the order they are read (2 is the first, as in a sheet with a header). Rows are counted in each part of the input; the
+    parts' sizes, a row each, are a broadcast table. The input is read twice and has to be split alike: a table's files, not the result of a shuffle."""
+    own = df.withColumns({"_at": F.monotonically_increasing_id(), "_part": F.spark_partition_id()})
+    sizes = own.groupBy("_part").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = F.broadcast(sizes.select("_part", F.coalesce(before, F.lit(0)).alias("_start")))
+    place = F.col("_start") + F.col("_at").bitwiseAND((1 << 33) - 1) + first
+    return own.join(starts, "_part").withColumn(name, place.cast("long")).drop("_at", "_part", "_start")
 
 
 def write_tables(folder: str, form: str = "parquet", mark: bool = False, **tables: DataFrame) -> None:
