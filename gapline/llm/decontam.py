@@ -1,14 +1,16 @@
 """Benchmark decontamination: a prefix-filtered set join of item windows with documents, as tables.
 
 Words are runs of digits, letters and non-ASCII characters, A-Z lower-cased. A window is ``size`` consecutive words of an
-item (all its words, if it has fewer). To be inside a document, a window needs all its words there, so the prefix that
-must be indexed is its rarest word alone: words are ordered by how often they occur in all documents (counted first, with
-partial counts), each window is filed under that word with its position, and a document looks up only the words that
-are filed. What is found is joined with the index by the word; the length and positional bounds (the window must begin and end within the
-document) come next, then all of the window's words, one by one, are compared with the document's at that place.
-
-Windows, their words' counts, the index and the hits are tables. The executors get a bitmap of the filed words, of ``BITMAP`` bits whatever the
-benchmark's size (a word that only shares a bit is dropped by the join), and the hashes of the benchmark's distinct words, if there are at
+item (all its words, if it has fewer). To be inside a document, a window needs all its words there, so a prefix of its rarest words
+is all that must be indexed: words are ordered by how often they occur in all documents (counted first, with
+partial counts), and each window is filed under its two rarest words and the distance between them (under its one word, if it has no more). A
+document looks up its words that are filed as the rarest, and, of those, the words at a filed distance, before a row is made: a window of common
+words makes rows where its pair stands, not wherever its rarest word does. What is found is joined with the index by the pair; the length and
+positional bounds (the window must begin and end within the document) come next, then all of the window's words, one by one, are compared with the
+document's at that place.
+
+Windows, their words' counts, the index and the hits are tables. The executors get two bitmaps, of the rarest words and of the pairs, of ``BITMAP`` bits
+whatever the benchmark's size (what only shares a bit is dropped by the join), and the hashes of the benchmark's distinct words, if there are at
 most ``BROADCAST_WORDS`` (beyond it all words are counted and joined). The index is broadcast to the join up to ``BROADCAST_BYTES``, as measured;
 beyond it the join shuffles. No pair of a document and an item is ever made except for true hits.
 
@@ -28,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gapline.llm.shared import discard, lean, materialise
-from gapline.llm.textbytes import ALNUM, Block, as_bytes, blocks
+from gapline.llm.textbytes import ALNUM, BASE, Block, as_bytes, blocks, mix
 
 BLOCK_BYTES = 2 << 20
 BITMAP = 1 << 27
@@ -108,8 +110,15 @@ def count_words(docs: DataFrame, wanted: np.ndarray | None) -> DataFrame:
     return docs.select("text").mapInArrow(lean(run), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
 
 
+def pair_hash(word: np.ndarray, other: np.ndarray, apart: np.ndarray | int) -> np.ndarray:
+    """Hash of two words' hashes and the distance from the first to the second."""
+    far = (np.asarray(apart) + (1 << 20)).astype(U)
+    return mix(word.view(U) * U(BASE) + mix(other.view(U) + far)).view(np.int64)
+
+
 def filed_under(windows: DataFrame, docs: DataFrame) -> DataFrame:
-    """key, place, wid, words: each distinct window with its rarest word's hash and place."""
+    """key, word, place, apart, wid, words: each distinct window with the hash and place of its rarest word, the distance from there to the next rarest (0 if
+    there is none), and the hash of the pair."""
     distinct = materialise(
         windows.groupBy("wid").agg(F.first(F.struct("words", "hashes")).alias("w")).select("wid", "w.*"),
         "distinct-windows",
@@ -118,13 +127,24 @@ def filed_under(windows: DataFrame, docs: DataFrame) -> DataFrame:
     some = word.limit(BROADCAST_WORDS + 1).toPandas()["h"].to_numpy(np.int64)
     counts = count_words(docs, np.sort(some) if len(some) <= BROADCAST_WORDS else None)
     places = distinct.select("wid", F.posexplode("hashes").alias("place", "h")).join(counts, "h", "left")
-    rarest = places.groupBy("wid").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "h", "place")).alias("r"))
-    return distinct.join(rarest, "wid").select(F.col("r.h").alias("key"), F.col("r.place").alias("place"), "wid", "words")
+    by_rarity = F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "h", "place")))  # of at most a window's words
+    prefix = places.groupBy("wid").agg(by_rarity.alias("r")).select("wid", F.col("r")[0].alias("a"), F.coalesce(F.get("r", F.lit(1)), F.col("r")[0]).alias("b"))
+    rows = distinct.join(prefix, "wid").select(
+        F.col("a.h").alias("word"), F.col("b.h").alias("other"), F.col("a.place").alias("place"), (F.col("b.place") - F.col("a.place")).alias("apart"), "wid", "words"
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            word, other, apart = (b.column(x).to_numpy(zero_copy_only=False) for x in ("word", "other", "apart"))
+            cols = {"key": pa.array(pair_hash(word, other, apart)), **{x: b.column(x) for x in ("word", "place", "apart", "wid", "words")}}
+            yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
 
+    return rows.mapInArrow(lean(run), "key long, word long, place int, apart int, wid string, words array<string>")
 
-def bitmap(index: DataFrame) -> np.ndarray:
-    """Bits of the filed words' hashes, gathered as at most BITMAP / 2**16 blocks."""
-    bit = F.pmod("key", F.lit(BITMAP)).cast("int")
+
+def bitmap(index: DataFrame, column: str) -> np.ndarray:
+    """Bits of the hashes in ``column``, gathered as at most BITMAP / 2**16 blocks."""
+    bit = F.pmod(column, F.lit(BITMAP)).cast("int")
     blocks_ = index.select(
         F.shiftright(bit, 16).alias("block"),
         bit.bitwiseAND(0xFFFF).alias("low"),
@@ -148,23 +168,43 @@ def bitmap(index: DataFrame) -> np.ndarray:
 LOOKED_UP = "doc_id long, row long, n_words long, found array<struct<pos:long,key:long,before:int,near:array<string>>>"
 
 
-def look_up(docs: DataFrame, bits: np.ndarray, size: int) -> DataFrame:
-    """For each row of ``docs`` (doc_id, row, text): its number of words, and its words that may be filed, with up to ``size`` - 1 words on either side."""
-    sent = docs.sparkSession.sparkContext.broadcast(bits)
+def marked(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Which hashes have their bit set."""
+    k = h.view(U) & U(BITMAP - 1)  # as pmod of a power of two
+    return (bits[k >> U(3)] >> (7 - (k & U(7))).astype(np.uint8) & 1).astype(bool)
+
+
+def look_up(docs: DataFrame, words: np.ndarray, pairs: np.ndarray, distances: list[int], size: int) -> DataFrame:
+    """For each row of ``docs`` (doc_id, row, text): its number of words, and its words that may be filed (by the bits of ``words``, and of ``pairs`` with the word at one of
+    ``distances``), with up to ``size`` - 1 words on either side."""
+    sent = docs.sparkSession.sparkContext.broadcast((words, pairs))
+
+    def paired(h: np.ndarray, first: np.ndarray, pairs: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Those of the words ``p`` that have their other word, each once for each such distance, in order, and the pairs' hashes."""
+        doc = np.searchsorted(first, p, "right") - 1
+        places, keys = [p[:0]], [h[:0]]
+        for d in distances:
+            at = p[(p + d >= first[doc]) & (p + d < first[doc + 1])]
+            k = pair_hash(h[at], h[at + d], d)
+            ok = marked(pairs, k)
+            places.append(at[ok])
+            keys.append(k[ok])
+        p, k = np.concatenate(places), np.concatenate(keys)
+        order = np.argsort(p, kind="stable")
+        return p[order], k[order]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = sent.value
+        words, pairs = sent.value
         for batch in batches:
             texts = as_bytes(batch.column(2))
             for i, j in blocks(texts, BLOCK_BYTES):
                 b, h = parsed(texts[i:j])
-                k = h.view(U) & U(BITMAP - 1)  # as pmod of a power of two
-                p = np.flatnonzero(bits[k >> U(3)] >> (7 - (k & U(7))).astype(np.uint8) & 1)
+                p, keys = paired(h, b.first, pairs, np.flatnonzero(marked(words, h)))
                 doc = np.searchsorted(b.first, p, "right") - 1
                 low, high = np.maximum(b.first[doc], p - size + 1), np.minimum(b.first[doc + 1], p + size)
                 near = runs(strings(b, spread(low, high - low)), high - low)
                 found = pa.StructArray.from_arrays(
-                    [pa.array(p - b.first[doc]), pa.array(h[p]), pa.array((p - low).astype(np.int32)), near],
+                    [pa.array(p - b.first[doc]), pa.array(keys), pa.array((p - low).astype(np.int32)), near],
                     names=["pos", "key", "before", "near"],
                 )
                 cols = [
@@ -190,9 +230,11 @@ def decontaminate(
     docs = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("row"), "text")
     windows = materialise(item_windows(items, size).withColumn("wid", F.md5(F.array_join("words", " "))), "windows")
     index = materialise(filed_under(windows, docs), "index")
-    rows = materialise(look_up(docs, bitmap(index), size), "looked-up")
+    distances = sorted(r["apart"] for r in index.select("apart").distinct().collect())  # fewer than 2 * size
+    rows = materialise(look_up(docs, bitmap(index, "word"), bitmap(index, "key"), distances, size), "looked-up")
     bytes_ = index.agg(F.sum(F.octet_length(F.array_join("words", " ")) + 200)).first()[0] or 0
-    filed = F.broadcast(index) if bytes_ <= broadcast_bytes else index
+    filed = index.select("key", "place", "wid", "words")
+    filed = F.broadcast(filed) if bytes_ <= broadcast_bytes else filed
     key = ["doc_id", "row"]
     at = rows.select(*key, F.inline("found")).join(filed, "key")
     n, begin = F.size("words"), F.col("before") - F.col("place")

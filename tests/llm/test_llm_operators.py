@@ -253,6 +253,25 @@ def test_decontaminate_items_without_id(spark):
     assert got == {1: (20, [], True), 2: (2, ["4"], True), 3: (0, [], False)}
 
 
+def test_decontaminate_common_words_make_rows_only_with_their_pair(spark):
+    """Windows of words that all documents are full of, or that repeat: right, and looked up only where the pair stands."""
+    items = [(1, "the cat the"), (2, "na na na na"), (3, "of the"), (4, "the")]
+    docs = [(1, "the " * 3000 + "cat"), (2, "cat the cat the"), (3, "na " * 5), (4, "the of of the na na na"), (5, "of cat na")]
+    got = {
+        r.doc_id: (r.n_hit, list(r["items"]))
+        for r in decontam.decontaminate(frame(spark, docs), spark.createDataFrame(items[:3], "item_id long, text string")).collect()
+    }
+    assert got == {1: (0, []), 2: (3, ["1"]), 3: (5, ["2"]), 4: (2, ["3"]), 5: (0, [])}
+    got = decontam.decontaminate(frame(spark, docs[3:]), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.n_hit, tuple(r["items"])) for r in got} == {(4, 3, ("3", "4")), (5, 0, ())}
+
+    h = decontam.parsed([b"the cat of"])[1]
+    index = spark.createDataFrame([(int(decontam.pair_hash(h[:1], h[1:2], 1)[0]), int(h[0]))], "key long, word long")
+    rows = frame(spark, docs).select("doc_id", F.xxhash64("text").alias("row"), "text")
+    found = decontam.look_up(rows, decontam.bitmap(index, "word"), decontam.bitmap(index, "key"), [1], 13).collect()
+    assert {r.doc_id: [x.pos for x in r.found] for r in found} == {1: [2999], 2: [1], 3: [], 4: [], 5: []}
+
+
 def test_decontaminate_empty(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontam.decontaminate(frame(spark, [(1, "a b")]), none).collect()[0].n_hit == 0
