@@ -17,11 +17,14 @@ SPEAKER_LABEL = r"(?iU)\b(?:Interviewer|Interviewee|Participant|Child|Student|Re
 LOST = "ï¿½"
 CONTROLS = (("\x14", " - "), ("\x19", "'"), ("\x1c", '"'), ("\x1d", '"'), ("\xfd", ""), ("﻿", ""))
 SEQUENCES = (("â€™", "'"), ("â€˜", "'"), ("â€œ", '"'), ("â€�", '"'), ("â€¦", "..."), ("â€“", " - "), ("â€”", " - "))
-REPAIRS = (
+LOST_REPAIRS = (
     (rf"(?i)(?:{LOST})+(s|t|d|re|m|ll|ve)\b", "'$1"),
     (rf"(?:{LOST})+(cause|Cause|em)\b", "'$1"),
     (rf"(?i)\bI(?:{LOST})+(m|d|ll|ve)\b", "I'$1"),
     (rf"(?:{LOST})+", " - "),
+)
+REPAIRS = (
+    *LOST_REPAIRS,
     (SPEAKER_LABEL, ""),
     (r"(?U)\s+-\s+-\s+", " - "),
     (r"(?U)\s+", " "),
@@ -32,14 +35,23 @@ CONTROL_CHARS = r"[\x00-\x08\x0B\x0C\x0E-\x1F]"
 TIMESTAMP = r"\b\d{1,2}:\d{2}\b"
 MENTIONED = r"(?i)\b(ET[E]?\d{2}[_-]?\d{3,5}|ET[_-]?\d{3,5})\b"
 # end of fixed values
+#: what a text needs for any of the repairs of characters: one of these, or the begin of a sequence
+BROKEN = rf"[{''.join(a for a, _ in CONTROLS)}Â]|{'|'.join(sorted({s[:2] for s, _ in SEQUENCES}))}|{LOST}"
+#: white space that isn't one blank between words
+SPACES = r"(?U)\s{2,}|[\s&&[^ ]]"
 
 
 def clean(text: Column) -> Column:
-    """Repairs encoding artifacts, strips speaker labels and extra white space; null becomes empty. The order matters."""
-    out = F.coalesce(text, F.lit(""))
+    """Repairs encoding artifacts, strips speaker labels and extra white space; null becomes empty. The order matters. A text without broken
+    characters skips their repairs, and one without a colon has no label."""
+    raw = F.coalesce(text, F.lit(""))
+    out = raw
     for a, b in (*CONTROLS, ("Â", ""), *SEQUENCES):
         out = F.replace(out, F.lit(a), F.lit(b))
-    return F.trim(reduce(lambda t, r: F.regexp_replace(t, r[0], r[1]), REPAIRS, out))
+    out = reduce(lambda t, r: F.regexp_replace(t, r[0], r[1]), LOST_REPAIRS, out)
+    out = F.when(raw.rlike(BROKEN), out).otherwise(raw)
+    out = F.when(F.contains(raw, F.lit(":")), F.regexp_replace(out, SPEAKER_LABEL, "")).otherwise(out)
+    return F.trim(F.replace(F.regexp_replace(out, SPACES, " "), F.lit(" - - "), F.lit(" - ")))
 
 
 def occurrences(text: Column, part: str) -> Column:
@@ -49,12 +61,13 @@ def occurrences(text: Column, part: str) -> Column:
 def count_artifacts(text: Column) -> Column:
     text = F.coalesce(text, F.lit(""))
     marks = ["\x14", "\x19", "\x1c", "\x1d", "\xfd", "\xfd", "Â", *(s for s, _ in SEQUENCES)]
-    runs = F.regexp_count(text, F.lit(rf"(?:{LOST})+")) + F.regexp_count(text, F.lit(SPEAKER_LABEL))
-    return reduce(lambda a, b: a + b, [occurrences(text, m) for m in marks], runs.cast("long"))
+    broken = reduce(lambda a, b: a + b, [occurrences(text, m) for m in marks], F.regexp_count(text, F.lit(rf"(?:{LOST})+")).cast("long"))
+    labels = F.when(F.contains(text, F.lit(":")), F.regexp_count(text, F.lit(SPEAKER_LABEL)).cast("long")).otherwise(F.lit(0).cast("long"))
+    return F.when(text.rlike(BROKEN), broken).otherwise(F.lit(0).cast("long")) + labels
 
 
 def squeeze(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(text, SPACES, " "))
 
 
 def normalize(text: Column, clean_text: bool = True) -> Column:

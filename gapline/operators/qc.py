@@ -9,6 +9,7 @@ from gapline import config as C
 from gapline.functions import text as T
 
 # Fixed value: the pattern of marks that mustn't be left in segments.
+#: a fixed value: begins of event marks
 LEAK = r"(?i)\[(?:Pause|Drawing|End of Audio|Unintelligible)"
 #: metric, suggested criterion; fixed values
 CRITERIA = {
