@@ -11,7 +11,7 @@ document's at that place.
 
 Windows, their words' counts, the index and the hits are tables. The executors get two bitmaps, of the rarest words and of the pairs, of ``BITMAP`` bits
 whatever the benchmark's size (what only shares a bit is dropped by the join), and the hashes of the benchmark's distinct words, if there are at
-most ``BROADCAST_WORDS`` (beyond it all words are counted and joined). The index is broadcast to the join up to ``BROADCAST_BYTES``, as measured;
+most ``BROADCAST_WORDS`` (beyond it all words are counted and joined), with their counts up to ``BROADCAST_COUNTS`` of them (16 MB). The index is broadcast to the join up to ``BROADCAST_BYTES``, as measured;
 beyond it the join shuffles. No pair of a document and an item is ever made except for true hits.
 
 Null or blank text has no words: no hit, not contaminated; such items have no window. Passages of items with a null id are hits like
@@ -35,6 +35,7 @@ from gapline.llm.textbytes import ALNUM, BASE, Block, as_bytes, blocks, mix
 BLOCK_BYTES = 2 << 20
 BITMAP = 1 << 27
 BROADCAST_WORDS = 1 << 22
+BROADCAST_COUNTS = 1 << 20
 BROADCAST_BYTES = 32 << 20
 U = np.uint64
 FOLD = np.arange(256, dtype=np.uint8)
@@ -126,6 +127,7 @@ def filed_under(windows: DataFrame, docs: DataFrame) -> DataFrame:
     word = distinct.select(F.explode("hashes").alias("h")).distinct()
     some = word.limit(BROADCAST_WORDS + 1).toPandas()["h"].to_numpy(np.int64)
     counts = count_words(docs, np.sort(some) if len(some) <= BROADCAST_WORDS else None)
+    counts = F.broadcast(counts) if len(some) <= BROADCAST_COUNTS else counts  # so that a common word's places stay where they are
     places = distinct.select("wid", F.posexplode("hashes").alias("place", "h")).join(counts, "h", "left")
     by_rarity = F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "h", "place")))  # of at most a window's words
     prefix = places.groupBy("wid").agg(by_rarity.alias("r")).select("wid", F.col("r")[0].alias("a"), F.coalesce(F.get("r", F.lit(1)), F.col("r")[0]).alias("b"))
