@@ -2,7 +2,7 @@
 
 A document's token ids (with one end id) are cut, from the front, into as many pieces of ``max_len`` as fit and then
 into pieces of the binary digits of the rest, largest first. Each piece is one sequence: its length is a power of two,
-it needs no padding, and no sequence crosses documents. ``bucket`` is the binary logarithm of the length; :func:`batches` groups sequences of one
+it needs no padding, and no sequence crosses documents. ``bucket`` is the binary logarithm of the length, and ``batch`` groups sequences of one
 bucket. Packing has no shuffle: each document is cut where it is read.
 
 Ids are those of the tokenizer for the whole text. With a tokenizer that takes texts apart as ``WORDWISE`` says (checked when it is loaded), distinct words are
@@ -14,6 +14,7 @@ result. Other columns aren't read.
 
 from __future__ import annotations
 
+import collections
 import json
 import os
 import zlib
@@ -21,7 +22,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gapline.llm.shared import lean
@@ -179,18 +181,31 @@ def pieces(n: int, max_len: int) -> list[int]:
     return [max_len] * (n // max_len) + [1 << k for k in range(rest.bit_length() - 1, -1, -1) if rest >> k & 1]
 
 
-SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, bucket int, ids binary"
+SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, bucket int, ids binary, batch string"
 
 
-def pack(docs: DataFrame, tokenizer_file: str | None = None, max_len: int = 2048, end_id: int = 1, with_ids: bool = True) -> DataFrame:
+def pack(
+    docs: DataFrame,
+    tokenizer_file: str | None = None,
+    max_len: int = 2048,
+    end_id: int = 1,
+    with_ids: bool = True,
+    batch_tokens: int = 1 << 15,
+) -> DataFrame:
     """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, bucket, ids (little-endian unsigned 32-bit; null
-    unless ``with_ids``), sequence_id, offset. ``max_len`` is a power of two. ``tokenizer_file`` is a path on each
-    executor; by default the public word-level BPE."""
+    unless ``with_ids``), batch, sequence_id, offset. ``max_len`` is a power of two. ``tokenizer_file`` is a path on each
+    executor; by default the public word-level BPE.
+
+    A batch holds sequences of one bucket, and so of one length: ``batch_tokens`` ids (one sequence at least). It is filled from one
+    part of the input, so no bucket is shuffled or gathered; the last batch of each bucket and part may be smaller. Its name is bucket, part and number."""
     if max_len < 1 or max_len & (max_len - 1):
         raise ValueError("max_len must be a power of two")
+    if batch_tokens < 1:
+        raise ValueError("batch_tokens must be positive")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = CachedEncoder(tokenizer_file)
+        part, made = TaskContext.get().partitionId(), collections.Counter()
         for batch in batches:
             doc_ids, texts = batch.column(0).to_pylist(), as_bytes(batch.column(1))
             for i, j in blocks(texts, BLOCK_BYTES):
@@ -201,24 +216,15 @@ def pack(docs: DataFrame, tokenizer_file: str | None = None, max_len: int = 2048
                     start = 0
                     for size in pieces(len(own), max_len):
                         raw = own[start : start + size].tobytes()
-                        rows.append((doc_ids[d], start, size, zlib.crc32(raw), len(own), size.bit_length() - 1, raw if with_ids else None))
+                        bucket = size.bit_length() - 1
+                        name = f"{bucket}-{part}-{made[bucket] // max(1, batch_tokens >> bucket)}"
+                        made[bucket] += 1
+                        rows.append((doc_ids[d], start, size, zlib.crc32(raw), len(own), bucket, raw if with_ids else None, name))
                         start += size
                 cols = list(zip(*rows, strict=True))
-                kinds = [pa.int64()] * 5 + [pa.int32(), pa.binary()]
-                names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "bucket", "ids"]
+                kinds = [pa.int64()] * 5 + [pa.int32(), pa.binary(), pa.string()]
+                names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "bucket", "ids", "batch"]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=names)
 
     out = docs.select("doc_id", "text").mapInArrow(lean(run), SCHEMA)
     return out.withColumns({"sequence_id": F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
-
-
-def batches(packed: DataFrame, tokens: int) -> DataFrame:
-    """``packed`` with batch: sequences of one bucket, ``tokens`` ids a batch (one sequence at least). Sequences are counted within the part of the input
-    that they come from, which stands in the high bits of sequence_id, so no bucket is gathered; its last batch of each part may be smaller."""
-    part = F.shiftright("sequence_id", 33)
-    place = F.row_number().over(Window.partitionBy("bucket", part).orderBy("sequence_id")) - 1
-    each = F.greatest(F.lit(1), F.floor(F.lit(tokens) / F.col("length")))
-    return packed.withColumn(
-        "batch",
-        F.concat_ws("-", F.col("bucket").cast("string"), part.cast("string"), F.floor(place / each).cast("string")),
-    )

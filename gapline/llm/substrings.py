@@ -7,14 +7,17 @@ at a time, blockwise:
    their anchor's hash and their distance from it. An anchor serves a run of neighbouring windows. Hashes that occur at one place only
    are dropped; their windows can't repeat.
 2. Contexts. For each anchor that is left, the bytes its windows cover are one context. Equal contexts are aggregated (before they are
-   shuffled) to one row; a context that occurs at two places has all its windows repeated.
+   shuffled) to one row, which goes into its block twice if it occurs at two places.
 3. Buckets. A bucket is the suffixes with one anchor hash and one distance. :class:`Cover` sorts a block of whole buckets: by bucket and
    by the first and last ``PERIOD`` bytes, and it resolves the longer ties by ranks, computed beforehand, of the suffixes at the
    positions of a difference cover. Any two suffixes meet the cover after the same less than ``PERIOD`` bytes. So memory is a few
    words for each position of the cover and each window of the block, however long the ties. Order between buckets isn't needed.
-   An anchor hash with more than ``most`` different contexts isn't gathered: its windows are counted one by one by a 128-bit digest,
-   aggregated before the shuffle.
-4. The runs of repeated windows go back to their texts.
+   Every repeat is found by the blocks.
+4. Finer buckets. An anchor hash with more than ``most`` different contexts, counted exactly, is no block for one task. Its windows are
+   filed once more under their least hash of a shorter gram beside the anchor, with its distance, as in step 1; the shorter contexts go through
+   steps 2 and 3 as contexts of finer buckets. This is repeated for each of ``GRAMS``. Windows that then still share more than ``most`` contexts
+   agree in the 120 bytes of their grams; they are contexts of their own, one row each with its digest, so nothing is gathered.
+5. The runs of repeated windows go back to their texts.
 
 Equal texts are one text with a count: if it is ``depth`` bytes long and occurs twice, all of it goes. Matches never cross texts. Null
 text is empty; an empty table gives an empty result. Rows are judged alike whatever their other columns. A text of any length is handled in overlapping parts of
@@ -23,7 +26,6 @@ text is empty; an empty table gives an empty result. Rows are judged alike whate
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,6 +38,8 @@ from gapline.llm.textbytes import BASE, BYTE_VALUE, U, Block, as_bytes, blocks,
 
 DEPTH = 200
 GRAM = 64
+#: lengths of the grams by which crowded buckets are dealt again
+GRAMS = (32, 16, 8)
 PERIOD = 32
 BLOCK_BYTES = 1 << 19
 SORT_BYTES = 3 << 19
@@ -212,15 +216,17 @@ def runs_of(flags: np.ndarray) -> list[dict]:
 
 def sort_block(rows: list[tuple], depth: int) -> list[list[dict]]:
     """Runs of repeated windows of each of ``rows`` (fp, ch, d0, dup, ctx), which hold all contexts of their anchor hashes."""
-    size = np.array([len(r[4]) for r in rows], np.int64)
+    klass = np.cumsum([0] + [rows[i][0] != rows[i - 1][0] for i in range(1, len(rows))])
+    held = rows + [r for r in rows if r[3]]  # what occurs at two places meets itself
+    klass = np.append(klass, klass[[i for i, r in enumerate(rows) if r[3]]])
+    size = np.array([len(r[4]) for r in held], np.int64)
     at = np.cumsum(size) - size
     windows = size - depth + 1
-    row = np.repeat(np.arange(len(rows)), windows)
+    row = np.repeat(np.arange(len(held)), windows)
     k = np.arange(len(row)) - np.repeat(np.cumsum(windows) - windows, windows)
-    klass = np.cumsum([0] + [rows[i][0] != rows[i - 1][0] for i in range(1, len(rows))])
-    far = np.array([r[2] for r in rows], np.int64)[row] - k  # from the window's begin to its anchor
-    flags = Cover(b"".join(r[4] for r in rows), depth).repeated(at[row] + k, klass[row] * (depth + 1) + far)
-    flags |= np.array([r[3] for r in rows], bool)[row]
+    far = np.array([r[2] for r in held], np.int64)[row] - k  # from the window's begin to its anchor
+    flags = Cover(b"".join(r[4] for r in held), depth).repeated(at[row] + k, klass[row] * (depth + 1) + far)
+    windows = windows[: len(rows)]
     return [runs_of(flags[a - w : a]) for a, w in zip(np.cumsum(windows).tolist(), windows.tolist(), strict=True)]
 
 
@@ -244,7 +250,7 @@ def sort_blocks(contexts: DataFrame, depth: int) -> DataFrame:
                     yield done()
                     held, size = [], 0
                 held.append(r)
-                size += len(r[4])
+                size += len(r[4]) * (2 if r[3] else 1)
         if held:
             yield done()
 
@@ -253,33 +259,78 @@ def sort_blocks(contexts: DataFrame, depth: int) -> DataFrame:
     return dealt.mapInArrow(lean(run), "fp long, ch binary, runs array<struct<a:int,z:int>>")
 
 
-def count_windows(contexts: DataFrame, depth: int) -> DataFrame:
-    """The same for anchor hashes with very many contexts: windows by digest, aggregated before they are shuffled."""
+def second_anchors(ctx: bytes, d0: int, marks: list[int], sizes: tuple[int, ...], gram: int, depth: int) -> tuple[np.ndarray, ...]:
+    """(hash, place, first window, last window) of the anchors of ``gram`` bytes of a context's windows, clear of the grams at ``d0 + marks`` of ``sizes`` bytes."""
+    b = Block([ctx])
+    p = b.prefix(BYTE_VALUE)
+    n = len(ctx) - gram + 1
+    h = mix((p[gram : gram + n] - p[:n]) * b.down[:n])
+    x = h >> U(1)
+    for m, size in zip(marks, sizes, strict=True):
+        x[max(0, d0 + m - gram + 1) : d0 + m + size] = ~U(0)
+    a = np.lib.stride_tricks.sliding_window_view(x, depth - gram + 1).argmin(axis=1)
+    a += np.arange(len(a))
+    s0 = np.flatnonzero(np.diff(a, prepend=-1))
+    return h[a[s0]], a[s0], s0, np.append(s0[1:], len(a)) - 1
+
+
+def deal_again(contexts: DataFrame, depth: int, level: int) -> DataFrame:
+    """The parts of ``contexts`` by the anchors of ``GRAMS[level]`` bytes; beyond the last level each window is a part. pf, pch and k0 say what a part was cut from."""
+    sizes, gram = (GRAM, *GRAMS[:level]), GRAMS[level] if level < len(GRAMS) else 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for fp, ch, _d0, dup, ctx in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                n = len(ctx) - depth + 1
-                w = [hashlib.blake2b(ctx[k : k + depth], digest_size=16).digest() for k in range(n)]
+            for fp, ch, d0, dup, marks, ctx in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if gram:
+                    h, at, s0, s1 = second_anchors(ctx, d0, marks, sizes, gram, depth)
+                    own = mix(mix(h + U(fp & (1 << 64) - 1)) + (at - d0).astype(U) * U(BASE)).view(np.int64)
+                    more = [[*marks, a] for a in (at - d0).tolist()]
+                else:
+                    s0 = s1 = np.arange(len(ctx) - depth + 1)
+                    own, more = np.full(len(s0), fp), [marks] * len(s0)
+                n = len(s0)
                 yield pa.RecordBatch.from_arrays(
                     [
+                        pa.array(own),
+                        pa.array((d0 - s0).astype(np.int32)),
+                        pa.array([dup] * n, pa.bool_()),
+                        pa.array(more, pa.list_(pa.int32())),
+                        pa.array([ctx[a : z + depth] for a, z in zip(s0.tolist(), s1.tolist(), strict=True)], pa.binary()),
                         pa.array([fp] * n, pa.int64()),
                         pa.array([ch] * n, pa.binary()),
-                        pa.array(range(n), pa.int32()),
-                        pa.array([dup] * n, pa.bool_()),
-                        pa.array(w, pa.binary()),
+                        pa.array(s0.astype(np.int32)),
                     ],
-                    names=["fp", "ch", "k", "dup", "w"],
+                    names=["fp", "d0", "dup", "marks", "ctx", "pf", "pch", "k0"],
                 )
 
-    rows = contexts.select("fp", "ch", "d0", "dup", "ctx").mapInArrow(lean(run), "fp long, ch binary, k int, dup boolean, w binary")
-    rows = materialise(rows, "windows")
-    occ = F.xxhash64("fp", "ch", "k")
-    often = rows.groupBy("w").agg(F.min(occ).alias("x"), F.max(occ).alias("y"), F.max("dup").alias("d")).where("x <> y or d").select("w")
-    hit = rows.join(often, "w").select("fp", "ch", "k")
-    return hit.groupBy("fp", "ch").agg(
-        F.array_sort(F.collect_list(F.struct(F.col("k").alias("a"), (F.col("k") + 1).alias("z")))).alias("runs")
-    )
+    schema = "fp long, d0 int, dup boolean, marks array<int>, ctx binary, pf long, pch binary, k0 int"
+    return contexts.select("fp", "ch", "d0", "dup", "marks", "ctx").mapInArrow(lean(run), schema).withColumn("ch", F.unhex(F.md5("ctx")))
+
+
+def repeated_runs(contexts: DataFrame, depth: int, most: int, level: int = 0) -> tuple[DataFrame, list[DataFrame]]:
+    """fp, ch, runs of ``contexts`` (fp, ch, d0, dup, marks, ctx; a written table), and the tables that this reads.
+    No task gets more than ``most`` contexts of one anchor hash."""
+    crowded = contexts.groupBy("fp").count().where(F.col("count") > most).select("fp")
+    crowded = materialise(crowded, "crowded")
+    if crowded.isEmpty():
+        discard(crowded)
+        return sort_blocks(contexts, depth).where("size(runs) > 0"), []
+    alone = sort_blocks(contexts.join(crowded, "fp", "left_anti"), depth).where("size(runs) > 0")
+    parts = materialise(deal_again(contexts.join(crowded, "fp", "left_semi"), depth, level), "parts")
+    place = F.xxhash64("pf", "pch", "k0")
+    twice = F.max("dup") | (F.min(place) != F.max(place))
+    if level < len(GRAMS):
+        of = [F.min("d0").alias("d0"), twice.alias("dup"), F.first("marks").alias("marks"), F.first("ctx").alias("ctx")]
+        finer = materialise(parts.groupBy("fp", "ch").agg(*of), "finer")
+        runs, temps = repeated_runs(finer, depth, most, level + 1)
+        temps = [*temps, finer]
+    else:  # contexts of one window each: equal ones are one row
+        one = F.array(F.struct(F.lit(0).alias("a"), F.lit(1).alias("z")))
+        runs, temps = parts.groupBy("fp", "ch").agg(twice.alias("dup")).where("dup").select("fp", "ch", one.alias("runs")), []
+    moved = F.transform("runs", lambda r: F.struct((r.a + F.col("k0")).alias("a"), (r.z + F.col("k0")).alias("z")))
+    back = parts.select("fp", "ch", "pf", "pch", "k0").join(runs, ["fp", "ch"]).select(F.col("pf").alias("fp"), F.col("pch").alias("ch"), moved.alias("runs"))
+    back = back.groupBy("fp", "ch").agg(F.array_sort(F.flatten(F.collect_list("runs"))).alias("runs"))
+    return alone.unionByName(back), [*temps, parts, crowded]
 
 
 def cut_contexts(texts: DataFrame, depth: int) -> DataFrame:
@@ -392,21 +443,14 @@ def find_runs(docs: DataFrame, depth: int, most: int) -> tuple[DataFrame, DataFr
     discard(need)
     rows = materialise(cut_contexts(texts.where("found is not null"), depth).withColumn("ch", F.unhex(F.md5("ctx"))), "contexts")
     occ = F.xxhash64("tk", "s0")
-    distinct = rows.groupBy("fp", "ch").agg(F.min("d0").alias("d0"), (F.min(occ) != F.max(occ)).alias("dup"), F.first("ctx").alias("ctx"))
-    many = rows.groupBy("fp").agg(F.min("ch").alias("c0"), F.max("ch").alias("c1"), F.approx_count_distinct("ch", 0.05).alias("kinds"))
-    # an anchor hash with one context is decided by its count; the estimate only chooses between the two ways for the others
-    distinct = materialise(
-        distinct.join(many.select("fp", (F.col("c0") == F.col("c1")).alias("alone"), (F.col("kinds") > most).alias("hot")), "fp"),
-        "distinct",
+    distinct = rows.groupBy("fp", "ch").agg(
+        F.min("d0").alias("d0"), (F.min(occ) != F.max(occ)).alias("dup"), F.array(F.lit(0)).alias("marks"), F.first("ctx").alias("ctx")
     )
-    all_windows = F.array(F.struct(F.lit(0).alias("a"), (F.octet_length("ctx") - depth + 1).alias("z")))
-    decided = distinct.where("alone and dup").select("fp", "ch", all_windows.alias("runs"))
-    runs = decided.unionByName(sort_blocks(distinct.where("not alone and not hot"), depth).where("size(runs) > 0"))
-    hot = distinct.where("not alone and hot")
-    if not hot.isEmpty():
-        runs = runs.unionByName(count_windows(hot, depth))
-    runs = materialise(runs, "runs")
-    discard(distinct)
+    distinct = materialise(distinct, "distinct")
+    found, read = repeated_runs(distinct, depth, most)
+    runs = materialise(found, "runs")
+    for t in (*read, distinct):
+        discard(t)
     shift = F.transform("runs", lambda r: F.struct((r.a + F.col("s0")).alias("a"), (r.z + F.col("s0")).alias("z")))
     back = rows.select("fp", "ch", "tk", "s0").join(runs, ["fp", "ch"]).select("tk", shift.alias("runs"))
     back = materialise(back.groupBy("tk").agg(F.flatten(F.collect_list("runs")).alias("runs")), "back")

@@ -138,7 +138,7 @@ def brute_cut(texts, depth=200):
     return out
 
 
-@pytest.mark.parametrize("most", [20_000, 1])
+@pytest.mark.parametrize("most", [20_000, 1, 0])
 def test_substrings(spark, rows, most):
     want = collections.Counter((i, *x) for (i, _), x in zip(rows, brute_cut([t for _, t in rows]), strict=True))
     out = substrings.remove_repeats(frame(spark, rows), most=most).collect()
@@ -148,6 +148,39 @@ def test_substrings(spark, rows, most):
     assert substrings.remove_repeats(frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("most", [6, 2])
+def test_substrings_of_crowded_anchors(spark, most):
+    """One gram in many surroundings, some of which agree further than others: its buckets are dealt again, level by level."""
+    rng = random.Random(8)
+    gram = "".join(rng.choices("abcdefgh", k=64))
+    sides = [("".join(rng.choices("ijklmnop", k=150)), "".join(rng.choices("qrstuvwx", k=150))) for _ in range(6)]
+    texts = []
+    for k in range(60):
+        left, right = rng.choice(sides)[0], rng.choice(sides)[1]
+        cut = rng.randrange(150)
+        left = left[:cut] + rng.choice("0123456789") + left[cut + 1 :]
+        texts.append(f"{k} {left}{gram}{right[: rng.randrange(60, 150)]} {k}")
+    want = brute_cut(texts)
+    assert any(x[1] for x in want) and any(not x[1] for x in want)
+    out = substrings.remove_repeats(frame(spark, list(enumerate(texts))), most=most).orderBy("doc_id").collect()
+    assert [(r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept) if r.kept is not None else r.text.encode()) for r in out] == want
+
+
+def test_second_anchors():
+    """What a window is filed under depends on the window and its first anchor alone, and is clear of it."""
+    rng = random.Random(9)
+    ctx = bytes(rng.choices(b"abcd", k=336))
+    for sizes, marks, gram in (((64,), [0], 32), ((64, 32), [0, -40], 16), ((64, 32, 16), [0, -40, 70], 8)):
+        found = {}
+        for a, z in ((0, 137), (20, 100), (60, 61)):
+            h, at, s0, s1 = substrings.second_anchors(ctx[a : z + 199], 136 - a, marks, sizes, gram, 200)
+            for k in range(len(h)):
+                assert all(at[k] + gram <= 136 - a + m or at[k] >= 136 - a + m + w for m, w in zip(marks, sizes, strict=True))
+                for w in range(s0[k], s1[k] + 1):
+                    assert w <= at[k] <= w + 200 - gram
+                    assert found.setdefault(w + a, (h[k], at[k] + a)) == (h[k], at[k] + a)
+
+
 def test_substrings_as_text(spark, rows):
     for r in substrings.remove_repeats(frame(spark, rows), as_text=True).where("kept is not null").collect():
         assert "\ufffd" not in r.kept and len(r.text.encode()) - len(r.kept.encode()) == r.n_removed
@@ -325,11 +358,19 @@ def test_packing_of_long_texts_and_other_tokenizers(spark, monkeypatch):
 
 
 def test_batches_of_one_length(spark, rows):
-    out = packing.batches(packing.pack(frame(spark, rows), with_ids=False), 64).collect()
-    by = collections.defaultdict(list)
-    for r in out:
-        by[r.batch].append(r.length)
-    assert all(len(set(x)) == 1 and sum(x) <= max(64, x[0]) for x in by.values())
+    """Batches are full but for the last one of a bucket and part; a batch smaller than a sequence holds one."""
+    for tokens in (1, 64, 1 << 15):
+        out = packing.pack(frame(spark, rows).repartition(3), with_ids=False, batch_tokens=tokens).collect()
+        by = collections.defaultdict(list)
+        for r in out:
+            by[r.batch].append(r.length)
+        rest = collections.Counter()
+        for name, x in by.items():
+            assert len(set(x)) == 1 and sum(x) <= max(tokens, x[0]) and name.startswith(f"{x[0].bit_length() - 1}-")
+            rest[name.rpartition("-")[0]] += sum(x) < max(tokens, x[0])
+        assert max(rest.values()) <= 1
+    with pytest.raises(ValueError):
+        packing.pack(frame(spark, rows), batch_tokens=0)
 
 
 def test_media(spark, rows):
