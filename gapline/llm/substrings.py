@@ -69,8 +69,20 @@ MEETING = meeting(PERIOD)
 
 
 def dense(*keys: np.ndarray) -> np.ndarray:
-    """Rank of each tuple of keys (the first is the most significant), equal for equals."""
-    order = np.lexsort(keys[::-1])
+    """Rank of each tuple of keys (not negative; the first is the most significant), equal for equals. Neighbouring keys that fit into 64 bits are sorted as one."""
+    packed: list[np.ndarray] = []
+    used = 65
+    for k in keys:
+        bits = int(k.max(initial=0)).bit_length()
+        k = k.astype(U)
+        if used + bits <= 64:
+            packed[-1] = packed[-1] << U(bits) | k
+            used += bits
+        else:
+            packed.append(k)
+            used = bits
+    keys = tuple(packed)
+    order = np.argsort(keys[0]) if len(keys) == 1 else np.lexsort(keys[::-1])
     new = np.zeros(len(order), bool)
     for k in keys:
         s = k[order]
@@ -87,7 +99,12 @@ class Cover:
         self.depth, v = depth, PERIOD
         self.rest = depth - v
         padded = data + b"\0" * (2 * depth + 64)
-        self.word = np.ndarray((len(padded) - 7,), ">u8", padded, 0, (1,))
+        # ranks of the first 8 and, by doubling, PERIOD bytes from each place
+        self.eight = self.first = dense(np.ndarray((len(padded) - 7,), ">u8", padded, 0, (1,)))
+        have = 8
+        while have < v:
+            self.first = dense(self.first[:-have], self.first[have:])
+            have *= 2
         n = (len(data) + v - 1) // v * v
         cover = difference_cover(v)
         self.slot = np.full(v, -1, np.int64)
@@ -109,10 +126,10 @@ class Cover:
             self.rank = dense(self.rank, after(first, have))
             have += v
         if have < self.rest:  # a multiple of 8, as depth and PERIOD are
-            self.rank = dense(self.rank, *(self.word[p + q].astype(U) for q in range(have, self.rest, 8)))
+            self.rank = dense(self.rank, *(self.eight[p + q] for q in range(have, self.rest, 8)))
 
     def prefix(self, p: np.ndarray) -> np.ndarray:
-        return dense(*(self.word[p + 8 * k].astype(U) for k in range(PERIOD // 8)))
+        return self.first[p]
 
     def at(self, p: np.ndarray) -> np.ndarray:
         """Ranks of suffixes at cover positions."""
@@ -210,6 +227,8 @@ RUNS = pa.list_(pa.struct([("a", pa.int32()), ("z", pa.int32())]))
 
 
 def runs_of(flags: np.ndarray) -> list[dict]:
+    if flags.all():
+        return [{"a": 0, "z": len(flags)}] if len(flags) else []
     d = np.diff(flags.astype(np.int8), prepend=0, append=0)
     return [{"a": a, "z": z} for a, z in zip(np.flatnonzero(d == 1).tolist(), np.flatnonzero(d == -1).tolist(), strict=True)]
 
@@ -226,8 +245,8 @@ def sort_block(rows: list[tuple], depth: int) -> list[list[dict]]:
     k = np.arange(len(row)) - np.repeat(np.cumsum(windows) - windows, windows)
     far = np.array([r[2] for r in held], np.int64)[row] - k  # from the window's begin to its anchor
     flags = Cover(b"".join(r[4] for r in held), depth).repeated(at[row] + k, klass[row] * (depth + 1) + far)
-    windows = windows[: len(rows)]
-    return [runs_of(flags[a - w : a]) for a, w in zip(np.cumsum(windows).tolist(), windows.tolist(), strict=True)]
+    begins = (np.cumsum(windows) - windows)[: len(rows)].tolist()
+    return [runs_of(flags[a : a + w]) for a, w in zip(begins, windows[: len(rows)].tolist(), strict=True)]
 
 
 def sort_blocks(contexts: DataFrame, depth: int) -> DataFrame:
