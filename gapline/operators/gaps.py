@@ -35,10 +35,16 @@ PARSER = (
 )
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """Rows of a record together, in as many partitions as shuffles have. Tokens and gaps are tens of times as large as the texts by whose bytes adaptive
+    execution would join partitions, so their number is given. Source_Column, often a constant, isn't dealt by: plans lose track of it."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *RECORD[:2])
+
+
 def chunks(transcripts: DataFrame, clean_text: bool = True) -> DataFrame:
     """Keys, chunk, tokens, offset (its first token's place in the record, event marks counted), truncated."""
     body = transcripts.select(*RECORD, T.normalize(F.col("text"), clean_text).alias("text")).where("text <> ''")
-    parts = body.select(
+    parts = dealt(body).select(
         *RECORD,
         T.truncated(F.col("text")).alias("truncated"),
         F.posexplode(F.split("text", C.EVENT)).alias("chunk", "part"),
@@ -282,16 +288,21 @@ def score(
     parser: DataFrame | None = None,
     similarity: Callable[[Column, Column], Column] | None = None,
     text_similarity: Callable[[Column, Column], Column] | None = None,
+    keep: bool = False,
 ) -> DataFrame:
     """Evidence of every gap of ``tokenized`` (see :func:`tokens`); ``gap`` is the right token's place in the record.
 
     ``config.continuity`` is jaccard, lexical or a model (see :mod:`gapline.operators.encoders`); lexical takes the place of a model that can't be
     loaded. ``similarity`` maps the two sides' word sets to a number and overrides it; so does ``text_similarity``, which gets the two
     sides' texts (see :func:`encoded_similarity`).
-    ``parser`` is a table of :func:`parser_legality`; without one only the rules hold."""
+    ``parser`` is a table of :func:`parser_legality`; without one only the rules hold. With ``keep`` the continuity stays as it is, as s_; tokens that
+    have s_ are scored by it."""
     v, c = vocabulary or Vocabulary(), config or Config()
     # tokens in blocks come with those of the neighbouring blocks that windows reach (see gapline.operators.wide)
     blocks = [x for x in ("block", "own") if x in tokenized.columns]
+    # what decoding hands on, and the continuity where it is known from a first pass
+    carried = [x for x in ("truncated", "mark") if x in tokenized.columns]
+    known = "s_" in tokenized.columns
     by = Window.partitionBy(*CHUNK, *blocks[:1]).orderBy("pos")
     w = c.context_width
     left, right, around = by.rowsBetween(-w, -1), by.rowsBetween(0, w - 1), by.rowsBetween(-w, w - 1)
@@ -331,9 +342,11 @@ def score(
         }
     ).where("pos > 0")
     model = None
-    if similarity is None and text_similarity is None and c.continuity not in SIMILARITY:
+    if not known and similarity is None and text_similarity is None and c.continuity not in SIMILARITY:
         model = encoders.find_or_warn(tokenized.sparkSession, c.continuity)
-    if text_similarity is not None:
+    if known:
+        out = seen.withColumnRenamed("s_", "s")
+    elif text_similarity is not None:
         out = seen.withColumn("s", text_similarity(T.detokenize(F.col("l_tokens")), T.detokenize(F.col("r_tokens"))))
     elif model is not None:
         out = encoders.with_vectors(seen.drop("l_words", "r_words"), model)
@@ -413,6 +426,8 @@ def score(
         "pos",
         "gap",
         *blocks,
+        *carried,
+        *([F.col("s").alias("s_")] if keep else []),
         "left_token",
         F.col("token").alias("right_token"),
         *[four_places(F.col(x)).alias(k) for k, x in numbers.items()],

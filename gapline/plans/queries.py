@@ -55,13 +55,14 @@ def _gaps(spark: SparkSession, sf_dir: str, config: Config = CONFIG) -> DataFram
     return gaps.score(_tokens(spark, sf_dir), WORDS, config)
 
 
-def _selected(spark: SparkSession, sf_dir: str, config: Config = CONFIG) -> DataFrame:
-    return decode.select(decode.valleys(_gaps(spark, sf_dir, config), config), config)
+def _cut(spark: SparkSession, sf_dir: str, config: Config = CONFIG) -> DataFrame:
+    """Chunks with their boundaries."""
+    return segmentation.cut_chunks(gaps.chunks(transcripts(spark, sf_dir), False), WORDS, config)
 
 
 def _segments(spark: SparkSession, sf_dir: str, config: Config = CONFIG) -> tuple[DataFrame, DataFrame]:
     seg, bound = segmentation.segment(transcripts(spark, sf_dir), WORDS, config, clean_text=False)
-    return seg.persist(), bound  # the metrics read them more than once
+    return seg, bound
 
 
 def clean_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -194,8 +195,8 @@ def valley_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def boundary_select(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = _selected(spark, sf_dir)
-    return s.where("selected_boundary and not forced_max_length_boundary").select("Record_ID", "gap", "semantic_gravity")
+    b = decode.boundaries(_cut(spark, sf_dir))
+    return b.where("not forced_max_length_boundary").select("Record_ID", "gap", "semantic_gravity")
 
 
 def boundary_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -222,11 +223,8 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def forced_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _selected(
-        spark,
-        sf_dir,
-        Config(continuity="jaccard", max_segment_tokens=25),
-    ).where("forced_max_length_boundary").select("Record_ID", "gap", "semantic_gravity")
+    b = decode.boundaries(_cut(spark, sf_dir, Config(continuity="jaccard", max_segment_tokens=25)))
+    return b.where("forced_max_length_boundary").select("Record_ID", "gap", "semantic_gravity")
 
 
 def cap_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -236,7 +234,7 @@ def cap_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _greedy_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Segments without forced boundaries."""
     free = Config(continuity="jaccard", max_segment_tokens=1_000_000)
-    return decode.segments(_tokens(spark, sf_dir), _selected(spark, sf_dir, free))
+    return decode.chunk_segments(_cut(spark, sf_dir, free))
 
 
 def segment_types(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -288,7 +286,7 @@ def qc_token_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def boundary_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sampling.boundary_items(_selected(spark, sf_dir))
+    return sampling.boundary_items(segmentation.evidence(_cut(spark, sf_dir), WORDS, CONFIG))
 
 
 def _document_items(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -316,7 +314,8 @@ def template_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def segment_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     seg, bound = _segments(spark, sf_dir)
-    return sampling.segment_context(sampling.boundary_items(bound), seg).select(
+    items = sampling.boundary_items(bound).select("Annotation_Item_ID", "Record_ID", "Source_Row", "Source_Column", "Boundary_Gap")
+    return sampling.segment_context(items, seg).select(
         "Annotation_Item_ID",
         "Previous_Segment",
         "Left_Segment",

@@ -44,6 +44,26 @@ def long_form(
     ).select("Record_ID", "Source_Row", "cell.*")
 
 
+def cut_chunks(
+    chunked: DataFrame,
+    vocabulary: Vocabulary | None = None,
+    config: Config | None = None,
+    parser: DataFrame | None = None,
+    text_similarity: Callable[[Column, Column], Column] | None = None,
+) -> DataFrame:
+    """Chunks with their boundaries (:func:`gapline.operators.decode.cuts`). The continuity is kept where it is dear."""
+    c = config or Config()
+    keep = c.continuity != "jaccard" or text_similarity is not None
+    scored = gaps.score(gaps.tokens(chunked), vocabulary, c, parser, text_similarity=text_similarity, keep=keep)
+    return gaps.dealt(decode.cuts(decode.valleys(scored, c), c))
+
+
+def evidence(cut: DataFrame, vocabulary: Vocabulary | None = None, config: Config | None = None, parser: DataFrame | None = None) -> DataFrame:
+    """All gaps of :func:`cut_chunks`, scored with their marks: no gap is looked up in another table."""
+    c = config or Config()
+    return decode.with_marks(decode.valleys(gaps.score(decode.marked_tokens(cut), vocabulary, c, parser), c))
+
+
 def boundary_table(
     transcripts: DataFrame,
     vocabulary: Vocabulary | None = None,
@@ -52,31 +72,12 @@ def boundary_table(
     parser: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(tokens, gaps with decoded boundaries)."""
-    tokens = gaps.tokens(gaps.chunks(transcripts, clean_text))
-    return tokens, decode.select(decode.valleys(gaps.score(tokens, vocabulary, config, parser), config), config)
+    chunked = gaps.chunks(transcripts, clean_text)
+    return gaps.tokens(chunked), evidence(cut_chunks(chunked, vocabulary, config, parser), vocabulary, config, parser)
 
 
 #: characters of a record that one task can hold as tokens and gaps
 LONG = 1_000_000
-#: what decoding and segment means need of a gap
-NARROW = tuple(
-    dict.fromkeys(
-        [
-            *gaps.CHUNK,
-            "offset",
-            "n_tokens",
-            "pos",
-            "gap",
-            "k",
-            "left_token",
-            "right_token",
-            "candidate_boundary",
-            "constraint_reason",
-            *decode.MEANS.values(),
-        ]
-    )
-)
-
 
 def segment(
     transcripts: DataFrame,
@@ -92,10 +93,9 @@ def segment(
     Records with more than ``long_text`` characters are shared out to many tasks (:mod:`gapline.operators.wide`), with the same results; they are
     looked for first. None: there are none to look for.
     ``parser`` is the path of a saved tagger (:mod:`gapline.operators.tagging`) or a table of :func:`gapline.operators.gaps.parser_legality`.
-    Decoding reads the scores twice (to choose, and to mark), so they are kept, a few columns wide, for both; a lost part is
-    recomputed. The wide evidence is scored again if it is asked for, unless the sequence ratio, a model or ``text_similarity`` (see
-    :func:`gapline.operators.gaps.encoded_similarity`) makes that dear: then it is what is kept.
-    ``unpersist`` or the catalog's ``clearCache`` releases it."""
+    The chunks with their boundaries are kept for both results: tokens and a few numbers for each gap. The wide evidence is scored again if it is
+    asked for, by the kept continuity if the sequence ratio, a model or ``text_similarity`` (see
+    :func:`gapline.operators.gaps.encoded_similarity`) makes that dear. ``unpersist`` or the catalog's ``clearCache`` releases it."""
     c = config or Config()
     if long_text is not None and not (far := transcripts.where(F.length("text") > long_text)).isEmpty():
         near = transcripts.where(F.length("text").isNull() | (F.length("text") <= long_text))
@@ -108,18 +108,10 @@ def segment(
 
 def _segment(transcripts, vocabulary, c: Config, clean_text: bool, parser, text_similarity) -> tuple[DataFrame, DataFrame]:
     chunked = gaps.chunks(transcripts, clean_text)
-    tokens = gaps.tokens(chunked)
     if isinstance(parser, str):
         parser = tagging.legality(chunked, parser)
-    scored = decode.valleys(gaps.score(tokens, vocabulary, c, parser, text_similarity=text_similarity), c)
-    if c.continuity != "jaccard" or text_similarity is not None:
-        scored = scored.persist()
-        chosen = decode.select(scored, c)
-        return decode.segments(tokens, chosen), chosen.select(*gaps.RECORD, *EVIDENCE)
-    chosen = decode.select(scored.select(*NARROW).persist(), c)
-    marks = chosen.where("selected_boundary").select(*gaps.CHUNK, "pos", "selected_boundary", "forced_max_length_boundary")
-    wide_rows = scored.join(marks, [*gaps.CHUNK, "pos"], "left").na.fill(False, ["selected_boundary", "forced_max_length_boundary"])
-    return decode.segments(tokens, chosen), wide_rows.select(*gaps.RECORD, *EVIDENCE)
+    cut = cut_chunks(chunked, vocabulary, c, parser, text_similarity).persist()
+    return decode.chunk_segments(cut), evidence(cut, vocabulary, c, parser).select(*gaps.RECORD, *EVIDENCE)
 
 
 def _segment_long(transcripts, vocabulary, c: Config, clean_text: bool, parser, text_similarity, block: int = wide.BLOCK) -> tuple[DataFrame, DataFrame]:

@@ -531,3 +531,27 @@ def test_review_stream(spark, tmp_path):
         ).awaitTermination(60)
     got = {r.Annotation_ID: r.Boundary_Strength_0_3 for r in reviews.current_labels(spark, base, str(tmp_path / "log")).collect()}
     assert got == {"a": "3", "b": ""}
+
+
+def exchanges(df) -> int:
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_gaps_are_not_shuffled(spark):
+    """Texts are dealt out by record, and chunks with their cuts; no row of a token or gap is (before: joins of the gaps with the chosen places)."""
+    t = spark.createDataFrame([("a", 1, "x", "one two three. " * 60), ("b", 2, "x", None)], "Record_ID string, Source_Row long, Source_Column string, text string")
+    cut = segmentation.cut_chunks(gaps.chunks(t, False), None, Config(continuity="jaccard"))
+    plan = segmentation.evidence(cut, None, Config(continuity="jaccard"))
+    assert exchanges(plan) == 2 and exchanges(decode.chunk_segments(cut)) == 2
+    assert plan.where("selected_boundary").count() == cut.selectExpr("sum(size(cuts))").first()[0] > 2
+
+
+def test_segments_of_chunks_equal_those_of_tokens(spark):
+    words = "so we turn it and then I think the big square fits. but wait it is hard, okay now flip it".split()
+    t = spark.createDataFrame(
+        [(f"r{k}", k, "x", " ".join(words[(i * i * k + i) % len(words)] for i in range(30 * k + 2))) for k in range(6)], "Record_ID string, Source_Row long, Source_Column string, text string"
+    )
+    c = Config(continuity="jaccard", max_segment_tokens=30)
+    tokens, scored = segmentation.boundary_table(t, config=c, clean_text=False)
+    cut = segmentation.cut_chunks(gaps.chunks(t, False), None, c)
+    assert sorted(map(str, decode.chunk_segments(cut).collect())) == sorted(map(str, decode.segments(tokens, scored).collect()))
