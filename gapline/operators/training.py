@@ -2,8 +2,9 @@
 
 Rows are dealt to the batches of an epoch by a hash of seed, epoch and id, so that runs repeat, whatever the table's partitioning. For each batch the tasks sum
 the gradients of their rows, a vector of fixed size each; those meet in a tree of ``fan_in`` (by shuffles, not on the driver) and one sum reaches the driver, which
-makes Adam's step. Gradients are added as whole multiples of 2**-40, so that the order of the sums doesn't matter either. The table is written to the shared
-folder once, each row with its features only; every batch reads it there, so a lost executor costs a part of one step.
+makes Adam's step; batches of at most ``SMALL`` rows need no tree. Gradients are added as whole multiples of 2**-40, so that the order of the sums doesn't matter either. The table is written to the shared
+folder once, each row with its features only, and for each epoch again in a folder for each batch: a step reads its own rows only, and a lost executor costs a part
+of one step.
 
 Rows with a null label, vector or place in it don't train; rows that share an id fall in one batch together. An empty table is an error.
 """
@@ -22,6 +23,8 @@ from gapline.sources.shared import Scope
 
 #: gradients are whole multiples of this
 GRAIN = 2.0**-40
+#: rows of a batch whose sums need no tree: they are read in a task or two
+SMALL = 1 << 14
 
 
 @dataclass
@@ -96,22 +99,23 @@ def train(
         out = Gates(weights, bias, [], [])
         for epoch in range(epochs):
             total = np.zeros(3)
-            dealt = clean.withColumn("batch", batch_of("id", seed, epoch, batches))
-            for k in range(batches):
-                got = _sum(dealt.where(F.col("batch") == k), weights, bias, fan_in)
-                if got is None:
-                    continue
-                total += got[-3:]
-                step = adam.step(got[:-3] / got[-1])
-                weights = weights - step[: classes * width].reshape(classes, width)
-                bias = bias - step[classes * width :]
+            with Scope(rows.sparkSession) as own:
+                dealt = clean.withColumn("batch", batch_of("id", seed, epoch, batches)).repartition("batch")
+                found = own.keep(dealt.select("batch", "y", "x"), "batch").select("batch").distinct().collect()  # a number for each batch
+                for k in sorted(r["batch"] for r in found):
+                    of = rows.sparkSession.read.schema("y int, x array<double>").parquet(f"{own.paths[-1]}/batch={k}")
+                    got = _sum(of, weights, bias, fan_in, batch <= SMALL)
+                    total += got[-3:]
+                    step = adam.step(got[:-3] / got[-1])
+                    weights = weights - step[: classes * width].reshape(classes, width)
+                    bias = bias - step[classes * width :]
             out.losses.append(float(total[0] / total[2]))
             out.accuracies.append(float(total[1] / total[2]))
         out.weights, out.bias = weights, bias
         return out
 
 
-def _sum(rows: DataFrame, weights: np.ndarray, bias: np.ndarray, fan_in: int) -> np.ndarray | None:
+def _sum(rows: DataFrame, weights: np.ndarray, bias: np.ndarray, fan_in: int, small: bool) -> np.ndarray:
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for b in parts:
@@ -122,9 +126,12 @@ def _sum(rows: DataFrame, weights: np.ndarray, bias: np.ndarray, fan_in: int) ->
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.int64()))], names=["s"])
 
-    part = rows.select("y", "x").mapInArrow(run, "s array<long>").withColumn("part", F.spark_partition_id())
+    part = rows.select("y", "x").mapInArrow(run, "s array<long>")
+    if small:
+        return sum(np.array(r["s"], np.int64) for r in part.collect()) * GRAIN  # of a task or two
+    part = part.withColumn("part", F.spark_partition_id())
     add = F.aggregate(F.slice(F.collect_list("s"), 2, 1 << 30), F.get(F.collect_list("s"), F.lit(0)), lambda a, b: F.zip_with(a, b, lambda x, y: x + y))
     tree = part.groupBy(F.floor(F.col("part") / fan_in).alias("part")).agg(add.alias("s"))
     tree = tree.groupBy(F.floor(F.col("part") / fan_in).alias("part")).agg(add.alias("s"))
     got = [np.array(r["s"], np.int64) for r in tree.collect()]  # one row for fan_in ** 2 tasks
-    return sum(got) * GRAIN if got else None
+    return sum(got) * GRAIN

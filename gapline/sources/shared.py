@@ -32,9 +32,10 @@ class Scope:
     def __init__(self, spark: SparkSession):
         self.spark, self.paths = spark, []
 
-    def keep(self, df: DataFrame) -> DataFrame:
+    def keep(self, df: DataFrame, *by: str) -> DataFrame:
+        """``df`` as written; with ``by``, in a folder for each value of these columns."""
         path = f"{shared_folder(self.spark)}/gapline-{uuid.uuid4().hex}"
-        df.write.parquet(path)
+        (df.write.partitionBy(*by) if by else df.write).parquet(path)
         self.paths.append(path)
         return self.spark.read.schema(df.schema).parquet(path)
 

@@ -65,3 +65,21 @@ def test_training_rejects_what_it_cannot_use(spark):
     for rows in ([(1, 2, [1.0])], [(1, -1, [1.0])], [(1, 0, [1.0]), (2, 0, [1.0, 2.0])]):
         with pytest.raises(ValueError, match="labels are from"):
             training.train(spark.createDataFrame(rows, kind), 2)
+
+
+def test_a_step_reads_its_own_rows_only(spark, data, monkeypatch):
+    """Before, every step read the whole table, so the work grew with the square of its rows."""
+    ids, x, y = data
+    df = spark.createDataFrame([(int(i), int(c), [float(v) for v in r]) for i, c, r in zip(ids, y, x, strict=True)], "id long, label int, vector array<double>")
+    read, whole = [], training._sum
+
+    def seen(rows, *rest):
+        names = rows.inputFiles()
+        read.append(spark.read.parquet(*names).count())
+        return whole(rows, *rest)
+
+    monkeypatch.setattr(training, "_sum", seen)
+    a = training.train(df, 3, epochs=2, batch=20, seed=7)
+    assert sum(read) == 2 * len(ids) and len(read) > 6
+    monkeypatch.setattr(training, "SMALL", 0)  # sums meet in the tree
+    assert (training.train(df, 3, epochs=2, batch=20, seed=7).weights == a.weights).all()
