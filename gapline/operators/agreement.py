@@ -14,6 +14,8 @@ from gapline.operators.sampling import migrate
 
 STRENGTH = "Boundary_Strength_0_3"
 LABELS = (STRENGTH, *C.SIGNALS)
+#: labels of a signal are fewer than half of this
+PAIR = 1 << 32
 CONTEXT = ("Cue_Span", "Boundary_Context", "Left_Segment", "Right_Segment")
 
 
@@ -143,34 +145,29 @@ def cue_association(
 ) -> DataFrame:
     """Signal, Cue, Support, Positive_With_Cue, Precision, Recall, Lift: word runs that go with a positive label.
 
-    Labels are summed by text first, each text's distinct runs count once, and all signals' counts come from one aggregation on the run."""
+    Labels are summed by text first, each text's distinct runs count once, and all signals' counts come from one aggregation on the run.
+    A text's runs are one array in its task."""
     require(labels, {"Annotation_Item_ID", *[f"Human_{s}" for s in C.SIGNALS]}, "labels")
     text = [c for c in CONTEXT if c in labels.columns]
     if not text:
         raise ValueError("labels need a text column: " + ", ".join(CONTEXT))
     joined = F.concat_ws(" ", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in text])
     bins = {s: T.binary_label(F.col(f"Human_{s}")) for s in C.SIGNALS}
-    counts = [f(s).alias(f"{k}_{s}") for s in C.SIGNALS for k, f in (("n", F.count), ("p", F.sum))]
+    # labels and positive ones of a signal in one number, n * 2**32 + p: half as wide, and their sums add up alike
+    counts = [F.sum(F.when(F.col(s).isNotNull(), F.col(s) + F.lit(PAIR)).otherwise(0)).alias(s) for s in C.SIGNALS]
     # an item's labels by several annotators share its text: it is taken apart once
-    texts = labels.select(*[b.alias(s) for s, b in bins.items()], joined.alias("text")).groupBy("text").agg(*counts)
-    names = [f"{k}_{s}" for s in C.SIGNALS for k in "np"]
-    words = texts.select(*names, F.monotonically_increasing_id().alias("row"), T.cue_words(F.col("text")).alias("w"))
-    beside = [(F.col("w") if k == 0 else F.slice("w", F.lit(k + 1), F.size("w"))).alias(f"w{k}") for k in range(longest)]
-    runs = words.select("row", *names, F.inline(F.arrays_zip(*beside)))
-    each = F.array(
-        *[F.when(F.col(f"w{k}").isNotNull(), T.cue_form(F.concat_ws(" ", *[f"w{j}" for j in range(k + 1)]))) for k in range(longest)]
-    )
-    once = runs.select(
-        "row",
-        *names,
-        F.explode(each).alias("Cue"),
-    ).where("Cue is not null").groupBy("row", "Cue").agg(*[F.first(c).alias(c) for c in names])
-    per = once.groupBy("Cue").agg(*[F.sum(c).alias(c) for c in names])
-    total = texts.agg(*[F.sum(c).alias(c) for c in names])
+    texts = labels.select(*[b.cast("long").alias(s) for s, b in bins.items()], joined.alias("text")).groupBy("text").agg(*counts)
+    sums = [F.sum(s).alias(s) for s in C.SIGNALS]
+    # a text's runs are told apart where it is, so only sums by run are shuffled
+    per = texts.select(*C.SIGNALS, F.explode(T.cues(F.col("text"), longest)).alias("Cue")).groupBy("Cue").agg(*sums)
+    total = texts.agg(*sums)
 
     def long(df: DataFrame, *keys: str) -> DataFrame:
         e = F.array(
-            *[F.struct(F.lit(s).alias("Signal"), F.col(f"n_{s}").alias("n"), F.coalesce(f"p_{s}", F.lit(0)).alias("p")) for s in C.SIGNALS]
+            *[
+                F.struct(F.lit(s).alias("Signal"), F.shiftright(s, 32).alias("n"), F.col(s).bitwiseAND(PAIR - 1).alias("p"))
+                for s in C.SIGNALS
+            ]
         )
         return df.select(*keys, F.explode(e).alias("e")).select(*keys, "e.*")
 

@@ -555,3 +555,14 @@ def test_segments_of_chunks_equal_those_of_tokens(spark):
     tokens, scored = segmentation.boundary_table(t, config=c, clean_text=False)
     cut = segmentation.cut_chunks(gaps.chunks(t, False), None, c)
     assert sorted(map(str, decode.chunk_segments(cut).collect())) == sorted(map(str, decode.segments(tokens, scored).collect()))
+
+
+def test_cue_runs_are_told_apart_before_the_shuffle(spark):
+    """Runs go to one shuffle, as sums by run (before: to another by text and run, one row for each)."""
+    rows = [("1", "ann", "so so so we turn", "1"), ("1", "ben", "so so so we turn", "0"), ("2", "ann", "so we go", "1"), ("3", "ann", None, None)]
+    x = spark.createDataFrame(rows, "Annotation_Item_ID string, Annotator_ID string, Boundary_Context string, Human_C_t string")
+    x = x.withColumns({f"Human_{s}": F.lit(None).cast("string") for s in C.SIGNALS[1:]})
+    got = agreement.cue_association(x, 1, 0.0, 0.0)
+    assert exchanges(got) == 3  # texts, for runs and for the total (one exchange, reused), and runs
+    found = {r["Cue"]: (r["Support"], r["Positive_With_Cue"]) for r in got.collect()}
+    assert found["so"] == (3, 2) and found["so we"] == (3, 2) and found["so so so"] == (2, 1) and found["go"] == (1, 1) and len(found) == 12
