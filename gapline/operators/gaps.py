@@ -261,10 +261,12 @@ def parser_features(chunked: DataFrame, parsed: DataFrame) -> DataFrame:
     chunk and parsed (``PARSED``): a parser's tokens of the chunk's text."""
     both = chunked.join(parsed.select(*CHUNK, F.col("parsed").cast(PARSED).alias("parsed")), list(CHUNK))
     both = both.withColumn("at", aligned(F.col("tokens"), F.col("parsed")))
-    gap = both.select(*RECORD, "offset", "parsed", "at", F.explode(F.sequence(F.lit(1), F.greatest(F.size("at") - 1, F.lit(1)))).alias("k"))
-    gap = gap.withColumns(
-        {"l": F.get("parsed", F.get("at", F.col("k") - 1)), "r": F.get("parsed", F.get("at", F.col("k")))}
-    ).where("l is not null and r is not null")
+    # a gap's row gets its two tokens, never the whole chunk's
+    pair = F.transform(
+        F.sequence(F.lit(1), F.greatest(F.size("at") - 1, F.lit(1))),
+        lambda k: F.struct(k.alias("k"), F.get("parsed", F.get("at", k - 1)).alias("l"), F.get("parsed", F.get("at", k)).alias("r")),
+    )
+    gap = both.select(*RECORD, "offset", F.inline(pair)).where("l is not null and r is not null")
     same = F.col("l.sentence") == F.col("r.sentence")
     return gap.select(
         *RECORD,

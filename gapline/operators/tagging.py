@@ -22,6 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +31,8 @@ from gapline.operators import gaps
 
 #: words whose own counts are kept; a model has at most so many words, as many endings and the tags' steps
 KEPT = 50_000
+#: words of the chunks that a worker takes apart at once
+WORDS = 20_000
 #: added to each count
 ADDED = 0.1
 START = "<s>"
@@ -163,13 +166,27 @@ def load(spark: SparkSession, path: str) -> DataFrame:
 KEYS = "Record_ID string, Source_Row long, Source_Column string, chunk int"
 
 
+def sliced(batches: Iterator[pa.RecordBatch], most: int = WORDS) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches`` in slices of at most ``most`` words (column 4), or of one chunk: what a worker holds as Python objects."""
+    for b in batches:
+        sizes = np.array(pc.fill_null(pc.list_value_length(b.column(4)), 0).to_numpy(zero_copy_only=False), np.int64)
+        at, held = 0, 0
+        for k, n in enumerate(sizes.tolist()):
+            if held + n > most and k > at:
+                yield b.slice(at, k - at)
+                at, held = k, 0
+            held += n
+        if b.num_rows > at or not b.num_rows:
+            yield b.slice(at)
+
+
 def tag(spoken: DataFrame, model: Tagger) -> DataFrame:
     """Keys of the chunk, words and their tags, for ``spoken`` (see :func:`words`)."""
     shared = spoken.sparkSession.sparkContext.broadcast(model)  # bounded by KEPT
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        for b in batches:
+        for b in sliced(batches):
             said = b.column(4).to_pylist()
             yield pa.RecordBatch.from_arrays(
                 [*b.columns, pa.array(own.best([x or [] for x in said]), pa.list_(pa.string()))],
@@ -226,7 +243,7 @@ def parse(tagged: DataFrame) -> DataFrame:
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             made = [shallow(w, t) for w, t in zip(b.column(4).to_pylist(), b.column(5).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(made, pa.list_(token))], names=[*gaps.CHUNK, "parsed"])
 

@@ -248,3 +248,25 @@ def test_context_keeps_items_columns_and_takes_time_in_proportion(spark):
         ends, begins = min(at // 10, n) - 1, -(-at // 10)
         assert r.Left_Segment == (f"s{ends}" if ends >= 0 else "") and r.Right_Segment == (f"s{begins}" if begins < n else "")
         assert r.Previous_Segment == (f"s{ends - 1}" if at == 10 * ends + 10 and ends > 0 else "")
+
+
+def test_a_worker_takes_few_words_apart_at_once():
+    """Before, all chunks of an Arrow batch were Python objects at once."""
+    import pyarrow as pa
+
+    said = [["a"] * n for n in (3, 0, 5, 9, 1, 1)] + [None]
+    b = pa.RecordBatch.from_arrays([pa.array(range(7))] * 4 + [pa.array(said, pa.list_(pa.string()))], names=["w", "x", "y", "z", "words"])
+    parts = list(tagging.sliced(iter([b, b.slice(0, 0)]), 8))
+    assert [p.num_rows for p in parts] == [3, 1, 3, 0] and pa.Table.from_batches(parts[:3]).to_pylist() == b.to_pylist()
+
+
+def test_gaps_of_a_parse_do_not_carry_their_chunk(spark):
+    """Before, each gap's row held all of the chunk's parsed tokens: the square of its length."""
+    chunked = gaps.chunks(transcripts(spark, "the cat sat. it ran"))
+    parsed = chunked.select(*gaps.CHUNK, F.transform("tokens", lambda t: F.struct(
+        t.alias("text"), F.lit("NOUN").alias("pos"), F.lit("dep").alias("dep"), F.lit(0).alias("sentence"), F.lit(False).alias("ends"), F.lit(False).alias("punct"),
+        F.lit(None).cast("int").alias("noun_chunk"))).alias("parsed"))
+    got = gaps.parser_features(chunked, parsed)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    made = next(line for line in plan.split("\n") if "Generate inline" in line)
+    assert "explode(sequence" not in plan and made and sorted(r["gap"] for r in got.collect()) == [1, 2, 3, 4, 5]
