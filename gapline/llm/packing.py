@@ -17,8 +17,10 @@ from __future__ import annotations
 import collections
 import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +39,7 @@ BREAK = np.ones(256, bool)
 BREAK[[0x20, 0x09, 0x0A, 0x0D]] = False
 #: between a letter and one of these a token always ends
 STOP = np.zeros(256, bool)
-STOP[[ord(c) for c in ".,;:!?"]] = True
+STOP[[ord(c) for c in ".,;:!?#$%&()*+-/=@[]^_{}~"]] = True
 #: how the tokenizer takes texts apart for which words can be encoded on their own; fixed values
 WORDWISE = {
     "normalizer": {
@@ -59,6 +61,8 @@ WORDWISE = {
     "added": ["<|startoftext|>", "<|endoftext|>"],
 }
 MARK = b"\x01"
+#: lower-case Latin letters only: the tokenizer leaves such a word as it is and in one part
+PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
 LETTER = np.zeros(256, bool)
 LETTER[65:91] = LETTER[97:123] = True
 FOLD = np.arange(256, dtype=np.uint8)
@@ -70,7 +74,7 @@ class CachedEncoder:
 
     def __init__(self, file: str | None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         if file is None:
             import public_tokenizers
@@ -80,6 +84,10 @@ class CachedEncoder:
         spec = json.loads(self.tok.to_str())
         told = {k: spec[k] for k in ("normalizer", "pre_tokenizer")} | {"added": [x["content"] for x in spec["added_tokens"]]}
         self.wordwise = told == WORDWISE
+        self.bare = Tokenizer(self.tok.model)  # without the work that plain words don't need
+        self.bare.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+        )
         mark = self.tok.encode(MARK.decode(), add_special_tokens=False).ids
         self.mark = mark[0] if len(mark) == 1 else None
         self.young: dict[bytes, bytes] = {}
@@ -103,27 +111,33 @@ class CachedEncoder:
         return out
 
     def encode(self, words: list[bytes]) -> list[bytes]:
-        """One call for many words, with a mark of one id between them; words that hold the mark are encoded on their own."""
-        plain = [w for w in words if MARK not in w] if self.mark is not None else []
+        """Many words in one call; plain ones go to the model alone, and words that hold the mark are encoded on their own."""
+        if self.mark is None:
+            return [self.alone(w) for w in words]
+        plain = [PLAIN.fullmatch(w) is not None for w in words]
+        other = [w for w, x in zip(words, plain, strict=True) if not x]
+        marked = [w for w in other if MARK in w]
+        known = dict(zip(marked, map(self.alone, marked), strict=True))
+        other = [w for w in other if w not in known]
+        known.update(zip(other, self.joined(self.tok, other), strict=True))
+        got = iter(self.joined(self.bare, list(compress(words, plain))))
+        return [next(got) if x else known[w] for w, x in zip(words, plain, strict=True)]
+
+    def alone(self, word: bytes) -> bytes:
+        return np.array(self.tok.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
+
+    def joined(self, tok, words: list[bytes]) -> list[bytes]:
+        """One call for many words, with a mark of one id between them."""
         got: list[bytes] = []
-        for k in range(0, len(plain), 2000):
-            some = plain[k : k + 2000]
-            text = (b" " + MARK + b" ").join(some).decode("utf-8", "replace")
-            ids = np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+        for k in range(0, len(words), 2000):
+            text = (b" " + MARK + b" ").join(words[k : k + 2000]).decode("utf-8", "replace")
+            ids = np.array(tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
             ends = np.append(np.flatnonzero(ids == self.mark), len(ids))
             raw, a = ids.tobytes(), 0
             for z in (ends * 4).tolist():
                 got.append(raw[a:z])
                 a = z + 4
-        if len(plain) == len(words):
-            return got
-        known = dict(zip(plain, got, strict=True))
-        return [
-            known[w]
-            if w in known
-            else np.array(self.tok.encode(w.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
-            for w in words
-        ]
+        return got
 
     def ids(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and where each text's begin and end among them."""
@@ -151,10 +165,10 @@ class CachedEncoder:
         starts = np.flatnonzero(cut)
         kept = np.cumsum(inside, dtype=np.int32)
         offsets = np.append(kept[starts] - 1, kept[-1]).astype(np.int32)
-        data = buf[inside] if b"|>" in buf.tobytes() else FOLD[buf[inside]]  # special tokens are told by their case
+        data = buf[inside] if any(b"|>" in t for t in texts) else FOLD[buf[inside]]  # special tokens are told by their case
         words = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
         code = words.indices.to_numpy(zero_copy_only=False)
-        each = self.look_up(words.dictionary.to_pylist())
+        each = self.look_up(words.dictionary.to_numpy(zero_copy_only=False).tolist())  # a tenth of to_pylist's time
         size = np.fromiter(map(len, each), np.int64, len(each)) // 4
         at = np.cumsum(size) - size
         n = size[code]
@@ -163,6 +177,17 @@ class CachedEncoder:
         return ids, before[np.append(np.searchsorted(starts, b.begin), len(starts))]
 
 
+_loaded: dict[str | None, CachedEncoder] = {}
+
+
+def encoder_of(tokenizer_file: str | None) -> CachedEncoder:
+    """A worker's tokenizer with the words that it knows from earlier batches and tasks; one is held at a time."""
+    if tokenizer_file not in _loaded:
+        _loaded.clear()
+        _loaded[tokenizer_file] = CachedEncoder(tokenizer_file)
+    return _loaded[tokenizer_file]
+
+
 def at_blanks(text: bytes, most: int) -> Iterator[bytes]:
     """Parts of a text that end at blanks, of at most ``most`` bytes where words allow that."""
     a = 0
@@ -204,7 +229,7 @@ def pack(
         raise ValueError("batch_tokens must be positive")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = CachedEncoder(tokenizer_file)
+        enc = encoder_of(tokenizer_file)
         part, made = TaskContext.get().partitionId(), collections.Counter()
         for batch in batches:
             doc_ids, texts = batch.column(0).to_pylist(), as_bytes(batch.column(1))

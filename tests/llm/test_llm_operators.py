@@ -357,6 +357,25 @@ def test_packing_of_long_texts_and_other_tokenizers(spark, monkeypatch):
         ).tobytes()
 
 
+def test_packing_of_plain_words():
+    """Plain words need the model alone, words end before symbols, and a worker's next task knows the words of the one before."""
+    enc = packing.CachedEncoder(None)
+    draw = random.Random(3)
+    signs = [*"abstreABXYZ'.-_#$%&*()+/=?@[]{}~^<>|,!09 \n", "\u00e9", "\u00c9", "\u00df", "\u00d7", "\u00f7", "\u0301", "\u0338", "\u0101", "\u0130", "\x01"]
+    texts = ["".join(draw.choices(signs, k=draw.randint(0, 60))) for _ in range(3000)] + ["<|endoftext|>-a", "it's-'s", "e\u0301#"]
+    ids, at = enc.ids([t.encode() for t in texts])
+    for k, t in enumerate(texts):
+        assert ids[at[k] : at[k + 1]].tolist() == enc.tok.encode(t, add_special_tokens=False).ids, t
+    words = ["thing", "été", "straße", "x" * 300]
+    want = [np.array(enc.tok.encode(w, add_special_tokens=False).ids, "<u4").tobytes() for w in words]
+    few = packing.CachedEncoder(None)
+    few.ids([b"thing### thing$$ THING"])
+    assert set(few.young) == {b"thing", b"###", b"$$"}
+    enc.tok = None
+    assert enc.encode([w.encode() for w in words]) == want
+    assert packing.encoder_of(None) is packing.encoder_of(None)
+
+
 def test_batches_of_one_length(spark, rows):
     """Batches are full but for the last one of a bucket and part; a batch smaller than a sequence holds one."""
     for tokens in (1, 64, 1 << 15):
