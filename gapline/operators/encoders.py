@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import importlib.util
+import itertools
 import json
 import os
 import re
@@ -64,9 +65,13 @@ class HashedProjection:
 
     def encode(self, texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), self.dimensions), np.float32)
-        for k, text in enumerate(texts):
-            for word in WORD.findall(text.lower()):
-                out[k] += self.of_word(word)
+        each = [WORD.findall(t.lower()) for t in texts]
+        place = {w: k for k, w in enumerate(dict.fromkeys(itertools.chain.from_iterable(each)))}
+        if place:
+            vectors = np.array([self.of_word(w) for w in place], np.float32)
+            n = np.array(list(map(len, each)))
+            words = vectors[[place[w] for w in itertools.chain.from_iterable(each)]]
+            out[n > 0] = np.add.reduceat(words, (np.cumsum(n) - n)[n > 0])
         return out
 
 

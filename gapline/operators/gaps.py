@@ -55,8 +55,12 @@ def chunks(transcripts: DataFrame, clean_text: bool = True) -> DataFrame:
 
 
 def tokens(chunked: DataFrame) -> DataFrame:
-    """One row for each token of each chunk of two tokens or more."""
+    """One row for each token of each chunk of two tokens or more, with s_ if the chunks have it (see
+    :func:`gapline.operators.continuity.with_continuity`)."""
     out = chunked.withColumn("n_tokens", F.size("tokens")).where("n_tokens > 1")
+    if "s_" in chunked.columns:
+        each = F.posexplode(F.arrays_zip(F.col("tokens").alias("token"), F.col("s_").alias("s_"))).alias("pos", "x")
+        return out.select(*CHUNK, "offset", "n_tokens", "truncated", each).select(*CHUNK, "offset", "n_tokens", "truncated", "pos", "x.*")
     return out.select(*CHUNK, "offset", "n_tokens", "truncated", F.posexplode("tokens").alias("pos", "token"))
 
 

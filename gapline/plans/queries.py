@@ -16,7 +16,7 @@ import gapline
 from gapline import config as C
 from gapline.config import Config, Vocabulary
 from gapline.functions import text as T
-from gapline.operators import agreement, corpus, decode, frames, gaps, qc, sampling, tagging, training
+from gapline.operators import agreement, continuity, corpus, decode, frames, gaps, qc, sampling, tagging, training
 from gapline.plans import ledger, segmentation
 from gapline.sources import tables, workbook
 from gapline.sources.shared import shared_folder
@@ -52,7 +52,8 @@ def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _gaps(spark: SparkSession, sf_dir: str, config: Config = CONFIG) -> DataFrame:
-    return gaps.score(_tokens(spark, sf_dir), WORDS, config)
+    chunked = continuity.with_continuity(gaps.chunks(transcripts(spark, sf_dir), False), config)
+    return gaps.score(gaps.tokens(chunked), WORDS, config)
 
 
 def _cut(spark: SparkSession, sf_dir: str, config: Config = CONFIG) -> DataFrame:

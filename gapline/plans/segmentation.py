@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gapline.config import Config, Vocabulary
-from gapline.operators import decode, gaps, tagging, wide
+from gapline.operators import continuity, decode, gaps, tagging, wide
 from gapline.sources.shared import Scope
 from gapline.sources.tables import with_row_numbers
 
@@ -54,6 +54,8 @@ def cut_chunks(
     """Chunks with their boundaries (:func:`gapline.operators.decode.cuts`). The continuity is kept where it is dear."""
     c = config or Config()
     keep = c.continuity != "jaccard" or text_similarity is not None
+    if text_similarity is None:
+        chunked = continuity.with_continuity(chunked, c)
     scored = gaps.score(gaps.tokens(chunked), vocabulary, c, parser, text_similarity=text_similarity, keep=keep)
     return gaps.dealt(decode.cuts(decode.valleys(scored, c), c))
 

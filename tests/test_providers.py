@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from gapline.config import Config
 from gapline.functions import sequence
-from gapline.operators import encoders, gaps, sampling, tagging
+from gapline.operators import continuity, encoders, gaps, sampling, tagging
 from gapline.plans import segmentation
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -125,6 +125,31 @@ def test_lexical_takes_the_place_of_a_model_that_cannot_be_loaded(spark, tmp_pat
         assert sorted((r.gap, r.semantic_continuity, r.semantic_gravity) for r in got.collect()) == want
 
 
+@pytest.mark.parametrize("which", ["lexical", "model", "missing"])
+def test_continuity_of_chunks_is_that_of_gaps(spark, model_file, monkeypatch, which):
+    """Nothing but tokens is shuffled, and blocks don't change results."""
+    monkeypatch.setattr(continuity, "BLOCK", 7)
+    c = Config(continuity={"lexical": "lexical", "model": model_file, "missing": "missing.json"}[which])
+    odd = ["a", "", "<EVENT>", "one <EVENT> two, three . four", "! ? . , ;", "\u00e9t\u00e9 na\u00efve \u00dcber it's A a", " ".join(f"W{k % 9}" for k in range(60))]
+    chunked = gaps.chunks(transcripts(spark, *TEXTS, *odd))
+    want = gaps.score(gaps.tokens(chunked), config=c, keep=True)
+    made = gaps.tokens(continuity.with_continuity(chunked, c))
+    got = gaps.score(made, config=c, keep=True)
+    assert {x: str(t) for x, t in made.dtypes}["s_"] == "double"
+    plan = got._jdf.queryExecution().toString()
+    assert "Join" not in plan and "MapInArrow" not in plan
+    columns = ["Record_ID", "gap", "s_", "semantic_continuity", "semantic_gravity", "context"]
+    rows = sorted(map(tuple, got.select(*columns).collect()))
+    assert rows and rows == sorted(map(tuple, want.select(*columns).collect()))
+
+
+def test_hashed_projection_of_many_texts():
+    own = encoders.HashedProjection(40, "x")
+    texts = ["", "a b a", "?!", "b", "", "It's a", ""]
+    want = [sum((own.of_word(w) for w in encoders.WORD.findall(t.lower())), np.zeros(40, np.float32)) for t in texts]
+    assert (own.encode(texts) == np.array(want)).all() and (own.encode(["", "."]) == 0).all() and own.encode([]).shape == (0, 40)
+
+
 def test_segments_with_a_model(spark, model_file):
     seg, bound = segmentation.segment(transcripts(spark, " ".join(f"w{k % 17}" for k in range(90))), config=Config(continuity=model_file))
     assert seg.count() >= 2 and bound.count() == 89
