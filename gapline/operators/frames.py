@@ -46,28 +46,60 @@ def has_task(text: Column, words: Sequence[str] = T_WORDS) -> Column:
 
 def frames(texts: DataFrame, size: int = 5, stride: int = 1, short: bool = False) -> DataFrame:
     """id, i, frame, n_words for ``texts`` (id, text): word windows. Texts shorter than a window give one frame if ``short``, else none."""
+    return _framed(texts, size, stride, short, "frame")
+
+
+def framed_words(texts: DataFrame, size: int = 5, stride: int = 1) -> DataFrame:
+    """:func:`frames` with plain words in the place of text: those of a text are made once, not again in each frame that holds them."""
+    return _framed(texts, size, stride, False, "words")
+
+
+def _framed(texts: DataFrame, size: int, stride: int, short: bool, what: str) -> DataFrame:
     words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
     t = texts.select("id", words.alias("w")).withColumn("n_words", F.size("w")).where(
         (F.col("n_words") > 0) if short else (F.col("n_words") >= size)
     )
+    if what == "words":
+        # one plain word or nothing for each word: what is taken out can't join or part two of them
+        t = t.withColumn("w", F.transform("w", lambda x: F.regexp_replace(F.lower(x), r"[^a-zA-Z]", "")))
+
+    def own(at: Column) -> Column:
+        part = F.slice("w", at + 1, F.lit(size))
+        return F.struct(at.alias("at"), (F.array_join(part, " ") if what == "frame" else part).alias(what))
+
     last = F.greatest(F.lit(0), F.col("n_words") - size)
-    t = t.select("id", "w", "n_words", F.explode(F.sequence(F.lit(0), last, F.lit(stride))).alias("at"))
-    return t.select(
-        "id",
-        F.expr(f"cast(at div {stride} as int)").alias("i"),
-        F.array_join(F.slice("w", F.col("at") + 1, F.lit(size)), " ").alias("frame"),
-        "n_words",
-    )
+    # a frame's row gets its own words, never the whole text's
+    t = t.select("id", "n_words", F.inline(F.transform(F.sequence(F.lit(0), last, F.lit(stride)), own)))
+    return t.select("id", F.expr(f"cast(at div {stride} as int)").alias("i"), what, "n_words")
+
+
+def by_words(of_words: Callable[[Column], Column]) -> Callable[[Column], Column]:
+    """Gates of a frame that read nothing but its plain words; ``of_words`` gives them for words that are known."""
+
+    def gates(frame: Column) -> Column:
+        return F.transform(F.array(plain_words(frame)), of_words)[0]  # the words are made plain once
+
+    gates.of_words = of_words
+    return gates
+
+
+def frames_for(gates: Callable[[Column], Column], texts: DataFrame, size: int, stride: int = 1) -> DataFrame:
+    """Frames as ``gates`` read them."""
+    return framed_words(texts, size, stride) if hasattr(gates, "of_words") else frames(texts, size, stride)
+
+
+def _gates_of(framed: DataFrame, gates: Callable[[Column], Column]) -> Column:
+    return gates.of_words(F.col("words")) if "words" in framed.columns else gates(F.col("frame"))
 
 
-def demo_gates(frame: Column) -> Column:
+@by_words
+def demo_gates(words: Column) -> Column:
     """Fixed weights (S, M, A, T) by the frame's words, A before M before T."""
-    w = plain_words(frame)
     lit = {k: F.array(*[F.lit(x) for x in v]) for k, v in DEMO_GATES.items()}
     return F.when(
-        _any(w, DEMO_A_WORDS),
+        _any(words, DEMO_A_WORDS),
         lit["A"],
-    ).when(_any(w, M_WORDS), lit["M"]).when(_any(w, DEMO_T_WORDS), lit["T"]).otherwise(lit["S"])
+    ).when(_any(words, M_WORDS), lit["M"]).when(_any(words, DEMO_T_WORDS), lit["T"]).otherwise(lit["S"])
 
 
 def softmax(z: Column) -> Column:
@@ -114,8 +146,11 @@ def gravity(gates: Column, task: Column) -> Column:
 
 
 def scored_frames(framed: DataFrame, gates: Callable[[Column], Column] = demo_gates, task_words: Sequence[str] = T_WORDS) -> DataFrame:
-    out = framed.withColumn("gates", gates(F.col("frame")))
-    return out.withColumn("gravity", F.round(gravity(F.col("gates"), has_task(F.col("frame"), task_words)), 6))
+    """Adds gates and gravity; ``framed`` is of :func:`frames`, or of :func:`framed_words` for gates of :func:`by_words`."""
+    known = "words" in framed.columns
+    task = F.when(_any(F.col("words"), task_words), 1.0).otherwise(0.0) if known else has_task(F.col("frame"), task_words)
+    out = framed.withColumn("gates", _gates_of(framed, gates))
+    return out.withColumn("gravity", F.round(gravity(F.col("gates"), task), 6)).drop("words")
 
 
 def units(texts: DataFrame, scored: DataFrame, size: int = 5, stride: int = 1, threshold: float = 0.35) -> DataFrame:
@@ -129,7 +164,7 @@ def units(texts: DataFrame, scored: DataFrame, size: int = 5, stride: int = 1, t
     )
     beyond = F.coalesce(F.max("cut").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     cuts = flip.withColumn("beyond", beyond).where("cut > beyond").select("id", F.col("cut").alias("at"))
-    ends = scored.select("id", "n_words").distinct()
+    ends = scored.where("i = 0").select("id", "n_words").distinct()
     marks = cuts.unionByName(ends.select("id", F.lit(0).alias("at"))).unionByName(
         ends.select("id", F.col("n_words").alias("at"))
     ).distinct()
@@ -157,8 +192,11 @@ def q_matrix(unit_table: DataFrame, gates: Callable[[Column], Column] = demo_gat
         "EDU_Index",
         F.row_number().over(Window.partitionBy("id").orderBy("unit")),
     )
-    own = keep.select(F.struct("id", "EDU_Index").alias("id"), "text")
-    g = frames(own, size).withColumn("g", gates(F.col("frame")))
+    # frames are many times as large as units, by whose bytes adaptive execution would join partitions
+    parts = int(keep.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = keep.select(F.struct("id", "EDU_Index").alias("id"), "text").repartition(parts, "id")
+    framed = frames_for(gates, own, size)
+    g = framed.withColumn("g", _gates_of(framed, gates))
     mean = g.groupBy("id").agg(*[F.avg(F.col("g")[k]).alias(f"w{k}") for k in range(4)])
     out = keep.select("id", "EDU_Index", "text").join(
         mean.select("id.id", "id.EDU_Index", *[f"w{k}" for k in range(4)]),
@@ -192,4 +230,4 @@ def batch(
 ) -> DataFrame:
     """The batch run: ``answers`` (id, text with `` | `` between turns) to a Q-matrix."""
     texts = answers.select("id", F.replace(F.coalesce("text", F.lit("")), F.lit(" | "), F.lit(" ")).alias("text"))
-    return q_matrix(units(texts, scored_frames(frames(texts, size, stride), gates), size, stride, threshold), gates, size)
+    return q_matrix(units(texts, scored_frames(frames_for(gates, texts, size, stride), gates), size, stride, threshold), gates, size)

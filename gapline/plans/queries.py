@@ -422,8 +422,8 @@ def _frame_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 GATE_WORDS = {"A": ("for", "by", "du", "el", "ist"), "M": ("of", "in", "en", "que", "zu"), "T": ("the", "and", "la", "der", "de")}
 
 
-def _gates(frame):
-    w = frames.plain_words(frame)
+@frames.by_words
+def _gates(w):
     lit = {k: F.array(*[F.lit(x) for x in v]) for k, v in frames.DEMO_GATES.items()}
     out = lit["S"]
     for k in ("T", "M", "A"):
@@ -450,7 +450,7 @@ def sliding_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def frame_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = _frame_texts(spark, sf_dir)
-    s = frames.scored_frames(frames.frames(t, 5), _gates, GATE_WORDS["T"])
+    s = frames.scored_frames(frames.framed_words(t, 5), _gates, GATE_WORDS["T"])
     return frames.units(t, s, 5, 1, 0.35).select("id", "unit", "a", "z", F.md5("text").alias("text_md5"))
 
 

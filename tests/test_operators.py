@@ -435,6 +435,18 @@ def test_frame_segments(spark):
     assert all(r.Q_S + r.Q_M + r.Q_A + r.Q_T == (r.Dominant_Dim != "None") for r in q)
 
 
+
+def test_frames_by_words(spark):
+    """A text's words are made plain once; gates that read the frame's text have the same results."""
+    rows = [("a", "I think it's wrong-ish, \u0130stanbul\u00a0x \u212aelvin GO fit! rotate 12 -- yay the \u00c9dge edge"), ("b", "1 2 3 4 5 6"), ("c", "too short"), ("d", ""), ("e", "turn the long match align and fit it again stupid hard " * 5)]
+    t = spark.createDataFrame(rows, "id string, text string")
+    by_text = lambda frame: frames.demo_gates(frame)
+    assert frames.frames_for(frames.demo_gates, t, 5).columns == ["id", "i", "words", "n_words"] and "frame" in frames.frames_for(by_text, t, 5).columns
+    one, two = (frames.scored_frames(frames.frames_for(g, t, 5), g).select("id", "i", "n_words", "gates", "gravity") for g in (frames.demo_gates, by_text))
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, two.collect())) and one.count() == sum(max(0, len(x.split(" ")) - 4) for _, x in rows if x.strip()) - 1
+    assert sorted(map(tuple, frames.batch(t).collect())) == sorted(map(tuple, frames.batch(t, by_text).collect()))
+
+
 def test_gates(spark):
     rng = random.Random(1)
     rows = [(k % 4, [float(k % 4 == i) + rng.random() / 10 for i in range(4)]) for k in range(80)]
