@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -55,11 +56,11 @@ def chunks(transcripts: DataFrame, clean_text: bool = True) -> DataFrame:
 
 
 def tokens(chunked: DataFrame) -> DataFrame:
-    """One row for each token of each chunk of two tokens or more, with s_ if the chunks have it (see
-    :func:`gapline.operators.continuity.with_continuity`)."""
+    """One row for each token of each chunk of two tokens or more, with s_ and p_ if the chunks have them (see
+    :func:`gapline.operators.continuity.with_continuity` and :func:`gapline.operators.tagging.with_parser`)."""
     out = chunked.withColumn("n_tokens", F.size("tokens")).where("n_tokens > 1")
-    if "s_" in chunked.columns:
-        each = F.posexplode(F.arrays_zip(F.col("tokens").alias("token"), F.col("s_").alias("s_"))).alias("pos", "x")
+    if beside := [x for x in ("s_", "p_") if x in chunked.columns]:
+        each = F.posexplode(F.arrays_zip(F.col("tokens").alias("token"), *[F.col(x).alias(x) for x in beside])).alias("pos", "x")
         return out.select(*CHUNK, "offset", "n_tokens", "truncated", each).select(*CHUNK, "offset", "n_tokens", "truncated", "pos", "x.*")
     return out.select(*CHUNK, "offset", "n_tokens", "truncated", F.posexplode("tokens").alias("pos", "token"))
 
@@ -157,14 +158,18 @@ def rule_reason(left: Column, right: Column) -> Column:
     )
 
 
-def parser_legality(features: DataFrame) -> DataFrame:
-    """Legality and its reasons from a parser's features of each gap: keys, gap, left_pos, right_pos, left_dep, right_dep, right_lower,
-    right_is_punct, same_sentence, sentence_boundary, inside_noun_chunk."""
-    lp, rp, ld = F.col("left_pos"), F.col("right_pos"), F.col("left_dep")
+#: what a parser says of a gap
+FEATURES = """struct<left_pos:string,right_pos:string,left_dep:string,right_dep:string,right_lower:string,right_is_punct:boolean,same_sentence:boolean,
+sentence_boundary:boolean,inside_noun_chunk:boolean>"""
+
+
+def judged(x: Callable[[str], Column]) -> dict[str, Column]:
+    """``PARSER``, from the features of a gap by their names."""
+    lp, rp, ld = x("left_pos"), x("right_pos"), x("left_dep")
     # fixed values: part-of-speech tags, dependencies and cues of the rules
     reasons = F.array_compact(
         F.array(
-            F.when(F.col("inside_noun_chunk"), F.lit("inside_noun_chunk")),
+            F.when(x("inside_noun_chunk"), F.lit("inside_noun_chunk")),
             F.when(
                 ld.isin(
                     "det",
@@ -186,10 +191,10 @@ def parser_legality(features: DataFrame) -> DataFrame:
             ),
             F.when((lp == "ADP") & rp.isin("DET", "ADJ", "NOUN", "PROPN", "PRON", "NUM"), F.lit("inside_prepositional_phrase")),
             F.when(lp.isin("ADJ", "ADV") & rp.isin("ADJ", "NOUN", "PROPN", "VERB", "AUX"), F.lit("inside_modifier_head_phrase")),
-            F.when(F.col("right_is_punct"), F.lit("before_punctuation")),
+            F.when(x("right_is_punct"), F.lit("before_punctuation")),
         )
     )
-    cue = F.col("right_lower").isin(
+    cue = x("right_lower").isin(
         "actually",
         "but",
         "so",
@@ -204,7 +209,7 @@ def parser_legality(features: DataFrame) -> DataFrame:
         "first",
         "again",
     )
-    semi = F.col("same_sentence") & ~F.col("sentence_boundary") & ~cue & lp.isin("VERB", "NOUN", "PROPN", "ADJ", "ADV") & rp.isin(
+    semi = x("same_sentence") & ~x("sentence_boundary") & ~cue & lp.isin("VERB", "NOUN", "PROPN", "ADJ", "ADV") & rp.isin(
         "NOUN",
         "PROPN",
         "PRON",
@@ -214,19 +219,23 @@ def parser_legality(features: DataFrame) -> DataFrame:
     )
     legality = F.when(F.size(reasons) > 0, "illegal").when(semi, "semi_legal").otherwise("legal")
     text = F.when(F.size(reasons) > 0, F.array_join(reasons, ";")).when(semi, "within_sentence_noncue_gap").otherwise("")
-    return features.select(
-        *RECORD,
-        "gap",
-        legality.alias("spacy_legality"),
-        text.alias("spacy_legality_reason"),
-        lp.alias("spacy_left_pos"),
-        rp.alias("spacy_right_pos"),
-        ld.alias("spacy_left_dep"),
-        F.col("right_dep").alias("spacy_right_dep"),
-        F.col("same_sentence").alias("spacy_same_sentence"),
-        F.col("sentence_boundary").alias("spacy_sentence_boundary"),
-        F.col("inside_noun_chunk").alias("spacy_inside_noun_chunk"),
-    )
+    return {
+        "spacy_legality": legality,
+        "spacy_legality_reason": text,
+        "spacy_left_pos": lp,
+        "spacy_right_pos": rp,
+        "spacy_left_dep": ld,
+        "spacy_right_dep": x("right_dep"),
+        "spacy_same_sentence": x("same_sentence"),
+        "spacy_sentence_boundary": x("sentence_boundary"),
+        "spacy_inside_noun_chunk": x("inside_noun_chunk"),
+    }
+
+
+def parser_legality(features: DataFrame) -> DataFrame:
+    """Legality and its reasons from a parser's features of each gap: keys, gap, left_pos, right_pos, left_dep, right_dep, right_lower,
+    right_is_punct, same_sentence, sentence_boundary, inside_noun_chunk."""
+    return features.select(*RECORD, "gap", *[c.alias(k) for k, c in judged(F.col).items()])
 
 
 PARSED = "array<struct<text:string,pos:string,dep:string,sentence:int,ends:boolean,punct:boolean,noun_chunk:int>>"
@@ -238,26 +247,33 @@ def align_key(text: Column) -> Column:
     return F.when(out == C.EVENT.lower(), "").otherwise(F.regexp_replace(out, r"(?U)^\W+|\W+$", ""))
 
 
+def places(wanted: list[str | None], own: list[str | None], reach: int = 4) -> list[int | None]:
+    """For each of the keys ``wanted`` the place of the first of the next ``reach`` keys of ``own`` that equals it, or None. Places rise; a key that
+    isn't found moves nothing on, and None isn't looked for."""
+    out, at = [], 0
+    for key in wanted:
+        found = None
+        if key is not None and key in (ahead := own[at : at + reach]):
+            found = at + ahead.index(key)
+            at = found + 1
+        out.append(found)
+    return out
+
+
 def aligned(words: Column, parsed: Column, reach: int = 4) -> Column:
     """For each of ``words`` the place of its token in ``parsed`` (see ``PARSED``), or null: the first of the next ``reach`` tokens that has the same
-    key or text. Places rise; a word that isn't found moves nothing on. A word without a key is looked for only if it is a punctuation mark."""
-    keys = F.transform(parsed, lambda x: F.struct(align_key(x["text"]).alias("key"), x["text"].alias("text")))
-
-    def step(acc: Column, word: Column) -> Column:
-        key = align_key(word)
-        ahead = F.slice(acc["keys"], acc["next"] + 1, F.lit(reach))
-        at = F.array_position(F.transform(ahead, lambda x: (x["key"] == key) | (x["text"] == word)), True)
-        found = ((key != "") | word.isin(*C.PUNCTUATION)) & (at > 0)
-        place = F.when(found, (acc["next"] + at - 1).cast("int"))
-        return F.struct(
-            F.coalesce(place + 1, acc["next"]).alias("next"),
-            F.array_append(acc["places"], place).alias("places"),
-            acc["keys"].alias("keys"),
-        )
+    key (see :func:`places`). A word without a key is looked for only if it is a punctuation mark."""
+
+    @F.arrow_udf("array<int>")
+    def run(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for wanted, own in columns:
+            # a chunk's keys are Python objects for as long as it takes
+            found = (places(w.as_py(), o.as_py() or [], reach) if w.is_valid else None for w, o in zip(wanted, own, strict=True))
+            yield pa.array(found, pa.list_(pa.int32()))
 
-    # the keys are part of the state, so they are taken once, not for each word
-    start = F.struct(F.lit(0).alias("next"), F.array().cast("array<int>").alias("places"), keys.alias("keys"))
-    return F.aggregate(words, start, step, lambda acc: acc["places"])
+    keys = F.transform(words, lambda w: F.struct(w.alias("word"), align_key(w).alias("key")))
+    wanted = F.transform(keys, lambda x: F.when((x["key"] != "") | x["word"].isin(*C.PUNCTUATION), x["key"]))
+    return run(wanted, F.transform(parsed, lambda x: align_key(x["text"])))
 
 
 def parser_features(chunked: DataFrame, parsed: DataFrame) -> DataFrame:
@@ -287,6 +303,12 @@ def parser_features(chunked: DataFrame, parsed: DataFrame) -> DataFrame:
     )
 
 
+def features_of(chunked: DataFrame) -> DataFrame:
+    """What :func:`parser_legality` reads, from chunks that have p_ (see :func:`gapline.operators.tagging.with_parser`)."""
+    each = chunked.select(*RECORD, "offset", F.posexplode("p_").alias("pos", "p_")).where("p_ is not null")
+    return each.select(*RECORD, (F.col("offset") + F.col("pos")).alias("gap"), "p_.*")
+
+
 def score(
     tokenized: DataFrame,
     vocabulary: Vocabulary | None = None,
@@ -301,9 +323,15 @@ def score(
     ``config.continuity`` is jaccard, lexical or a model (see :mod:`gapline.operators.encoders`); lexical takes the place of a model that can't be
     loaded. ``similarity`` maps the two sides' word sets to a number and overrides it; so does ``text_similarity``, which gets the two
     sides' texts (see :func:`encoded_similarity`).
-    ``parser`` is a table of :func:`parser_legality`; without one only the rules hold. With ``keep`` the continuity stays as it is, as s_; tokens that
-    have s_ are scored by it."""
+    ``parser`` is a table of :func:`parser_legality`; tokens that have p_ (see :func:`gapline.operators.tagging.with_parser`) need none. Without either
+    only the rules hold. With ``keep`` the continuity stays as it is, as s_; tokens that have s_ are scored by it."""
     v, c = vocabulary or Vocabulary(), config or Config()
+    mode = c.legality_mode.lower()
+    by_parser = mode in ("spacy", "hybrid")
+    beside = by_parser and parser is None and "p_" in tokenized.columns
+    if beside:
+        p = F.col("p_")
+        tokenized = tokenized.withColumns({k: F.when(p.isNotNull(), x) for k, x in judged(p.getField).items()})
     # tokens in blocks come with those of the neighbouring blocks that windows reach (see gapline.operators.wide)
     blocks = [x for x in ("block", "own") if x in tokenized.columns]
     # what decoding hands on, and the continuity where it is known from a first pass
@@ -379,14 +407,12 @@ def score(
     out = out.withColumn("p", 0.45 * F.col("c") + 0.25 * F.col("m") + 0.15 * F.col("a") + 0.15 * F.col("r"))
     out = out.withColumn("raw", F.col("s") * (1.0 + c.alpha_task_density * F.col("d_task")) - c.transition_weight * F.col("p"))
 
-    mode = c.legality_mode.lower()
     out = out.withColumn("gap", F.col("offset") + F.col("pos"))
     none = {k: F.lit("") for k in PARSER[:6]} | {k: F.lit(None).cast("boolean") for k in PARSER[6:]}
-    use_parser = parser is not None and mode in ("spacy", "hybrid")
-    if use_parser:
-        out = out.join(parser.select(*RECORD, "gap", *PARSER), [*RECORD, "gap"], "left").fillna("", list(PARSER[:6]))
-    else:
-        out = out.withColumns(none)
+    use_parser = beside or (by_parser and parser is not None)
+    if use_parser and not beside:
+        out = out.join(parser.select(*RECORD, "gap", *PARSER), [*RECORD, "gap"], "left")
+    out = out.fillna("", list(PARSER[:6])) if use_parser else out.withColumns(none)
     use_rules = mode in ("rule", "hybrid") or (mode == "spacy" and not use_parser)
     out = out.withColumn("rule_constraint_reason", rule_reason(F.col("left_token"), F.col("token")) if use_rules else F.lit(""))
     illegal = F.array_compact(

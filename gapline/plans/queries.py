@@ -47,10 +47,6 @@ def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gaps.tokens(gaps.chunks(transcripts(spark, sf_dir), False))
-
-
 def _gaps(spark: SparkSession, sf_dir: str, config: Config = CONFIG) -> DataFrame:
     chunked = continuity.with_continuity(gaps.chunks(transcripts(spark, sf_dir), False), config)
     return gaps.score(gaps.tokens(chunked), WORDS, config)
@@ -523,8 +519,7 @@ POS = (
 ENDINGS = (("ADV", ("ly",)), ("VERB", ("ing", "ed", "en", "er")), ("ADJ", ("al", "ous", "ich", "que")))
 
 
-def _silver(word):
-    low = F.lower(word)
+def _silver(low):
     out = F.when(low.rlike("^[^a-z0-9]+$"), "PUNCT").when(low.rlike("^[0-9]+$"), "NUM")
     for tag, these in POS:
         out = out.when(low.isin(*these.split()), tag)
@@ -533,28 +528,31 @@ def _silver(word):
     return out.otherwise("NOUN")
 
 
-def _tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every chunk's words with tags, by a tagger trained on silver tags of the even conversations."""
-    spoken = tagging.words(gaps.chunks(transcripts(spark, sf_dir), False))
-    even = spoken.where(F.substring_index("Record_ID", "_", 1).cast("long") % 2 == 0)
-    silver = even.select(F.transform("words", lambda w: F.struct(w.alias("text"), _silver(w).alias("tag"))).alias("tagged"))
-    return tagging.tag(spoken, tagging.tagger(tagging.train(silver)))
+def _tagger(chunked: DataFrame) -> tagging.Tagger:
+    """Trained on silver tags of the even conversations."""
+    even = tagging.words(chunked.where(F.substring_index("Record_ID", "_", 1).cast("long") % 2 == 0))
+    low = even.select(F.transform("words", F.lower).alias("words"))
+    silver = low.select(F.transform("words", lambda w: F.struct(w.alias("text"), _silver(w).alias("tag"))).alias("tagged"))
+    return tagging.tagger(tagging.train(silver))
 
 
 def tagged_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = _tagged(spark, sf_dir)
+    """Every chunk's words with their tags."""
+    chunked = gaps.chunks(transcripts(spark, sf_dir), False)
+    t = tagging.tag(tagging.words(chunked), _tagger(chunked))
     pair = F.posexplode(F.arrays_zip("words", "tags")).alias("at", "x")
     return t.select("Record_ID", "chunk", pair).select("Record_ID", "chunk", "at", F.col("x.words").alias("word"), F.col("x.tags").alias("tag"))
 
 
 def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tagging.parse(_tagged(spark, sf_dir))
+    """Chunks with a parser's features of their gaps."""
+    chunked = gaps.chunks(transcripts(spark, sf_dir), False)
+    return tagging.with_parser(chunked, _tagger(chunked))
 
 
 def parser_legality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Legality of gaps by a parser's tokens, aligned with the text's own."""
-    f = gaps.parser_features(gaps.chunks(transcripts(spark, sf_dir), False), _parsed(spark, sf_dir))
-    p = gaps.parser_legality(f)
+    p = gaps.parser_legality(gaps.features_of(_parsed(spark, sf_dir)))
     return p.select(
         "Record_ID",
         F.col("gap").cast("int").alias("gap"),
@@ -570,8 +568,7 @@ def parser_legality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def legality_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules and parser together: legality, penalty and boost of each gap."""
-    parser = gaps.parser_legality(gaps.parser_features(gaps.chunks(transcripts(spark, sf_dir), False), _parsed(spark, sf_dir)))
-    out = gaps.score(_tokens(spark, sf_dir), WORDS, CONFIG, parser)
+    out = gaps.score(gaps.tokens(gaps.dealt(_parsed(spark, sf_dir))), WORDS, CONFIG)
     return out.select(
         "Record_ID",
         "gap",

@@ -4,10 +4,13 @@ import itertools
 import json
 import math
 import random
+import re
+import time
 import warnings
 from difflib import SequenceMatcher
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from gapline.config import Config
 from gapline.functions import sequence
@@ -295,3 +298,65 @@ def test_gaps_of_a_parse_do_not_carry_their_chunk(spark):
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     made = next(line for line in plan.split("\n") if "Generate inline" in line)
     assert "explode(sequence" not in plan and made and sorted(r["gap"] for r in got.collect()) == [1, 2, 3, 4, 5]
+
+
+def test_a_parser_where_the_tokens_are_is_that_of_tables(spark, model):
+    """Before, words, parses and gaps were tables that were joined to each other."""
+    texts = (
+        "The red box is falling. It don't fall | a box of nails",
+        "box",
+        "",
+        "the box | is | it is red, the wall's falling! a of the box ; 'tis 12 nails",
+        "don’t The Box. . , the of walling",
+    )
+    unnamed = transcripts(spark, "the red box").withColumn("Record_ID", F.lit(None).cast("string"))
+    chunked = gaps.chunks(transcripts(spark, *texts).unionByName(unnamed), False)
+    own = tagging.tagger(model)
+    beside = tagging.with_parser(chunked, own)
+    tabled = gaps.parser_legality(gaps.parser_features(chunked, tagging.parse(tagging.tag(tagging.words(chunked), own))))
+    got = sorted(map(tuple, gaps.parser_legality(gaps.features_of(beside)).collect()))
+    assert got == sorted(map(tuple, tabled.collect())) and len(got) > 25
+    for mode in ("hybrid", "spacy", "rule"):
+        config = Config(continuity="jaccard", legality_mode=mode)
+        one, other = gaps.score(gaps.tokens(beside), config=config), gaps.score(gaps.tokens(chunked), config=config, parser=tabled)
+        assert one.columns == other.columns
+        assert sorted(map(tuple, one.collect()), key=str) == sorted(map(tuple, other.collect()), key=str)
+        assert "Join" not in one._jdf.queryExecution().optimizedPlan().toString()
+    spark.catalog.clearCache()
+
+
+def test_a_batch_of_several_slices_and_long_chunks(spark, model, monkeypatch):
+    rng = random.Random(4)
+    seen = [w for s in TRAIN for w, _ in s] + ["don't", ",", "zzz", "Nails"]
+    own = tagging.tagger(model)
+    monkeypatch.setattr(tagging, "WORDS", 7)
+    texts = [rng.choices(seen, k=n) for n in (3, 0, 30, 1, 1, 6, 9)]
+    tokens = pa.array(texts, pa.list_(pa.string()))
+    said = pa.array([[x for w in t for x in re.findall(tagging.TOKEN, w)] for t in texts], pa.list_(pa.string()))
+    parts = list(tagging.cuts(tagging.sizes_of(said), 7))
+    assert len(parts) > 3 and [k for a, z in parts for k in range(a, z)] == list(range(len(texts)))
+    whole = tagging.placed(tokens, said).tolist()
+    for a, z in parts:
+        t, s = tokens.slice(a, z - a), said.slice(a, z - a)
+        begin = sum(map(len, said.slice(0, a).to_pylist()))
+        first = sum(map(len, texts[:a]))
+        part = tagging.placed(t, s).tolist()
+        assert [p + begin if p >= 0 else -1 for p in part] == whole[first : first + len(part)]
+        tags = tagging.tags_of(own, s).to_pylist()
+        assert tags == [x for y in own.best(s.to_pylist()) for x in y]
+        found = tagging.structure(s.flatten(), pa.array(tags, pa.string()), tagging.sizes_of(s)).to_pylist()
+        assert found == [x for y in s.to_pylist() for x in tagging.shallow(y, own.best([y])[0])]
+
+
+def test_training_takes_time_in_proportion_to_a_chunk(spark):
+    """Before, the tags of the whole chunk were made again for each of its words, and the table was read four times."""
+    n = 30_000
+    at = F.sequence(F.lit(0), F.lit(n - 1))
+    row = spark.range(1).select(F.transform(at, lambda k: F.struct(F.concat(F.lit("W"), (k % 7).cast("string")).alias("text"), F.concat(F.lit("T"), (k % 3).cast("string")).alias("tag"))).alias("tagged"))
+    began = time.monotonic()
+    got = {(r.kind, r.key, r.tag): r.n for r in tagging.train(row.repartition(1)).collect()}
+    took = time.monotonic() - began
+    assert sum(n for (kind, *_), n in got.items() if kind == "word") == n == sum(n for (kind, *_), n in got.items() if kind == "step")
+    assert got["step", "<s>", "T0"] == 1 and got["step", "T2", "T0"] == n // 3 - 1 and ("step", "T0", "T2") not in got
+    assert took < 20
+    spark.catalog.clearCache()
