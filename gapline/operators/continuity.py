@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from gapline.config import EVENT, Config
 from gapline.functions import sequence
+from gapline.functions.lists import cuts, firsts_of, kinds_of, lists_of, sizes_of
 from gapline.operators import encoders, gaps
 
 #: gaps that are compared at once
@@ -116,6 +117,60 @@ def of_chunks(width: int, side: Callable, value: Callable[[tuple], np.ndarray])
     return run
 
 
+#: tokens that :func:`overlaps` counts at once
+TOKENS = 20_000
+PLAIN = re.compile("[A-Za-z0-9]+")
+
+
+def jaccards(ids: np.ndarray, sizes: np.ndarray, width: int) -> np.ndarray:
+    """The jaccard index of the distinct ids left and right of each token, for lists of ``sizes`` ids that lie one after another; negative ids don't count.
+    An id is counted where it comes first in a window: where its place before lies outside."""
+    n = len(ids)
+    owner, nowhere, never = np.repeat(np.arange(len(sizes)), sizes), -n - 2 * width, n + 2 * width
+    order = np.lexsort((ids, owner))
+    again = (np.diff(ids[order]) == 0) & (np.diff(owner[order]) == 0)
+    before = np.full(n, nowhere)
+    before[order[1:][again]] = order[:-1][again]
+    before[ids < 0] = never
+    at = np.arange(n)
+    begin = (np.cumsum(sizes) - sizes)[owner]
+    end = begin + sizes[owner]
+    wide = np.concatenate([np.full(width, never), before, np.full(width, never)])
+    left, right, either = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
+    for o in range(1, width + 1):
+        left += (at - o >= begin) & (wide[width - o : width - o + n] < at - width)
+    for o in range(width):
+        place, there = wide[width + o : width + o + n], at + o < end
+        right += there & (place < at)
+        either += there & (place < at - width)
+    either += left
+    return np.where((left == 0) | (right == 0), 0.0, (left + right - either) / np.maximum(either, 1))
+
+
+def overlaps(width: int) -> Callable[[Column], Column]:
+    """As :func:`gapline.operators.gaps.jaccard` of the plain words of both sides, for each token of an array but the first."""
+
+    @F.arrow_udf("array<double>")
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in columns:
+            made = []
+            for a, z in cuts(sizes_of(column), TOKENS):
+                tokens = column.slice(a, z - a)
+                sizes, (kinds, own) = sizes_of(tokens), kinds_of(tokens.flatten())
+                words: dict[str, int] = {}
+                ids = np.array([words.setdefault(k.lower(), len(words)) if PLAIN.fullmatch(k) else -1 for k in kinds], np.int64)
+                made.append(lists_of(pa.array(jaccards(ids[own], sizes, width), mask=firsts_of(sizes)), sizes))
+            yield pa.concat_arrays(made)
+
+    return run
+
+
+def with_overlap(chunked: DataFrame, config: Config) -> DataFrame:
+    """``chunked`` with s_, the jaccard index before each token: for chunks that go through Python anyway, since no window then gathers sets of words.
+    Before windows the chunks are dealt again."""
+    return chunked.withColumn("s_", overlaps(config.context_width)(F.col("tokens")))
+
+
 def with_continuity(chunked: DataFrame, config: Config) -> DataFrame:
     """``chunked`` (see :func:`gapline.operators.gaps.chunks`) with s_, the continuity before each token; without it for jaccard, which
     windows give as well."""

@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from gapline import config as C
 from gapline.functions import text as T
+from gapline.functions.lists import cuts, firsts_of, kinds_of, lists_of, sizes_of
 from gapline.operators import gaps
 
 #: words whose own counts are kept; a model has at most so many words, as many endings and the tags' steps
@@ -176,32 +177,6 @@ def load(spark: SparkSession, path: str) -> DataFrame:
 KEYS = "Record_ID string, Source_Row long, Source_Column string, chunk int"
 
 
-def kinds_of(flat: pa.Array) -> tuple[list[str], np.ndarray]:
-    """The distinct values, and the place of each value in them."""
-    coded = flat.dictionary_encode()
-    return coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-
-
-def sizes_of(lists: pa.Array) -> np.ndarray:
-    return np.array(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False), np.int64)
-
-
-def lists_of(flat: pa.Array, sizes: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), flat)
-
-
-def cuts(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
-    """Begins and ends of runs of at most ``most`` words, or of one chunk."""
-    at, held = 0, 0
-    for k, n in enumerate(sizes.tolist()):
-        if held + n > most and k > at:
-            yield at, k
-            at, held = k, 0
-        held += n
-    if len(sizes) > at or not len(sizes):
-        yield at, len(sizes)
-
-
 def sliced(batches: Iterator[pa.RecordBatch], most: int = WORDS, column: int = 4) -> Iterator[pa.RecordBatch]:
     """The rows of ``batches`` in slices of at most ``most`` words (in ``column``), or of one chunk: what a worker takes apart at once."""
     for b in batches:
@@ -345,10 +320,8 @@ def with_parser(chunked: DataFrame, model: Tagger) -> DataFrame:
         for b in sliced(batches, column=said_at):
             tokens, said = b.column(tokens_at), b.column(said_at)
             sizes = sizes_of(tokens)
-            first = np.zeros(int(sizes.sum()), bool)
-            first[(np.cumsum(sizes) - sizes)[sizes > 0]] = True
             parsed = structure(said.flatten(), tags_of(own, said), sizes_of(said))
-            made = lists_of(of_gaps(parsed, placed(tokens, said), first), sizes)
+            made = lists_of(of_gaps(parsed, placed(tokens, said), firsts_of(sizes)), sizes)
             yield pa.RecordBatch.from_arrays([*b.columns[:said_at], made], names=[*b.schema.names[:said_at], "p_"])
 
     kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in chunked.schema]

@@ -568,7 +568,8 @@ def parser_legality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def legality_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules and parser together: legality, penalty and boost of each gap."""
-    out = gaps.score(gaps.tokens(gaps.dealt(_parsed(spark, sf_dir))), WORDS, CONFIG)
+    chunked = continuity.with_overlap(_parsed(spark, sf_dir), CONFIG)
+    out = gaps.score(gaps.tokens(gaps.dealt(chunked)), WORDS, CONFIG)
     return out.select(
         "Record_ID",
         "gap",

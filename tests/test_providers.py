@@ -360,3 +360,20 @@ def test_training_takes_time_in_proportion_to_a_chunk(spark):
     assert got["step", "<s>", "T0"] == 1 and got["step", "T2", "T0"] == n // 3 - 1 and ("step", "T0", "T2") not in got
     assert took < 20
     spark.catalog.clearCache()
+
+
+def test_overlap_of_chunks_is_that_of_windows(spark):
+    """Before, sets of words were gathered in windows for each gap."""
+    rng = random.Random(6)
+    for width in (1, 3, 12):
+        sizes = [0, 1, 2, 40, 5, 0, 90]
+        lists = [[rng.randrange(-1, 9) for _ in range(n)] for n in sizes]
+        got = continuity.jaccards(np.array([x for t in lists for x in t]), np.array(sizes), width).tolist()
+        sides = [(set(t[max(0, k - width) : k]) - {-1}, set(t[k : k + width]) - {-1}) for t in lists for k in range(len(t))]
+        assert got == [len(a & b) / len(a | b) if a and b else 0.0 for a, b in sides]
+    said = ["The", "the", "don't", ",", "<EVENT>", "box", "red", "it", "12", "of"]
+    texts = [" ".join(rng.choices(said, k=n)) for n in (1, 2, 30, 70, 3)]
+    chunked = gaps.chunks(transcripts(spark, "", *texts), False)
+    config = Config(continuity="jaccard", context_width=5)
+    beside = gaps.score(gaps.tokens(continuity.with_overlap(chunked, config)), config=config)
+    assert sorted(map(tuple, beside.collect()), key=str) == sorted(map(tuple, gaps.score(gaps.tokens(chunked), config=config).collect()), key=str)
