@@ -1,7 +1,7 @@
 """A part-of-speech tagger, as the parser of the legality rules: trained on a table, applied to chunks in Arrow batches.
 
 The tagger is a hidden Markov model. :func:`train` counts, over a table of tagged words, how often each word, each ending (its last three letters) and
-each step from tag to tag occurs: three aggregations. The counts of the ``kept`` most frequent words stay; other words are judged by their endings,
+each step from tag to tag occurs: sums of one aggregation. The counts of the ``kept`` most frequent words stay; other words are judged by their endings,
 of which there are few. That bounds the model (:func:`save` writes it as a table, :func:`load` reads it), whatever the table's size.
 
 :func:`tag` finds each chunk's most probable tags (Viterbi) with costs in whole thousandths of the logarithm, so that results don't depend on the order of
